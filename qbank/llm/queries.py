@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qbank.llm import packing, quality_rules, url_filter
+from qbank.llm import embedding_dedup, line_dedup, ngram_join, packing, quality_rules, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_lines", "n_removed", F.length("deduped_text").cast("long").alias("left_chars"), F.md5("deduped_text").alias("left_md5")
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(read(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_of(read(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -39,7 +54,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op4_ngram_join": op4_ngram_join,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
@@ -47,7 +65,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RULES = quality_rules.Rules()
 _PHRASE = " or ".join(f"contains(lower(l), '{p}')" for p in _RULES.phrases)
 
+_SPREAD = line_dedup.Spread()
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": rf"""
+with l as (select doc_id, coalesce(source, '') s, unnest(string_split(text, chr(10))) line,
+        unnest(range(0, len(string_split(text, chr(10))))) i from documents where text is not null),
+k as (select *, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') t from l),
+w as (select t, min((doc_id, i)) first from k where t <> '' group by t having count(distinct s) >= {_SPREAD.min_sites}),
+o as (select doc_id, i, line, w.t is not null and (doc_id, i) <> w.first gone from k left join w using (t))
+select doc_id, cast(count(*) as bigint) n_lines, cast(count(*) filter (where gone) as bigint) n_removed,
+  cast(length(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as bigint) left_chars,
+  md5(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) left_md5
+from o group by doc_id
+union all select doc_id, 0, 0, null, null from documents where text is null""",
     "op7_quality_rules": rf"""
 with d as (select doc_id, coalesce(text, '') t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, string_split(t, chr(10)) ls from d),
