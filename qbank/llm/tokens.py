@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Words in each half of a worker's cache: a full younger half becomes the older one.
-#: A single text with more distinct words grows it by those words while it is encoded.
+#: A single text with more, may grow it beyond that while it is encoded.
 CACHE = 500_000
 #: What ``str.split`` takes for white space beyond Unicode's White_Space, which the vocabulary uses.
 ODD = re.compile("[\x1c-\x1f]")
@@ -24,6 +24,10 @@ def split(text: str) -> list[str]:
     return SPLIT.split(text) if ODD.search(text) else text.split()
 
 
+#: Runs of these after a letter are a piece of their own (the apostrophe is not: it starts endings).
+TAIL = ".,!?;:*#&%$|<>()[]"
+#: Lower-case words of these letters are left as they are by normalising, and are one piece.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 PROBE = "Aé b c d  é\n'll x's 12a\tß."
 
 
@@ -49,20 +53,82 @@ class Words:
         whole = self.tokenizer.encode(PROBE, add_special_tokens=False).ids
         apart = [i for w in split(PROBE) for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
         self.apart = whole == apart
+        self.bare = self._bare() if self.apart else None
+
+    def _bare(self):  # noqa: ANN202
+        """The same model without normalising and splitting, for words that neither would change."""
+        import json
+
+        from tokenizers import Tokenizer
+
+        spec = json.loads(self.tokenizer.to_str())
+        spec["normalizer"] = spec["post_processor"] = None
+        spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare = Tokenizer.from_str(json.dumps(spec))
+        bare.encode_special_tokens = True
+        plain = [w for w in split(PROBE.lower()) if PLAIN.fullmatch(w)]
+        fits = all(
+            bare.encode(w, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in plain
+        )
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not (plain and fits and suffix):
+            return None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+        return bare
 
     def _learn(self, words: set[str]) -> None:
-        """Each word of a text into the younger half of the cache, from the older half or encoded."""
+        """Words into the younger half of the cache: from the older half, from their parts, or encoded.
+
+        The vocabulary folds case and splits letters from what follows, so
+        ``Word,`` is ``word`` and ``,``: only the parts are encoded.
+        """
         if len(self.cache) + len(words) > CACHE:
             self.cache, self.old = {}, self.cache
-        new = []
+        cache, old = self.cache, self.old
+        made: list[tuple[str, str, str]] = []
+        plain: set[str] = set()
+        other: set[str] = set()
         for w in words:
-            got = self.old.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                self.cache[w] = got
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, self.dtype).tobytes()
+            got = old.get(w)
+            if got is not None:
+                cache[w] = got
+                continue
+            core = w.rstrip(TAIL)
+            low = core.lower()
+            if not PLAIN.fullmatch(low):
+                other.add(w)
+                continue
+            if low == w:
+                plain.add(w)
+                continue
+            tail = w[len(core) :]
+            made.append((w, low, tail))
+            if low not in cache:
+                got = old.get(low)
+                if got is None:
+                    plain.add(low)
+                else:
+                    cache[low] = got
+            if tail and tail not in cache:
+                other.add(tail)
+        if self.bare is None:
+            other |= plain
+        elif plain:
+            todo = list(plain)
+            for at in range(0, len(todo), 1000):
+                some = todo[at : at + 1000]
+                ids = self.bare.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids
+                ids = np.array(ids, self.dtype)
+                cuts = np.flatnonzero(self.ends[ids]) + 1  # a word's last piece is marked in the vocabulary
+                raw = ids.tobytes()
+                cuts = [0, *(cuts * self.dtype.itemsize).tolist()]
+                cache.update(zip(some, (raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+        todo = list(other)
+        for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+            cache[w] = np.array(e.ids, self.dtype).tobytes()
+        for w, low, tail in made:
+            cache[w] = cache[low] + cache[tail] if tail else cache[low]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``, ``end_id`` last; null is empty."""
@@ -70,7 +136,7 @@ class Words:
         if not self.apart:
             got = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             return [np.array(e.ids, self.dtype).tobytes() + tail for e in got]
-        out = []
+        out: list[bytes] = []
         for text in texts:
             words = split(text) if text else []
             found = list(map(self.cache.get, words))
@@ -79,7 +145,9 @@ class Words:
                 self._learn({w for w, x in zip(words, found, strict=True) if x is None})
                 if young is not self.cache:  # its other words are in the older half now
                     self._learn(set(words) - self.cache.keys())
-                found = list(map(self.cache.get, words))
+                    found = [None] * len(words)
+                now = self.cache
+                found = [x if x is not None else now[w] for w, x in zip(words, found, strict=True)]
             out.append(b"".join(found) + tail)
         return out
 
