@@ -13,12 +13,15 @@ document is judged where it is read, whatever its length.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qbank.llm.common import SPACE, SPACE_CLASS
+from qbank.llm.common import SPACE
 
 SYMBOLS = "#*$%&|<>"
 
@@ -49,22 +52,25 @@ class Rules:
 
 def words(text: Column) -> Column:
     r"""The words ``[^\x20\x09-\x0D]+`` of a text; of null, an empty array."""
-    kept = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(kept == "", F.array().cast("array<string>")).otherwise(F.split(kept, f"{SPACE_CLASS}+"))
+    spaced = F.translate(F.coalesce(text, F.lit("")), SPACE[1:], " " * len(SPACE[1:]))
+    return F.array_remove(F.split(spaced, " "), "")  # splitting at one character needs no pattern
 
 
 def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def windows(words: Column) -> Column:
-    """The three-word windows as sorted structs of 64-bit hash and place; fewer words: null."""
-    n = F.size(words)
-    at = F.sequence(F.lit(1), n - 2)
-    hashed = F.transform(
-        at, lambda i: F.struct(F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h"), i.alias("i"))
-    )
-    return F.when(n >= 3, F.sort_array(hashed))
+def window_hashes(words: Column) -> Column:
+    """64-bit hashes of the three-word windows, in place; with fewer words, none."""
+    at = F.sequence(F.lit(1), F.size(words) - 2)
+    hashed = F.transform(at, lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
+    return F.when(F.size(words) >= 3, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def sorted_windows(hashes: Column) -> Column:
+    """The windows as (hash, place) in order, null if no two are equal: most texts are done by then."""
+    pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(pairs))
 
 
 def repeat_words(windows: Column) -> Column:
@@ -83,22 +89,30 @@ def repeat_words(windows: Column) -> Column:
     return F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("long")
 
 
-def _measures(df: DataFrame) -> DataFrame:
+def _measures(df: DataFrame, rules: Rules) -> DataFrame:
     """``df`` and the base measures of its column ``text``.
 
-    The word and line arrays are columns of inner projections, so that each is
-    computed once.
+    The word, line and window arrays are columns of inner projections, so that
+    each is computed once.  ``_phrase``, ``_bars``, ``_shout`` tell of the whole
+    text whether any line can fail a rule at all.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = df.withColumns({"_words": words(F.col("text")), "_lines": F.split(text, "\n", -1)})
+    df = df.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    df = df.withColumns({"_words": words(F.col("text")), "_lines": F.split("_text", "\n", -1), "_low": F.lower("_text")})
     df = df.withColumns(
-        {"_full": F.filter("_lines", lambda x: without(x, SPACE) != ""), "_windows": windows(F.col("_words"))}
+        {
+            "_full": F.filter("_lines", lambda x: F.btrim(x, F.lit(SPACE)) != ""),
+            "_hashes": window_hashes(F.col("_words")),
+            "n_symbols": (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long"),
+            "_bars": F.contains("_text", F.lit("|")) | F.contains("_text", F.lit("»")) | F.contains("_text", F.lit("›")),
+            "_shout": F.contains("_text", F.lit("!!")),
+            "_phrase": reduce(or_, (F.contains("_low", F.lit(x)) for x in rules.phrases), F.lit(False)),
+        }
     )
+    df = df.withColumn("_windows", sorted_windows(F.col("_hashes")))
     return df.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(without(text, SPACE)).cast("long"),
-            "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
             "n_repeat_words": repeat_words(F.col("_windows")),
         }
@@ -106,24 +120,24 @@ def _measures(df: DataFrame) -> DataFrame:
 
 
 def line_fails(line: Column, rules: Rules) -> Column:
-    """Whether a line is removed.  A line without a word never fails."""
+    """Whether a line is removed.  A line without a word never fails.
+
+    Cheap tests come first; the counts behind them run only where those hold.
+    """
     chars = F.length(without(line, SPACE))
+    n = F.size(words(line))
     bars = F.length(line) - F.length(without(line, "|»›"))
     symbols = F.length(line) - F.length(without(line, SYMBOLS))
-    n = F.regexp_count(line, F.lit(f"[^{SPACE_CLASS[1:-1]}]+"))
     shouts = F.regexp_count(line, F.lit(r"!!(?=\s|$)"))
-    lowered = F.lower(line)
-    phrase = F.lit(False)
-    for x in rules.phrases:
-        phrase = phrase | F.contains(lowered, F.lit(x))
-    no_end = (n >= rules.long_line_words) & ~F.rlike(line, F.lit(r"[.!?…:;。！？]"))
-    return (chars > 0) & (
-        phrase
-        | (symbols * 100 > chars * rules.max_symbol_percent)
-        | ((bars >= rules.min_bars) & (bars * 8 >= n))
-        | (shouts * 100 > n * rules.max_shout_percent)
-        | no_end
+    phrases = "|".join(re.escape(x) for x in rules.phrases) or "(?!)"
+    fails = (
+        (F.col("_phrase") & F.rlike(F.lower(line), F.lit(phrases)))
+        | ((F.col("n_symbols") > 0) & (symbols * 100 > chars * rules.max_symbol_percent))
+        | (F.col("_bars") & (bars >= rules.min_bars) & (bars * 8 >= n))
+        | (F.col("_shout") & (shouts * 100 > n * rules.max_shout_percent))
+        | ((F.length(line) >= 2 * rules.long_line_words - 1) & ~F.rlike(line, F.lit(r"[.!?…:;。！？]")) & (n >= rules.long_line_words))
     )
+    return fails & (chars > 0)
 
 
 #: Columns that ``judge`` adds.
@@ -135,7 +149,7 @@ ADDED = (
 
 def judge(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``df`` with the columns of ``ADDED``, which replace columns of the same names."""
-    out = _measures(df.select(F.struct(*df.columns).alias("_row"), F.col("text")))
+    out = _measures(df.select(F.struct(*df.columns).alias("_row"), F.col("text")), rules)
     out = out.withColumn("_left", F.filter("_lines", lambda x: ~line_fails(x, rules)))
     out = out.withColumns(
         {
@@ -144,7 +158,9 @@ def judge(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
             | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
         }
     )
-    left = F.length(without(F.coalesce("cleaned_text", F.lit("")), SPACE))
+    left = F.when(F.size("_left") == F.size("_lines"), F.col("word_chars")).otherwise(
+        F.length(without(F.coalesce("cleaned_text", F.lit("")), SPACE))
+    )
     out = out.withColumn("lost_chars", (F.col("word_chars") - left).cast("long"))
     verdict = 100 * F.col("lost_chars") <= rules.max_lost_percent * F.col("word_chars")
     out = out.withColumn("kept", ~F.col("base_failed") & verdict)
