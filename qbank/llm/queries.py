@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qbank.llm import embedding_dedup, line_dedup, ngram_join, packing, quality_rules, url_filter
+from qbank.llm import (
+    embedding_dedup,
+    html_extract,
+    line_dedup,
+    ngram_join,
+    packing,
+    pii,
+    quality_rules,
+    sentencepiece_nbest,
+    token_output,
+    url_filter,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +36,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(read(spark, sf_dir, "documents")).drop("ids")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components_of(read(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.pieces(token_output.sequences(read(spark, sf_dir, "documents")))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(read(spark, sf_dir, "embeddings"))
 
@@ -40,6 +59,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("private_text").alias("text"), "n_private")
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
 #: Production rules of the url query.
 POLICY = url_filter.Policy(
     block_rules=("net/", "example.com/de/"),
@@ -56,9 +84,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_ngram_join": op4_ngram_join,
+    "op5_token_output": op5_token_output,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
+    "op9_html_extract": op9_html_extract,
     "op10_url_filter": op10_url_filter,
 }
 
