@@ -5,11 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of a text are the runs of bytes outside these (space, \t \n \v \f \r).
@@ -42,6 +40,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_paths: set[str] = set()
+_sessions: list[SparkSession] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for path in _paths if _sessions else ():
+        _delete(_sessions[0], path)
+
+
 class Table:
     """A result written as Parquet into the shared folder, so that lineage ends there.
 
@@ -55,11 +63,12 @@ class Table:
         schema = df.schema
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
-        atexit.register(_delete, self.spark, self.path)
+        _paths.add(self.path)
+        _sessions[:] = [self.spark]
 
     def drop(self) -> None:
         _delete(self.spark, self.path)
-        atexit.unregister(_delete)
+        _paths.discard(self.path)
 
 
 def table(df: DataFrame, tag: str) -> DataFrame:
@@ -119,23 +128,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges_of.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows gathered into Arrow batches of bounded length."""
-    got: list[tuple] = []
-    for row in rows:
-        got.append(row)
-        if len(got) >= size:
-            yield to_batch(got, schema)
-            got = []
-    if got:
-        yield to_batch(got, schema)
+def fence(column: Column) -> Column:
+    """``column`` as it is, but no filter on it is pushed below its projection.
 
-
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
-    )
+    A pushed filter takes the expression along and writes out, inside each
+    lambda, the arrays that the projections below hold as columns: work that
+    was linear in a text's length would become quadratic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qbank.llm.common import SPACE, small, table
+from qbank.llm.common import SPACE, fence, small, table
 
 
 @dataclass(frozen=True)
@@ -89,9 +89,8 @@ def dedup(docs: DataFrame, p: Spread = Spread()) -> DataFrame:
         "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
     }
-    # size(null) is null under ANSI
     return rows.select(
-        *(F.col("_row")[c].alias(c) for c in docs.columns if c not in added), *(v.alias(c) for c, v in added.items())
+        *(F.col("_row")[c].alias(c) for c in docs.columns if c not in added), *(fence(v).alias(c) for c, v in added.items())
     )
 
 

@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qbank.llm.common import fence
+
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
@@ -252,7 +254,7 @@ def pseudonymise(docs: DataFrame, p: Pseudonyms = Pseudonyms()) -> DataFrame:
         "n_private": F.when(F.col("_any"), changed).otherwise(F.lit(0)).cast("long"),
     }
     return rows.select(
-        *(F.col("_row")[c].alias(c) for c in docs.columns if c not in ADDED), *(v.alias(c) for c, v in added.items())
+        *(F.col("_row")[c].alias(c) for c in docs.columns if c not in ADDED), *(fence(v).alias(c) for c, v in added.items())
     )
 
 

@@ -21,7 +21,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qbank.llm.common import SPACE
+from qbank.llm.common import SPACE, fence
 
 SYMBOLS = "#*$%&|<>"
 
@@ -154,8 +154,10 @@ def judge(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     out = out.withColumns(
         {
             "cleaned_text": F.when(F.col("text").isNotNull(), F.array_join("_left", "\n")),
-            "base_failed": (F.col("n_words") < rules.min_words)
-            | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
+            "base_failed": fence(
+                (F.col("n_words") < rules.min_words)
+                | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+            ),
         }
     )
     left = F.when(F.size("_left") == F.size("_lines"), F.col("word_chars")).otherwise(
@@ -163,7 +165,7 @@ def judge(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
     out = out.withColumn("lost_chars", (F.col("word_chars") - left).cast("long"))
     verdict = 100 * F.col("lost_chars") <= rules.max_lost_percent * F.col("word_chars")
-    out = out.withColumn("kept", ~F.col("base_failed") & verdict)
+    out = out.withColumn("kept", fence(~F.col("base_failed") & verdict))
     return out.select(*(F.col("_row")[c].alias(c) for c in df.columns if c not in ADDED), *ADDED)
 
 
