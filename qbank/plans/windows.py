@@ -61,11 +61,11 @@ def w7(t):  # noqa: ANN001, ANN201
     return windows.runs(t("events").select("user_id", "event_id", "value"), ["user_id"], "event_id", F.col("value") > 20, 200, 5)
 
 
-def boxes(t):  # noqa: ANN001, ANN201
+def boxes(t, where: str = "true"):  # noqa: ANN001, ANN201
     """lineitem as boxes on pages (orders)."""
     x, y = (F.col("l_partkey") % 180).cast("int"), (F.col("l_suppkey") % 80).cast("int")
     w = F.col("l_quantity").cast("int") + 10
-    return t("lineitem").select(
+    return t("lineitem").where(where).select(
         F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("bigint").alias("id"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + w).alias("y2"),
         F.col("l_discount").alias("conf"),
     )
