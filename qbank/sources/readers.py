@@ -39,9 +39,10 @@ def optional_column(df: DataFrame, found: dict[str, str | None], field: str, kin
 def json_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """SRC4: a folder of one-record JSON files as (good records, unreadable file names)."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    read = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", True)
-    rows = read.json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("file")
+    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = raw.select("file", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.where(~bad).select("r.*", "file").drop("_corrupt"), rows.where(bad).select("file")
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ def change_queue(stream: DataFrame) -> DataFrame:
                     pending, status = 0, "published"
                     continue
                 if not pending:
-                    base, queued = row.revision, row.ts
+                    base, queued = row.revision, None if pd.isna(row.ts) else row.ts
                 local, pending, status = row.revision, pending + 1, "pending"
         if base is None:
             return
