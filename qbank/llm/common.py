@@ -40,6 +40,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most 1,000 rows from here on: whole texts are long.
+
+    The default of 10,000 rows would hold tens of megabytes of text at once on
+    both sides of the pipe; a setting other than the default is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 _paths: set[str] = set()
 _sessions: list[SparkSession] = []
 

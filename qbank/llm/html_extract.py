@@ -31,6 +31,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from qbank.llm.common import text_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is no text of the page.
 SILENT = frozenset("script style noscript template title textarea iframe svg math object select button datalist head canvas audio video".split())
@@ -315,5 +317,5 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
                     [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names
                 )
 
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
+    rows = text_batches(pages).select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

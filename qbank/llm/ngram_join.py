@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qbank.llm.common import components, mix, partitions, small, table
+from qbank.llm.common import components, mix, partitions, small, table, text_batches
 
 SLOTS, LEVELS = 256, 8
 
@@ -90,7 +90,7 @@ def signature(tokens: np.ndarray) -> tuple[bytes, int]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _digest(tokens: np.ndarray) -> int:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qbank.llm import tokens
-from qbank.llm.common import mix, partitions, table
+from qbank.llm.common import mix, partitions, table, text_batches
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,7 @@ def encoded(docs: DataFrame, p: Packing) -> DataFrame:
                     names=["doc_id", "ids", "n", "key"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, ids binary, n long, key long"
     )
 

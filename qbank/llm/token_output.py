@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qbank.llm import tokens
+from qbank.llm.common import text_batches
 
 
 @dataclass(frozen=True)
@@ -147,7 +148,7 @@ def sequences(docs: DataFrame, p: Output = Output()) -> DataFrame:
         if held:
             yield from pack()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, SCHEMA)
 
 

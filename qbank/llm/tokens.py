@@ -14,7 +14,7 @@ import numpy as np
 
 #: Words in each half of a worker's cache: a full younger half becomes the older one.
 #: A single text with more, may grow it beyond that while it is encoded.
-CACHE = 500_000
+CACHE = 400_000
 #: What ``str.split`` takes for white space beyond Unicode's White_Space, which the vocabulary uses.
 ODD = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile(r"[^\S\x1c-\x1f]+")
