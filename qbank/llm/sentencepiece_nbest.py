@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qbank.llm.common import text_batches
 from qbank.llm.tokens import vocabulary
 
 MARK = "▁"
-CACHE = 400_000
+CACHE = 650_000
 #: A byte's score lies so far below the least single piece's.
 BYTE_GAP = 10.0
 #: Scores below this mark pieces that merging never makes; they do not count for the byte score.
@@ -66,6 +67,9 @@ class Model:
     def finish(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
         self.byte_score = min((s for p, (_, s) in self.pieces.items() if len(p) == 1 and s > UNUSED), default=0.0) - BYTE_GAP
+        #: Every prefix of a piece; those that are pieces have their ids and score.
+        self.prefixes: dict[str, tuple] = {p[:i]: (None, 0.0) for p in self.pieces for i in range(1, len(p))}
+        self.prefixes |= {p: ((i,), s) for p, (i, s) in self.pieces.items()}
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.words_apart = not any(a != " " and b == " " for a, b in self.pairs)
         self.scores = np.full(len(self.raw), self.byte_score)
@@ -84,43 +88,51 @@ class Model:
             if got is not None:
                 out.append((start, (got[0],), got[1]))
         if s[end - 1] not in self.pieces:
-            raw = s[end - 1].encode("utf-8", "surrogatepass")
-            out.append((end - 1, tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)))
+            out.append((end - 1, *self.byte_edge(s[end - 1])))
         return out
 
     def forward(self, s: str) -> tuple[list[float], list[float], list[tuple[int, tuple[int, ...]]]]:
-        """Best and second-best scores up to each place, and the best's last edge."""
-        first, second = [0.0], [-np.inf]
-        back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-        pieces, longest = self.pieces, self.longest
-        for end in range(1, len(s) + 1):
-            best = next_best = -np.inf
-            edge = (0, ())
-            for start in range(end - longest if end > longest else 0, end):
-                got = pieces.get(s[start:end])
+        """Best and second-best scores up to each place, and the best's last edge.
+
+        From each place pieces are followed as far as the vocabulary has a
+        prefix; an earlier start comes first, so of equal scores the longer last
+        piece stays.
+        """
+        n = len(s)
+        first, second = [-np.inf] * (n + 1), [-np.inf] * (n + 1)
+        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
+        first[0] = 0.0
+        prefixes = self.prefixes
+        for start in range(n):
+            best, next_best = first[start], second[start]
+            for end in range(start + 1, n + 1):
+                got = prefixes.get(s[start:end])
                 if got is None:
-                    continue
-                score = first[start] + got[1]
-                if score > best:
-                    next_best, best, edge = best, score, (start, (got[0],))
-                elif score > next_best:
-                    next_best = score
-                score = second[start] + got[1]
-                if score > next_best:
-                    next_best = score
-            if s[end - 1] not in pieces:
-                start, ids, gain = self.edges_to(s, end)[-1]
-                score = first[start] + gain
-                if score > best:
-                    next_best, best, edge = best, score, (start, ids)
-                elif score > next_best:
-                    next_best = score
-                next_best = max(next_best, second[start] + gain)
-            first.append(best)
-            second.append(next_best)
-            back.append(edge)
+                    if end == start + 1:
+                        got = self.byte_edge(s[start])
+                    else:
+                        break
+                ids, gain = got
+                if ids is None:
+                    if end > start + 1:
+                        continue
+                    ids, gain = self.byte_edge(s[start])
+                score = best + gain
+                now = first[end]
+                if score > now:
+                    first[end], back[end] = score, (start, ids)
+                    if now > second[end]:
+                        second[end] = now
+                elif score > second[end]:
+                    second[end] = score
+                if next_best + gain > second[end]:
+                    second[end] = next_best + gain
         return first, second, back
 
+    def byte_edge(self, c: str) -> tuple[tuple[int, ...], float]:
+        raw = c.encode("utf-8", "surrogatepass")
+        return tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)
+
     def n_best(self, s: str, n: int) -> list[tuple[list[int], float]]:
         """The n best segmentations of ``s``, best first: A* from the end, with exact heuristics."""
         first, _, _ = self.forward(s)
@@ -143,24 +155,28 @@ class Model:
                     heapq.heappush(heap, (-total, start, next(tie), gone + score, (own, ids)))
         return out
 
+    def _chunk(self, s: str) -> tuple[bytes, float]:
+        """Best ids of a chunk and the gap to its second-best segmentation."""
+        first, second, back = self.forward(s)
+        own: list[tuple[int, ...]] = []
+        at = len(s)
+        while at:
+            at, edge = back[at]
+            own.append(edge)
+        return np.array([i for edge in reversed(own) for i in edge], "<u4").tobytes(), first[-1] - second[-1]
+
     def _word(self, word: str) -> tuple[bytes, float]:
-        """A word's best ids and the gap to its second-best segmentation."""
+        """The same of a word, from its chunks: the cache holds those too."""
         got = self.old.get(word)
         if got is None:
-            cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
-            ids: list[int] = []
-            gap = np.inf
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                first, second, back = self.forward(word[i:j])
-                own: list[tuple[int, ...]] = []
-                at = j - i
-                while at:
-                    at, edge = back[at]
-                    own.append(edge)
-                for edge in reversed(own):
-                    ids += edge
-                gap = min(gap, first[-1] - second[-1])
-            got = np.array(ids, "<u4").tobytes(), gap
+            pairs = self.pairs
+            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+            if cuts:
+                parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+                done = [self.cache.get(c) or (self._word(c) if k == 0 else self._chunk(c)) for k, c in enumerate(parts)]
+                got = b"".join([x[0] for x in done]), min([x[1] for x in done])
+            else:
+                got = self._chunk(word)
         if len(self.cache) >= CACHE:
             self.cache, self.old = {}, self.cache
         self.cache[word] = got
@@ -184,7 +200,12 @@ class Model:
         score = float(self.scores[ids].sum())
         if n == 1 or not words:
             return ids, [score] if words else [], words, []
-        least = [x for x in heapq.nsmallest(n - 1, zip([x[1] for x in found], count())) if x[0] < np.inf]  # noqa: B905
+        gaps = np.array([x[1] for x in found])
+        if len(gaps) >= n:
+            near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2]).tolist()
+        else:
+            near = range(len(gaps))
+        least = [x for x in sorted((float(gaps[k]), k) for k in near)[: n - 1] if x[0] < np.inf]
         losses = [0.0]
         for _, k in least:
             own = self.n_best(words[k], n)
@@ -252,7 +273,7 @@ def encoded(docs: DataFrame, path: str = "piece_bpe_32k.model", n: int = 4) -> D
                     names=["doc_id", "ids", "nbest_scores", "decoded"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, ids binary, nbest_scores array<double>, decoded string")
 
 
