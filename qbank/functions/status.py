@@ -38,15 +38,27 @@ def verdict_filter(c: Column, wanted: str | None, unknown_policy: str = "all") -
 def normal_status(c: Column, aliases: dict[str, str], default: str = "pending") -> Column:
     """A status by its alias map; unknown values get the default."""
     table = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
-    return F.coalesce(F.try_element_at(table, F.lower(F.trim(c))), F.lit(default))
+    return F.coalesce(F.try_element_at(table, F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_"))), F.lit(default))
 
 
-#: Spellings of step statuses.
+#: Spellings of stage statuses.
 STATUS_ALIASES = {
-    "pending": "pending", "pendiente": "pending", "processing": "processing", "procesando": "processing", "ready": "ready",
-    "listo": "ready", "done": "ready", "error": "error", "failed": "error", "needs_review": "needs_review",
-    "requiere_revision": "needs_review",
+    "pendiente": "pending", "pending": "pending", "procesando": "processing", "processing": "processing", "listo": "ready", "ready": "ready",
+    "done": "ready", "complete": "ready", "revision_humana": "ready", "revisado": "ready", "requiere_revision": "needs_review",
+    "needs_review": "needs_review", "review": "needs_review", "pending_review": "needs_review", "error": "error", "failed": "error",
 }
+#: Spellings of pipeline steps.
+STEP_ALIASES = {
+    "pages": "paginas", "page_selection": "paginas", "pdf_pages": "paginas", "pdf_box_detection": "boxes", "box_detection": "boxes",
+    "crop": "crops", "crops_staging": "crops", "figure_segmentation": "segmentacion", "segmentation": "segmentacion",
+    "normalization": "normalizacion", "review": "revision",
+}
+
+
+def normal_step(c: Column) -> Column:
+    """A step by its alias; other names stay, in lower case."""
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in STEP_ALIASES.items() for x in kv)), low), low)
 
 
 def reduced_status(total: Column, errors: Column, processing: Column, review: Column, ready: Column) -> Column:

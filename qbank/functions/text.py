@@ -75,13 +75,14 @@ def exam_year(c: Column) -> Column:
 
 
 def exam_process(c: Column) -> Column:
-    """A roman process number behind the year, as in ``2020-II``."""
-    return F.nullif(F.upper(F.regexp_extract(c, r"(?i)(?:19|20)[0-9]{2}\s*[-_ ]\s*(iii|ii|iv|i|v)(?:[^a-z]|$)", 1)), F.lit(""))
+    """The roman or arabic number behind ``proceso``, ``proc`` or ``admisión``."""
+    p = r"(?i)(?:^|[^A-Za-z0-9_])(?:proceso|proc\.?|admisi[oóÓ]n)\s*[:#-]?\s*([0-9IVXLCDM-]+)(?![A-Za-z0-9_])"
+    return F.nullif(F.upper(F.regexp_extract(c, p, 1)), F.lit(""))
 
 
 def exam_area(c: Column) -> Column:
-    """The word behind ``area``."""
-    return F.nullif(F.upper(F.regexp_extract(c, r"(?i)[aáÁ]rea\s*[:=]?\s*([a-z])", 1)), F.lit(""))
+    """The code behind ``área``."""
+    return F.nullif(F.upper(F.regexp_extract(c, r"(?i)(?:^|[^A-Za-z0-9_])[aáÁ]rea\s*[:#-]?\s*([A-Z0-9]+)(?![A-Za-z0-9_])", 1)), F.lit(""))
 
 
 def item_number(c: Column) -> Column:
@@ -160,7 +161,7 @@ def merge_fragments(a: Column, b: Column) -> Column:
         .when(F.trim(b) == "", a)
         .when(F.contains(search_key(a), search_key(b)), a)
         .when(F.contains(search_key(b), search_key(a)), longer)
-        .when((share >= 0.72) | (anchor & (share >= 0.55)), longer)
+        .when((share >= 0.72) | (anchor & (share >= 0.55)), a)
         .otherwise(F.concat_ws(" ", F.trim(a), F.trim(b)))
     )
 
@@ -182,9 +183,12 @@ def repetition(c: Column) -> Column:
     return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(words)) / F.size(words))
 
 
-def small_number(n: Column, expected: Column) -> Column:
-    """A two-digit outlier whose last digit is the expected number (93 for 3)."""
-    return F.when((n >= 10) & (n < 100) & (expected < 10) & (F.pmod(n, F.lit(10)) == expected), expected).otherwise(n)
+def small_number(n: Column, start: Column) -> Column:
+    """An outlier from 90 up becomes its last digit, or else its last two, if that is at most two beyond an expected 1-15."""
+    near = lambda x: (x > 0) & (x - start).between(0, 2)
+    one, two = F.pmod(n, F.lit(10)), F.pmod(n, F.lit(100))
+    may = (n >= 90) & start.between(1, 15)
+    return F.when(may & near(one), one).when(may & near(two), two).otherwise(n)
 
 
 def stable_percent(key: Column) -> Column:
@@ -222,13 +226,14 @@ def canonical_course(c: Column) -> Column:
 
 
 def error_group(message: Column) -> Column:
-    """The key under which error messages are gathered."""
-    code = F.regexp_extract(message, r"^code:\[?([A-Za-z0-9_]+)\]?", 1)
-    drive = F.trim(F.regexp_extract(message, r"^(.{3,}?)[A-Za-z]:[\\/]", 1))
-    colon = F.trim(F.regexp_extract(message, r"^([^:]{3,80}):", 1))
-    rest = F.substring(F.regexp_replace(F.regexp_replace(message, r"\b[0-9a-f]{8,}\b", "<id>"), "[0-9]+", "#"), 1, 120)
+    """The key under which error messages are gathered: ``code:[x]``, the text before a path, before a colon, or with ids masked."""
+    m = F.trim(F.coalesce(message, F.lit("")))
+    code = F.regexp_extract(m, r"^([A-Za-z0-9_.-]+:\[[^\]]+\])", 1)
+    path = F.trim(F.regexp_extract(m, r"^(.+?):\s*[A-Za-z]:\\", 1))
+    colon = F.trim(F.regexp_extract(m, "^([^:]{3,80}):", 1))
+    masked = F.regexp_replace(F.regexp_replace(m, "[A-Fa-f0-9]{8,}", "<id>"), "[0-9]+", "#")
     blank = F.lit("")
-    return F.coalesce(F.nullif(code, blank), F.nullif(drive, blank), F.nullif(colon, blank), rest)
+    return F.coalesce(F.nullif(code, blank), F.nullif(path, blank), F.nullif(colon, blank), F.trim(F.substring(masked, 1, 120)))
 
 
 def snippet(c: Column, n: int = 240) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qbank.functions import geometry, similarity, status, text
+from qbank.functions import classify, geometry, similarity, status, text
 from qbank.plans.registry import query
 from qbank.plans.windows import boxes
 
@@ -49,7 +49,7 @@ def s6(t):  # noqa: ANN001, ANN201
 
 @query("S7_exam_metadata", "select n_nationkey, 2000 + n_nationkey as year, 'II' process, 'A' area from nation")
 def s7(t):  # noqa: ANN001, ANN201
-    x = F.concat(F.lit("Examen "), (2000 + F.col("n_nationkey")).cast("string"), F.lit("-II Área A"))
+    x = F.concat(F.lit("Examen "), (2000 + F.col("n_nationkey")).cast("string"), F.lit(" Proceso: ii, Área A"))
     return t("nation").select("n_nationkey", text.exam_year(x).alias("year"), text.exam_process(x).alias("process"), text.exam_area(x).alias("area"))
 
 
@@ -163,26 +163,28 @@ def s26(t):  # noqa: ANN001, ANN201
     return t("nation").select("n_nationkey", text.render_item(F.col("n_nationkey"), F.col("n_name"), options).alias("rendered"))
 
 
-@query("S27_small_number", "select p_partkey, case when p_size >= 10 and p_size % 10 = 3 then 3 else p_size end n from part")
+@query("S27_small_number", "select p_partkey, case when p_size % 10 between 3 and 5 then p_size % 10 when p_size between 3 and 5 then p_size else p_size + 100 end n from part")
 def s27(t):  # noqa: ANN001, ANN201
-    return t("part").select("p_partkey", text.small_number(F.col("p_size"), F.lit(3)).alias("n"))
+    return t("part").select("p_partkey", text.small_number(F.col("p_size") + 100, F.lit(3)).alias("n"))
 
 
-@query(
-    "S28_section_classifier",
-    """with s as (select doc_id, 4 * cast(contains(lower(text), ' the ') as integer) + 2 * cast(contains(lower(text), ' of ') as integer) en, 4 * cast(contains(lower(text), ' der ') as integer) + 2 * cast(contains(lower(text), ' und ') as integer) de,
- 4 * cast(contains(lower(text), ' que ') as integer) + 2 * cast(contains(lower(text), ' de ') as integer) es from documents)
-select doc_id, case when greatest(en, de, es) = 0 then 'none' when de = greatest(en, de, es) then 'de' when en = greatest(en, de, es) then 'en' else 'es' end section, case when greatest(en, de, es) >= 4 then 'alta' when greatest(en, de, es) >= 2 then 'media' else 'baja' end confidence from s""",
-)
+def _section_sql() -> str:
+    hit = {s: "(" + "|".join(words.split(", ")) + ")" for s, words in classify.KEYWORDS.items()}
+    score = ", ".join(f"struct_pack(l := -(4 * cast(regexp_matches(b, '{p}') as integer) + cast(regexp_matches(t, '{p}') as integer)), s := '{s}')" for s, p in hit.items())
+    return f"""with k as (select p_partkey, p_partkey % 7 c, case p_partkey % 5 when 0 then 'algebra' when 1 then 'seno' when 2 then 'rectas' else 'x' end b, case p_partkey % 3 when 0 then 'mcm y seno' when 1 then 'parabola' else '' end t from part),
+m as (select *, list_min([{score}]) best from k)
+select p_partkey, case when c = 0 then 'Geometria' when best.l < 0 then best.s else 'General' end section, case when c = 0 or best.l <= -4 then 'alta' when best.l <= -2 then 'media' else 'baja' end confidence from m"""
+
+
+@query("S28_section_classifier", _section_sql())
 def s28(t):  # noqa: ANN001, ANN201
-    """Weighted keywords; ties by name; confidence by the best score."""
-    low = F.lower("text")
-    hit = lambda w: F.contains(low, F.lit(f" {w} ")).cast("int")
-    scores = {"de": 4 * hit("der") + 2 * hit("und"), "en": 4 * hit("the") + 2 * hit("of"), "es": 4 * hit("que") + 2 * hit("de")}
-    d = t("documents").select("doc_id", *(v.alias(k) for k, v in scores.items()))
-    best = F.greatest("de", "en", "es")
-    section = F.when(best == 0, "none").when(F.col("de") == best, "de").when(F.col("en") == best, "en").otherwise("es")
-    return d.select("doc_id", section.alias("section"), F.when(best >= 4, "alta").when(best >= 2, "media").otherwise("baja").alias("confidence"))
+    """The course decides, else weighted keywords; ties by name."""
+    k = F.col("p_partkey")
+    course = F.when(k % 7 == 0, " Geometría PLANA ")
+    book = F.when(k % 5 == 0, "ÁLGEBRA").when(k % 5 == 1, "Seno").when(k % 5 == 2, "rectas").otherwise("x")
+    words = F.when(k % 3 == 0, "MCM y seno").when(k % 3 == 1, "Parábola").otherwise("")
+    out = t("part").withColumn("s", classify.training_section(course, book_code=book, text=words))
+    return out.select("p_partkey", "s.section", "s.confidence")
 
 
 @query("S29_simple_section", "select doc_id, case when contains(lower(text), 'the') then 'a' when contains(lower(text), 'der') then 'b' else 'c' end section from documents")

@@ -197,3 +197,35 @@ def test_empty_input(spark):
     assert windows.running_sequence(empty, ["d"], "i", F.col("n")).count() == 0
     assert windows.runs(empty, ["d"], "i", F.col("n") > 0).count() == 0
     assert joins.continuation_groups(empty, ["d"], "i", F.col("n") > 0).count() == 0
+
+
+def test_classifiers(spark):
+    from qbank.functions import classify
+
+    none = F.lit("")
+    assert tuple(one(spark, classify.training_section(F.lit("Trigonometría"), book_code=none))) == ("Trigonometria", "alta")
+    assert tuple(one(spark, classify.training_section(none, book_code=F.lit("ALGEBRA-1"), text=F.lit("seno")))) == ("Algebra", "alta")
+    assert tuple(one(spark, classify.training_section(none, tema=F.lit("seno"), text=F.lit("matrices")))) == ("Trigonometria", "media")
+    assert tuple(one(spark, classify.training_section(none, text=F.lit("nada")))) == ("General", "baja")
+    key = "CLAVES\n1. A 2. B 3. C 4. D 5. E 6. A"
+    assert one(spark, classify.key_sheet(F.lit(key), F.lit("pag1")))["is_key"]
+    assert not one(spark, classify.key_sheet(F.lit("Resuelve la ecuacion x + 2 = 5"), F.lit("pag2")))["is_key"]
+    assert one(spark, classify.problem_type(F.lit("x A) 1 B) 2"), none, none)) == "opcion_multiple"
+    assert one(spark, classify.problem_type(F.lit("x A) 1"), none, F.lit("Desarrollo"))) == "abierto"
+    for query, want in [("geometria", True), ("gmtr plana", True), ("geometira", True), ("algebra", False), ("pl", True)]:
+        assert one(spark, classify.fuzzy_search(F.lit("Geometría plana I"), F.lit(query))) is want
+    counts = dict(source_images=2, missing_source_images=0, segment_boxes=3, manifest_segments=0, bindings_confirmed=1, bindings_review=2, items=9, pairs_ready=4, pairs_missing_image=1, raw_blocks=1, structured_blocks=0)
+    assert tuple(one(spark, classify.audit_scores({k: F.lit(v) for k, v in counts.items()}))) == (90, 73, 82, "listo")
+
+
+def test_metadata_and_outliers(spark):
+    x = F.lit("UNI 2020 Proceso: ii - Área A")
+    assert (one(spark, text.exam_year(x)), one(spark, text.exam_process(x)), one(spark, text.exam_area(x))) == (2020, "II", "A")
+    for n, start, want in [(93, 3, 3), (108, 7, 8), (93, 16, 93), (89, 9, 89), (112, 12, 12)]:
+        assert one(spark, text.small_number(F.lit(n), F.lit(start))) == want
+    assert one(spark, text.error_group(F.lit("ocr:[timeout] job 77"))) == "ocr:[timeout]"
+    assert one(spark, text.error_group(F.lit("missing file: C:\\a\\b.png"))) == "missing file"
+    assert one(spark, text.error_group(F.lit("job deadbeef01 failed 12"))) == "job <id> failed #"
+    assert one(spark, status.normal_status(F.lit("Requiere revision"), status.STATUS_ALIASES)) == "needs_review"
+    assert one(spark, status.normal_step(F.lit("Box_Detection"))) == "boxes"
+    assert one(spark, text.merge_fragments(F.lit("sea x la base"), F.lit("sea x la base del triangulo"))) == "sea x la base del triangulo"
