@@ -290,13 +290,15 @@ def extract(page: str | None, model: Model) -> str:
     if not page:
         return ""
     nodes = ordered(parse(page))
+    if all(n.tag == "#" for n in nodes[1:]):  # no markup
+        return "\n".join(n.text for n in nodes[1:])
     model.potentials(nodes)
     model.marginals(nodes)
     return "\n".join(n.text for n in nodes if n.tag == "#" and n.belief >= 0)
 
 
 @lru_cache(maxsize=2)
-def default_model(pages: int = 900, seed: int = 5) -> Model:
+def default_model(pages: int = 1400, seed: int = 5) -> Model:
     """The model of the generated labelled pages; ``pages`` bounds the sample."""
     from qbank.llm.labelled import labelled_pages
 

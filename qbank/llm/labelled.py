@@ -74,6 +74,8 @@ class Page:
         if where == "side":
             inside = r.choice([f"<h3>{self.words(2)}</h3>{self.links(5)}", f"<p>{self.prose()}</p>", f"<h2>{self.words(2)}</h2><p>{self.prose()}</p><p>{self.prose()}</p>", self.prose()])
             return self.tag(("aside", "aside"), SIDE, inside)
+        if where in ("ad", "notice") and r.random() < 0.15:
+            return f'<p{self.names(AD if where == "ad" else NOTE)} data-content="0">{self.prose()}</p>'
         if where == "notice":
             inside = r.choice([self.prose(), f"<p>{self.prose()}</p>", f"<p>{self.prose()}</p><button>{self.word()}</button>"])
             return self.tag(("dialog",), NOTE, inside)
@@ -107,6 +109,9 @@ class Page:
 
     def article(self) -> str:
         r = self.r
+        if r.random() < 0.08:  # straight in the body
+            blocks = [f'<h1 data-content="1">{self.words(r.randint(1, 9))}</h1>'] * (r.random() < 0.7)
+            return "".join(blocks + [f'<p data-content="1">{self.prose()}</p>' for _ in range(r.choice([2, 3, 5, 8]))])
         blocks = [self.block() for _ in range(r.choice([1, 2, 3, 5, 8, 14]))]
         if r.random() < 0.85:
             title = f"<h1>{self.words(r.randint(1, 9))}</h1>"
