@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import count
 
@@ -35,7 +36,7 @@ from qbank.llm.common import text_batches
 from qbank.llm.tokens import vocabulary
 
 MARK = "▁"
-CACHE = 650_000
+CACHE = 800_000
 #: A byte's score lies so far below the least single piece's.
 BYTE_GAP = 10.0
 #: Scores below this mark pieces that merging never makes; they do not count for the byte score.
@@ -102,21 +103,22 @@ class Model:
         first, second = [-np.inf] * (n + 1), [-np.inf] * (n + 1)
         back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
         first[0] = 0.0
-        prefixes = self.prefixes
+        get = self.prefixes.get
         for start in range(n):
             best, next_best = first[start], second[start]
             for end in range(start + 1, n + 1):
-                got = prefixes.get(s[start:end])
-                if got is None:
+                got = get(s[start:end])
+                if got is None or got[0] is None:
                     if end == start + 1:
-                        got = self.byte_edge(s[start])
-                    else:
+                        done = got is None
+                        ids, gain = self.byte_edge(s[start])
+                    elif got is None:
                         break
-                ids, gain = got
-                if ids is None:
-                    if end > start + 1:
+                    else:
                         continue
-                    ids, gain = self.byte_edge(s[start])
+                else:
+                    done = False
+                    ids, gain = got
                 score = best + gain
                 now = first[end]
                 if score > now:
@@ -127,6 +129,8 @@ class Model:
                     second[end] = score
                 if next_best + gain > second[end]:
                     second[end] = next_best + gain
+                if done:
+                    break
         return first, second, back
 
     def byte_edge(self, c: str) -> tuple[tuple[int, ...], float]:
@@ -163,7 +167,7 @@ class Model:
         while at:
             at, edge = back[at]
             own.append(edge)
-        return np.array([i for edge in reversed(own) for i in edge], "<u4").tobytes(), first[-1] - second[-1]
+        return array("I", [i for edge in reversed(own) for i in edge]).tobytes(), first[-1] - second[-1]
 
     def _word(self, word: str) -> tuple[bytes, float]:
         """The same of a word, from its chunks: the cache holds those too."""
