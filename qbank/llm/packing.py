@@ -39,7 +39,7 @@ class Packing:
     end_id: int = 2
     length: int = 4096
     #: The hashed vector's width, the dimensions it is projected to, and the bits of each.
-    width: int = 1024
+    width: int = 256
     dimensions: int = 4
     bits: int = 12
 
@@ -159,17 +159,18 @@ def placed(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
     return ids.join(order, "row").select("doc_id", "ids", "n", "at")
 
 
-def pieces(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
+def pieces(docs: DataFrame, p: Packing = Packing(), with_ids: bool = True) -> DataFrame:
     """Every document cut into pieces of sequences, with their places and ids' checksums.
 
-    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``;
-    ``ids`` holds the piece's little-endian unsigned 32-bit ids.
+    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and,
+    unless they are not wanted, ``ids``: the piece's little-endian unsigned
+    32-bit ids.
     """
     length = p.length
     width = tokens.Words(p.vocabulary, p.end_id).dtype.itemsize
     schema = pa.schema(
         [(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
-        + [("ids", pa.binary())]
+        + [("ids", pa.binary())] * with_ids
     )
 
     def cut(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,8 @@ def pieces(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
                     sequence, offset = divmod(at + start, length)
                     size = min(n - start, length - offset)
                     own = ids[start : start + size].tobytes()
-                    for c, v in zip(rows, (doc, start, size, zlib.crc32(own), n, sequence, offset, own), strict=True):
+                    row = (doc, start, size, zlib.crc32(own), n, sequence, offset, own)
+                    for c, v in zip(rows, row[: len(rows)], strict=True):
                         c.append(v)
                     start += size
                 if len(rows[0]) >= 2048:
@@ -193,7 +195,8 @@ def pieces(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
 
     return placed(docs, p).mapInArrow(
         cut,
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary",
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        + ", ids binary" * with_ids,
     )
 
 

@@ -33,7 +33,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pieces(read(spark, sf_dir, "documents")).drop("ids")
+    return packing.pieces(read(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

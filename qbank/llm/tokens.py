@@ -13,8 +13,10 @@ import re
 import numpy as np
 
 #: Words in each half of a worker's cache: a full younger half becomes the older one.
-#: A single text with more, may grow it beyond that while it is encoded.
-CACHE = 400_000
+#: One lot with more may grow it beyond that while it is encoded.
+CACHE = 550_000
+#: Texts that are looked up before the new words among them are encoded together.
+LOT = 48
 #: What ``str.split`` takes for white space beyond Unicode's White_Space, which the vocabulary uses.
 ODD = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile(r"[^\S\x1c-\x1f]+")
@@ -28,6 +30,16 @@ def split(text: str) -> list[str]:
 TAIL = ".,!?;:*#&%$|<>()[]"
 #: Lower-case words of these letters are left as they are by normalising, and are one piece.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters beyond ASCII as byte-level vocabularies spell their UTF-8: visible bytes as themselves, others from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spell = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in seen)}
+    return {i: "".join(spell[b] for b in chr(i).encode()) for i in range(128, 256)}
+
+
+BYTES = _byte_letters()
 PROBE = "Aé b c d  é\n'll x's 12a\tß."
 
 
@@ -63,12 +75,13 @@ class Words:
 
         spec = json.loads(self.tokenizer.to_str())
         spec["normalizer"] = spec["post_processor"] = None
-        spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec["pre_tokenizer"], spec["added_tokens"] = None, []
         bare = Tokenizer.from_str(json.dumps(spec))
-        bare.encode_special_tokens = True
-        plain = [w for w in split(PROBE.lower()) if PLAIN.fullmatch(w)]
+        letters = [chr(i) for i in range(256) if PLAIN.fullmatch(chr(i))]
+        plain = [*letters, "".join(letters), *(w for w in split(PROBE.lower()) if PLAIN.fullmatch(w))]
         fits = all(
-            bare.encode(w, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in plain
+            bare.encode(w.translate(BYTES), add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids
+            for w in plain
         )
         suffix = spec["model"].get("end_of_word_suffix")
         if not (plain and fits and suffix):
@@ -77,39 +90,46 @@ class Words:
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
         return bare
 
-    def _learn(self, words: set[str]) -> None:
-        """Words into the younger half of the cache: from the older half, from their parts, or encoded.
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that the younger half of the cache lacks: from the older half, from their parts, or encoded.
 
         The vocabulary folds case and splits letters from what follows, so
-        ``Word,`` is ``word`` and ``,``: only the parts are encoded.
+        ``Word,`` is ``word`` and ``,``: only the parts are encoded.  Such a form
+        is kept itself once its word has been met before; most forms never come again.
         """
         if len(self.cache) + len(words) > CACHE:
             self.cache, self.old = {}, self.cache
         cache, old = self.cache, self.old
-        made: list[tuple[str, str, str]] = []
+        out: dict[str, bytes] = {}
+        made: list[tuple[str, str, str, bool]] = []
         plain: set[str] = set()
         other: set[str] = set()
         for w in words:
             got = old.get(w)
             if got is not None:
-                cache[w] = got
+                cache[w] = out[w] = got
+                continue
+            if w.isascii() and w.isalpha() and w.islower():
+                plain.add(w)
                 continue
             core = w.rstrip(TAIL)
             low = core.lower()
-            if not PLAIN.fullmatch(low):
+            if not (low.isascii() and low.isalpha()) and not PLAIN.fullmatch(low):
                 other.add(w)
                 continue
             if low == w:
                 plain.add(w)
                 continue
             tail = w[len(core) :]
-            made.append((w, low, tail))
-            if low not in cache:
+            known = low in cache
+            if not known:
                 got = old.get(low)
                 if got is None:
                     plain.add(low)
                 else:
+                    known = True
                     cache[low] = got
+            made.append((w, low, tail, known))
             if tail and tail not in cache:
                 other.add(tail)
         if self.bare is None:
@@ -118,7 +138,8 @@ class Words:
             todo = list(plain)
             for at in range(0, len(todo), 1000):
                 some = todo[at : at + 1000]
-                ids = self.bare.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids
+                spelt = [w if w.isascii() else w.translate(BYTES) for w in some]
+                ids = self.bare.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0].ids
                 ids = np.array(ids, self.dtype)
                 cuts = np.flatnonzero(self.ends[ids]) + 1  # a word's last piece is marked in the vocabulary
                 raw = ids.tobytes()
@@ -127,8 +148,14 @@ class Words:
         todo = list(other)
         for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, self.dtype).tobytes()
-        for w, low, tail in made:
-            cache[w] = cache[low] + cache[tail] if tail else cache[low]
+        for w, low, tail, known in made:
+            out[w] = cache[low] + cache[tail] if tail else cache[low]
+            if known:
+                cache[w] = out[w]
+        for w in words:
+            if w not in out:
+                out[w] = cache[w]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``, ``end_id`` last; null is empty."""
@@ -137,19 +164,29 @@ class Words:
             got = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             return [np.array(e.ids, self.dtype).tobytes() + tail for e in got]
         out: list[bytes] = []
+        for at in range(0, len(texts), LOT):
+            out += self._lot(texts[at : at + LOT], tail)
+        return out
+
+    def _lot(self, texts: list[str | None], tail: bytes) -> list[bytes]:
+        find = self.cache.get
+        parted: list[list[str]] = []
+        found: list[list[bytes | None]] = []
+        holes: list[list[int]] = []
+        missing: set[str] = set()
         for text in texts:
             words = split(text) if text else []
-            found = list(map(self.cache.get, words))
-            if None in found:
-                young = self.cache
-                self._learn({w for w, x in zip(words, found, strict=True) if x is None})
-                if young is not self.cache:  # its other words are in the older half now
-                    self._learn(set(words) - self.cache.keys())
-                    found = [None] * len(words)
-                now = self.cache
-                found = [x if x is not None else now[w] for w, x in zip(words, found, strict=True)]
-            out.append(b"".join(found) + tail)
-        return out
+            ids = list(map(find, words))
+            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
+            missing.update([words[k] for k in gaps])
+            parted.append(words)
+            found.append(ids)
+            holes.append(gaps)
+        now = self._learn(missing) if missing else {}
+        for words, ids, gaps in zip(parted, found, holes, strict=True):
+            for k in gaps:
+                ids[k] = now[words[k]]
+        return [b"".join(ids) + tail for ids in found]  # type: ignore[arg-type]
 
 
 _loaded: dict[tuple[str, int | None], Words] = {}
