@@ -33,7 +33,7 @@ def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in training sequences."""
-    return packing.pieces(docs).drop("ids")
+    return packing.pieces(docs, with_ids=False)
 
 
 STAGES = [
