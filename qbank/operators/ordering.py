@@ -31,6 +31,38 @@ def ranked(c: Column, ranks: dict[str, int], default: int = 9) -> Column:
     return out
 
 
+def running(df: DataFrame, order: list[Column], name: str, weight: Column | None = None) -> DataFrame:
+    """The running sum of ``weight`` (1: the rank) over all rows in ascending ``order``, which should tell rows apart.
+
+    Rows are dealt out over ranges of the order, and one total for each range reaches the driver, so no task sees all
+    rows. The bounds are values, not the places of an exchange: whatever is computed again deals out alike.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.withColumn("_key", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))).withColumn("_w", F.lit(1) if weight is None else weight)
+    kinds = [f.dataType for f in rows.schema["_key"].dataType]
+    some = sorted_keys(rows, 20 * n)
+    bounds = [F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(some[len(some) * k // n], kinds, strict=True)))) for k in range(1, n)] if len(some) >= n else []
+
+    def place_in(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("_key") < bounds[mid], place_in(lo, mid)).otherwise(place_in(mid + 1, hi))
+
+    rows = rows.withColumn("_range", place_in(0, len(bounds)))
+    totals, before = dict(rows.groupBy("_range").agg(F.sum("_w")).collect()), {}
+    for k in sorted(totals):
+        before[k] = sum(totals[j] for j in totals if j < k)
+    bases = F.broadcast(df.sparkSession.createDataFrame(list(before.items()), "_range int, _before long"))
+    own = F.sum("_w").over(W.partitionBy("_range").orderBy("_key").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.withColumn("_own", own).join(bases, "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_key", "_w", "_range", "_own", "_before")
+
+
+def sorted_keys(rows: DataFrame, n: int) -> list[tuple]:
+    """The ``_key`` of the ``n`` rows with the smallest hashes, in order."""
+    return [tuple(r[0]) for r in rows.select("_key").orderBy(F.xxhash64("_key")).limit(n).orderBy("_key").collect()]
+
+
 def sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """N rows in a seeded order, the same for the same seed whatever the partitioning."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(max(1, n))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qbank.functions import text
-from qbank.operators import joins, merges
+from qbank.operators import joins, merges, ordering
 from qbank.operators.windows import keep
 from qbank.plans.registry import query
 
@@ -335,12 +335,24 @@ def u19(t):  # noqa: ANN001, ANN201
     """select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber, l_partkey) running, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) in_page from lineitem where l_orderkey <= 400""",
 )
 def u20(t):  # noqa: ANN001, ANN201
-    """Global order from page offsets: counts of pages are summed up first, so no task sees all rows."""
+    return rematerialised(t("lineitem").where("l_orderkey <= 400"))
+
+
+@query(
+    "U20_rematerialise_all",
+    """select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber, l_partkey) running, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) in_page from lineitem""",
+)
+def u20_all(t):  # noqa: ANN001, ANN201
+    return rematerialised(t("lineitem"))
+
+
+def rematerialised(rows):  # noqa: ANN001, ANN201
+    """Global order from page offsets: counts of pages are summed up over ranges of pages, so no task sees all rows or all pages."""
     from pyspark.sql import Window as W
 
-    rows = t("lineitem").where("l_orderkey <= 400").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey")
     pages = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    before = pages.select("l_orderkey", (F.sum("n").over(W.orderBy("l_orderkey")) - F.col("n")).alias("before"))
+    before = ordering.running(pages, [F.col("l_orderkey")], "upto", F.col("n")).select("l_orderkey", (F.col("upto") - F.col("n")).alias("before"))
     own = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     return rows.withColumn("in_page", own).join(before, "l_orderkey").select("l_orderkey", "l_linenumber", (F.col("before") + F.col("in_page")).alias("running"), "in_page")
 

@@ -83,6 +83,24 @@ def s12(t):  # noqa: ANN001, ANN201
     return one.select(F.round(s, 6).alias("s"))
 
 
+def _trigram_sql(c: str) -> str:
+    words = f"list_filter(string_split_regex(lower({c}), '[^a-z0-9áéíóúüñ]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(
+    "S12_trigram_similarity_all",
+    f"""with n as (select p_partkey, p_name a, lead(p_name) over (order by p_partkey) b from part), g as (select p_partkey, {_trigram_sql("a")} a, {_trigram_sql("b")} b from n where b is not null)
+select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) s from g""",
+)
+def s12_all(t):  # noqa: ANN001, ANN201
+    """Each part's name against the next part's."""
+    p = t("part").select("p_partkey", "p_name")
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("o"))
+    s = similarity.trigram_similarity(similarity.trigrams(F.col("p_name")), similarity.trigrams(F.col("o")))
+    return p.join(other, "p_partkey").select("p_partkey", F.round(s, 6).alias("s"))
+
+
 @query("S13_matching_ratio")
 def s13(t):  # noqa: ANN001, ANN201
     return t("nation").select("n_nationkey", F.round(similarity.matching_ratio(F.lower("n_name"), F.lit("argentina")), 6).alias("ratio"))
@@ -235,10 +253,19 @@ def s36(t):  # noqa: ANN001, ANN201
 
 @query("S37_solution_groups", "select n_nationkey, [1, 2, n_nationkey] as g from nation where n_nationkey > 2")
 def s37(t):  # noqa: ANN001, ANN201
+    return solution_groups(t("nation").where("n_nationkey > 2"))
+
+
+@query("S37_solution_groups_all", "select n_nationkey, case when n_nationkey in (1, 2) then [1, 2] else [1, 2, n_nationkey] end as g from nation")
+def s37_all(t):  # noqa: ANN001, ANN201
+    return solution_groups(t("nation"))
+
+
+def solution_groups(nation):  # noqa: ANN001, ANN201
     """Scalars, lists and nested lists as one list in first order, without repeats."""
     raw = F.concat(F.lit("[1, [2, 1], "), F.col("n_nationkey").cast("string"), F.lit("]"))
     found = F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit("[0-9]+"), 0), lambda x: x.cast("int")))
-    return t("nation").where("n_nationkey > 2").select("n_nationkey", found.alias("g"))
+    return nation.select("n_nationkey", found.alias("g"))
 
 
 @query("S38_meta_reference", "select n_nationkey, case n_nationkey % 4 when 0 then 'catalog' when 1 then 'direct' when 2 then 'catalog' else 'direct' end source, case n_nationkey % 4 when 0 then n_nationkey when 2 then n_nationkey end id, case n_nationkey % 4 when 0 then n_name || ': x' when 1 then n_name || ':y' when 2 then '' else n_name end text from nation")
