@@ -252,10 +252,24 @@ def f22(t):  # noqa: ANN001, ANN201
 from (select doc_id, case doc_id % 3 when 0 then '[Imagen=1] ' when 1 then '[[Imagen=1]] [[Imagen=2]] ' else '[[Imagen=1]] ' end || left(text, 50) s from documents)""",
 )
 def f23(t):  # noqa: ANN001, ANN201
+    return image_tags(t("documents").withColumn("text", F.substring("text", 1, 50)))
+
+
+@query(
+    "F23_image_tags_all",
+    r"""select doc_id, list_filter([case when len(regexp_extract_all(s, '(?:^|[^\[])\[Imagen')) > 0 then 'single_bracket' end,
+ case when len(regexp_extract_all(s, '\[\[Imagen')) > 1 then 'multiple' end], lambda x: x is not null) codes
+from (select doc_id, case doc_id % 3 when 0 then '[Imagen=1] ' when 1 then '[[Imagen=1]] [[Imagen=2]] ' else '[[Imagen=1]] ' end || text s from documents)""",
+)
+def f23_all(t):  # noqa: ANN001, ANN201
+    return image_tags(t("documents"))
+
+
+def image_tags(docs):  # noqa: ANN001, ANN201
     lead = F.when(F.col("doc_id") % 3 == 0, "[Imagen=1] ").when(F.col("doc_id") % 3 == 1, "[[Imagen=1]] [[Imagen=2]] ").otherwise("[[Imagen=1]] ")
-    s = F.concat(lead, F.substring("text", 1, 50))
+    s = F.concat(lead, F.col("text"))
     found = status.issues(("single_bracket", F.rlike(s, F.lit(r"(?<!\[)\[Imagen"))), ("multiple", F.regexp_count(s, F.lit(r"\[\[Imagen")) > 1))
-    return t("documents").select("doc_id", found.alias("codes"))
+    return docs.select("doc_id", found.alias("codes"))
 
 
 @query(

@@ -305,8 +305,22 @@ select coalesce(a.conv_id, b.conv_id) conv_id, coalesce(a.n, b.n) n, case when b
 )
 def u16(t):  # noqa: ANN001, ANN201
     c = t("conversations")
+    return items_merged(c, c.where("turn % 2 = 0").select("conv_id", F.col("turn").alias("n"), F.substring("text", 1, 30).alias("b")))
+
+
+@query(
+    "U16_item_merge_all",
+    """with a as (select conv_id, turn n, text from conversations where turn % 3 <> 0), b as (select conv_id, turn + 1 n, text from conversations where turn % 2 = 0)
+select coalesce(a.conv_id, b.conv_id) conv_id, coalesce(a.n, b.n) n, case when b.text is null then a.text when a.text is null then b.text when length(a.text) >= length(b.text) then a.text else b.text end text from a full join b on a.conv_id = b.conv_id and a.n = b.n""",
+)
+def u16_all(t):  # noqa: ANN001, ANN201
+    """Whole texts on both sides; the other side's is the turn before, so that either may be the longer."""
+    c = t("conversations")
+    return items_merged(c, c.where("turn % 2 = 0").select("conv_id", (F.col("turn") + 1).alias("n"), F.col("text").alias("b")))
+
+
+def items_merged(c, b):  # noqa: ANN001, ANN201
     a = c.where("turn % 3 <> 0").select("conv_id", F.col("turn").alias("n"), F.col("text").alias("a"))
-    b = c.where("turn % 2 = 0").select("conv_id", F.col("turn").alias("n"), F.substring("text", 1, 30).alias("b"))
     best = F.when(F.col("b").isNull(), F.col("a")).when(F.col("a").isNull(), F.col("b")).when(F.length("a") >= F.length("b"), F.col("a")).otherwise(F.col("b"))
     return a.join(b, ["conv_id", "n"], "full_outer").select("conv_id", "n", best.alias("text"))
 

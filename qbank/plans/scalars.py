@@ -26,6 +26,24 @@ def s3(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", text.search_key(F.substring("text", 1, 80)).alias("k"))
 
 
+# The keys of every whole text, as checksums.
+
+
+@query("S1_text_key_all", f"select doc_id, md5({KEY.format('text')}) k from documents")
+def s1_all(t):  # noqa: ANN001, ANN201
+    return t("documents").select("doc_id", F.md5(text.text_key(F.col("text"))).alias("k"))
+
+
+@query("S2_vowel_key_all", "select doc_id, md5(lower(translate(trim(text), 'ÁÉÍÓÚÜáéíóúü', 'AEIOUUaeiouu'))) k from documents")
+def s2_all(t):  # noqa: ANN001, ANN201
+    return t("documents").select("doc_id", F.md5(text.vowel_key(F.col("text"))).alias("k"))
+
+
+@query("S3_search_key_all", f"select doc_id, md5(trim(regexp_replace({KEY.format('text')}, '[^a-z0-9]+', ' ', 'g'))) k from documents")
+def s3_all(t):  # noqa: ANN001, ANN201
+    return t("documents").select("doc_id", F.md5(text.search_key(F.col("text"))).alias("k"))
+
+
 @query("S4_slug", "select p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'origen') slug from part")
 def s4(t):  # noqa: ANN001, ANN201
     return t("part").select("p_partkey", text.slug(F.col("p_type")).alias("slug"))

@@ -39,3 +39,36 @@ def test_s37_removes_repeats(spark):
 def test_s12_judges_rows(spark):
     got = [r.s for r in QUERIES["S12_trigram_similarity_all"](spark, SF).collect()]
     assert len(got) == table(spark, "part").count() - 1 and len(set(got)) > 2
+
+
+def run(spark, tmp_path, name, **tables):
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    return QUERIES[name](spark, str(tmp_path)).collect()
+
+
+def test_keys_read_whole_texts_of_all_languages(spark, tmp_path):
+    """Texts that differ, or are alike, only beyond a prefix."""
+    head = "x" * 90
+    rows = [(1, head + " Año", "es"), (2, head + "  ANO", "de"), (3, head + " Ano!", "en"), (4, head + " otro", "fr")]
+    docs = {"documents": (rows, "doc_id long, text string, lang string")}
+    k1 = {r.doc_id: r.k for r in run(spark, tmp_path / "1", "S1_text_key_all", **docs)}
+    assert len(k1) == 4 and k1[1] == k1[2] and len({k1[1], k1[3], k1[4]}) == 3
+    k3 = {r.doc_id: r.k for r in run(spark, tmp_path / "3", "S3_search_key_all", **docs)}
+    assert k3[1] == k3[2] == k3[3] != k3[4]
+    rows = [(1, head + " Así", "es"), (2, head + " ASI", "de"), (3, head + " Aso", "en")]
+    k2 = {r.doc_id: r.k for r in run(spark, tmp_path / "2", "S2_vowel_key_all", documents=(rows, "doc_id long, text string, lang string"))}
+    assert len(k2) == 3 and k2[1] == k2[2] != k2[3]
+
+
+def test_image_tags_inside_texts(spark, tmp_path):
+    head = "x" * 60
+    rows = [(2, head + " [Imagen=2]"), (5, head + " [[Imagen=2]]"), (8, head)]
+    got = {r.doc_id: r.codes for r in run(spark, tmp_path, "F23_image_tags_all", documents=(rows, "doc_id long, text string"))}
+    assert got == {2: ["single_bracket"], 5: ["multiple"], 8: []}
+
+
+def test_item_merge_compares_whole_texts(spark, tmp_path):
+    rows = [("c", 4, "b" * 50), ("c", 5, "a" * 40), ("d", 4, "b" * 40), ("d", 5, "a" * 50)]
+    got = {(r.conv_id, r.n): r.text for r in run(spark, tmp_path, "U16_item_merge_all", conversations=(rows, "conv_id string, turn int, text string"))}
+    assert got[("c", 5)] == "b" * 50 and got[("d", 5)] == "a" * 50
