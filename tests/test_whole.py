@@ -72,3 +72,20 @@ def test_item_merge_compares_whole_texts(spark, tmp_path):
     rows = [("c", 4, "b" * 50), ("c", 5, "a" * 40), ("d", 4, "b" * 40), ("d", 5, "a" * 50)]
     got = {(r.conv_id, r.n): r.text for r in run(spark, tmp_path, "U16_item_merge_all", conversations=(rows, "conv_id string, turn int, text string"))}
     assert got[("c", 5)] == "b" * 50 and got[("d", 5)] == "a" * 50
+
+
+def test_orders_rank_every_row(spark):
+    for name, of in [("O2_rank_order_all", "orders"), ("O4_missing_last_all", "events"), ("O9_null_order_all", "events"), ("O10_golden_order_all", "documents")]:
+        n = table(spark, of).count()
+        got = QUERIES[name](spark, SF)
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.k for r in got.collect()) == list(range(1, n + 1)), name
+
+
+def test_missing_values_come_last_of_all(spark):
+    missing = {r.event_id for r in table(spark, "events").where("user_id % 3 = 0").collect()}
+    last = sorted(QUERIES["O4_missing_last_all"](spark, SF).collect(), key=lambda r: r.k)[-len(missing) :]
+    assert missing == {r.event_id for r in last}
+    null = {r.event_id for r in table(spark, "events").where("user_id % 2 <> 0 or value is null").collect()}
+    last = sorted(QUERIES["O9_null_order_all"](spark, SF).collect(), key=lambda r: r.k)[-len(null) :]
+    assert null == {r.event_id for r in last}
