@@ -45,6 +45,11 @@ def st5(t):  # noqa: ANN001, ANN201
     return t("events").where(F.col("event_type").isin("view", "error", "click")).orderBy(F.desc("ts"), F.desc("event_id")).select("event_id").limit(100)
 
 
+@query("ST5_pending_list_all", "select event_id from events where event_type in ('view', 'error', 'click') order by ts desc, event_id desc")
+def st5_all(t):  # noqa: ANN001, ANN201
+    return t("events").where(F.col("event_type").isin("view", "error", "click")).orderBy(F.desc("ts"), F.desc("event_id")).select("event_id")
+
+
 @query("ST6_cursor", "select event_id from (select event_id from events order by event_id desc limit 200) where event_id > (select max(event_id) - 120 from events)")
 def st6(t):  # noqa: ANN001, ANN201
     e = t("events").select("event_id")

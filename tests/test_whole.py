@@ -89,3 +89,10 @@ def test_missing_values_come_last_of_all(spark):
     null = {r.event_id for r in table(spark, "events").where("user_id % 2 <> 0 or value is null").collect()}
     last = sorted(QUERIES["O9_null_order_all"](spark, SF).collect(), key=lambda r: r.k)[-len(null) :]
     assert null == {r.event_id for r in last}
+
+
+def test_pending_list_is_whole_and_newest_first(spark):
+    want = [r for r in table(spark, "events").collect() if r.event_type in ("view", "error", "click")]
+    assert len(want) > 100
+    want.sort(key=lambda r: (r.ts, r.event_id), reverse=True)
+    assert [r.event_id for r in QUERIES["ST5_pending_list_all"](spark, SF).collect()] == [r.event_id for r in want]
