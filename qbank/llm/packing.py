@@ -39,7 +39,7 @@ class Packing:
     end_id: int = 2
     length: int = 4096
     #: The hashed vector's width, the dimensions it is projected to, and the bits of each.
-    width: int = 256
+    width: int = 1024
     dimensions: int = 4
     bits: int = 12
 

@@ -132,6 +132,15 @@ def test_packing(spark, odd, empty):
     assert all(len(r.ids) in (4 * 4096, 4 * r.n_ids) and r.bounds[-1] == r.n_ids for r in whole)
 
 
+def test_packing_tells_ids_apart():
+    """Ids that share a slot of 256 have slots of their own in the vector's full width."""
+    slot = common.mix(np.arange(1 << 15, dtype=np.uint64))
+    a = 5
+    b = int(np.flatnonzero((slot % 256 == slot[a] % 256) & (slot % 1024 != slot[a] % 1024))[0])
+    keys = packing.curve_keys([np.full(40, x, "<u2") for x in (a, b)], packing.Packing())
+    assert keys[0] != keys[1]
+
+
 def test_hilbert_is_a_curve():
     grid = np.array(list(itertools.product(range(8), repeat=3)))
     order = grid[np.argsort(packing.hilbert(grid, 3))]
