@@ -45,7 +45,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.pieces(token_output.sequences(read(spark, sf_dir, "documents")))
+    return token_output.pieces(token_output.with_positions(token_output.sequences(read(spark, sf_dir, "documents"))))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

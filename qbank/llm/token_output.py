@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qbank.llm import tokens
@@ -182,11 +182,16 @@ def write(docs: DataFrame, path: str, p: Output = Output()) -> None:
 
 
 def pieces(packed: DataFrame) -> DataFrame:
-    """Each segment of the packed rows, with the checksum of its ids as they stand in the matrix."""
-    rows = packed.select("sequence_id", "ids", "cu_seqlens", F.posexplode("segments").alias("k", "s"))
+    """Each segment of the packed rows, with the checksum of its ids, and of its position ids if there are any, as they stand in the matrix."""
+    placed = [c for c in ("position_ids",) if c in packed.columns]
+    rows = packed.select("sequence_id", "ids", *placed, "cu_seqlens", F.posexplode("segments").alias("k", "s"))
     at = F.get("cu_seqlens", F.col("k"))
-    own = F.substring("ids", at * 4 + 1, (F.col("s.length") * 4).cast("int"))
+
+    def own(matrix: str) -> Column:
+        return F.crc32(F.substring(matrix, at * 4 + 1, (F.col("s.length") * 4).cast("int")))
+
     return rows.select(
         F.col("s.doc_id").alias("doc_id"), F.col("s.start").alias("start"), F.col("s.length").alias("length"),
-        F.crc32(own).alias("ids_crc32"), F.col("s.doc_tokens").alias("doc_tokens"), "sequence_id", at.cast("long").alias("offset"),
+        own("ids").alias("ids_crc32"), F.col("s.doc_tokens").alias("doc_tokens"), "sequence_id", at.cast("long").alias("offset"),
+        *(own(c).alias("positions_crc32") for c in placed),
     )

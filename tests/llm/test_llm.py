@@ -170,6 +170,11 @@ def test_token_output(spark, odd, empty, tmp_path):
     assert token_output.sequences(empty, p).count() == 0
 
 
+def test_token_output_query_makes_positions(spark):
+    rows = queries.op5_token_output(spark, SF).collect()
+    assert rows and all(r.positions_crc32 == zlib.crc32(np.arange(r.length, dtype="<i4").tobytes()) for r in rows)
+
+
 def test_best_fit_takes_the_tightest():
     assert token_output.best_fit([5, 4, 3, 3, 1], 8) == [[0, 2], [1, 3, 4]]
     r = random.Random(2)
