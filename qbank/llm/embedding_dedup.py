@@ -1,18 +1,19 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Two independent codebooks, one for each half of the vectors, form a product grid
-of cells.  Every vector is filed in one cell and asks the nearest cells in
+of cells; each length of vectors that occurs has a grid of its own.  Every vector is filed in one cell and asks the nearest cells in
 multi-sequence order: as many as reach the target recall on pairs at the very
-threshold, measured on the bounded sample that the codebooks are fitted on.
+threshold, measured on the bounded sample that the codebooks are fitted on.  A length with
+no more vectors than a block has members gets a single cell, searched whole.
 Every candidate is then verified by its cosine in double precision.
 
 A cell is worked in blocks of bounded numbers of members and askers, so a hot
 cell is spread over tasks; a block returns counts and a spanning set of its
 links, never its pairs.
 
-Defined results: vectors that are null, zero, hold null or non-finite
-components, or differ in length from the sample's usual one link with nothing
-(n_links 0, a component of their own, kept); rows of equal vec_id are one
+Defined results: vectors that are null, zero, or hold null or non-finite
+components link with nothing (n_links 0, a component of their own, kept), and
+vectors of different lengths not with each other; rows of equal vec_id are one
 vector; an empty table gives an empty result; other columns are not read.
 """
 
@@ -32,7 +33,7 @@ from qbank.llm.common import components, partitions, small, table
 @dataclass(frozen=True)
 class Index:
     cosine: float = 0.95
-    #: Bound of the fitted sample: the rows with the smallest hashes of vec_id.
+    #: Bound of the fitted sample of each length: the rows with the smallest hashes of vec_id.
     sample: int = 20_000
     #: Vectors in a cell, on average, that the codebooks' size aims at; and its bound.
     per_cell: int = 64
@@ -120,38 +121,55 @@ def fit(sample: np.ndarray, total: int, p: Index) -> Grid:
     return grid
 
 
-def _valid(vectors: DataFrame, column: str, size: int | None = None) -> DataFrame:
+def whole(length: int) -> Grid:
+    """A single cell."""
+    return Grid(np.zeros((1, length // 2)), np.zeros((1, length - length // 2)), 1)
+
+
+def grids(rows: DataFrame, p: Index) -> dict[int, tuple[Grid, int]]:
+    """The grid of each length, and the number of its first cell."""
+    out, cells = {}, 0
+    for length, total in sorted(map(tuple, rows.groupBy(F.size("v")).count().collect())):
+        if total <= p.members:
+            grid = whole(length)
+        else:
+            taken = rows.where(F.size("v") == length).orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).toArrow()
+            grid = fit(units(taken["v"].to_pylist()), total, p)
+        out[length] = grid, cells
+        cells += len(grid.first) * len(grid.second)
+    return out
+
+
+def _valid(vectors: DataFrame, column: str) -> DataFrame:
     v = F.col(column)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    out = vectors.where(fine)
-    return out if size is None else out.where(F.size(column) == size)
+    return vectors.where(fine)
 
 
 def linked(vectors: DataFrame, p: Index = Index(), id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``vec_id, n_links, other``: link counts to add up, and links that span what a block found."""
     spark = vectors.sparkSession
     rows = _valid(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")), "v")
-    rows = rows.dropDuplicates(["vec_id"])
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).toArrow()
-    if not taken.num_rows:
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))  # the same one in each pass
+    of_length = grids(rows, p)
+    if not of_length:
         return spark.createDataFrame([], "vec_id long, n_links long, other long")
-    lists = taken["v"].to_pylist()
-    usual = int(np.bincount([len(x) for x in lists]).argmax())
-    rows, total = rows.where(F.size("v") == usual), rows.count()
-    grid = fit(units([x for x in lists if len(x) == usual]), total, p)
-    n_cells = len(grid.first) * len(grid.second)
+    n_cells = sum(len(grid.first) * len(grid.second) for grid, _ in of_length.values())
 
     def file(got):  # noqa: ANN001, ANN202
-        for whole in got:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                if b.num_rows:
+        for all_rows in got:
+            for at in range(0, all_rows.num_rows, 1024):
+                some = all_rows.slice(at, 1024)
+                lengths = some.column(1).value_lengths().to_numpy()
+                for length in np.unique(lengths).tolist():
+                    b = some.take(pa.array(np.flatnonzero(lengths == length)))
+                    grid, first = of_length[length]
                     u = units(b.column(1).to_pylist())
-                    asked = grid.nearest(u, grid.cells)
+                    asked = grid.nearest(u, grid.cells) + np.int32(first)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            b.column(0), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(grid.cell(u)),
+                            b.column(0), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(grid.cell(u) + np.int32(first)),
                             pa.array(asked.tolist(), pa.list_(pa.int32())),
                         ],
                         names=["vec_id", "u", "cell", "asked"],
@@ -164,7 +182,7 @@ def linked(vectors: DataFrame, p: Index = Index(), id_column: str = "vec_id", co
     sizes = sizes.select(
         "at", F.ceil(F.col("m") / p.members).cast("int").alias("ms"), F.ceil(F.col("q") / p.askers).cast("int").alias("qs")
     )
-    sizes = small(table(sizes, "cells"), n_cells, 32)  # a row a cell: most_codes squared at most
+    sizes = small(table(sizes, "cells"), n_cells, 32)  # a row a cell: most_codes squared a length at most
     split = F.xxhash64(F.col("vec_id"), F.lit("block"))
     members = filed.join(sizes, filed["cell"] == sizes["at"]).select(
         "at", F.pmod(split, F.col("ms")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"),

@@ -316,6 +316,24 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_two_lengths(spark):
+    """Vectors of the rarer lengths link among themselves, searched by a grid or whole."""
+    g = np.random.default_rng(4)
+    x = vectors(spark).where("vec_id < 900").collect()
+    y = g.standard_normal((120, 9)).astype(np.float32)
+    y[:40] = y[0] + 0.05 * g.standard_normal((40, 9))
+    z = g.standard_normal(5).tolist()
+    rows = [(r.vec_id, r.embedding) for r in x] + [(1000 + i, v.tolist()) for i, v in enumerate(y)] + [(2000, z), (2001, [2 * v for v in z]), (2002, [1.0]), (2003, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(df, embedding_dedup.Index(members=50, askers=60, sample=200)).collect()}
+    u = y.astype(np.float64) / np.linalg.norm(y.astype(np.float64), axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    found = np.array([got[1000 + i][0] for i in range(120)])
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum() > 1000
+    assert got[2000] == (1, 2000, True) and got[2001] == (1, 2000, False)
+    assert got[2002] == (1, 2002, True) and got[2003] == (1, 2002, False)
+
+
 def test_traversal_is_in_order():
     g = np.random.default_rng(2)
     grid = embedding_dedup.Grid(g.standard_normal((9, 4)), g.standard_normal((7, 4)), 5)
