@@ -26,6 +26,9 @@ a slot sets the slot's k-th bit, so the overlap of two sets is at most the
 common bits plus the lesser overflow, and OR-ing bitmaps keeps that a bound for
 all below.
 
+``links_of`` gives every link between classes instead, without step 4's forest and
+components.
+
 Defined results: null or wordless text has an empty set, n_shingles 0, and links
 with nothing; with one to four words the whole sequence is one shingle; rows
 that repeat a doc_id are told apart by their sets; an empty table gives an
@@ -483,12 +486,11 @@ def _sizes(wanted: DataFrame) -> tuple[int, int]:
     return rows, 40 + 40 * entries // max(1, rows)
 
 
-def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
+def _prepared(docs: DataFrame, p: Join):  # noqa: ANN202
+    """Each row's set, the least ``doc_id`` of each class, the signed units, and the broadcast ranks."""
     rows = table(_sets(docs, p), "sets")
     mine = rows.where("block is null")
-    rank = spark.sparkContext.broadcast(_frequencies(rows, p))
+    rank = docs.sparkSession.sparkContext.broadcast(_frequencies(rows, p))
     classes = table(
         mine.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("over").alias("over")),
         "classes",
@@ -496,6 +498,24 @@ def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
     heads = classes.select("cls", "doc_id")
     units = table(_units(_prefixes(docs, rank, p), p), "units")
     signed = table(units.join(classes.select("cls", "sig", "over"), "cls"), "signed")
+    return mine, heads, signed, rank
+
+
+def links_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
+    """``doc_a, doc_b``: every link between different sets, each class named by its least ``doc_id``.
+
+    No forest and no pruning of components: the pairs of a group of m near copies are all verified.
+    """
+    _, heads, signed, rank = _prepared(docs, p)
+    links = table(_verified(table(_candidates(signed, None, p, all_pairs=True), "pairs"), docs, heads, p), "links")
+    rank.unpersist()
+    a, b = heads.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), heads.select(F.col("cls").alias("b"), F.col("doc_id").alias("y"))
+    return links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+
+
+def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
+    mine, heads, signed, rank = _prepared(docs, p)
     tried = table(_candidates(signed, None, p, all_pairs=False), "pairs")
     links = table(_verified(tried, docs, heads, p), "links")
     labels = table(components(links), "labels")

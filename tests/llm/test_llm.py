@@ -276,6 +276,27 @@ def test_ngram_join_large_groups(spark):
     assert got == brute_components(texts)
 
 
+def test_ngram_links_are_all_there(spark):
+    """Every pair of a group of near copies, by brute force; classes of equal sets by their least id."""
+    r = random.Random(6)
+    base = prose(12, 70).split()
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"edit{r.randint(0, 99)}"
+        texts.append((500 - i, " ".join(w)))
+    texts += [(900, texts[3][1]), (901, prose(13, 60)), (902, None)]
+    heads = {}
+    for i, t in texts:
+        if t is not None:
+            s = frozenset(ngram_join.shingles(t, 5).tolist())
+            heads[s] = min(i, heads.get(s, i))
+    want = {tuple(sorted((heads[x], heads[y]))) for x, y in itertools.combinations(heads, 2) if 100 * len(x & y) >= 75 * len(x | y)}
+    got = [tuple(r) for r in ngram_join.links_of(documents(spark, texts), ngram_join.Join(block=16, leaf=4, cells=1 << 12)).collect()]
+    assert len(want) > len(heads) and len(got) == len(set(got)) and set(got) == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 9), (3, 8), (20, 21), (8, 5)], "a long, b long")
     assert sorted(map(tuple, common.components(edges).collect())) == [(3, 3), (4, 3), (5, 3), (8, 3), (20, 20), (21, 20)]
