@@ -412,13 +412,13 @@ def test_pii(spark, empty):
 
 
 def test_permutations_are_bijective(spark):
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms("test")
     n = spark.range(73049).select(pii.permute_number(F.col("id"), 271, 270, p, "t").alias("y")).agg(F.countDistinct("y"), F.max("y")).first()
     assert n[0] == 73049 and n[1] < 271 * 270
     two = spark.range(1000).select(pii.permute_text(F.lpad(F.col("id").cast("string"), 3, "0"), p, (pii.DIGITS,)).alias("y"))
     assert two.distinct().count() == 1000 and two.where("length(y) = 3").count() == 1000
     days = spark.range(0, 73049, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    out = days.select(pii._date(F.col("d"), p, True).alias("y"))
+    out = days.select(pii._date(F.col("d"), p).alias("y"))
     assert out.distinct().count() == days.count()
 
 
