@@ -11,7 +11,8 @@ with the module (``labelled.py``), and ``train`` takes any other.
 
 Text runs whose marginal is at least one half are the page's text: character
 references decoded, white space inside a block one space, blocks in page order.
-Inline elements do not part a block; block elements do.
+Inline elements, buttons, formulas and drawings do not part a block; block
+elements do.  Parsing takes time in proportion to the page, whatever it holds.
 
 Defined results: null, empty and text-free html give an empty text; unclosed and
 stray tags are taken as browsers take them, roughly; plain text without markup
@@ -34,27 +35,106 @@ from pyspark.sql import DataFrame
 from qbank.llm.common import text_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their text is no text of the page.
-SILENT = frozenset("script style noscript template title textarea iframe svg math object select button datalist head canvas audio video".split())
+#: Their text is no text of the page: code, controls to fill in, and what stands in for media that cannot be shown.
+SILENT = frozenset("script style noscript template title textarea iframe object select datalist head canvas audio video desc metadata annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noscript template".split())
+#: They do not part a block: formatting, buttons, formulas, drawings, and silent ones that stand in the run of a text.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark meter output picture progress q rb rp rt rtc ruby s samp slot small span "
+    "strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup "
+    "munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction svg g path text tspan textpath use defs symbol rect circle ellipse line polyline polygon".split()
 )
+INLINE_SILENT = frozenset("script style title noscript template textarea iframe object select datalist canvas audio video desc metadata annotation annotation-xml".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPE = frozenset("html body table ul ol dl div section article main aside nav form header footer".split())
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+OPEN = re.compile(r"/?[a-zA-Z][^\s/>]*|!--|!\[CDATA\[|[!?]")
+#: What may end a tag: its bracket, or a quoted value that may hold one.
+STOP = re.compile(r""">|=\s*+(["'])""")
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
+RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9-])", re.I) for tag in RAW}
+#: References to numbers beyond Unicode, or with leading zeros.
+LONG_NUMBER = re.compile(r"&#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?")
+
+
+def decoded(text: str) -> str:
+    """Character references resolved; numbers beyond Unicode become the replacement sign, however long they are."""
+
+    def short(m: re.Match) -> str:
+        if m[1] is not None:
+            return f"&#{m[1]};" if len(m[1]) < 8 else "\ufffd"
+        return f"&#x{m[2]};" if len(m[2]) < 7 else "\ufffd"
+
+    return html.unescape(LONG_NUMBER.sub(short, text)) if "&" in text else text
+
+
+class Scanner:
+    """Tags of a page in one pass: ``(start, end, name, attributes)``; name ``""`` for comments and the like.
+
+    Quotes count after an equals sign only.  If a quoted value isn't closed, no
+    quotes count from there on; a tag that is never closed is none, and ends where
+    the next one begins.  So no part of a page is searched more than a few times.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def tag(self, at: int) -> tuple[int, int, str, str] | None:
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            m = OPEN.match(page, start + 1)
+            if m is None:
+                at = start + 1
+                continue
+            if m[0] == "!--":
+                return start, self._after("-->", m.end()), "", ""
+            if m[0] == "![CDATA[":
+                return start, self._after("]]>", m.end()), "", ""
+            if m[0] in "!?":
+                return start, self._closed(m.end())[1], "", ""
+            ends = m.end() <= self.last
+            inner, end = self._closed(m.end())
+            return start, end, m[0].lower() if ends else "", page[m.end() : inner] if ends else ""
+
+    def _after(self, mark: str, at: int) -> int:
+        end = self.page.find(mark, at)
+        return len(self.page) if end < 0 else end + len(mark)
+
+    def _closed(self, at: int) -> tuple[int, int]:
+        page = self.page
+        if at > self.last:
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            return end, end
+        now = at
+        while self.quotes:
+            m = STOP.search(page, now)
+            if m is None:
+                self.quotes = False
+            elif m[1] is None:
+                return m.start(), m.end()
+            else:
+                now = page.find(m[1], m.end()) + 1
+                self.quotes = now > 0
+        end = page.find(">", at)
+        return end, end + 1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the text of a raw element ends."""
+        m = RAW_END[tag].search(self.page, at)
+        if m is None:
+            return len(self.page)
+        end = self.page.find(">", m.end())
+        return len(self.page) if end < 0 else end + 1
 
 
 class Node:
@@ -78,10 +158,12 @@ def parse(page: str) -> Node:
     here, silent, anchor = root, 0, 0
     run: list[tuple[str, bool]] = []
     stack: list[Node] = [root]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    scopes = [0]
 
     def flush() -> None:
         if run:
-            text = SPACES.sub(" ", html.unescape("".join(t for t, _ in run))).strip()
+            text = SPACES.sub(" ", decoded("".join(t for t, _ in run))).strip()
             if text:
                 leaf = Node("#", (), here)
                 leaf.text = text
@@ -92,34 +174,51 @@ def parse(page: str) -> Node:
             run.clear()
 
     def close(at: int) -> None:
-        nonlocal here, silent, anchor
+        nonlocal here, silent
         flush()
         while len(stack) > at:
             gone = stack.pop()
+            places[gone.tag].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
             silent -= gone.tag in SILENT
         here = stack[-1]
 
-    at = 0
+    scanner, at = Scanner(page), 0
+    hidden: list[str] = []  # silent elements in the run of a text
     while True:
-        m = MARKUP.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not silent:
+        found = scanner.tag(at)
+        text = page[at : found[0] if found else len(page)]
+        if text and not silent and not hidden:
             run.append((text, anchor > 0))
-        if m is None:
+        if found is None:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        _, at, tag, attributes = found
         if not tag:
             continue
-        if m[1] or m[4]:
+        if tag[0] == "/":
+            tag = tag[1:]
+            if hidden:
+                if tag == hidden[-1]:
+                    hidden.pop()
+                    continue
+                if tag in INLINE or tag in INLINE_SILENT:
+                    continue
+                hidden.clear()  # the block around it ends
             if tag == "a":
                 anchor = max(0, anchor - 1)
-            if tag in INLINE:
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if tag not in INLINE and places.get(tag):
+                close(places[tag][-1])
+            elif tag == "p":  # an empty paragraph
+                flush()
+            continue
+        if tag in INLINE_SILENT and here.tag != "head":
+            if tag in RAW:
+                at = scanner.raw_end(tag, at)
+            elif not attributes.rstrip().endswith("/"):
+                hidden.append(tag)
+            continue
+        if hidden:
             continue
         if tag in INLINE:
             if tag == "br":
@@ -129,17 +228,14 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             flush()
+            if places.get("head"):
+                close(places["head"][-1])
             continue
-        attributes = m[3] if m[3] is not None else m[6] or ""
         flush()
-        if tag in ENDS_P or tag in ENDS:
-            ends = {"p"} if tag in ENDS_P else ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    close(k)
-                    break
-                if stack[k].tag in SCOPE:
-                    break
+        ends = ("p",) if tag in ENDS_P else ENDS.get(tag, ())
+        last = max((places[t][-1] for t in ends if places.get(t)), default=0)
+        if last > scopes[-1]:
+            close(last)
         if tag in VOID:
             continue
         names = tuple(WORD.findall(" ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower())) if attributes else ()
@@ -151,9 +247,11 @@ def parse(page: str) -> Node:
         if attributes.rstrip().endswith("/") and tag not in ENDS_P:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = scanner.raw_end(tag, at)
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
         stack.append(node)
         here = node
         silent += tag in SILENT

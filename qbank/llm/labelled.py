@@ -109,9 +109,9 @@ class Page:
 
     def article(self) -> str:
         r = self.r
-        if r.random() < 0.08:  # straight in the body
+        if r.random() < 0.1:  # straight in the body
             blocks = [f'<h1 data-content="1">{self.words(r.randint(1, 9))}</h1>'] * (r.random() < 0.7)
-            return "".join(blocks + [f'<p data-content="1">{self.prose()}</p>' for _ in range(r.choice([2, 3, 5, 8]))])
+            return "".join(blocks + [f'<p data-content="1">{self.prose()}</p>' for _ in range(r.choice([1, 2, 3, 5, 8]))])
         blocks = [self.block() for _ in range(r.choice([1, 2, 3, 5, 8, 14]))]
         if r.random() < 0.85:
             title = f"<h1>{self.words(r.randint(1, 9))}</h1>"
