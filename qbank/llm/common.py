@@ -97,47 +97,52 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed`` by ``key``, without dealing a hot key's rows into one task.
+
+    ``keyed`` has a row for each key, with the number of its rows in ``count``;
+    ``total`` is their sum.  Keys above a quarter of a partition's share are at
+    most four for each partition: those are broadcast, and their rows stay where
+    they are.  The others are joined by a shuffle, and so is everything if there
+    are no more rows than a single batch has.
+    """
+    if total <= 4096:
+        return rows.join(keyed, key)
+    hot = F.col(count) > max(1, total // (4 * partitions(rows.sparkSession)))
+    few = F.broadcast(keyed.where(hot))
+    rest = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(keyed.where(~hot), key))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: ``edges(a, b)`` to ``(node, component)``.
 
     Alternating large-star and small-star rounds: joins and minimum
-    aggregations only, so neither a hub's neighbours nor a component is ever
-    gathered in one task.  ``component`` is the smallest node of a component;
+    aggregations only, and a hub's neighbours are dealt by ``join_hot``, so
+    neither they nor a component are ever gathered in one task.  The rounds end
+    when nothing moves.  ``component`` is the smallest node of a component;
     nodes without edges are absent.  Self loops are allowed and ignored.
     """
-    pair = lambda u, v: edges_of.select(F.col(u).alias("u"), F.col(v).alias("v"))
-    edges_of = edges.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    )
-    last = Table(edges_of.distinct(), "cc")
-    edges_of, before = last.df, None
-    for _ in range(most_rounds):
-        both = pair("u", "v").unionByName(pair("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = (
-            both.join(least, "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-        )
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = Table(star, "cc")
-        edges_of = new.df
-        sign = new.df.agg(
-            F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")
-        ).first()
+    pair = lambda df, u, v: df.select(F.col(u).alias("u"), F.col(v).alias("v"))
+    last = Table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    many, before = last.df.count(), None
+    while True:
+        both = pair(last.df, "u", "v").unionByName(pair(last.df, "v", "u"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("degree"))
+        large = join_hot(both, least, "u", "degree", 2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = Table(large.where("u <> v").distinct(), "cc")
+        least = large.df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        moved = join_hot(large.df, least, "u", "degree", large.df.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = Table(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        sign = new.df.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
         last.drop()
-        last = new
+        large.drop()
+        last, many = new, sign[0]
         if sign == before:
             break
         before = sign
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges_of.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges_of.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    roots = last.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return last.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def fence(column: Column) -> Column:

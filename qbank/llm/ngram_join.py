@@ -15,11 +15,16 @@ component, not the pairs of a group of copies.
     OR-combined token bitmaps and the size range of what is below.  A dual
     traversal of the tree prunes node pairs whose maximum possible overlap is
     too small for their sizes, or that are one component already.  Units above
-    a bounded number of classes are dealt out as pairs of blocks.
+    a bounded number of classes are cut by size, and dealt out as pairs of
+    blocks whose sizes allow a link.
 4.  The first traversal yields a spanning forest of each unit's candidate
-    links, which are verified on the whole sets; the second one yields every
-    candidate between classes that are still apart.  All links that could join
-    two components are thus verified, and none is taken on trust.
+    links (of a large unit, within its blocks and between neighbouring ones),
+    which are verified on the whole sets; the second one yields every candidate
+    between classes that are still apart.  All links that could join two
+    components are thus verified, and none is taken on trust.
+
+A shingle that the sketch says to be frequent is dealt out over salts; large
+units and classes with many partners are joined and sent in bounded parts.
 
 Token bitmaps are thermometers: 256 slots of 8 bits; the k-th token of a set in
 a slot sets the slot's k-th bit, so the overlap of two sets is at most the
@@ -31,13 +36,15 @@ components.
 
 Defined results: null or wordless text has an empty set, n_shingles 0, and links
 with nothing; with one to four words the whole sequence is one shingle; rows
-that repeat a doc_id are told apart by their sets; an empty table gives an
-empty result; other columns are not read.  Shingles and sets are compared by
-64-bit hashes.
+that repeat a doc_id are told apart by their sets; rows without a doc_id link
+with nothing; an empty table gives an empty result; other columns are not read.
+``clean`` leaves one row of each doc_id that stays, and all rows without one.
+Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qbank.llm.common import components, mix, partitions, small, table, text_batches
+from qbank.llm.common import components, join_hot, mix, partitions, small, table, text_batches
 
 SLOTS, LEVELS = 256, 8
 
@@ -62,6 +69,11 @@ class Join:
     #: Classes in a block of a unit; larger units are dealt out as pairs of blocks.
     block: int = 1024
     leaf: int = 16
+    #: Partners of a class that are sent together, and the bytes of a batch of sets.
+    partners: int = 256
+    #: Classes of a shingle that one task may have in any case.
+    unsalted: int = 256
+    batch_bytes: int = 4 << 20
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -167,12 +179,24 @@ def _frequencies(rows: DataFrame, p: Join) -> np.ndarray:
     return np.frombuffer(b"".join(r[1] for r in sorted(got)), np.uint8) if got else np.zeros(p.cells, np.uint8)
 
 
+def _salts(rank: np.ndarray, parts: int, unsalted: int) -> np.ndarray:
+    """By rank of a sketch's cell: over how many tasks its shingles are dealt, so that none holds more than a fraction of a task's share.
+
+    The sketch counts no shingle too low, and a class has a quarter of its shingles in its prefix or less.
+    """
+    most = 2.0 ** (np.arange(256) / 2 + 0.25) - 1  # a rank is the rounded double of log2(1 + count)
+    total = float((np.bincount(rank, minlength=256) * (2.0 ** (np.arange(256) / 2) - 1)).sum())
+    return np.clip(np.ceil(most / max(unsalted, total / (16 * parts))), 1, parts).astype(np.int64)
+
+
 def _prefixes(docs: DataFrame, rank, p: Join) -> DataFrame:  # noqa: ANN001
-    """``token, cls, n, pos``: the prefix shingles of each class, in the global order."""
+    """``token, salt, cls, n, pos``: the prefix shingles of each class, in the global order; salt -1 where one task has all of a shingle."""
     size, percent, cells = p.words, p.percent, p.cells
+    parts_of_all, unsalted = partitions(docs.sparkSession), p.unsalted
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, seen = rank.value, set()
+        salts_of = _salts(by, parts_of_all, unsalted)
         for whole in got:
             for at in range(0, whole.num_rows, 256):
                 parts: list[tuple] = []
@@ -184,68 +208,89 @@ def _prefixes(docs: DataFrame, rank, p: Join) -> DataFrame:  # noqa: ANN001
                         long = len(t) - (-(-len(t) * percent // 100)) + 1
                         rare = by[((t >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64)]
                         order = np.lexsort((t, rare))[:long]
-                        parts.append((t[order], d, len(t), long))
+                        parts.append((t[order], d, len(t), long, salts_of[rare[order]]))
                 if parts:
                     long = [x[3] for x in parts]
+                    cls = np.repeat(np.array([x[1] for x in parts], np.int64), long)
+                    salts = np.concatenate([x[4] for x in parts])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)),
-                            pa.array(np.repeat(np.array([x[1] for x in parts], np.int64), long)),
+                            pa.array(np.where(salts > 1, np.mod(cls, salts), -1).astype(np.int32)),
+                            pa.array(cls),
                             pa.array(np.repeat(np.array([x[2] for x in parts], np.int32), long)),
                             pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in long])),
                         ],
-                        names=["token", "cls", "n", "pos"],
+                        names=["token", "salt", "cls", "n", "pos"],
                     )
 
-    return _texts(docs).mapInArrow(run, "token long, cls long, n int, pos int")
+    return _texts(docs).mapInArrow(run, "token long, salt int, cls long, n int, pos int")
 
 
 def _units(prefixes: DataFrame, p: Join) -> DataFrame:
     """``unit, cls, n, pos``: classes that share a prefix shingle; units of the same members are one.
 
     Rows come sorted by shingle and class; a shingle of one class alone, or of
-    two that cannot link by size and place, is dropped.
+    two that cannot link by size and place, is dropped.  Salted shingles are
+    named by an aggregation over their salts.
     """
     percent = p.percent
+    names = ["unit", "token", "cls", "n", "pos"]
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
+        held: list[tuple[np.ndarray, ...]] = []  # the last shingle may go on in the next batch
         for b in got:
-            now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            if rest is not None:
-                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-            if not len(now[0]):
+            now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            if not b.num_rows:
                 continue
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last shingle may go on in the next batch
-            rest = tuple(x[last:].copy() for x in now)
-            if last:
-                yield from grouped(tuple(x[:last] for x in now))
-        if rest is not None:
-            yield from grouped(rest)
+            differs = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            last = int(differs[-1]) + 1 if len(differs) else 0
+            if last or (held and (held[-1][0][-1] != now[0][-1] or held[-1][1][-1] != now[1][-1])):
+                done = [*held, tuple(x[:last] for x in now)]
+                yield from grouped(tuple(np.concatenate(x) for x in zip(*done, strict=True)))
+                held = []
+            held.append(tuple(x[last:].copy() for x in now))
+        if held:
+            yield from grouped(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def grouped(now: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        token, cls, n, pos = now
+        token, salt, cls, n, pos = now
         fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])  # a class from several tasks
-        token, cls, n, pos = token[fresh], cls[fresh], n[fresh], pos[fresh]
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        fresh[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (cls[1:] != cls[:-1])  # a class from several tasks
+        token, salt, cls, n, pos = (x[fresh] for x in (token, salt, cls, n, pos))
+        starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
         sizes = np.diff(np.r_[starts, len(token)])
-        good = sizes > 1
-        two = starts[sizes == 2]
-        most = 1 + np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) - 1
-        good[sizes == 2] = most >= least_overlap(n[two].astype(np.int64), n[two + 1].astype(np.int64), percent)
+        salted = salt[starts] >= 0
+        good = (sizes > 1) | salted
+        pair = (sizes == 2) & ~salted
+        two = starts[pair]
+        most = np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1])
+        good[pair] = most >= least_overlap(n[two].astype(np.int64), n[two + 1].astype(np.int64), percent)
         if not good.any():
             return
         name = np.add.reduceat(mix(cls.view(np.uint64)), starts) ^ sizes.astype(np.uint64)
-        keep = np.repeat(good, sizes)
+        keep, alone = np.repeat(good, sizes), np.repeat(salted, sizes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(name, sizes)[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep]), pa.array(pos[keep])],
-            names=["unit", "cls", "n", "pos"],
-        )
+            [
+                pa.array(np.repeat(name, sizes)[keep].view(np.int64), mask=alone[keep]), pa.array(token[keep], mask=~alone[keep]),
+                pa.array(cls[keep]), pa.array(n[keep]), pa.array(pos[keep]),
+            ],
+            names=names,
+        )
 
     spark = prefixes.sparkSession
-    rows = prefixes.repartition(partitions(spark), "token").sortWithinPartitions("token", "cls")
-    rows = rows.mapInArrow(run, "unit long, cls long, n int, pos int")
+    rows = prefixes.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "cls")
+    rows = table(rows.mapInArrow(run, "unit long, token long, cls long, n int, pos int"), "shared")
+    salted = rows.where("token is not null").select("token", "cls", "n", "pos")
+    named = table(
+        salted.groupBy("token").agg(F.count("*").alias("many"), F.expr("bit_xor(xxhash64(cls))").alias("x"))
+        .where("many > 1").select("token", "many", F.xxhash64("x", "many", F.lit("salted")).alias("unit")),
+        "named",
+    )
+    total = named.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    rows = rows.where("token is null").select("unit", "cls", "n", "pos")
+    if total:
+        rows = rows.unionByName(join_hot(salted, named, "token", "many", total).select("unit", "cls", "n", "pos"))
     return rows.groupBy("unit", "cls").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
 
 
@@ -334,43 +379,79 @@ def _leaf(s: Sets, x: np.ndarray, y: np.ndarray, same: bool, percent: int) -> tu
 
 
 def _forest(x: np.ndarray, y: np.ndarray, s: Sets) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of candidate pairs: nearest to the smallest class first, so that units agree."""
-    order = np.lexsort((np.maximum(s.cls[x], s.cls[y]), np.minimum(s.cls[x], s.cls[y])))
-    root = list(range(len(s.cls)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    keep = []
-    for k in order:
-        i, j = top(int(x[k])), top(int(y[k]))
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            keep.append(k)
-    return x[keep], y[keep]
-
-
-def _candidates(units: DataFrame, labels: DataFrame | None, p: Join, all_pairs: bool) -> DataFrame:
-    """``a, b``: distinct candidate pairs of classes (a < b) in different components."""
-    spark = units.sparkSession
-    rows = units
+    """A spanning forest of candidate pairs: each tree takes its pair to the tree of the smallest class, until none is left."""
+    rank = np.empty(len(s.cls), np.int64)
+    rank[np.argsort(s.cls)] = label = np.arange(len(s.cls))
+    low, high = np.minimum(rank[x], rank[y]), np.maximum(rank[x], rank[y])
+    going, keep = np.arange(len(x)), []
+    while len(going):
+        one, two = label[low[going]], label[high[going]]
+        apart = one != two
+        going, small, big = going[apart], np.minimum(one, two)[apart], np.maximum(one, two)[apart]
+        if not len(going):
+            break
+        order = np.lexsort((high[going], low[going], small, big))
+        first = order[np.r_[True, big[order][1:] != big[order][:-1]]]
+        keep.append(going[first])
+        up = np.arange(len(label))
+        up[big[first]] = small[first]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    taken = np.concatenate(keep) if keep else going
+    return x[taken], y[taken]
+
+
+#: Blocks of a unit are numbered by size bucket, then within it.
+IN_BUCKET = 1 << 20
+
+
+def _blocks(units: DataFrame, labels: DataFrame | None, p: Join, chained: bool) -> DataFrame:
+    """``unit, lo, hi, side, cls, n, pos, label``: the units' classes, dealt out as pairs of blocks.
+
+    Sets link only if their sizes lie in one bucket or two neighbouring ones.
+    A unit of at most ``block`` classes is one block.
+    """
+    rows = units.withColumn("label", F.col("cls"))
     if labels is not None:
-        rows = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-        apart = rows.groupBy("unit").agg(F.count("*").alias("many"), F.min("label").alias("l"), F.max("label").alias("r"))
-        apart = apart.where("l <> r").select("unit", "many")
+        rows = units.join(labels, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+        rows = table(rows, "labelled")
+    width = 1.0001 * max(0.01, math.log(100 / p.percent))
+    rows = rows.withColumn("bucket", F.floor(F.log("n") / width).cast("int"))
+    counts = rows.groupBy("unit", "bucket").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("r"))
+    entry = F.struct("bucket", F.ceil(F.col("m") / p.block).cast("int").alias("nb"))
+    whole = counts.groupBy("unit").agg(  # a bucket for each power of 4/3: some dozens at most
+        F.sum("m").alias("many"), F.min("l").alias("l"), F.max("r").alias("r"), F.map_from_entries(F.collect_list(entry)).alias("nbs")
+    )
+    whole = whole.where("many > 1 and l <> r").select("unit", "many", F.when(F.col("many") > p.block, F.col("nbs")).alias("nbs"))
+    whole = table(whole, "whole")
+    total = whole.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    rows = join_hot(rows, whole, "unit", "many", total)
+    mine = F.col("bucket") * IN_BUCKET + F.pmod(F.xxhash64("cls"), F.col("nbs")[F.col("bucket")]).cast("int")
+    rows = rows.withColumn("blk", F.when(F.col("nbs").isNull(), F.lit(0)).otherwise(mine))
+    if chained:
+        near = F.filter(
+            F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1),
+            lambda x: (x >= F.col("bucket") * IN_BUCKET) & (x < F.col("bucket") * IN_BUCKET + F.col("nbs")[F.col("bucket")]),
+        )
     else:
-        rows = rows.withColumn("label", F.col("cls"))
-        apart = rows.groupBy("unit").agg(F.count("*").alias("many"))
-    rows = rows.join(apart, "unit")
-    blocks = F.ceil(F.col("many") / p.block).cast("int")
-    rows = rows.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("nb") - 1)
-    rows = rows.withColumn("other", F.explode(others)).select(
-        "unit", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), F.col("blk").alias("side"),
-        "cls", "n", "pos", "label", "sig", "over",
+        near = F.flatten(
+            F.transform(
+                F.filter(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1), lambda k: F.col("nbs")[k].isNotNull()),
+                lambda k: F.transform(F.sequence(F.lit(0), F.col("nbs")[k] - 1), lambda j: k * IN_BUCKET + j),
+            )
+        )
+    others = F.when(F.col("nbs").isNull(), F.array(F.lit(0))).otherwise(near)
+    return rows.withColumn("other", F.explode(others)).select(
+        "unit", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), F.col("blk").alias("side"), "cls", "n", "pos", "label"
     )
+
+
+def _candidates(units: DataFrame, classes: DataFrame, labels: DataFrame | None, p: Join, all_pairs: bool) -> DataFrame:
+    """``a, b``: distinct candidate pairs of classes (a < b) in different components: all, or a forest of them."""
+    spark = units.sparkSession
+    rows = _blocks(units, labels, p, chained=not all_pairs).join(classes.select("cls", "sig", "over"), "cls")
+    rows = rows.select("unit", "lo", "hi", "side", "cls", "n", "pos", "label", "sig", "over")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def units_of(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,26 +500,32 @@ def _candidates(units: DataFrame, labels: DataFrame | None, p: Join, all_pairs:
 def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, p: Join) -> DataFrame:
     """The pairs that do link, by their whole sets, recomputed from one text of each class.
 
-    Each pair's ``b`` comes to ``a``'s set; a class with many partners is dealt
-    out over salts of at most 256.
+    Each pair's ``b`` comes to ``a``'s set.  A class with many partners, on
+    either side, is dealt out in parts of about ``partners`` of them.
     """
     spark = docs.sparkSession
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
-    salted = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    many = pairs.groupBy("a").agg(F.count("*").alias("many"))
+    total = pairs.count()
+    salts = F.ceil(F.col("many") / p.partners).cast("int")
+    salted = join_hot(pairs, many, "a", "many", total).select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), "b")
     own = salted.select("a", "salt").distinct().select(F.col("a").alias("cls"), F.struct("a", "salt", F.lit(True).alias("own")).alias("to"))
     partner = salted.select(F.col("b").alias("cls"), F.struct("a", "salt", F.lit(False).alias("own")).alias("to"))
-    to = own.unionByName(partner)
-    wanted = table(to.join(heads, "cls").groupBy("cls", "doc_id").agg(F.collect_list("to").alias("to")), "wanted")
+    to = table(own.unionByName(partner), "to")
+    uses = to.groupBy("cls").agg(F.count("*").alias("many")).join(heads, "cls")
+    to = join_hot(to, uses, "cls", "many", 2 * total).withColumn("part", F.pmod(F.xxhash64("to"), F.ceil(F.col("many") / p.partners)))
+    wanted = table(to.groupBy("cls", "doc_id", "part").agg(F.collect_list("to").alias("to")).drop("part"), "wanted")
     texts = _texts(docs).where("text is not null")
     wanted = small(wanted, *_sizes(wanted))
     size, percent = p.words, p.percent
     schema = "a long, salt int, other boolean, cls long, tokens binary"
+    names, kinds, most = ["a", "salt", "other", "cls", "tokens"], [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()], p.batch_bytes
 
     def send(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in got:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 rows: list[list] = [[], [], [], [], []]
+                held = 0
                 for text, cls, to in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                     t = shingles(text, size)
                     if _digest(t) != cls:  # another row of the same id
@@ -447,11 +534,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, p: Join) -> D
                     for x in to:
                         for c, v in zip(rows, (x["a"], x["salt"], not x["own"], cls, raw), strict=True):
                             c.append(v)
+                        held += len(raw)
+                        if held > most:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
+                            rows, held = [[], [], [], [], []], 0
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())],
-                        names=["a", "salt", "other", "cls", "tokens"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
     sent = texts.join(wanted, "doc_id").select("text", "cls", "to").mapInArrow(send, schema)
     sent = sent.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "other", "cls")
@@ -487,7 +575,7 @@ def _sizes(wanted: DataFrame) -> tuple[int, int]:
 
 
 def _prepared(docs: DataFrame, p: Join):  # noqa: ANN202
-    """Each row's set, the least ``doc_id`` of each class, the signed units, and the broadcast ranks."""
+    """Each row's set, the classes with their least ``doc_id``, the units, and the broadcast ranks."""
     rows = table(_sets(docs, p), "sets")
     mine = rows.where("block is null")
     rank = docs.sparkSession.sparkContext.broadcast(_frequencies(rows, p))
@@ -495,10 +583,8 @@ def _prepared(docs: DataFrame, p: Join):  # noqa: ANN202
         mine.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("over").alias("over")),
         "classes",
     )
-    heads = classes.select("cls", "doc_id")
     units = table(_units(_prefixes(docs, rank, p), p), "units")
-    signed = table(units.join(classes.select("cls", "sig", "over"), "cls"), "signed")
-    return mine, heads, signed, rank
+    return mine, classes, units, rank
 
 
 def links_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
@@ -506,8 +592,9 @@ def links_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
 
     No forest and no pruning of components: the pairs of a group of m near copies are all verified.
     """
-    _, heads, signed, rank = _prepared(docs, p)
-    links = table(_verified(table(_candidates(signed, None, p, all_pairs=True), "pairs"), docs, heads, p), "links")
+    _, classes, units, rank = _prepared(docs, p)
+    heads = classes.select("cls", "doc_id")
+    links = table(_verified(table(_candidates(units, classes, None, p, all_pairs=True), "pairs"), docs, heads, p), "links")
     rank.unpersist()
     a, b = heads.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), heads.select(F.col("cls").alias("b"), F.col("doc_id").alias("y"))
     return links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
@@ -515,11 +602,13 @@ def links_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
 
 def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
-    mine, heads, signed, rank = _prepared(docs, p)
-    tried = table(_candidates(signed, None, p, all_pairs=False), "pairs")
+    mine, classes, units, rank = _prepared(docs, p)
+    heads = classes.select("cls", "doc_id")
+    tried = table(_candidates(units, classes, None, p, all_pairs=False), "pairs")
     links = table(_verified(tried, docs, heads, p), "links")
     labels = table(components(links), "labels")
-    rest = table(_candidates(signed, labels.withColumnRenamed("node", "cls"), p, all_pairs=True).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = _candidates(units, classes, labels.withColumnRenamed("node", "cls"), p, all_pairs=True)
+    rest = table(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = table(links.unionByName(_verified(rest, docs, heads, p)), "links")
         labels = table(components(links), "labels")
@@ -535,6 +624,13 @@ def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
 
 
 def clean(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """One document of each component stays: the one whose id names it. Columns as before."""
-    named = components_of(docs, p).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi")
+    """One document of each component stays: the one whose id names it. Columns as before.
+
+    Of rows that share that id one stays, the one with the least hash; rows without an id all stay.
+    """
+    named = components_of(docs, p).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    named = table(named, "named").withColumnRenamed("doc_id", "_id")
+    with_id = docs.join(named.where("_rows = 1"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    twice = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(*docs.columns).alias("_hash"))
+    twice = twice.join(named.where("_rows > 1"), "_id", "left_semi").groupBy("_id").agg(F.min_by("_doc", "_hash").alias("_doc"))
+    return with_id.unionByName(twice.select("_doc.*")).unionByName(docs.where("doc_id is null"))

@@ -271,9 +271,27 @@ def test_ngram_join_large_groups(spark):
             w[r.randrange(len(w))] = f"edit{r.randint(0, 99)}"
         texts.append((1000 - i, " ".join(w)))
     texts += [(2000 + i, prose(100 + i, 40) + " " + passage) for i in range(60)] + [(3000 + i, passage) for i in range(5)]
-    p = ngram_join.Join(block=32, leaf=4, cells=1 << 12)
-    got = sorted(map(tuple, ngram_join.components_of(documents(spark, texts), p).collect()))
-    assert got == brute_components(texts)
+    want = brute_components(texts)
+    for p in (ngram_join.Join(block=32, leaf=4, cells=1 << 12), ngram_join.Join(block=8, leaf=2, cells=1 << 16, partners=3, unsalted=4, batch_bytes=500)):
+        assert sorted(map(tuple, ngram_join.components_of(documents(spark, texts), p).collect())) == want
+
+
+def test_ngram_join_of_a_unit_of_50000_classes(spark):
+    """One near-copy group far above a block: all of it is one component, and its two outsiders stay apart."""
+    base = " ".join(f"w{k}" for k in range(44))
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " "), F.col("id").cast("string"), F.lit(" "), (F.col("id") * 7).cast("string")).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(60_000, base[:40]), (60_001, prose(5, 50))], "doc_id long, text string"))
+    got = {tuple(r) for r in ngram_join.components_of(rows).groupBy("component_id").count().collect()}
+    assert got == {(0, 50_000), (60_000, 1), (60_001, 1)}
+
+
+def test_ngram_clean_leaves_one_row(spark):
+    text, other = prose(20, 60), prose(21, 60)
+    rows = [(3, text, "a"), (1, text, "b"), (1, text, "b"), (1, other, "c"), (2, other, "d"), (4, prose(22, 50), None), (4, prose(22, 50), None), (None, text, "e"), (None, text, "e"), (5, None, "f"), (5, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rows string")
+    left = ngram_join.clean(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == [(False, 1), (False, 4), (False, 5), (True, None), (True, None)]
 
 
 def test_ngram_links_are_all_there(spark):
@@ -301,6 +319,8 @@ def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 9), (3, 8), (20, 21), (8, 5)], "a long, b long")
     assert sorted(map(tuple, common.components(edges).collect())) == [(3, 3), (4, 3), (5, 3), (8, 3), (20, 20), (21, 20)]
     assert common.components(edges.limit(0)).count() == 0
+    star = spark.range(1, 3000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    assert {r.component for r in common.components(star).collect()} == {0}
     path = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in common.components(path).collect()} == {0}
 
