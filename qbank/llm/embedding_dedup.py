@@ -1,20 +1,24 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Two independent codebooks, one for each half of the vectors, form a product grid
-of cells; each length of vectors that occurs has a grid of its own.  Every vector is filed in one cell and asks the nearest cells in
-multi-sequence order: as many as reach the target recall on pairs at the very
-threshold, measured on the bounded sample that the codebooks are fitted on.  A length with
-no more vectors than a block has members gets a single cell, searched whole.
-Every candidate is then verified by its cosine in double precision.
-
-A cell is worked in blocks of bounded numbers of members and askers, so a hot
+of cells; each length of vectors that occurs has a grid of its own.  Every
+vector is filed in one cell and asks the nearest cells in multi-sequence order:
+as many as reach the target recall on pairs at the very threshold, measured on
+the bounded sample that the codebooks are fitted on.  If too many cells would be
+needed, or there are no more vectors of a length than a block has members, all
+vectors of that length are compared.  Every candidate is then verified by its
+cosine in double precision.
+
+Neighbouring cells are searched together, as groups of some hundred vectors, so a vector travels once to each group that it asks, and as it was read.  A
+group is worked in blocks of bounded numbers of members and askers, so a hot
 cell is spread over tasks; a block returns counts and a spanning set of its
 links, never its pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components link with nothing (n_links 0, a component of their own, kept), and
-vectors of different lengths not with each other; rows of equal vec_id are one
-vector; an empty table gives an empty result; other columns are not read.
+vectors of different lengths not with each other; any other finite vector counts,
+however long or short it is; of rows of equal vec_id the least vector counts, and
+rows without one link with nothing; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qbank.llm.common import components, partitions, small, table
 
@@ -41,7 +46,10 @@ class Index:
     rounds: int = 10
     #: Recall of pairs at the threshold that the number of asked cells must reach on the sample.
     recall: float = 0.97
-    most_cells: int = 256
+    #: If more cells than this are needed, all are searched.
+    most_cells: int = 2048
+    #: Vectors in a group of neighbouring cells, and in a block of a group.
+    per_group: int = 512
     members: int = 2000
     askers: int = 4000
 
@@ -51,6 +59,8 @@ class Grid:
     first: np.ndarray
     second: np.ndarray
     cells: int
+    #: The group of each cell.
+    groups: np.ndarray | None = None
 
     def distances(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = unit.shape[1] // 2
@@ -92,11 +102,15 @@ def _codes(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
         for d in range(x.shape[1]):
             sums = np.bincount(own, x[:, d], minlength=len(centres))
             centres[:, d] = np.where(count > 0, sums / np.maximum(count, 1), centres[:, d])
+    if centres.shape[1]:  # along their main axis, so that neighbours in number are near each other
+        centres = centres[np.argsort(centres @ np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0], kind="stable")]
     return centres
 
 
-def units(vectors: list[np.ndarray]) -> np.ndarray:
+def units(vectors: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled by their largest component first, so that no square leaves the range of doubles."""
     x = np.array(vectors, dtype=np.float64)
+    x /= np.abs(x).max(1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -111,32 +125,41 @@ def fit(sample: np.ndarray, total: int, p: Index) -> Grid:
     noise -= (noise * some).sum(1)[:, None] * some
     noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
     turned = p.cosine * some + math.sqrt(1 - p.cosine**2) * noise
-    most = min(p.most_cells, len(grid.first) * len(grid.second))
-    there = grid.nearest(some, most) == grid.cell(turned)[:, None]
-    back = grid.nearest(turned, most) == grid.cell(some)[:, None]
-    rank = lambda hit: np.where(hit.any(1), hit.argmax(1), most)
-    needed = np.sort(np.minimum(rank(there), rank(back)))
-    at = needed[min(len(needed) - 1, math.ceil(p.recall * len(needed)) - 1)]
-    grid.cells = int(min(most, at + 1))
+    all_cells = len(grid.first) * len(grid.second)
+    most = min(64, p.most_cells, all_cells)
+    while True:
+        there = grid.nearest(some, most) == grid.cell(turned)[:, None]
+        back = grid.nearest(turned, most) == grid.cell(some)[:, None]
+        rank = lambda hit: np.where(hit.any(1), hit.argmax(1), most)  # noqa: B023, E731
+        needed = np.sort(np.minimum(rank(there), rank(back)))
+        at = int(needed[min(len(needed) - 1, math.ceil(p.recall * len(needed)) - 1)])
+        if at < most:
+            break
+        if most >= min(p.most_cells, all_cells):
+            return whole(sample.shape[1])
+        most = min(4 * most, p.most_cells, all_cells)
+    grid.cells = at + 1
+    filed = np.bincount(grid.cell(sample), minlength=all_cells) * (total / len(sample))
+    grid.groups = ((filed.cumsum() - filed) // p.per_group).astype(np.int32)
     return grid
 
 
 def whole(length: int) -> Grid:
     """A single cell."""
-    return Grid(np.zeros((1, length // 2)), np.zeros((1, length - length // 2)), 1)
+    return Grid(np.zeros((1, length // 2)), np.zeros((1, length - length // 2)), 1, np.zeros(1, np.int32))
 
 
 def grids(rows: DataFrame, p: Index) -> dict[int, tuple[Grid, int]]:
-    """The grid of each length, and the number of its first cell."""
-    out, cells = {}, 0
+    """The grid of each length, and the number of its first group."""
+    out, groups = {}, 0
     for length, total in sorted(map(tuple, rows.groupBy(F.size("v")).count().collect())):
         if total <= p.members:
             grid = whole(length)
         else:
             taken = rows.where(F.size("v") == length).orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).toArrow()
             grid = fit(units(taken["v"].to_pylist()), total, p)
-        out[length] = grid, cells
-        cells += len(grid.first) * len(grid.second)
+        out[length] = grid, groups
+        groups += int(grid.groups.max()) + 1
     return out
 
 
@@ -150,12 +173,14 @@ def _valid(vectors: DataFrame, column: str) -> DataFrame:
 def linked(vectors: DataFrame, p: Index = Index(), id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``vec_id, n_links, other``: link counts to add up, and links that span what a block found."""
     spark = vectors.sparkSession
-    rows = _valid(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")), "v")
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))  # the same one in each pass
+    single = isinstance(vectors.schema[column].dataType, T.ArrayType) and isinstance(vectors.schema[column].dataType.elementType, T.FloatType)
+    number = np.dtype(np.float32 if single else np.float64)
+    rows = _valid(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast(f"array<{'float' if single else 'double'}>").alias("v")), "v")
+    rows = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))  # the same one in each pass
     of_length = grids(rows, p)
     if not of_length:
         return spark.createDataFrame([], "vec_id long, n_links long, other long")
-    n_cells = sum(len(grid.first) * len(grid.second) for grid, _ in of_length.values())
+    n_groups = sum(int(grid.groups.max()) + 1 for grid, _ in of_length.values())
 
     def file(got):  # noqa: ANN001, ANN202
         for all_rows in got:
@@ -165,60 +190,67 @@ def linked(vectors: DataFrame, p: Index = Index(), id_column: str = "vec_id", co
                 for length in np.unique(lengths).tolist():
                     b = some.take(pa.array(np.flatnonzero(lengths == length)))
                     grid, first = of_length[length]
-                    u = units(b.column(1).to_pylist())
-                    asked = grid.nearest(u, grid.cells) + np.int32(first)
+                    raw = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(number)
+                    u = units(raw)
+                    asked = np.sort(grid.groups[grid.nearest(u, grid.cells)] + np.int32(first), 1)
+                    new = np.ones(asked.shape, bool)
+                    new[:, 1:] = asked[:, 1:] != asked[:, :-1]
+                    ends = np.r_[0, new.sum(1).cumsum()].astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            b.column(0), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(grid.cell(u) + np.int32(first)),
-                            pa.array(asked.tolist(), pa.list_(pa.int32())),
+                            b.column(0), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(grid.groups[grid.cell(u)] + np.int32(first)),
+                            pa.ListArray.from_arrays(pa.array(ends), pa.array(asked[new])),
                         ],
-                        names=["vec_id", "u", "cell", "asked"],
-                    )
+                        names=["vec_id", "v", "cell", "asked"],
+                    )
 
-    filed = table(rows.select("vec_id", "v").mapInArrow(file, "vec_id long, u binary, cell int, asked array<int>"), "filed")
+    filed = table(rows.select("vec_id", "v").mapInArrow(file, "vec_id long, v binary, cell int, asked array<int>"), "filed")
     asks = filed.select("vec_id", F.explode("asked").alias("at"))
     inside = filed.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("m"))
     sizes = asks.groupBy("at").agg(F.count("*").alias("q")).join(inside, "at")
     sizes = sizes.select(
         "at", F.ceil(F.col("m") / p.members).cast("int").alias("ms"), F.ceil(F.col("q") / p.askers).cast("int").alias("qs")
     )
-    sizes = small(table(sizes, "cells"), n_cells, 32)  # a row a cell: most_codes squared a length at most
+    sizes = small(table(sizes, "groups"), n_groups, 32)  # no more rows than cells: most_codes squared a length at most
     split = F.xxhash64(F.col("vec_id"), F.lit("block"))
     members = filed.join(sizes, filed["cell"] == sizes["at"]).select(
         "at", F.pmod(split, F.col("ms")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"),
-        F.lit(True).alias("member"), "vec_id", "u", "cell", "asked",
+        F.lit(True).alias("member"), "vec_id", "v", "cell", "asked",
     )
     askers = filed.select("*", F.explode("asked").alias("at")).join(sizes, "at").select(
         "at", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mb"), F.pmod(split, F.col("qs")).cast("int").alias("qb"),
-        F.lit(False).alias("member"), "vec_id", "u", "cell", "asked",
+        F.lit(False).alias("member"), "vec_id", "v", "cell", F.lit(None).cast("array<int>").alias("asked"),
     )
     cosine = p.cosine
 
     def verify(t: pa.Table) -> pa.Table:
-        return _block(t, cosine)
+        return _block(t, cosine, number)
 
     both = members.unionByName(askers).repartition(partitions(spark) * 4, "at", "mb", "qb")
     return both.groupBy("at", "mb", "qb").applyInArrow(verify, "vec_id long, n_links long, other long")
 
 
-def _block(t: pa.Table, cosine: float) -> pa.Table:
+def _block(t: pa.Table, cosine: float, number: np.dtype = np.dtype(np.float64)) -> pa.Table:
     """Links between a block's askers and members: counts, and for each node the least node it hangs with."""
     is_member = t["member"].to_numpy(zero_copy_only=False)
     ids = t["vec_id"].to_numpy()
     cell = t["cell"].to_numpy()
-    u = np.frombuffer(b"".join(t["u"].to_pylist()), np.float64).reshape(len(ids), -1)
+    u = units(np.frombuffer(b"".join(t["v"].to_pylist()), number).reshape(len(ids), -1))
     m, q = np.flatnonzero(is_member), np.flatnonzero(~is_member)
     if not len(m) or not len(q):
         return pa.table({"vec_id": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-    asked = np.array(t["asked"].to_pylist(), dtype=np.int32).reshape(len(ids), -1)
+    lists = t["asked"].combine_chunks().take(pa.array(m)).to_pylist()
+    asked = np.full((len(m), max(map(len, lists))), -1, np.int32)
+    for k, x in enumerate(lists):
+        asked[k, : len(x)] = x
     mask = np.empty((len(q), len(m)), dtype=bool)
     for at in range(0, len(q), 512):
         some = q[at : at + 512]
         mask[at : at + 512] = (u[some] @ u[m].T >= cosine) & (ids[some][:, None] != ids[m][None])
     by_q, by_m = mask.sum(1), np.zeros(len(m), dtype=np.int64)
-    # A member that doesn't ask this asker's cell can't count the link itself.
+    # A member that doesn't ask this asker's group can't count the link itself.
     for c in np.unique(cell[q[by_q > 0]]):
-        deaf = ~(asked[m] == c).any(1)
+        deaf = ~(asked == c).any(1)
         if deaf.any():
             by_m[deaf] += mask[np.ix_(cell[q] == c, deaf)].sum(0)
     rows, columns = np.flatnonzero(by_q), np.flatnonzero(mask.any(0))

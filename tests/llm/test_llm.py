@@ -375,6 +375,26 @@ def test_embedding_dedup_of_two_lengths(spark):
     assert got[2002] == (1, 2002, True) and got[2003] == (1, 2002, False)
 
 
+def test_embedding_dedup_of_any_finite_norm(spark):
+    """Doubles whose squares leave the range, odd lengths, and vectors that differ by scale only."""
+    g = np.random.default_rng(9)
+    x = g.standard_normal((30, 7))
+    rows = [(3 * k + j, (v * s).tolist()) for k, v in enumerate(x) for j, s in enumerate((1.0, 1e-200, 1e200))] + [(500, [5e-324]), (501, [1.7e308]), (502, [-1.0]), (None, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for p in (embedding_dedup.Index(), embedding_dedup.Index(members=20, askers=16, sample=60, per_group=8)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df, p).collect()}
+        assert all(got[3 * k + j] == (2, 3 * k) for k in range(30) for j in range(3))
+        assert got[500] == got[501] == (1, 500) and got[502] == (0, 502) and len(got) == len(rows)
+
+
+def test_no_recall_no_grid():
+    """Where the bounded number of cells does not reach the target, all vectors are compared."""
+    g = np.random.default_rng(3)
+    x = embedding_dedup.units(g.standard_normal((400, 6)))
+    assert len(embedding_dedup.fit(x, 4000, embedding_dedup.Index(per_cell=4)).first) > 1
+    assert len(embedding_dedup.fit(x, 4000, embedding_dedup.Index(per_cell=4, most_cells=1, cosine=0.5, recall=1.0)).first) == 1
+
+
 def test_traversal_is_in_order():
     g = np.random.default_rng(2)
     grid = embedding_dedup.Grid(g.standard_normal((9, 4)), g.standard_normal((7, 4)), 5)
