@@ -450,7 +450,10 @@ def _blocks(units: DataFrame, labels: DataFrame | None, p: Join, chained: bool)
 def _candidates(units: DataFrame, classes: DataFrame, labels: DataFrame | None, p: Join, all_pairs: bool) -> DataFrame:
     """``a, b``: distinct candidate pairs of classes (a < b) in different components: all, or a forest of them."""
     spark = units.sparkSession
-    rows = _blocks(units, labels, p, chained=not all_pairs).join(classes.select("cls", "sig", "over"), "cls")
+    rows = table(_blocks(units, labels, p, chained=not all_pairs), "blocks")
+    uses = rows.groupBy("cls").agg(F.count("*").alias("uses"))
+    total = rows.count()
+    rows = join_hot(rows, uses.join(classes.select("cls", "sig", "over"), "cls"), "cls", "uses", total)
     rows = rows.select("unit", "lo", "hi", "side", "cls", "n", "pos", "label", "sig", "over")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
