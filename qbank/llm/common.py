@@ -22,10 +22,14 @@ BROADCAST_BYTES = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session sets none (local tests) an own folder is made.
+    Only where the session sets none and all runs in one process (local tests)
+    an own folder is made; on a cluster there is no other way.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and "cluster" not in master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="qbank-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

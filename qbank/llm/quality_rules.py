@@ -40,12 +40,15 @@ class Rules:
     min_bars: int = 3
     #: A line with more than this share of its words shouted (ending in ``!!``) is boilerplate.
     max_shout_percent: int = 30
-    #: Lower-case substrings of boilerplate lines.
+    #: Lower-case substrings of boilerplate lines, in English, German, French and Spanish.
     phrases: tuple[str, ...] = (
         "cookie policy", "accept cookies", "terms of use", "privacy policy", "sign in to",
         "subscribe to our newsletter", "javascript is disabled", "enable javascript", "lorem ipsum",
         "click here to", "share on facebook",
-    )
+        "cookie-richtlinie", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "newsletter abonnieren", "javascript ist deaktiviert",
+        "politique de cookies", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "abonnez-vous à notre", "javascript est désactivé",
+        "política de cookies", "aceptar cookies", "política de privacidad", "términos de uso", "suscríbete a nuestr", "javascript está desactivado",
+    )
     #: A document that loses more than this share of its word characters is rejected.
     max_lost_percent: int = 40
 

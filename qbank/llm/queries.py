@@ -95,7 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RULES = quality_rules.Rules()
-_PHRASE = " or ".join(f"contains(lower(l), '{p}')" for p in _RULES.phrases)
+_PHRASE = " or ".join("contains(lower(l), '{}')".format(p.replace("'", "''")) for p in _RULES.phrases)
 
 _SPREAD = line_dedup.Spread()
 ORACLE: dict[str, str] = {

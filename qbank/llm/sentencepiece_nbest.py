@@ -220,11 +220,11 @@ class Model:
     def encode(self, text: str | None) -> list[int]:
         return self.solve(text, 1)[0].tolist()
 
-    def n_best_texts(self, text: str | None, n: int) -> list[tuple[list[int], float]]:
-        """The n best segmentations of a whole text with their scores."""
+    def n_best_ids(self, text: str | None, n: int) -> tuple[list[bytes], list[float]]:
+        """The n best segmentations of a whole text, best first, as 32-bit ids, and their scores."""
         ids, scores, words, least = self.solve(text, n)
         if not words:
-            return [([], 0.0)]
+            return [], []
         places = sorted(k for _, k in least)
         options = {k: self.n_best(words[k], n) for k in places}
         combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
@@ -232,17 +232,22 @@ class Model:
             combos = heapq.nsmallest(
                 n, [(loss + options[k][0][1] - s, (*pick, i)) for loss, pick in combos for i, (_, s) in enumerate(options[k])]
             )
+        if len(combos) == 1:
+            return [ids.tobytes()], scores[:1]
+        base = [(self.cache.get(w) or self._word(w))[0] for w in words]
         out = []
-        for loss, pick in combos:
-            chosen = dict(zip(places, pick, strict=True))
-            flat: list[int] = []
-            for k, w in enumerate(words):
-                if chosen.get(k):
-                    flat += options[k][chosen[k]][0]
-                else:
-                    flat += np.frombuffer((self.cache.get(w) or self._word(w))[0], "<u4").tolist()
-            out.append((flat, scores[0] - loss))
-        return out
+        for _, pick in combos:
+            own = base.copy()
+            for k, i in zip(places, pick, strict=True):
+                if i:
+                    own[k] = np.array(options[k][i][0], "<u4").tobytes()
+            out.append(b"".join(own))
+        return out, [scores[0] - loss for loss, _ in combos]
+
+    def n_best_texts(self, text: str | None, n: int) -> list[tuple[list[int], float]]:
+        """The n best segmentations of a whole text with their scores; of no text, the empty one."""
+        ids, scores = self.n_best_ids(text, n)
+        return [(np.frombuffer(x, "<u4").tolist(), s) for x, s in zip(ids, scores, strict=True)] or [([], 0.0)]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids if isinstance(ids, list) else ids.tolist()))
@@ -259,34 +264,39 @@ def model(path: str) -> Model:
 
 
 def encoded(docs: DataFrame, path: str = "piece_bpe_32k.model", n: int = 4) -> DataFrame:
-    """``doc_id, ids, nbest_scores, decoded``: best ids (32-bit), the n best scores, the text decoded again."""
+    """``doc_id, ids, nbest_ids, nbest_scores, decoded``: best ids (32-bit), the n best segmentations with their scores, the text decoded again."""
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for whole in got:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                ids, scores, back = [], [], []
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                ids, best, scores, back = [], [], [], []
                 for text in b.column(1).to_pylist():
-                    own, best, _, _ = m.solve(text, n)
-                    ids.append(own.tobytes())
-                    scores.append(best)
-                    back.append(m.decode(own))
+                    own, score = m.n_best_ids(text, n)
+                    ids.append(own[0] if own else b"")
+                    best.append(own)
+                    scores.append(score)
+                    back.append(m.decode(np.frombuffer(ids[-1], "<u4")) if own else "")
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(ids, pa.binary()), pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string())],
-                    names=["doc_id", "ids", "nbest_scores", "decoded"],
-                )
+                    [
+                        b.column(0), pa.array(ids, pa.binary()), pa.array(best, pa.list_(pa.binary())),
+                        pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string()),
+                    ],
+                    names=["doc_id", "ids", "nbest_ids", "nbest_scores", "decoded"],
+                )
 
     rows = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, nbest_scores array<double>, decoded string")
+    return rows.mapInArrow(run, "doc_id long, ids binary, nbest_ids array<binary>, nbest_scores array<double>, decoded string")
 
 
 def digest(docs: DataFrame, path: str = "piece_bpe_32k.model", n: int = 4) -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32, nbest_scores, decoded_md5``."""
+    """``doc_id, n_pieces, ids_crc32, nbest_crc32, nbest_scores, decoded_md5``."""
     return encoded(docs, path, n).select(
         "doc_id",
         F.floor(F.length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),
+        F.transform("nbest_ids", F.crc32).alias("nbest_crc32"),
         "nbest_scores",
         F.md5("decoded").alias("decoded_md5"),
     )

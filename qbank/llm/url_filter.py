@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qbank.llm.common import Table, table
@@ -169,16 +169,25 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64)
     return out
 
 
+Keys = tuple[str, ...] | DataFrame
+
+
 @dataclass(frozen=True)
 class Policy:
-    """Rules ``host/path`` with their actions, and blocked domains for urls that no rule fits."""
+    """Rules ``host/path`` with their actions, and blocked domains for urls that no rule fits.
+
+    Each list is a tuple, or a table with a column ``key``; tables never come to the driver.
+    """
+
+    block_rules: Keys = ()
+    allow_rules: Keys = ()
+    block_hosts: Keys = ()
 
-    block_rules: tuple[str, ...] = ()
-    allow_rules: tuple[str, ...] = ()
-    block_hosts: tuple[str, ...] = ()
 
-    def lengths(self) -> list[int]:
-        return sorted({len(r) - r.index("/") for r in (*self.block_rules, *self.allow_rules)})
+def _listed(spark: SparkSession, keys: Keys) -> DataFrame:
+    if isinstance(keys, DataFrame):
+        return keys.select(F.col("key").cast("string").alias("key")).where("key is not null").distinct()
+    return spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string")
 
 
 def judge(pages: DataFrame, policy: Policy, url: str = "url") -> DataFrame:
@@ -188,19 +197,17 @@ def judge(pages: DataFrame, policy: Policy, url: str = "url") -> DataFrame:
     keys that occur in ``pages``; then every url is judged where it is read: of
     its keys that are rules the longest wins, else a blocked domain blocks.
     """
-    if set(policy.block_rules) & set(policy.allow_rules):
+    spark = pages.sparkSession
+    allows, blocks, blocked_hosts = (_listed(spark, x) for x in (policy.allow_rules, policy.block_rules, policy.block_hosts))
+    rules = allows.unionByName(blocks)
+    if not rules.groupBy("key").count().where("count > 1").isEmpty():
         raise ValueError("a rule both allows and blocks")
     host, path = host_and_path(F.col(url))
-    lengths = policy.lengths()
-    parts = pages.select(host.alias("host"), path.alias("path")).distinct()
+    # As many lengths as rules' paths have, none beyond the longest path.
+    lengths = sorted(r[0] for r in rules.where("instr(key, '/') > 0").select(F.length("key") - F.instr("key", "/") + 1).distinct().collect())
+    parts = pages.select(host.alias("host"), path.alias("path"))
     universe = Table(parts.select(F.explode(keys_of(F.col("host"), F.col("path"), lengths)).alias("key")).distinct(), "keys")
-    spark = pages.sparkSession
-
-    def of(keys: tuple[str, ...]) -> Cascade:
-        rows = [(k,) for k in dict.fromkeys(keys)]
-        return build_cascade(spark.createDataFrame(rows, "key string"), universe.df)
-
-    allow, block, hosts = of(policy.allow_rules), of(policy.block_rules), of(policy.block_hosts)
+    allow, block, hosts = (build_cascade(x, universe.df) for x in (allows, blocks, blocked_hosts))
     universe.drop()
 
     @F.pandas_udf("rule string, verdict string")

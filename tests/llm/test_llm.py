@@ -532,6 +532,19 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), queries.POLICY).count() == 0
 
 
+def test_url_rules_from_tables(spark):
+    """Tables of rules and hosts give the same as tuples; a rule of both kinds is refused."""
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.example.net/en/q"), (3, "http://bad.host/" + "y" * 100_000), (4, None), (5, "http://q.bad.host")], "page_id long, url string")
+    lists = (("net/", "net/x"), ("example.net/en/",), ("bad.host",))
+    table = lambda keys: spark.createDataFrame([*((k,) for k in keys * 2), (None,)], "key string")
+    one = url_filter.judge(pages, url_filter.Policy(*lists))
+    two = url_filter.judge(pages, url_filter.Policy(*map(table, lists)))
+    assert rows_of(one) == rows_of(two)
+    assert {r.page_id: (r.rule, r.verdict) for r in two.collect()} == {1: ("net/x", "block"), 2: ("example.net/en/", "allow"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "block")}
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, url_filter.Policy(("a/",), ("a/",)))
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.where("hash(key) % 5 = 0")
