@@ -101,21 +101,25 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, few: int = 4096) -> DataFrame:
     """``rows`` joined with ``keyed`` by ``key``, without dealing a hot key's rows into one task.
 
     ``keyed`` has a row for each key, with the number of its rows in ``count``;
     ``total`` is their sum.  Keys above a quarter of a partition's share are at
     most four for each partition: those are broadcast, and their rows stay where
     they are.  The others are joined by a shuffle, and so is everything if there
-    are no more rows than a single batch has.
+    are no more than ``few`` rows, which any one task can take.
     """
-    if total <= 4096:
+    if total <= few:
         return rows.join(keyed, key)
     hot = F.col(count) > max(1, total // (4 * partitions(rows.sparkSession)))
-    few = F.broadcast(keyed.where(hot))
+    broad = F.broadcast(keyed.where(hot))
     rest = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti")
-    return rows.join(few, key).unionByName(rest.join(keyed.where(~hot), key))
+    return rows.join(broad, key).unionByName(rest.join(keyed.where(~hot), key))
+
+
+#: Rows of two or three numbers that one task takes at ease: some megabytes.
+NARROW = 1 << 18
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -133,10 +137,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pair(last.df, "u", "v").unionByName(pair(last.df, "v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("degree"))
-        large = join_hot(both, least, "u", "degree", 2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_hot(both, least, "u", "degree", 2 * many, NARROW).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = Table(large.where("u <> v").distinct(), "cc")
         least = large.df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        moved = join_hot(large.df, least, "u", "degree", large.df.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = join_hot(large.df, least, "u", "degree", large.df.count(), NARROW).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = Table(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         sign = new.df.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
         last.drop()

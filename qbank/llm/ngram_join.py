@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qbank.llm.common import components, join_hot, mix, partitions, small, table, text_batches
+from qbank.llm.common import NARROW, components, join_hot, mix, partitions, small, table, text_batches
 
 SLOTS, LEVELS = 256, 8
 
@@ -510,12 +510,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, p: Join) -> D
     many = pairs.groupBy("a").agg(F.count("*").alias("many"))
     total = pairs.count()
     salts = F.ceil(F.col("many") / p.partners).cast("int")
-    salted = join_hot(pairs, many, "a", "many", total).select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), "b")
+    salted = join_hot(pairs, many, "a", "many", total, NARROW).select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), "b")
     own = salted.select("a", "salt").distinct().select(F.col("a").alias("cls"), F.struct("a", "salt", F.lit(True).alias("own")).alias("to"))
     partner = salted.select(F.col("b").alias("cls"), F.struct("a", "salt", F.lit(False).alias("own")).alias("to"))
     to = table(own.unionByName(partner), "to")
     uses = to.groupBy("cls").agg(F.count("*").alias("many")).join(heads, "cls")
-    to = join_hot(to, uses, "cls", "many", 2 * total).withColumn("part", F.pmod(F.xxhash64("to"), F.ceil(F.col("many") / p.partners)))
+    to = join_hot(to, uses, "cls", "many", 2 * total, NARROW).withColumn("part", F.pmod(F.xxhash64("to"), F.ceil(F.col("many") / p.partners)))
     wanted = table(to.groupBy("cls", "doc_id", "part").agg(F.collect_list("to").alias("to")).drop("part"), "wanted")
     texts = _texts(docs).where("text is not null")
     wanted = small(wanted, *_sizes(wanted))
