@@ -166,21 +166,40 @@ def merge_fragments(a: Column, b: Column) -> Column:
     )
 
 
+#: Tokens that damaged UTF-8 leaves, and phrases of a prompt that came back.
+MOJIBAKE = ("Ã", "â", "Ë", "\ufffd")
+ECHOES = ("no agregue texto", "no agregues texto")
+#: Fixed formats: option labels, words, and a phrase of two to six words that comes again three times or more.
+LABEL = r"(?<![A-Za-z0-9])([A-Ea-e])\)\s*"
+PLAIN_WORD = r"[A-Za-zÁÉÍÓÚáéíóúÑñ0-9]+"
+PHRASE_AGAIN = r"(?i)(\b[\wáéíóúñ]{2,}\b(?:\s+\b[\wáéíóúñ]{2,}\b){1,5})\s+(?:\1\b[\s\.,;:!?-]*){3,}"
+
+
 def mojibake(c: Column) -> Column:
-    """How often damaged UTF-8 shows (``Ã``, ``Â``, ``â€``, the replacement sign)."""
-    return F.regexp_count(c, F.lit("Ã|Â|â€|\ufffd"))
+    """How often damaged UTF-8 shows."""
+    return F.length(c) - F.length(F.translate(c, "".join(MOJIBAKE), ""))
 
 
 def imbalance(c: Column) -> Column:
-    """The open and closed delimiters' differences, summed."""
-    n = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
-    return F.abs(n("(") - n(")")) + F.abs(n("[") - n("]")) + F.abs(n("{") - n("}")) + F.pmod(n("$"), F.lit(2))
+    """The open and closed delimiters' differences, summed; option labels such as ``A)`` don't count."""
+    plain = F.regexp_replace(c, LABEL, "")
+    n = lambda x: F.length(plain) - F.length(F.replace(plain, F.lit(x), F.lit("")))
+    return F.abs(n("(") - n(")")) + F.abs(n("[") - n("]")) + F.abs(n("{") - n("}"))
+
+
+def few_words(c: Column) -> Column:
+    """Of 40 words or more, less than a quarter are different."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(PLAIN_WORD), 0)
+    return (F.size(words) >= 40) & (F.size(F.array_distinct(words)) < 0.25 * F.size(words))
 
 
-def repetition(c: Column) -> Column:
-    """One less the share of distinct words; 0 without words."""
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), " "), lambda x: x != "")
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(words)) / F.size(words))
+def repetitive(c: Column) -> Column:
+    """An echoed phrase of the prompt, a phrase repeated on the spot, or few different words."""
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    twice = F.lit(False)
+    for echo in ECHOES:
+        twice = twice | ((F.length(low) - F.length(F.replace(low, F.lit(echo), F.lit("")))) >= 2 * len(echo))
+    return twice | few_words(low) | F.rlike(low, F.lit(PHRASE_AGAIN))
 
 
 def small_number(n: Column, start: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qbank.functions import similarity, status, text
+from qbank.functions import classify, similarity, status, text
+from qbank.plans.sections import classify_sql, sections
 from qbank.plans.filters import verdicts
 from qbank.plans.registry import query
 
@@ -217,15 +218,25 @@ def a20(t):  # noqa: ANN001, ANN201
 
 @query(
     "A21_audit_scores",
-    """select conv_id, cast(round_even((a + b) / 2.0, 0) as bigint) score, case when (a + b) / 2.0 >= 80 then 'listo' when (a + b) / 2.0 >= 55 then 'revisar' else 'bloqueado' end status from (
- select conv_id, greatest(0, least(100, 100 - 13 * count(*) filter (where length(text) > 200))) a, greatest(0, least(100, 100 - 9 * count(*))) b from conversations group by 1)""",
+    """with g as (select conv_id, count(*) items, count(*) filter (where role = 'system') si, count(*) filter (where length(text) < 20) ms, count(*) filter (where role = 'user') sb, count(*) filter (where role = 'assistant') mf,
+  count(*) filter (where turn % 2 = 0) bc, count(*) filter (where length(text) > 200) br, count(*) filter (where length(text) > 50) pr, count(*) filter (where length(text) between 20 and 50) pm,
+  count(*) filter (where contains(text, '.')) st from conversations group by 1),
+s as (select conv_id, greatest(0, least(100, 100 - case when si = 0 then 45 else 0 end - least(35, ms * 12) - case when sb = 0 and mf = 0 then 35 else 0 end - case when bc = 0 then 20 else 0 end - least(25, br * 5))) a,
+  greatest(0, least(100, 100 - case when items = 0 then 45 else 0 end - case when pr = 0 then 35 when pr < greatest(3, items // 3) then 15 else 0 end - least(35, pm * 12) - case when items > 0 and st = 0 then 15 else 0 end)) b from g)
+select conv_id, cast(a as bigint) segmentation, cast(b as bigint) ocr, cast(round_even((a + b) / 2.0, 0) as bigint) score,
+  case when round_even((a + b) / 2.0, 0) >= 80 then 'listo' when round_even((a + b) / 2.0, 0) >= 55 then 'revisar' else 'bloqueado' end status from s""",
 )
 def a21(t):  # noqa: ANN001, ANN201
-    """Penalties clamped to 0-100; the mean rounds half to even."""
-    clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), c))
-    g = t("conversations").groupBy("conv_id").agg(clamp(100 - 13 * F.count_if(F.length("text") > 200)).alias("a"), clamp(100 - 9 * F.count("*")).alias("b"))
-    mean = (F.col("a") + F.col("b")) / 2
-    return g.select("conv_id", F.bround(mean, 0).cast("bigint").alias("score"), F.when(mean >= 80, "listo").when(mean >= 55, "revisar").otherwise("bloqueado").alias("status"))
+    """Conversations as sessions: turns by role and length stand for images, boxes, bindings and pairs."""
+    n = F.length("text")
+    g = t("conversations").groupBy("conv_id").agg(
+        F.count("*").alias("items"), F.count_if(F.col("role") == "system").alias("source_images"), F.count_if(n < 20).alias("missing_source_images"),
+        F.count_if(F.col("role") == "user").alias("segment_boxes"), F.count_if(F.col("role") == "assistant").alias("manifest_segments"), F.count_if(F.col("turn") % 2 == 0).alias("bindings_confirmed"),
+        F.count_if(n > 200).alias("bindings_review"), F.count_if(n > 50).alias("pairs_ready"), F.count_if(n.between(20, 50)).alias("pairs_missing_image"),
+        F.count("*").alias("raw_blocks"), F.count_if(F.contains("text", F.lit("."))).alias("structured_blocks"),
+    )
+    s = classify.audit_scores({c: F.col(c) for c in g.columns if c != "conv_id"})
+    return g.select("conv_id", s.alias("s")).select("conv_id", *(F.col(f"s.{c}").cast("bigint").alias(c) for c in ("segmentation", "ocr", "score")), "s.status")
 
 
 @query(
@@ -273,17 +284,22 @@ def a27(t):  # noqa: ANN001, ANN201
     return t("documents").join(t("labels"), "doc_id", "left").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
 
 
-@query("A28_api_comparison", "select role provider, count(*) calls, count(*) filter (where length(text) > 50) ok, count(*) filter (where length(text) <= 50) failed from conversations group by 1")
+@query("A28_api_comparison", "select user_id % 3 as provider, count(*) calls, count(*) filter (where event_type <> 'error') ok, count(*) filter (where event_type = 'error') failed from events group by 1")
 def a28(t):  # noqa: ANN001, ANN201
-    return t("conversations").groupBy(F.col("role").alias("provider")).agg(
-        F.count("*").alias("calls"), F.count_if(F.length("text") > 50).alias("ok"), F.count_if(F.length("text") <= 50).alias("failed")
-    )
+    """Events as calls of three providers; one that ended in an error failed."""
+    e = t("events").select((F.col("user_id") % 3).alias("provider"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"))
+    return e.groupBy("provider").agg(F.count("*").alias("calls"), F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
-@query("A29_section_counts", "select section, count(*) n, count(*) filter (where section <> lang) changed from (select lang, case when n_chars < 1000 then 'en' else 'de' end section from documents) group by 1")
+@query(
+    "A29_section_counts",
+    f"select section, count(*) n, count(*) filter (where section <> case p_partkey % 3 when 0 then 'Geometria' else 'General' end or confidence <> 'alta') changed from ({classify_sql()}) group by 1",
+)
 def a29(t):  # noqa: ANN001, ANN201
-    d = t("documents").select("lang", F.when(F.col("n_chars") < 1000, "en").otherwise("de").alias("section"))
-    return d.groupBy("section").agg(F.count("*").alias("n"), F.count_if(F.col("section") != F.col("lang")).alias("changed"))
+    """Sections of S28 counted, and the rows whose stored section or confidence differs."""
+    stored = F.struct(F.when(F.col("p_partkey") % 3 == 0, "Geometria").otherwise("General").alias("section"), F.lit("alta").alias("confidence"))
+    d = sections(t("part")).withColumn("changed", (F.col("s.section") != stored["section"]) | (F.col("s.confidence") != stored["confidence"]))
+    return d.groupBy(F.col("s.section").alias("section")).agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"))
 
 
 @query("A30_training_pairs", "select count(*) total, count(*) filter (where n_chars > 100 and source <> 'src1') ready, count(*) filter (where n_chars > 100 and source = 'src1') text_without_image from documents")

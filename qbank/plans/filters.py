@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qbank.functions import status, text
+from qbank.functions import admission, classify, status, text
 from qbank.plans.registry import query
 
 #: labels.quality as a verdict: 1 good, 0 bad, absent unreviewed.
@@ -67,14 +67,15 @@ def f4(t):  # noqa: ANN001, ANN201
 
 @query(
     "F5_problem_type",
-    "select conv_id, turn, case when role = 'system' then 'abierto' when contains(text, 'A)') and contains(text, 'B)') then 'multiple' when length(text) % 7 = 0 then 'multiple' else 'abierto' end kind from conversations",
+    r"""select conv_id, turn, case when e in ('abierto', 'desarrollo', 'respuesta_abierta') then 'abierto' when e in ('opcion_multiple', 'opción_multiple', 'multiple', 'alternativas') then 'opcion_multiple'
+  when conv_id % 7 = 0 then 'opcion_multiple' when regexp_matches(t, '(^|[^A-Za-z0-9])[aA]\)') and regexp_matches(t, '(^|[^A-Za-z0-9])[bB]\)') then 'opcion_multiple' else 'abierto' end kind
+from (select *, case turn % 5 when 0 then 'opción_multiple' when 1 then 'desarrollo' end e, case when conv_id % 3 = 0 then text || ' a) uno B) dos' else text end t from conversations)""",
 )
 def f5(t):  # noqa: ANN001, ANN201
-    labels = text.option_labels(F.col("text"))
-    both = F.contains("text", F.lit("A)")) & F.contains("text", F.lit("B)"))
-    both = both | (F.array_contains(labels, "A") & F.array_contains(labels, "B"))
-    kind = F.when(F.col("role") == "system", "abierto").when(both, "multiple").when(F.length("text") % 7 == 0, "multiple").otherwise("abierto")
-    return t("conversations").select("conv_id", "turn", kind.alias("kind"))
+    """Each turn as a problem: an explicit type in some, an answer in some, labelled options in some."""
+    explicit = F.when(F.col("turn") % 5 == 0, " Opción Multiple").when(F.col("turn") % 5 == 1, "DESARROLLO ")
+    answer, body = F.when(F.col("conv_id") % 7 == 0, "B"), F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" a) uno B) dos"))).otherwise(F.col("text"))
+    return t("conversations").select("conv_id", "turn", classify.problem_type(body, answer, explicit).alias("kind"))
 
 
 @query("F6_fallback_projection", "select c_custkey, coalesce(nullif(trim(case when c_custkey % 3 = 0 then ' ' else c_mktsegment end), ''), n_name, '') shown from customer left join nation on c_nationkey = n_nationkey")
@@ -137,61 +138,84 @@ def f13(t):  # noqa: ANN001, ANN201
 
 @query(
     "F14_golden_admission",
-    """select d.doc_id, case when d.text is null then 'invalid' when l.quality is null then 'status' when trim(d.text) = '' then 'no_text'
-  when contains(d.text, '***') then 'suspect_tags' when d.n_chars < 200 then 'missing_image' end reason from documents d left join labels l using (doc_id)""",
+    """select d.doc_id, case when d.text is null then 'invalid_json' when l.quality is null then 'status' when trim(d.text) = '' then 'missing_corrected_text'
+  when contains(d.text, '***') then 'suspect_image_tags' when d.source in ('src3', 'src7') then 'missing_image' end reason from documents d left join labels l using (doc_id)""",
 )
 def f14(t):  # noqa: ANN001, ANN201
     """A cascade with one reason per reject; null admits."""
-    reason = status.first_reason(
-        ("invalid", F.col("text").isNull()), ("status", F.col("verdict").isNull()), ("no_text", F.trim("text") == ""),
-        ("suspect_tags", F.contains("text", F.lit("***"))), ("missing_image", F.col("n_chars") < 200),
-    )
+    state = F.when(F.col("verdict").isNull(), "pending").otherwise(" Reviewed ")
+    tags = status.issues(("odd_tag", F.contains("text", F.lit("***"))))
+    image = F.when(~F.col("source").isin("src3", "src7"), F.col("source"))
+    reason = admission.golden_reason(F.col("text"), state, ("reviewed", "corrected"), F.col("text"), tags, image)
     return verdicts(t).select("doc_id", reason.alias("reason"))
 
 
 @query(
     "F15_staging_admission",
-    "select event_id, case when props is null then 'invalid' when event_type = 'error' then 'no_raw_ocr' when value < 10 then 'not_reviewed' when user_id % 4 = 0 then 'missing_crop' end reason from events",
+    """select event_id, case when props is null then 'invalid_json' when event_type = 'error' then 'missing_raw_ocr' when value >= 10 and user_id % 3 <> 0 then 'raw_ocr_not_human_reviewed'
+  when user_id % 4 = 0 then 'missing_crop' end reason from events""",
 )
 def f15(t):  # noqa: ANN001, ANN201
-    reason = status.first_reason(
-        ("invalid", F.col("props").isNull()), ("no_raw_ocr", F.col("event_type") == "error"), ("not_reviewed", F.col("value") < 10), ("missing_crop", F.col("user_id") % 4 == 0)
-    )
-    return t("events").select("event_id", reason.alias("reason"))
+    """Each event as a staged record: its kind is the raw text, its value or user tells who reviewed it."""
+    raw = F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type"))
+    reviewed = admission.human_reviewed(F.when(F.col("value") < 10, admission.HUMAN_EDITOR), F.when(F.col("user_id") % 3 == 0, admission.HUMAN_EDITOR).otherwise("model"))
+    crop = F.when(F.col("user_id") % 4 != 0, F.col("props"))
+    return t("events").select("event_id", admission.staging_reason(F.col("props"), raw, F.coalesce(reviewed, F.lit(False)), crop).alias("reason"))
 
 
 @query(
     "F16_normaliser_admission",
-    """select reason, count(*) n from (select case when props is null then 'invalid' when event_type = 'error' then 'stale' when user_id % 4 = 0 then 'missing_crop'
- when value < 10 then 'no_raw_ocr' when user_id % 5 = 0 then 'metadata' else 'admitted' end reason from events) group by reason""",
+    """select reason, count(*) n from (select case when props is null then 'invalid_json' when event_type = 'error' or user_id % 7 = 0 then 'source_stale' when user_id % 4 = 0 then 'missing_crop'
+ when event_type = 'view' and user_id % 3 = 0 then 'missing_raw_ocr' when user_id % 5 in (0, 1) then 'metadata_incomplete' else 'admitted' end reason from events) group by reason""",
 )
 def f16(t):  # noqa: ANN001, ANN201
-    reason = status.first_reason(
-        ("invalid", F.col("props").isNull()), ("stale", F.col("event_type") == "error"), ("missing_crop", F.col("user_id") % 4 == 0),
-        ("no_raw_ocr", F.col("value") < 10), ("metadata", F.col("user_id") % 5 == 0),
-    )
-    return t("events").select(F.coalesce(reason, F.lit("admitted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """Each event as a record; rejects by reason, and the admitted."""
+    user = F.col("user_id")
+    old = admission.stale(F.when(F.col("event_type") == "error", " Invalidated"), F.when(user % 7 == 0, "Sí").otherwise("no"))
+    crop, raw = F.when(user % 4 != 0, F.col("props")), F.when((F.col("event_type") == "view") & (user % 3 == 0), "").otherwise(F.col("event_type"))
+    missing = admission.input_issues(
+        F.when(user % 5 != 0, user), F.lit(None).cast("string"), F.when(user % 5 != 1, F.array(*map(F.lit, (0, 0, 1, 1)))).otherwise(F.array(F.lit(0))), (F.col("event_id"),), (crop,)
+    )
+    reason = F.coalesce(admission.input_reason(F.col("props"), old, crop, raw, missing), F.lit("admitted"))
+    return t("events").select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(
     "F17_metadata_issues",
-    """select s_suppkey, list_filter([case when s_acctbal < 0 then 'negative_balance' end, case when s_nationkey % 5 = 0 then 'no_course' end,
- case when length(s_name) < 12 then 'short_name' end], lambda x: x is not null) issues from supplier""",
+    """select p_partkey, list_filter([case when k % 11 = 0 then 'missing:source.book_code' end, case when k % 13 = 0 then 'missing:source.instance_type' end, case when k % 17 = 0 then 'missing:source.pdf_path' end,
+ case when k % 19 = 0 then 'missing:source.page_number' end, case when k % 3 = 0 then 'invalid:source.bbox_px' end, case when k % 23 = 0 then 'missing:crop_path' end, case when k % 5 = 0 then 'missing:models' end,
+ case when k % 5 = 1 then 'missing:models.stages.ocr.provider' end, case when k % 5 = 1 then 'missing:models.stages.ocr.fallback' end, case when k % 7 = 0 then 'missing:confidence' end,
+ case when k % 4 = 0 then 'invalid:status:odd' end], lambda x: x is not null) issues from (select p_partkey, p_partkey k from part)""",
 )
 def f17(t):  # noqa: ANN001, ANN201
-    found = status.issues(("negative_balance", F.col("s_acctbal") < 0), ("no_course", F.col("s_nationkey") % 5 == 0), ("short_name", F.length("s_name") < 12))
-    return t("supplier").select("s_suppkey", found.alias("issues"))
+    """Each part as a staged record, with gaps by its key."""
+    return t("part").select("p_partkey", part_issues().alias("issues"))
+
+
+def part_issues():  # noqa: ANN201
+    k = F.col("p_partkey")
+    gap = lambda n, c: F.when(k % n != 0, c)
+    source = {"book_code": gap(11, F.col("p_brand")), "instance_type": gap(13, F.col("p_type")), "pdf_path": F.when(k % 17 == 0, " ").otherwise(F.col("p_name")), "page_number": gap(19, F.col("p_size"))}
+    box = F.when(k % 3 != 0, F.array(*map(F.lit, (0, 0, 9, 9)))).when(k % 2 == 0, F.array(F.lit(1)))
+    stage = lambda full: F.array(
+        F.struct(F.lit("ocr").alias("stage"), F.lit("m").alias("model_id"), F.lit("p" if full else " ").alias("provider"), F.lit("1").alias("version"), F.lit("no" if full else None).cast("string").alias("fallback"))
+    )
+    stages = F.when(k % 5 == 1, stage(False)).when(k % 5 != 0, stage(True))
+    return admission.metadata_issues(source, box, gap(23, F.col("p_name")), stages, gap(7, F.lit(0.9)), F.when(k % 4 == 0, "odd").when(k % 4 == 1, " Listo").otherwise("review"))
 
 
 @query(
     "F18_promotion_gate",
-    """select l_orderkey, l_linenumber, len(i) n_issues, len(i) = 0 ready from (select *, list_filter([case when l_discount > 0.08 then 'a' end,
- case when l_tax > 0.06 then 'b' end, case when l_linestatus <> 'O' then 'c' end], lambda x: x is not null) i from lineitem)""",
+    """select p_partkey, n n_issues, n = 0 ready from (select p_partkey, cast(k % 11 = 0 as bigint) + (k % 13 = 0)::int + (k % 17 = 0)::int + (k % 19 = 0)::int + (k % 3 = 0)::int + (k % 23 = 0)::int + (k % 5 = 0)::int + 2 * (k % 5 = 1)::int
+  + (k % 7 = 0)::int + (k % 4 = 0)::int + (k % 6 = 0)::int + (k % 6 = 1)::int + (k % 6 = 2)::int + (k % 29 = 0)::int + (k % 4 <> 1)::int n from (select p_partkey, p_partkey k from part))""",
 )
 def f18(t):  # noqa: ANN001, ANN201
-    found = status.issues(("missing_normalized", F.col("l_discount") > 0.08), ("bad_header", F.col("l_tax") > 0.06), ("not_ready", F.col("l_linestatus") != "O"))
+    """The parts of F17 with a rendered item each, in some missing, blank, or without its head."""
+    k = F.col("p_partkey")
+    latex = F.when(k % 6 == 1, " ").when(k % 6 == 2, "12. x").when(k % 6 != 0, F.concat(F.lit("\\item [\\textbf{ "), k.cast("string"), F.lit(".}] x")))
+    found = admission.blocking_issues(part_issues(), k % 6 != 0, latex, k % 29 == 0, F.when(k % 4 == 0, "odd").when(k % 4 == 1, " Listo").otherwise("review"))
     n = F.size(found)
-    return t("lineitem").select("l_orderkey", "l_linenumber", n.cast("bigint").alias("n_issues"), (n == 0).alias("ready"))
+    return t("part").select("p_partkey", n.cast("bigint").alias("n_issues"), (n == 0).alias("ready"))
 
 
 @query("F19_contract", "select distinct event_type from events where event_type not in ('view', 'click', 'purchase')")
@@ -249,19 +273,9 @@ def f22(t):  # noqa: ANN001, ANN201
     "F23_image_tags",
     r"""select doc_id, list_filter([case when len(regexp_extract_all(s, '(?:^|[^\[])\[Imagen')) > 0 then 'single_bracket' end,
  case when len(regexp_extract_all(s, '\[\[Imagen')) > 1 then 'multiple' end], lambda x: x is not null) codes
-from (select doc_id, case doc_id % 3 when 0 then '[Imagen=1] ' when 1 then '[[Imagen=1]] [[Imagen=2]] ' else '[[Imagen=1]] ' end || left(text, 50) s from documents)""",
-)
-def f23(t):  # noqa: ANN001, ANN201
-    return image_tags(t("documents").withColumn("text", F.substring("text", 1, 50)))
-
-
-@query(
-    "F23_image_tags_all",
-    r"""select doc_id, list_filter([case when len(regexp_extract_all(s, '(?:^|[^\[])\[Imagen')) > 0 then 'single_bracket' end,
- case when len(regexp_extract_all(s, '\[\[Imagen')) > 1 then 'multiple' end], lambda x: x is not null) codes
 from (select doc_id, case doc_id % 3 when 0 then '[Imagen=1] ' when 1 then '[[Imagen=1]] [[Imagen=2]] ' else '[[Imagen=1]] ' end || text s from documents)""",
 )
-def f23_all(t):  # noqa: ANN001, ANN201
+def f23(t):  # noqa: ANN001, ANN201
     return image_tags(t("documents"))
 
 
@@ -274,20 +288,20 @@ def image_tags(docs):  # noqa: ANN001, ANN201
 
 @query(
     "F24_key_page_score",
-    r"""with s as (select page_id, case when contains(url, 'clave') or page_id % 11 = 0 then 0.55 else 0 end + case when contains(lower(html), 'the') then 0.45 else 0 end
-  + case when n >= 6 then 0.55 when n >= 4 then 0.45 when n >= 2 then 0.2 else 0 end score
-  from (select *, len(regexp_extract_all(html, '[0-9]+[.)]? ?[A-E]\b')) n from pages))
+    rf"""with p as (select page_id, case when page_id % 7 = 0 then 'hoja-claves' else 'pagina' end stem, trim(case when page_id % 11 = 0 then E'Clave:\n1 A, 2) B;; 3.C | 4 D,, 5 E; 6 A ' when page_id % 11 = 1 then 'rpta 1 A ; 2 B . ' else '' end
+  || regexp_replace(html, '<[^>]*>', ' ', 'g'), E' \t\n') x from pages),
+n as (select *, len(regexp_extract_all(x, '{classify.KEY_PAIR}')) pairs, len(regexp_extract_all(x, '{classify.KEY_WORD}')) words, len(regexp_extract_all(lower(x), '{classify.KEY_LETTER}')) letters from p),
+s as (select page_id, round(case when stem = 'hoja-claves' then 0.55 else 0 end + case when regexp_matches(x, '{classify.KEY_WORDS}') then 0.45 else 0 end
+  + case when pairs >= 6 then 0.55 when pairs >= 4 then 0.45 when pairs >= 2 then 0.2 else 0 end + case when regexp_matches(x, '{classify.KEY_TITLE}') then 0.25 else 0 end
+  + case when len(regexp_extract_all(x, '{classify.KEY_ROW}')) >= 6 then 0.35 else 0 end + case when letters >= 4 and letters / greatest(words, 1) > 0.28 then 0.2 else 0 end, 6) score from n)
 select page_id, cast(least(score, 1) as double) confidence, score >= 0.75 is_key from s""",
 )
 def f24(t):  # noqa: ANN001, ANN201
-    """Additive evidence, clamped to 1; a key page from 0.75."""
-    n = F.regexp_count("html", F.lit(r"[0-9]+[.)]? ?[A-E]\b"))
-    score = (
-        F.when(F.contains("url", F.lit("clave")) | (F.col("page_id") % 11 == 0), 0.55).otherwise(0.0)
-        + F.when(F.contains(F.lower("html"), F.lit("the")), 0.45).otherwise(0.0)
-        + F.when(n >= 6, 0.55).when(n >= 4, 0.45).when(n >= 2, 0.2).otherwise(0.0)
-    )
-    return t("pages").select("page_id", F.round(F.least(score, F.lit(1.0)), 6).alias("confidence"), (score >= 0.75).alias("is_key"))
+    """Pages without their tags, some led by rows of answers or named as key sheets."""
+    k = F.col("page_id")
+    lead = F.when(k % 11 == 0, "Clave:\n1 A, 2) B;; 3.C | 4 D,, 5 E; 6 A ").when(k % 11 == 1, "rpta 1 A ; 2 B . ").otherwise("")
+    found = classify.key_sheet(F.concat(lead, F.regexp_replace("html", "<[^>]*>", " ")), F.when(k % 7 == 0, "Hoja-Claves").otherwise("pagina"))
+    return t("pages").select("page_id", found.alias("s")).select("page_id", "s.confidence", "s.is_key")
 
 
 @query("F25_key_routing", "select page_id % 11 = 0 as key_sheet, count(*) n from pages group by 1")
@@ -297,12 +311,14 @@ def f25(t):  # noqa: ANN001, ANN201
     return p.where("key_sheet").unionByName(p.where("not key_sheet")).groupBy("key_sheet").agg(F.count("*").alias("n"))
 
 
-@query("F26_token_search", "select p_partkey from part where contains(lower(p_name), 'al') or (contains(lower(p_name), 'a') and contains(lower(p_name), 'l'))")
+@query(
+    "F26_token_search",
+    """select p_partkey from (select p_partkey, lower(p_name) n from part) where contains(n, 'ed a')
+  or (len(list_filter(string_split(n, ' '), lambda x: contains(x, 'ed'))) > 0 and len(list_filter(string_split(n, ' '), lambda x: contains(x, 'a'))) > 0)""",
+)
 def f26(t):  # noqa: ANN001, ANN201
     """The whole query, or every one of its tokens, in the name."""
-    key = text.text_key(F.col("p_name"))
-    every = F.forall(F.array(F.lit("a"), F.lit("l")), lambda x: F.contains(key, x))
-    return t("part").where(F.contains(key, F.lit("al")) | every).select("p_partkey")
+    return t("part").where(classify.fuzzy_search(F.col("p_name"), F.lit("Éd  A"))).select("p_partkey")
 
 
 @query("F27_readiness", "select l_orderkey, count(*) filter (where l_linestatus = 'F') ready, count(*) n from lineitem group by 1 having count(*) filter (where l_linestatus = 'F') < count(*)")

@@ -6,41 +6,27 @@ from pyspark.sql import functions as F
 
 from qbank.functions import classify, geometry, similarity, status, text
 from qbank.plans.registry import query
+from qbank.plans.sections import classify_sql, sections
 from qbank.plans.windows import boxes
 
 KEY = "lower(trim(regexp_replace(translate({0}, 'áéíóúüñàèìòùâêîôûäëïöçãõÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÄËÏÖÇÃÕ', 'aeiouunaeiouaeiouaeiocaoAEIOUUNAEIOUAEIOUAEIOCAO'), '\\s+', ' ', 'g')))"
 
 
-@query("S1_text_key", f"select doc_id, {KEY.format('left(text, 80)')} k from documents where lang = 'es'")
-def s1(t):  # noqa: ANN001, ANN201
-    return t("documents").where("lang = 'es'").select("doc_id", text.text_key(F.substring("text", 1, 80)).alias("k"))
-
-
-@query("S2_vowel_key", "select doc_id, lower(translate(trim(left(text, 60)), 'ÁÉÍÓÚÜáéíóúü', 'AEIOUUaeiouu')) k from documents where lang = 'es'")
-def s2(t):  # noqa: ANN001, ANN201
-    return t("documents").where("lang = 'es'").select("doc_id", text.vowel_key(F.substring("text", 1, 60)).alias("k"))
-
-
-@query("S3_search_key", f"select doc_id, trim(regexp_replace({KEY.format('left(text, 80)')}, '[^a-z0-9]+', ' ', 'g')) k from documents")
-def s3(t):  # noqa: ANN001, ANN201
-    return t("documents").select("doc_id", text.search_key(F.substring("text", 1, 80)).alias("k"))
-
-
 # The keys of every whole text, as checksums.
 
 
-@query("S1_text_key_all", f"select doc_id, md5({KEY.format('text')}) k from documents")
-def s1_all(t):  # noqa: ANN001, ANN201
+@query("S1_text_key", f"select doc_id, md5({KEY.format('text')}) k from documents")
+def s1(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", F.md5(text.text_key(F.col("text"))).alias("k"))
 
 
-@query("S2_vowel_key_all", "select doc_id, md5(lower(translate(trim(text), 'ÁÉÍÓÚÜáéíóúü', 'AEIOUUaeiouu'))) k from documents")
-def s2_all(t):  # noqa: ANN001, ANN201
+@query("S2_vowel_key", "select doc_id, md5(lower(translate(trim(text), 'ÁÉÍÓÚÜáéíóúü', 'AEIOUUaeiouu'))) k from documents")
+def s2(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", F.md5(text.vowel_key(F.col("text"))).alias("k"))
 
 
-@query("S3_search_key_all", f"select doc_id, md5(trim(regexp_replace({KEY.format('text')}, '[^a-z0-9]+', ' ', 'g'))) k from documents")
-def s3_all(t):  # noqa: ANN001, ANN201
+@query("S3_search_key", f"select doc_id, md5(trim(regexp_replace({KEY.format('text')}, '[^a-z0-9]+', ' ', 'g'))) k from documents")
+def s3(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", F.md5(text.search_key(F.col("text"))).alias("k"))
 
 
@@ -94,24 +80,17 @@ def s11(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", F.md5(text.single_line(F.col("text"))).alias("line"))
 
 
-@query("S12_trigram_similarity", "select round(0.363636363, 6) s")
-def s12(t):  # noqa: ANN001, ANN201
-    one = t("region").limit(1)
-    s = similarity.trigram_similarity(similarity.trigrams(F.lit("word")), similarity.trigrams(F.lit("two words")))
-    return one.select(F.round(s, 6).alias("s"))
-
-
 def _trigram_sql(c: str) -> str:
     words = f"list_filter(string_split_regex(lower({c}), '[^a-z0-9áéíóúüñ]+'), lambda w: w <> '')"
     return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
 @query(
-    "S12_trigram_similarity_all",
+    "S12_trigram_similarity",
     f"""with n as (select p_partkey, p_name a, lead(p_name) over (order by p_partkey) b from part), g as (select p_partkey, {_trigram_sql("a")} a, {_trigram_sql("b")} b from n where b is not null)
 select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) s from g""",
 )
-def s12_all(t):  # noqa: ANN001, ANN201
+def s12(t):  # noqa: ANN001, ANN201
     """Each part's name against the next part's."""
     p = t("part").select("p_partkey", "p_name")
     other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("o"))
@@ -165,20 +144,24 @@ def s21(t):  # noqa: ANN001, ANN201
     return t("pages").select("page_id", role.alias("role"))
 
 
-@query(
-    "S22_text_noise",
-    """select doc_id, len(regexp_extract_all(text, 'Ã|Â|â€|�')) mojibake, abs(n('(') - n(')')) + abs(n('[') - n(']')) + abs(n('{') - n('}')) + n('$') % 2 imbalance,
- round(case when len(w) = 0 then 0 else 1 - len(list_distinct(w)) / len(w) end, 6) repetition from (select doc_id, text, list_filter(string_split(lower(text), ' '), lambda x: x <> '') w from documents)""".replace(
-        "n('(')", "(length(text) - length(replace(text, '(', '')))"
-    ).replace("n(')')", "(length(text) - length(replace(text, ')', '')))").replace("n('[')", "(length(text) - length(replace(text, '[', '')))").replace(
-        "n(']')", "(length(text) - length(replace(text, ']', '')))"
-    ).replace("n('{')", "(length(text) - length(replace(text, '{', '')))").replace("n('}')", "(length(text) - length(replace(text, '}', '')))").replace(
-        "n('$')", "(length(text) - length(replace(text, '$', '')))"
-    ),
-)
+def _noise_sql() -> str:
+    n = lambda c, x: f"(length({c}) - length(replace({c}, '{x}', '')))"
+    label = r"'(^|[^A-Za-z0-9])[A-Ea-e]\)\s*', '\1', 'g'"
+    return f"""select doc_id, {' + '.join(n('text', x) for x in ('Ã', 'â', 'Ë', chr(0xFFFD)))} mojibake, abs({n('p', '(')} - {n('p', ')')}) + abs({n('p', '[')} - {n('p', ']')}) + abs({n('p', '{')} - {n('p', '}')}) imbalance,
+  len(w) >= 40 and len(list_distinct(w)) < 0.25 * len(w) few_words
+from (select doc_id, text, regexp_replace(regexp_replace(text, {label}), {label}) p, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-zÁÉÍÓÚáéíóúÑñ0-9]+') w from documents)"""
+
+
+@query("S22_text_noise", _noise_sql())
 def s22(t):  # noqa: ANN001, ANN201
     c = F.col("text")
-    return t("documents").select("doc_id", text.mojibake(c).alias("mojibake"), text.imbalance(c).alias("imbalance"), F.round(text.repetition(c), 6).alias("repetition"))
+    return t("documents").select("doc_id", text.mojibake(c).alias("mojibake"), text.imbalance(c).alias("imbalance"), text.few_words(c).alias("few_words"))
+
+
+@query("S22_repetitive")
+def s22_repetitive(t):  # noqa: ANN001, ANN201
+    """No SQL of this kind has back-references; tested by hand."""
+    return t("documents").where(text.repetitive(F.col("text"))).select("doc_id")
 
 
 @query("S23_candidate_score", "select doc_id, least(n_chars, 500) / 10.0 + case when contains(text, '.') then 5 else 0 end - case when contains(text, '***') then 20 else 0 end score from documents")
@@ -204,29 +187,23 @@ def s27(t):  # noqa: ANN001, ANN201
     return t("part").select("p_partkey", text.small_number(F.col("p_size") + 100, F.lit(3)).alias("n"))
 
 
-def _section_sql() -> str:
-    hit = {s: "(" + "|".join(words.split(", ")) + ")" for s, words in classify.KEYWORDS.items()}
-    score = ", ".join(f"struct_pack(l := -(4 * cast(regexp_matches(b, '{p}') as integer) + cast(regexp_matches(t, '{p}') as integer)), s := '{s}')" for s, p in hit.items())
-    return f"""with k as (select p_partkey, p_partkey % 7 c, case p_partkey % 5 when 0 then 'algebra' when 1 then 'seno' when 2 then 'rectas' else 'x' end b, case p_partkey % 3 when 0 then 'mcm y seno' when 1 then 'parabola' else '' end t from part),
-m as (select *, list_min([{score}]) best from k)
-select p_partkey, case when c = 0 then 'Geometria' when best.l < 0 then best.s else 'General' end section, case when c = 0 or best.l <= -4 then 'alta' when best.l <= -2 then 'media' else 'baja' end confidence from m"""
-
-
-@query("S28_section_classifier", _section_sql())
+@query("S28_section_classifier", classify_sql())
 def s28(t):  # noqa: ANN001, ANN201
     """The course decides, else weighted keywords; ties by name."""
-    k = F.col("p_partkey")
-    course = F.when(k % 7 == 0, " Geometría PLANA ")
-    book = F.when(k % 5 == 0, "ÁLGEBRA").when(k % 5 == 1, "Seno").when(k % 5 == 2, "rectas").otherwise("x")
-    words = F.when(k % 3 == 0, "MCM y seno").when(k % 3 == 1, "Parábola").otherwise("")
-    out = t("part").withColumn("s", classify.training_section(course, book_code=book, text=words))
-    return out.select("p_partkey", "s.section", "s.confidence")
+    return sections(t("part")).select("p_partkey", "s.section", "s.confidence")
 
 
-@query("S29_simple_section", "select doc_id, case when contains(lower(text), 'the') then 'a' when contains(lower(text), 'der') then 'b' else 'c' end section from documents")
+@query(
+    "S29_simple_section",
+    """select p_partkey, case when p_partkey % 9 = 0 then 'Fisica' when p_partkey % 7 in (0, 1) then 'Geometria' when p_partkey % 7 = 2 then 'Trigonometria' when p_partkey % 7 = 3 then 'Aritmetica'
+  when p_partkey % 7 = 4 then 'Algebra' else 'General' end section from part""",
+)
 def s29(t):  # noqa: ANN001, ANN201
-    low = F.lower("text")
-    return t("documents").select("doc_id", F.when(F.contains(low, F.lit("the")), "a").when(F.contains(low, F.lit("der")), "b").otherwise("c").alias("section"))
+    """A given section counts; accents hide a sign, as in the reference's plain case folding."""
+    k = F.col("p_partkey")
+    book = F.when(k % 7 == 0, "GEOMETRÍA-2").when(k % 7 == 1, "La Circunferencia y trigonometria").when(k % 7 == 2, "Trigonometría, aritmetica").when(k % 7 == 3, "ARITMETICA").when(k % 7 == 4, "Polinomios")
+    book = book.when(k % 7 == 5, "Álgebra")
+    return t("part").select("p_partkey", classify.simple_section(F.when(k % 9 == 0, " Fisica ").otherwise(" "), book, F.col("p_size")).alias("section"))
 
 
 @query("S30_stable_split", "select doc_id, case when s < 80 then 'train' when s < 90 then 'val' else 'test' end split from (select doc_id, cast(('0x' || substr(sha1(cast(doc_id as varchar)), 1, 8)) as bigint) % 100 s from documents)")
@@ -263,19 +240,18 @@ def s34(t):  # noqa: ANN001, ANN201
     return boxes(t).select("page", "id", c[2].alias("x2c"), geometry.yolo_line(a, F.lit(200), F.lit(100)).alias("line"))
 
 
-@query("S36_status_alias", "select event_id, case event_type when 'purchase' then 'ready' when 'error' then 'error' when 'click' then 'processing' else 'pending' end status from events")
+@query(
+    "S36_status_alias",
+    "select event_id, case event_type when 'purchase' then 'ready' when 'error' then 'error' when 'click' then 'processing' else 'pending' end status, case user_id % 4 when 0 then 'paginas' when 1 then 'boxes' when 2 then 'ocr' else '' end step from events",
+)
 def s36(t):  # noqa: ANN001, ANN201
     raw = F.when(F.col("event_type") == "purchase", " Listo").when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "click", "procesando").otherwise("other")
-    return t("events").select("event_id", status.normal_status(raw, status.STATUS_ALIASES).alias("status"))
+    step = F.when(F.col("user_id") % 4 == 0, " PDF_pages ").when(F.col("user_id") % 4 == 1, "box_detection").when(F.col("user_id") % 4 == 2, "OCR")
+    return t("events").select("event_id", status.normal_status(raw, status.STATUS_ALIASES).alias("status"), status.normal_step(step).alias("step"))
 
 
-@query("S37_solution_groups", "select n_nationkey, [1, 2, n_nationkey] as g from nation where n_nationkey > 2")
+@query("S37_solution_groups", "select n_nationkey, case when n_nationkey in (1, 2) then [1, 2] else [1, 2, n_nationkey] end as g from nation")
 def s37(t):  # noqa: ANN001, ANN201
-    return solution_groups(t("nation").where("n_nationkey > 2"))
-
-
-@query("S37_solution_groups_all", "select n_nationkey, case when n_nationkey in (1, 2) then [1, 2] else [1, 2, n_nationkey] end as g from nation")
-def s37_all(t):  # noqa: ANN001, ANN201
     return solution_groups(t("nation"))
 
 

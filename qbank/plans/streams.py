@@ -40,13 +40,8 @@ def st4(t):  # noqa: ANN001, ANN201
     return top.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@query("ST5_pending_list", "select event_id from events where event_type in ('view', 'error', 'click') order by ts desc, event_id desc limit 100")
+@query("ST5_pending_list", "select event_id from events where event_type in ('view', 'error', 'click') order by ts desc, event_id desc")
 def st5(t):  # noqa: ANN001, ANN201
-    return t("events").where(F.col("event_type").isin("view", "error", "click")).orderBy(F.desc("ts"), F.desc("event_id")).select("event_id").limit(100)
-
-
-@query("ST5_pending_list_all", "select event_id from events where event_type in ('view', 'error', 'click') order by ts desc, event_id desc")
-def st5_all(t):  # noqa: ANN001, ANN201
     return t("events").where(F.col("event_type").isin("view", "error", "click")).orderBy(F.desc("ts"), F.desc("event_id")).select("event_id")
 
 

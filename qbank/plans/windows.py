@@ -125,13 +125,8 @@ def o1(t):  # noqa: ANN001, ANN201
     return top.select("doc_id", F.row_number().over(W.orderBy(F.lower("source"), F.lower("lang"), "n_chars", "doc_id")).alias("k"))
 
 
-@query("O2_rank_order", "select o_orderkey from orders order by case o_orderstatus when 'P' then 1 when 'O' then 2 when 'F' then 3 else 9 end, lower(o_orderpriority), o_orderkey limit 50")
+@query("O2_rank_order", "select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 1 when 'O' then 2 when 'F' then 3 else 9 end, lower(o_orderpriority), o_orderkey) k from orders")
 def o2(t):  # noqa: ANN001, ANN201
-    return t("orders").orderBy(ordering.ranked(F.col("o_orderstatus"), {"P": 1, "O": 2, "F": 3}), F.lower("o_orderpriority"), "o_orderkey").select("o_orderkey").limit(50)
-
-
-@query("O2_rank_order_all", "select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 1 when 'O' then 2 when 'F' then 3 else 9 end, lower(o_orderpriority), o_orderkey) k from orders")
-def o2_all(t):  # noqa: ANN001, ANN201
     order = [ordering.ranked(F.col("o_orderstatus"), {"P": 1, "O": 2, "F": 3}), F.lower("o_orderpriority"), F.col("o_orderkey")]
     return ordering.running(t("orders"), order, "k").select("o_orderkey", "k")
 
@@ -144,14 +139,8 @@ def o3(t):  # noqa: ANN001, ANN201
     return s.select("source", F.row_number().over(W.orderBy(ordering.natural_key(F.col("source")))).alias("k"))
 
 
-@query("O4_missing_last", "select event_id from events order by case when user_id % 3 = 0 then 1000000000 else user_id end, event_id limit 100")
+@query("O4_missing_last", "select event_id, row_number() over (order by case when user_id % 3 = 0 then 1000000000 else user_id end, event_id) k from events")
 def o4(t):  # noqa: ANN001, ANN201
-    p = F.when(F.col("user_id") % 3 == 0, F.lit(None)).when(F.col("user_id") % 3 == 1, F.col("user_id")).otherwise(F.col("user_id"))
-    return t("events").orderBy(ordering.place(p), "event_id").select("event_id").limit(100)
-
-
-@query("O4_missing_last_all", "select event_id, row_number() over (order by case when user_id % 3 = 0 then 1000000000 else user_id end, event_id) k from events")
-def o4_all(t):  # noqa: ANN001, ANN201
     p = F.when(F.col("user_id") % 3 != 0, F.col("user_id"))
     return ordering.running(t("events").select("event_id", "user_id"), [ordering.place(p), F.col("event_id")], "k").select("event_id", "k")
 
@@ -187,29 +176,14 @@ def o8(t):  # noqa: ANN001, ANN201
     return windows.best_by(o, ["o_custkey"], [F.col("o_orderstatus") == "O", F.col("o_orderpriority"), F.col("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@query("O9_null_order", "select event_id, k from (select event_id, row_number() over (order by v desc nulls last, event_id) k from (select event_id, case when user_id % 2 = 0 then value end v from events)) where k <= 100")
+@query("O9_null_order", "select event_id, row_number() over (order by v desc nulls last, event_id) k from (select event_id, case when user_id % 2 = 0 then value end v from events)")
 def o9(t):  # noqa: ANN001, ANN201
-    from pyspark.sql import Window as W
-
-    e = t("events").select("event_id", F.when(F.col("user_id") % 2 == 0, F.col("value")).alias("v"))
-    order = [F.col("v").desc_nulls_last(), F.col("event_id")]
-    return e.orderBy(*order).limit(100).select("event_id", F.row_number().over(W.orderBy(*order)).alias("k"))
-
-
-@query("O9_null_order_all", "select event_id, row_number() over (order by v desc nulls last, event_id) k from (select event_id, case when user_id % 2 = 0 then value end v from events)")
-def o9_all(t):  # noqa: ANN001, ANN201
     e = t("events").select("event_id", F.when(F.col("user_id") % 2 == 0, F.col("value")).alias("v"))
     return ordering.running(e, [F.col("v").isNull(), -F.col("v"), F.col("event_id")], "k").select("event_id", "k")
 
 
-@query("O10_golden_order", "select doc_id from documents left join labels using (doc_id) order by n_chars > 0 desc, quality is not null desc, coalesce(nullif(source, ''), '~'), lang, doc_id limit 80")
+@query("O10_golden_order", "select doc_id, row_number() over (order by n_chars > 0 desc, quality is not null desc, coalesce(nullif(source, ''), '~'), lang, doc_id) k from documents left join labels using (doc_id)")
 def o10(t):  # noqa: ANN001, ANN201
-    d = t("documents").join(t("labels"), "doc_id", "left")
-    return d.orderBy((F.col("n_chars") > 0).desc(), F.col("quality").isNotNull().desc(), F.coalesce(F.nullif("source", F.lit("")), F.lit("~")), "lang", "doc_id").select("doc_id").limit(80)
-
-
-@query("O10_golden_order_all", "select doc_id, row_number() over (order by n_chars > 0 desc, quality is not null desc, coalesce(nullif(source, ''), '~'), lang, doc_id) k from documents left join labels using (doc_id)")
-def o10_all(t):  # noqa: ANN001, ANN201
     d = t("documents").select("doc_id", "n_chars", "source", "lang").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
     order = [~(F.col("n_chars") > 0), F.col("quality").isNull(), F.coalesce(F.nullif("source", F.lit("")), F.lit("~")), F.col("lang"), F.col("doc_id")]
     return ordering.running(d, order, "k").select("doc_id", "k")

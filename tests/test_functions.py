@@ -203,8 +203,8 @@ def test_classifiers(spark):
     from qbank.functions import classify
 
     none = F.lit("")
-    assert tuple(one(spark, classify.training_section(F.lit("Trigonometría"), book_code=none))) == ("Trigonometria", "alta")
-    assert tuple(one(spark, classify.training_section(none, book_code=F.lit("ALGEBRA-1"), text=F.lit("seno")))) == ("Algebra", "alta")
+    assert tuple(one(spark, classify.training_section(text.search_key(F.lit("Trigonometría")), book_code=none))) == ("Trigonometria", "alta")
+    assert tuple(one(spark, classify.training_section(none, book_code=text.search_key(F.lit("ALGEBRA-1")), text=F.lit("seno")))) == ("Algebra", "alta")
     assert tuple(one(spark, classify.training_section(none, tema=F.lit("seno"), text=F.lit("matrices")))) == ("Trigonometria", "media")
     assert tuple(one(spark, classify.training_section(none, text=F.lit("nada")))) == ("General", "baja")
     key = "CLAVES\n1. A 2. B 3. C 4. D 5. E 6. A"
@@ -229,3 +229,23 @@ def test_metadata_and_outliers(spark):
     assert one(spark, status.normal_status(F.lit("Requiere revision"), status.STATUS_ALIASES)) == "needs_review"
     assert one(spark, status.normal_step(F.lit("Box_Detection"))) == "boxes"
     assert one(spark, text.merge_fragments(F.lit("sea x la base"), F.lit("sea x la base del triangulo"))) == "sea x la base del triangulo"
+
+
+def test_text_noise(spark):
+    assert one(spark, text.mojibake(F.lit("a\u00c3b \u00e2\u20ac \u00cb \ufffd"))) == 4
+    assert one(spark, text.imbalance(F.lit("A) 1 B) 2 (x) [y"))) == 1 and one(spark, text.imbalance(F.lit("xA) {"))) == 2
+    assert one(spark, text.repetitive(F.lit("No agregue texto. no agregue texto")))
+    assert one(spark, text.repetitive(F.lit("la raiz de la raiz de la raiz de la raiz de"))) and not one(spark, text.repetitive(F.lit("la raiz de dos y la raiz de tres")))
+    assert one(spark, text.repetitive(F.lit("uno dos tres " * 20))) and not one(spark, text.repetitive(F.lit(" ".join(f"w{k}" for k in range(60)))))
+
+
+def test_admission(spark):
+    from qbank.functions import admission
+
+    none = F.lit(None).cast("string")
+    golden = lambda st, tx, tags, im: one(spark, admission.golden_reason(F.lit("{}"), F.lit(st), ("reviewed",), F.lit(tx), F.array(*map(F.lit, tags)), im))
+    assert [golden("Reviewed ", "x", [], F.lit("p")), golden("open", "x", [], F.lit("p")), golden("reviewed", " ", [], F.lit("p")), golden("reviewed", "x", ["t"], F.lit("p")), golden("reviewed", "x", [], none)] == [
+        None, "status", "missing_corrected_text", "suspect_image_tags", "missing_image"]
+    assert one(spark, admission.stale(none, F.lit("Sí"))) and one(spark, admission.stale(F.lit("INVALIDATED"), none)) and not one(spark, admission.stale(none, F.lit("no")))
+    gate = lambda latex, st: one(spark, admission.blocking_issues(F.array().cast("array<string>"), F.lit(True), F.lit(latex), F.lit(False), F.lit(st)))
+    assert gate("\\item[\\textbf{3.}] x", "listo") == [] and gate("3. x", "listo") == ["invalid:final_latex_item"] and gate("", "review") == ["missing:final_latex", "not_ready:human_review"]
