@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import count
@@ -200,7 +201,8 @@ class Model:
         if None in found:
             get = self.cache.get
             found = [x if x is not None else get(w) or self._word(w) for w, x in zip(words, found, strict=True)]
-        ids = np.frombuffer(b"".join([x[0] for x in found]), "<u4")
+        self.parts = [x[0] for x in found]
+        ids = np.frombuffer(b"".join(self.parts), "<u4")
         score = float(self.scores[ids].sum())
         if n == 1 or not words:
             return ids, [score] if words else [], words, []
@@ -234,8 +236,7 @@ class Model:
             )
         if len(combos) == 1:
             return [ids.tobytes()], scores[:1]
-        base = [(self.cache.get(w) or self._word(w))[0] for w in words]
-        out = []
+        base, out = self.parts, []
         for _, pick in combos:
             own = base.copy()
             for k, i in zip(places, pick, strict=True):
@@ -263,40 +264,44 @@ def model(path: str) -> Model:
     return _loaded[path]
 
 
-def encoded(docs: DataFrame, path: str = "piece_bpe_32k.model", n: int = 4) -> DataFrame:
-    """``doc_id, ids, nbest_ids, nbest_scores, decoded``: best ids (32-bit), the n best segmentations with their scores, the text decoded again."""
+def encoded(docs: DataFrame, path: str = "piece_bpe_32k.model", n: int = 4, checksums: bool = False) -> DataFrame:
+    """``doc_id, ids, nbest_ids, nbest_scores, decoded``: best ids (32-bit), the n best segmentations with their scores, the text decoded again.
+
+    With ``checksums``, ``nbest_crc32`` takes the place of ``nbest_ids``.
+    """
+    name, of_java, of_arrow = ("nbest_crc32", "array<long>", pa.list_(pa.int64())) if checksums else ("nbest_ids", "array<binary>", pa.list_(pa.binary()))
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for whole in got:
-            for at in range(0, whole.num_rows, 64):
-                b = whole.slice(at, 64)
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
                 ids, best, scores, back = [], [], [], []
                 for text in b.column(1).to_pylist():
                     own, score = m.n_best_ids(text, n)
                     ids.append(own[0] if own else b"")
-                    best.append(own)
+                    best.append([zlib.crc32(x) for x in own] if checksums else own)
                     scores.append(score)
                     back.append(m.decode(np.frombuffer(ids[-1], "<u4")) if own else "")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0), pa.array(ids, pa.binary()), pa.array(best, pa.list_(pa.binary())),
+                        b.column(0), pa.array(ids, pa.binary()), pa.array(best, of_arrow),
                         pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string()),
                     ],
-                    names=["doc_id", "ids", "nbest_ids", "nbest_scores", "decoded"],
+                    names=["doc_id", "ids", name, "nbest_scores", "decoded"],
                 )
 
     rows = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, nbest_ids array<binary>, nbest_scores array<double>, decoded string")
+    return rows.mapInArrow(run, f"doc_id long, ids binary, {name} {of_java}, nbest_scores array<double>, decoded string")
 
 
 def digest(docs: DataFrame, path: str = "piece_bpe_32k.model", n: int = 4) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, nbest_crc32, nbest_scores, decoded_md5``."""
-    return encoded(docs, path, n).select(
+    return encoded(docs, path, n, checksums=True).select(
         "doc_id",
         F.floor(F.length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),
-        F.transform("nbest_ids", F.crc32).alias("nbest_crc32"),
+        "nbest_crc32",
         "nbest_scores",
         F.md5("decoded").alias("decoded_md5"),
     )

@@ -231,6 +231,13 @@ def test_sentencepiece(spark, odd, empty):
 # -- 4 ---------------------------------------------------------------------------
 
 
+def test_sentencepiece_digest(spark, odd):
+    """The query's checksums are those of the segmentations that the operator returns, best first."""
+    want = sorted((r.doc_id, [zlib.crc32(x) for x in r.nbest_ids], r.nbest_scores) for r in sentencepiece_nbest.encoded(odd).collect())
+    got = sorted((r.doc_id, r.nbest_crc32, r.nbest_scores) for r in sentencepiece_nbest.digest(odd).collect())
+    assert got == want and all(s == sorted(s, reverse=True) for _, _, s in got) and any(len(c) == 4 for _, c, _ in got)
+
+
 def brute_components(texts):
     sets = []
     for _, t in texts:
