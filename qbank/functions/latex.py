@@ -14,7 +14,9 @@ MACROS = {
     "α": r"\alpha", "β": r"\beta", "θ": r"\theta", "∈": r"\in", "∪": r"\cup", "∩": r"\cap", "→": r"\to", "·": r"\cdot", "°": r"^{\circ}",
 }
 ESCAPED = re.compile(r"(?<!\\)[%&#]")
-OPTION = re.compile(r"(?:^|[\s(£æ])([A-E])\)")
+OPTION = re.compile(r"(?<![A-Za-z0-9])([A-E])\)")
+#: A statement ahead of its options is longer than this, and what stands for a missing option.
+SHORTEST, MISSING = 8, ("", "...")
 
 
 def normalise(text: str) -> tuple[str, list[str]]:
@@ -50,17 +52,19 @@ def normalised(text: pd.Series) -> pd.DataFrame:
 
 
 def split_options(text: str) -> tuple[str, dict[str, str]]:
-    """The statement and the options A) to E) behind it, found in order; fewer than two are none."""
-    marks, wanted = [], iter("ABCDE")
-    label = next(wanted)
-    for m in OPTION.finditer(text):
-        if label is not None and m[1] == label:
-            marks.append((label, m.start(1), m.end()))
-            label = next(wanted, None)
-    if len(marks) < 2:
+    """The statement and its options: each label's first mark behind the marks before it, those not found skipped.
+
+    Without A), B) and C), or with an A) at the very start, there are none, and the text stays as it is.
+    """
+    marks: list[tuple[str, int, int]] = []
+    for label in "ABCDE":
+        behind = marks[-1][2] if marks else 0
+        marks += [(label, m.start(), m.end()) for m in OPTION.finditer(text, behind) if m[1] == label][:1]
+    if "".join(m[0] for m in marks)[:3] != "ABC" or marks[0][1] <= SHORTEST:
         return text, {}
     ends = [m[1] for m in marks[1:]] + [len(text)]
-    return text[: marks[0][1]].rstrip(" (£æ"), {m[0]: text[m[2] : e].strip(" £æ\n") for m, e in zip(marks, ends, strict=True)}
+    values = {m[0]: " ".join(re.sub("[£æ]", " ", text[m[2] : end]).split()).strip(" -:;") for m, end in zip(marks, ends, strict=True)}
+    return " ".join(text[: marks[0][1]].rstrip(" £æ").split()), {k: v for k, v in values.items() if v not in MISSING}
 
 
 @F.pandas_udf(T.StructType([T.StructField("statement", T.StringType()), T.StructField("options", T.MapType(T.StringType(), T.StringType()))]))

@@ -148,21 +148,32 @@ def label_recall(target: Column, got: Column) -> Column:
     return F.when(F.size(want) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(want, option_labels(got))) / F.size(want))
 
 
+#: What counts as a token or an anchor of a statement, the letters that are tokens alone, and the shares that make two statements one.
+TOKEN, ANCHOR = r"[a-z0-9\\]+", r"[A-Za-z]\s*\([^)]{0,16}\)"
+LONE_TOKENS = ("x", "y", "f", "g", "h")
+SAME_SHARE, ANCHORED_SHARE, LONGER = 0.72, 0.55, 1.1
+
+
 def merge_fragments(a: Column, b: Column) -> Column:
-    """One statement of two by containment, length and token overlap, else both joined."""
-    ka, kb = F.split(search_key(a), " "), F.split(search_key(b), " ")
-    both = F.size(F.array_intersect(ka, kb))
-    least = F.least(F.size(F.array_distinct(ka)), F.size(F.array_distinct(kb)))
-    share = F.when(least > 0, both / least).otherwise(F.lit(0.0))
-    anchor = F.get(ka, F.lit(0)) == F.get(kb, F.lit(0))
-    longer = F.when(F.length(b) >= 1.1 * F.length(a), b).otherwise(a)
+    """One statement of two: the one that contains the other, the first if tokens overlap enough, else both joined.
+
+    A fragment that contains the first one replaces it only if clearly longer.
+    """
+    white = F.lit(" \t\r\n")
+    a, b = F.btrim(F.coalesce(a, F.lit("")), white), F.btrim(F.coalesce(b, F.lit("")), white)
+    ka, kb = text_key(a), text_key(b)
+    tokens = lambda k: F.array_distinct(
+        F.filter(F.regexp_extract_all(k, F.lit(TOKEN), 0), lambda x: (F.length(x) > 1) | x.isin(*LONE_TOKENS))
+    )
+    anchors = lambda c: F.transform(F.regexp_extract_all(c, F.lit(ANCHOR), 0), text_key)
+    ta, tb = tokens(ka), tokens(kb)
+    share = F.try_divide(F.size(F.array_intersect(ta, tb)), F.least(F.size(ta), F.size(tb)))
     return (
-        F.when(F.trim(a) == "", b)
-        .when(F.trim(b) == "", a)
-        .when(F.contains(search_key(a), search_key(b)), a)
-        .when(F.contains(search_key(b), search_key(a)), longer)
-        .when((share >= 0.72) | (anchor & (share >= 0.55)), a)
-        .otherwise(F.concat_ws(" ", F.trim(a), F.trim(b)))
+        F.when(ka == "", b)
+        .when((kb == "") | F.contains(ka, kb), a)
+        .when(F.contains(kb, ka) & (F.length(kb) > F.floor(LONGER * F.length(ka))), b)
+        .when((share >= SAME_SHARE) | (F.arrays_overlap(anchors(a), anchors(b)) & (share >= ANCHORED_SHARE)), a)
+        .otherwise(F.concat(a, F.lit(" "), b))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qbank.functions import admission, classify, status, text
+from qbank.functions import admission, classify, rendered, status, text
 from qbank.plans.registry import query
 
 #: labels.quality as a verdict: 1 good, 0 bad, absent unreviewed.
@@ -255,18 +255,42 @@ def f21(t):  # noqa: ANN001, ANN201
     return t("conversations").select("conv_id", "turn", found.alias("codes"))
 
 
-@query(
-    "F22_rendered_validation",
-    r"""select doc_id, list_filter([case when not regexp_matches(text, '^\\item') then 'header' end, case when contains(text, '[[') then 'tags' end,
- case when (length(text) - length(replace(text, '$', ''))) % 2 = 1 then 'dollar_parity' end,
- case when regexp_matches(text, '[%&#]') then 'unescaped' end], lambda x: x is not null) codes from documents""",
-)
+_GOOD_OPTIONS = "£A)$1$æB)$2$æC)$3$£D)$4$ææE)$5$£"
+
+
+def _rendered_sql() -> str:
+    codes = {
+        "header_item_invalido": r"not regexp_matches(c, '^\\item\[\s*\\textbf\{[0-9]+\.\}\s*\]')", "tag_curso_faltante": r"not regexp_matches(c, '\[\[curso=[^\]]+\]\]')",
+        "tag_tema_faltante": r"not regexp_matches(c, '\[\[tema=[^\]]+\]\]')", "palabra_opciones_prohibida": "contains(lower(c), 'opciones')",
+        "patron_opciones_invalido": r"not regexp_matches(c, '(?s)£A\)\$.*?\$æB\)\$.*?\$æC\)\$.*?\$£D\)\$.*?\$ææE\)\$.*?\$£$')",
+        "unicode_math_sin_normalizar": "regexp_matches(c, '[°∠⊥∥×÷≤≥≠≈∞α-ω]')", "math_delimiters_desbalanceados": "len(parts) % 2 = 0",
+        "latex_special_sin_escape": r"""len(list_filter(list_filter(parts, lambda x, i: i % 2 = 1),
+          lambda x: regexp_matches(regexp_replace(x, '\[\[[^\]]+\]\]|\\[A-Za-z]+\*?', ' ', 'g'), '(^|[^\\])[#%&_~^]'))) > 0""",
+        "potencia_fuera_de_modo_math": r"regexp_matches(c, '\\textasciicircum\{\}[A-Za-z0-9{]')", "simbolos_unicode_no_mapeados": r"regexp_matches(c, '[^\x00-\x7F£æ]')",
+        "imagen_tag_faltante": "has and image = 0", "imagen_tag_incorrecto": "has and image > 0 and not contains(c, ' [[Imagen=img-' || doc_id || ']]')",
+        "imagen_tag_fuera_de_posicion": "has and image > 0 and options > 0 and image >= options", "imagen_tag_prohibido": "not has and image > 0",
+    }
+    cases = ", ".join(f"case when {when} then '{code}' end" for code, when in codes.items())
+    return rf"""with r as (select doc_id, doc_id % 2 = 0 has, trim(case when doc_id % 5 = 0 then '' else '\item[\textbf{{' || doc_id || '.}}]' end || case when doc_id % 7 = 1 then '' else '[[curso=x_1]]' end
+  || case when doc_id % 11 = 2 then '' else '[[tema=y]]' end || ' ' || coalesce(text, '') || case doc_id % 6 when 0 then ' [[Imagen=img-' || doc_id || ']]' when 1 then ' [[Imagen=img-0]]' when 2 then '' when 3 then ' \$5 y 5\% de $a_1$'
+  when 4 then ' a_1 × \textasciicircum{{}}2 $' else ' Opciones:' end || case doc_id % 4 when 0 then '£A) 1' when 1 then '' else '{_GOOD_OPTIONS}' end || case when doc_id % 9 = 4 then ' [[Imagen=img-' || doc_id || ']]' else '' end,
+  ' ' || chr(9) || chr(10) || chr(13)) c from documents),
+s as (select *, string_split(regexp_replace(c, '(^|[^\\])((?:\\\\)*)\\\$', '\1\2' || chr(1), 'g'), '$') parts, strpos(c, '[[Imagen=') image, strpos(c, '£A)') options from r)
+select doc_id, list_filter([{cases}], lambda x: x is not null) codes from s"""
+
+
+@query("F22_rendered_validation", _rendered_sql())
 def f22(t):  # noqa: ANN001, ANN201
-    odd = (F.length("text") - F.length(F.replace("text", F.lit("$"), F.lit("")))) % 2 == 1
-    found = status.issues(
-        ("header", ~F.rlike("text", F.lit(r"^\\item"))), ("tags", F.contains("text", F.lit("[["))), ("dollar_parity", odd), ("unescaped", F.rlike("text", F.lit("[%&#]")))
-    )
-    return t("documents").select("doc_id", found.alias("codes"))
+    """Whole documents as statements of rendered items, with faults put in by their ids."""
+    d, own = F.col("doc_id"), F.concat(F.lit(" [[Imagen=img-"), F.col("doc_id").cast("string"), F.lit("]]"))
+    head = F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("\\item[\\textbf{"), d.cast("string"), F.lit(".}]")))
+    tags = F.concat(F.when(d % 7 == 1, "").otherwise("[[curso=x_1]]"), F.when(d % 11 == 2, "").otherwise("[[tema=y]]"))
+    k = d % 6
+    fault = F.when(k == 0, own).when(k == 1, " [[Imagen=img-0]]").when(k == 2, "").when(k == 3, " \\$5 y 5\\% de $a_1$").when(k == 4, " a_1 × \\textasciicircum{}2 $").otherwise(" Opciones:")
+    options = F.when(d % 4 == 0, "£A) 1").when(d % 4 == 1, "").otherwise(_GOOD_OPTIONS)
+    late = F.when(d % 9 == 4, own).otherwise("")
+    item = F.concat(head, tags, F.lit(" "), F.coalesce("text", F.lit("")), fault, options, late)
+    return t("documents").select("doc_id", item.alias("c")).select("doc_id", rendered.rendered_issues(F.col("c"), d, d % 2 == 0).alias("codes"))
 
 
 @query(

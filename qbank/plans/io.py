@@ -107,10 +107,21 @@ def snk6(t):  # noqa: ANN001, ANN201
     return writers.yolo_labels(b, t("orders").select(F.col("o_orderkey").alias("page")), "page", F.lit(200), F.lit(200))
 
 
-@query("S19_option_split")
+@query(
+    "S19_option_split",
+    """select p_partkey, case when ok then p_name else t end statement, case when ok then p_type end a, case when ok and k <> 1 then '2 x' end b, case when ok and k in (0, 3) then 'cinco' end e
+from (select p_partkey, p_name, p_type, p_partkey % 5 k, k <> 2 and k <> 4 and length(p_name) >= 8 as ok, case k when 4 then '' else p_name || ' ' end || 'A) ' || p_type || case k when 1 then ' B) ... ' else ' B) 2 x ; ' end
+  || case k when 2 then 'D) 4' else '£C) 3' end || case when k in (0, 3) then ' D) 4æE)  - cinco:' else '' end t from part)""",
+)
 def s19(t):  # noqa: ANN001, ANN201
-    text = F.concat("n_name", F.lit(" A) uno B) dos C) tres"))
-    return t("nation").withColumn("s", latex.with_options(text)).select("n_nationkey", "s.statement", F.col("s.options")["B"].alias("b"))
+    """Names as statements, with all options, a missing one, no C), and an A) at the start."""
+    k = F.col("p_partkey") % 5
+    text = F.concat(
+        F.when(k == 4, "").otherwise(F.concat("p_name", F.lit(" "))), F.lit("A) "), "p_type", F.when(k == 1, " B) ... ").otherwise(" B) 2 x ; "),
+        F.when(k == 2, "D) 4").otherwise("£C) 3"), F.when(k.isin(0, 3), " D) 4æE)  - cinco:").otherwise(""),
+    )
+    o = F.col("s.options")
+    return t("part").withColumn("s", latex.with_options(text)).select("p_partkey", "s.statement", *(o[x].alias(x.lower()) for x in "ABE"))
 
 
 @query("S25_latex_normalise")

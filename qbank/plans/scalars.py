@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from qbank.functions import classify, geometry, similarity, status, text
+from qbank.functions import candidates, classify, geometry, similarity, status, text
 from qbank.plans.registry import query
 from qbank.plans.sections import classify_sql, sections
 from qbank.plans.windows import boxes
@@ -126,10 +127,32 @@ def s17(t):  # noqa: ANN001, ANN201
     return t("nation").select("n_nationkey", F.round(text.label_recall(target, F.lit("A) 1 C) 3")), 6).alias("recall"))
 
 
-@query("S18_merge_fragments", "select n_nationkey, case when n_nationkey % 2 = 0 then n_name || ' and more words' else n_name || ' other thing' end m from nation")
+_FRAGMENT = """select *, {key_a} ka, {key_b} kb from (select p_partkey, case when p_partkey % 7 = 5 then 'área de f(x) y g (y) ' || p_name else p_name end a,
+  case p_partkey % 7 when 0 then '  ' when 1 then p_name || ' Y más palabras' when 2 then array_to_string(string_split(p_name, ' ')[1:2], ' ') when 3 then p_name || '.'
+  when 4 then p_type when 5 then 'otra area F (X) ' || p_name || ' junto con ' || lower(p_type) else reverse(p_name) end b from part)""".format(
+    key_a=KEY.format("trim(a)"), key_b=KEY.format("trim(b)")
+)
+
+
+@query(
+    "S18_merge_fragments",
+    rf"""with k as ({_FRAGMENT}),
+w as (select *, list_distinct(list_filter(regexp_extract_all(ka, '[a-z0-9\\]+'), lambda x: length(x) > 1 or x in ('x', 'y', 'f', 'g', 'h'))) ta,
+  list_distinct(list_filter(regexp_extract_all(kb, '[a-z0-9\\]+'), lambda x: length(x) > 1 or x in ('x', 'y', 'f', 'g', 'h'))) tb,
+  list_transform(regexp_extract_all(a, '[A-Za-z]\s*\([^)]{{0,16}}\)'), lambda x: lower(x)) aa, list_transform(regexp_extract_all(b, '[A-Za-z]\s*\([^)]{{0,16}}\)'), lambda x: lower(x)) ab from k),
+h as (select *, len(list_intersect(ta, tb)) / nullif(least(len(ta), len(tb)), 0) share from w)
+select p_partkey, case when ka = '' then trim(b) when kb = '' or contains(ka, kb) then trim(a)
+  when contains(kb, ka) and length(kb) > floor(1.1 * length(ka)) then trim(b) when share >= 0.72 or (list_has_any(aa, ab) and share >= 0.55) then trim(a)
+  else trim(a) || ' ' || trim(b) end m from h""",
+)
 def s18(t):  # noqa: ANN001, ANN201
-    n = F.col("n_name")
-    return t("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, text.merge_fragments(n, F.concat(n, F.lit(" and more words")))).otherwise(text.merge_fragments(n, F.lit("other thing"))).alias("m"))
+    """Names with variants of themselves: blank, longer, shorter, nearly as long, another text, a shared anchor."""
+    k, n, typ = F.col("p_partkey") % 7, F.col("p_name"), F.col("p_type")
+    a = F.when(k == 5, F.concat(F.lit("área de f(x) y g (y) "), n)).otherwise(n)
+    short = F.array_join(F.slice(F.split(n, " "), 1, 2), " ")
+    b = F.when(k == 0, "  ").when(k == 1, F.concat(n, F.lit(" Y más palabras"))).when(k == 2, short).when(k == 3, F.concat(n, F.lit("."))).when(k == 4, typ)
+    b = b.when(k == 5, F.concat(F.lit("otra area F (X) "), n, F.lit(" junto con "), F.lower(typ))).otherwise(F.reverse(n))
+    return t("part").select("p_partkey", a.alias("a"), b.alias("b")).select("p_partkey", text.merge_fragments(F.col("a"), F.col("b")).alias("m"))
 
 
 @query("S20_numbered_headers", "select doc_id, len(list_distinct(regexp_extract_all(text, '(?:^|\\n)([A-Z])[a-z]+'))) starts from documents")
@@ -164,16 +187,94 @@ def s22_repetitive(t):  # noqa: ANN001, ANN201
     return t("documents").where(text.repetitive(F.col("text"))).select("doc_id")
 
 
-@query("S23_candidate_score", "select doc_id, least(n_chars, 500) / 10.0 + case when contains(text, '.') then 5 else 0 end - case when contains(text, '***') then 20 else 0 end score from documents")
+_ADDED = (r" \overline{x}", r" \sqrt{2} √", r" \frac{1}{2}", " no incluyas nada. Respuesta: ", " ((([", " Ã Ã")
+
+
+def _readings(t):  # noqa: ANN001, ANN202
+    """Whole documents as readings of pages: numbers, items and options by the id, so that every step of the ladders occurs."""
+    d = F.col("doc_id")
+    k, j, h, start = d % 7, d % 5, d % 11, 1 + d % 29
+    raw = F.coalesce("text", F.lit(""))
+    added = F.lit("")
+    for i, x in enumerate(_ADDED, 1):
+        added = F.when(d % 13 == i, x).otherwise(added)
+    raw = F.when(d % 17 == 0, "  ").otherwise(F.concat(raw, added))
+    long = lambda *x: F.array(*(c if isinstance(c, Column) else F.lit(c) for c in x)).cast("array<bigint>")
+    numbers = F.when(k == 1, long(start)).when(k == 2, long(start, start + 1)).when(k == 3, long(start + 2, start + 3)).when(k == 4, long(1, 2, 3))
+    numbers = numbers.when(k == 5, long(start, start + 3)).when(k == 6, long(2)).otherwise(F.array().cast("array<bigint>"))
+    items = F.size(numbers) + F.when(j == 4, 1).otherwise(0)
+    rows = t("documents").select(
+        "doc_id", raw.alias("raw"), numbers.alias("numbers"), items.alias("items"), start.alias("start"),
+        F.when(j == 0, items).when(j == 2, F.least(items, F.lit(1))).otherwise(0).alias("complete"),
+        F.when(j == 0, 5 * items).when(j == 1, 2).when(j == 2, 5).when(j == 3, 4).otherwise(0).alias("labels"),
+        (h % 3).alias("headers"), (h % 5).alias("leading"), F.when(h % 2 == 0, "x").otherwise("").alias("continuation"),
+        F.when(d % 3 == 0, "Radicación").otherwise("Álgebra").alias("topic"),
+    )
+    c = F.col
+    names = ("numbers", "items", "complete", "labels", "headers", "leading", "continuation", "start", "topic")
+    return rows.select("doc_id", candidates.measured(candidates.Reading(c("raw"), *map(c, names), repeated=text.few_words(c("raw")))).alias("m"))
+
+
+def _readings_sql() -> str:
+    n = lambda c, x: f"(length({c}) - length(replace({c}, '{x}', '')))"
+    label = r"'(^|[^A-Za-z0-9])[A-Ea-e]\)\s*', '\1', 'g'"
+    phrases = " + ".join(f"contains(low, '{p}')::int" for p in candidates.PROMPT_PHRASES)
+    added = " ".join(f"when {i} then '{x}'" for i, x in enumerate(_ADDED, 1))
+    return rf"""with d as (select doc_id, doc_id % 7 k, doc_id % 5 j, doc_id % 11 h, 1 + doc_id % 29 s,
+  case when doc_id % 17 = 0 then '' else trim(coalesce(text, '') || case doc_id % 13 {added} else '' end, ' ' || chr(9) || chr(10) || chr(13)) end raw from documents),
+e as (select *, lower(raw) low, case k when 1 then [s] when 2 then [s, s + 1] when 3 then [s + 2, s + 3] when 4 then [1, 2, 3] when 5 then [s, s + 3] when 6 then [2] else [] end::bigint[] ns from d),
+f as (select *, len(ns) + case when j = 4 then 1 else 0 end items from e),
+g as (select *, case j when 0 then items when 2 then least(items, 1) else 0 end complete, case j when 0 then 5 * items when 1 then 2 when 2 then 5 when 3 then 4 else 0 end labels,
+  h % 3 headers, h % 5 ahead, len(ns) n, ns[1] num, regexp_replace(regexp_replace(raw, {label}), {label}) p, regexp_extract_all(low, '[A-Za-zÁÉÍÓÚáéíóúÑñ0-9]+') w from f),
+i as (select *, items <= 0 and (h % 2 = 0 or ahead >= 3) continued, n > 0 and ns = range(num, num + n) in_a_row,
+  coalesce(s >= 20 and num < s and num <= 15 and items > 0 and (complete > 0 or labels >= 3) and (n >= 2 or num = 1 or (complete >= 1 and labels >= 5)), false) restart,
+  {phrases} >= 2 echo, len(w) >= 40 and len(list_distinct(w)) < 0.25 * len(w) rep, {' + '.join(n('raw', x) for x in text.MOJIBAKE)} moji,
+  abs({n('p', '(')} - {n('p', ')')}) + abs({n('p', '[')} - {n('p', ']')}) + abs({n('p', '{')} - {n('p', '}')}) imb from g),
+m as (select *, case when restart then n when k in (1, 5) then 1 when k = 2 then 2 when k = 4 and s = 1 then 3 when k = 6 and s = 2 then 1 else 0 end prefix from i),
+z as (select *, continued or (items > 0 and prefix > 0 and n = items and complete >= items) strong from m)"""
+
+
+def _codes_sql(*of: tuple[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"case when {when} then '{code}' end" for code, when in of) + "], lambda x: x is not null)"
+
+
+_SCORE_SQL = r"""(case when raw <> '' then 5 else 0 end + case when items > 0 then 22 when continued then 18 else -40 end + case when in_a_row and num = s then 26 when in_a_row then 16 else 0 end
+ + case when n = 0 then 0 when num = s then 12 when restart then 10 when num < s then -18 else 0 end + case when headers > 0 then 10 when continued then 6 else 0 end
+ + case when complete > 0 then 6 * complete when labels > 0 then least(8, labels) when ahead > 0 then least(6, ahead) else 0 end - case when echo then 100 else 0 end
+ - case when rep and not (items > 0 and n = items and complete = items) then 60 else 0 end - least(36, 6 * moji) - least(20, 4 * imb) - case when contains(raw, '\overline') then 10 else 0 end
+ - case when (contains(raw, '\sqrt') or contains(raw, '√')) and doc_id % 3 <> 0 then 8 else 0 end
+ + case when moji = 0 and regexp_matches(raw, '\\(frac|sqrt|left|right|cdot|times|pi|theta|alpha|beta|gamma|delta)\b') then 4 else 0 end)"""
+_BACKWARD = "n > 0 and num < s and not restart"
+_INVALID_SQL = _codes_sql(
+    ("vacio", "raw = ''"), ("echo_prompt", "echo"), ("mojibake", "moji >= 2 or (moji > 0 and not strong)"), ("delimitadores_graves", "imb >= 4 and not strong"),
+    ("sin_items", "items <= 0 and not continued"), ("sin_numeracion_recuperable", "items > 0 and n = 0 and headers = 0"),
+    ("cobertura_inicial_insuficiente", "items > 0 and (n > 0 or headers > 0) and prefix = 0"),
+    ("arranque_regresivo", f"items > 0 and prefix > 0 and {_BACKWARD}"), ("opciones_incompletas", "items > 0 and labels > 0 and complete <= 0 and not (prefix > 0 and labels >= 3)"),
+)
+_UNRECOVERABLE_SQL = _codes_sql(
+    ("vacio", "raw = ''"), ("echo_prompt", "echo"), ("mojibake_grave", "moji >= 4 and not strong"), ("sin_items", "items <= 0 and not continued"),
+    ("sin_numeracion_recuperable", "items > 0 and n = 0 and headers = 0"),
+    ("arranque_regresivo", f"items > 0 and {_BACKWARD} and not (n = items and complete >= items and in_a_row and moji < 2 and imb < 6)"),
+    ("sin_cobertura_opciones", "items > 0 and complete <= 0 and labels < 3"), ("delimitadores_graves", "items > 0 and imb >= 6 and prefix <= 0 and not strong"),
+)
+
+
+@query("S23_candidate_score", f"{_readings_sql()} select doc_id, {_SCORE_SQL}::bigint score from z")
 def s23(t):  # noqa: ANN001, ANN201
-    """Additive bonuses and penalties."""
-    score = F.least(F.col("n_chars"), F.lit(500)) / 10.0 + F.when(F.contains("text", F.lit(".")), 5).otherwise(0) - F.when(F.contains("text", F.lit("***")), 20).otherwise(0)
-    return t("documents").select("doc_id", score.alias("score"))
+    """Additive bonuses and penalties; of S22's repetition its part that SQL can say."""
+    return _readings(t).select("doc_id", candidates.score(F.col("m")).cast("bigint").alias("score"))
 
 
-@query("S24_candidate_validity", "select doc_id, list_filter([case when n_chars < 100 then 'short' end, case when contains(text, '***') then 'noise' end], lambda x: x is not null) reasons from documents")
+@query(
+    "S24_candidate_validity",
+    f"""{_readings_sql()}, v as (select doc_id, {_SCORE_SQL} score, {_INVALID_SQL} invalid, {_UNRECOVERABLE_SQL} unrecoverable from z)
+select doc_id, invalid, unrecoverable, case when len(invalid) = 0 and score < 80 then ['score<80'] else invalid end not_fast from v""",
+)
 def s24(t):  # noqa: ANN001, ANN201
-    return t("documents").select("doc_id", status.issues(("short", F.col("n_chars") < 100), ("noise", F.contains("text", F.lit("***")))).alias("reasons"))
+    m = F.col("m")
+    return _readings(t).select(
+        "doc_id", candidates.invalid(m).alias("invalid"), candidates.unrecoverable(m).alias("unrecoverable"), candidates.not_fast(m).alias("not_fast")
+    )
 
 
 @query("S26_render_item", r"select n_nationkey, '\item[\textbf{' || n_nationkey || '.}] ' || n_name || '£A)1æB)2æC)£D)ææE)£' rendered from nation")

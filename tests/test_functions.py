@@ -136,8 +136,9 @@ def test_expected_prefix_and_natural_key(spark):
 def test_latex():
     assert latex.normalise("50% $x ≤ 3$") == ("50\\% $x \\leq 3$", [])
     assert latex.normalise("a $ b")[1] == ["unbalanced_dollar"]
-    assert latex.split_options("S A) x B) y") == ("S", {"A": "x", "B": "y"})
-    assert latex.split_options("only A) x") == ("only A) x", {})
+    assert latex.split_options("Halle el area A) x B) ... C) 3æE) - z ;") == ("Halle el area", {"A": "x", "C": "3", "E": "z"})
+    for none in ("Halle el area A) x B) y", "Halle A) x B) y C) z", "Halle el area A) x B) y D) z"):
+        assert latex.split_options(none) == (none, {})
 
 
 def test_page_ranges(spark):
@@ -249,3 +250,48 @@ def test_admission(spark):
     assert one(spark, admission.stale(none, F.lit("Sí"))) and one(spark, admission.stale(F.lit("INVALIDATED"), none)) and not one(spark, admission.stale(none, F.lit("no")))
     gate = lambda latex, st: one(spark, admission.blocking_issues(F.array().cast("array<string>"), F.lit(True), F.lit(latex), F.lit(False), F.lit(st)))
     assert gate("\\item[\\textbf{3.}] x", "listo") == [] and gate("3. x", "listo") == ["invalid:final_latex_item"] and gate("", "review") == ["missing:final_latex", "not_ready:human_review"]
+
+
+def test_merge_fragments(spark):
+    merge = lambda a, b: one(spark, text.merge_fragments(F.lit(a), F.lit(b)))
+    assert merge(" ", "b") == "b" and merge("a", " ") == "a" and merge(" uno ", "dos") == "uno dos"
+    assert merge("El Área total", "area TOTAL") == "El Área total"
+    assert merge("sea la base del triangulo", "sea la base del triangulos") == "sea la base del triangulo"  # not longer by a tenth; the tokens overlap
+    assert merge("dada f (x) con valor minimo", "halle f (x) si valor minimo") == "dada f (x) con valor minimo"  # 4 of 6 tokens and an anchor
+    assert merge("dada f x con valor minimo", "halle f x si valor minimo") == "dada f x con valor minimo halle f x si valor minimo"
+
+
+def test_candidates(spark):
+    from qbank.functions import candidates
+
+    def of(raw="texto", numbers=(), items=0, complete=0, labels=0, headers=0, leading=0, continuation="", start=1, topic="", f=candidates.score):
+        ints = F.array(*map(F.lit, numbers)).cast("array<bigint>")
+        r = candidates.Reading(F.lit(raw), ints, *map(F.lit, (items, complete, labels, headers, leading, continuation, start, topic)))
+        return one(spark, f(candidates.measured(r)))
+
+    whole = {"numbers": (3, 4), "items": 2, "complete": 2, "labels": 10, "headers": 2, "start": 3}
+    assert of() == 5 - 40 and of("") == -40
+    assert of(**whole) == 5 + 22 + 26 + 12 + 10 + 12 and of(**whole, f=candidates.not_fast) == []
+    assert of("no incluyas. Respuesta: Ã", **whole) == 87 - 100 - 6
+    assert of(**whole | {"start": 1}) == 5 + 22 + 16 + 10 + 12 and of(**whole | {"start": 9}) == 5 + 22 + 16 - 18 + 10 + 12
+    assert of(**whole | {"start": 20}) == 5 + 22 + 16 + 10 + 10 + 12 and of(**whole | {"start": 20}, f=candidates.invalid) == []
+    assert of(**whole | {"start": 9}, f=candidates.invalid) == ["cobertura_inicial_insuficiente"] and of(**whole | {"start": 9}, f=candidates.unrecoverable) == []
+    assert of(leading=3) == 5 + 18 + 6 + 3 and of(leading=3, f=candidates.not_fast) == ["score<80"]
+    assert of("\\sqrt{2}", **whole) == 87 - 8 + 4 and of("\\sqrt{2}", topic="Raíces", **whole) == 87 - 8 + 4 and of("\\sqrt{2}", topic="Radicación", **whole) == 87 + 4
+    assert of("", f=candidates.unrecoverable) == ["vacio", "sin_items"]
+    assert of("x ((((((", numbers=(7,), items=1, labels=2, start=1, f=candidates.unrecoverable) == ["sin_cobertura_opciones", "delimitadores_graves"]
+
+
+def test_rendered(spark):
+    from qbank.functions import rendered
+
+    check = lambda x, *item: one(spark, rendered.rendered_issues(F.lit(x), *map(F.lit, item)))
+    good = "\\item[\\textbf{3.}] [[curso=a_b]][[tema=y]] si $x_1$ vale 5\\%"
+    options = "£A)$1$æB)$2$æC)$3$£D)$4$ææE)$5$£"
+    assert check(good + options) == [] and check(good + " [[Imagen=img-3]]" + options, 3, True) == []
+    assert check(good + " a_1" + options) == ["latex_special_sin_escape"] and check(good + " \\$a_1" + options) == ["latex_special_sin_escape"]
+    assert check(good + " $b" + options)[0] == "math_delimiters_desbalanceados"
+    assert check(good + " ≤" + options) == ["unicode_math_sin_normalizar", "simbolos_unicode_no_mapeados"]
+    assert check(good + options, 3, True) == ["imagen_tag_faltante"] and check(good + " [[Imagen=img-3]]" + options, 3, False) == ["imagen_tag_prohibido"]
+    assert check(good + " [[Imagen=img-4]]" + options, 3, True) == ["imagen_tag_incorrecto"]
+    assert check(None) == ["header_item_invalido", "tag_curso_faltante", "tag_tema_faltante", "patron_opciones_invalido"]
