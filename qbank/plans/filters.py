@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qbank.functions import admission, classify, rendered, status, text
+from qbank.functions import admission, classify, items, rendered, status, text
 from qbank.plans.registry import query
 
 #: labels.quality as a verdict: 1 good, 0 bad, absent unreviewed.
@@ -242,17 +242,42 @@ def f20(t):  # noqa: ANN001, ANN201
     return out.select("o_orderkey", found.alias("errors"))
 
 
-@query(
-    "F21_item_validation",
-    """select conv_id, turn, list_filter([case when text is null or trim(text) = '' then 'empty_statement' end, case when turn < 1 then 'bad_number' end,
- case when length(text) > 400 then 'too_long' end, case when role not in ('user', 'assistant') then 'bad_role' end], lambda x: x is not null) codes from conversations""",
-)
+def _item_sql() -> str:
+    white = "' ' || chr(9) || chr(10) || chr(13)"
+    mark = r"(|.*?[^A-Za-z0-9]){}\)"
+    codes = {
+        "schema_invalido": "u % 7 = 0", "n_invalido": "u % 5 < 2", "curso_faltante": "u % 3 = 0", "tema_faltante": "u % 4 = 0", "statement_vacio": "s = ''",
+        "statement_multilinea": "contains(s, chr(10)) or contains(s, chr(13))",
+        "statement_contiene_opciones": f"regexp_matches(s, '(?s)^{mark.format('A')}{mark.format('B')}{mark.format('C')}') and length(regexp_extract(s, '(?s)^{mark.format('A')}', 1)) > 8",
+        "figure_tag_invalido": "u % 2 = 0 and not regexp_matches(tag, '^img-[0-9]+$')", "figure_tag_debe_estar_vacio": "u % 2 = 1 and tag <> ''",
+        "image_binding_inconsistente": "u % 2 = 0 and u % 8 not in (0, 2)", "has_figure_debe_ser_derivado": "u % 8 = 3", "options_invalido": "u % 10 = 0",
+        "opcion_C_faltante": "u % 10 <> 0 and u % 13 = 1", "opcion_E_faltante": "u % 10 <> 0 and u % 13 = 2",
+    }
+    cases = ", ".join(f"case when {when} then '{code}' end" for code, when in codes.items())
+    return rf"""with c as (select conv_id, turn, conv_id + turn u, coalesce(text, '') x from conversations),
+i as (select *, trim(x || case u % 6 when 0 then ' A) 1 B) 2 C) 3' when 1 then ' A) 1 C) 2 B) 3' else '' end, {white}) s,
+  case when u % 11 = 3 then 'img-5' when u % 9 = 0 then 'img-x' when u % 9 = 1 or u % 2 = 1 then '' else 'img-' || turn end tag from c)
+select conv_id, turn, list_filter([{cases}], lambda x: x is not null) codes from i"""
+
+
+@query("F21_item_validation", _item_sql())
 def f21(t):  # noqa: ANN001, ANN201
-    found = status.issues(
-        ("empty_statement", F.col("text").isNull() | (F.trim("text") == "")), ("bad_number", F.col("turn") < 1),
-        ("too_long", F.length("text") > 400), ("bad_role", ~F.col("role").isin("user", "assistant")),
-    )
-    return t("conversations").select("conv_id", "turn", found.alias("codes"))
+    """Each turn's whole text as an item's statement; the other fields by its place, so that every fault occurs."""
+    u = F.col("conv_id") + F.col("turn")
+    turn = F.col("turn").cast("string")
+    value = lambda x, when, odd: (F.lit(x), F.when(when, odd).otherwise("1"))
+    plain = [c for x in ("A", "B", "D") for c in value(x, F.lit(False), "")]
+    item = {
+        "schema": F.when(u % 7 == 0, "ScanItemJSON-v0").otherwise(items.SCHEMA), "n": F.when(u % 5 == 0, "0").when(u % 5 == 1, "x").otherwise("7"),
+        "curso": F.when(u % 3 == 0, " ").otherwise("x"), "tema": F.when(u % 4 != 0, "y"),
+        "statement": F.concat(F.coalesce("text", F.lit("")), F.when(u % 6 == 0, " A) 1 B) 2 C) 3").when(u % 6 == 1, " A) 1 C) 2 B) 3").otherwise("")),
+        "has_figure": u % 2 == 0,
+        "figure_tag": F.when(u % 11 == 3, "img-5").when(u % 9 == 0, "img-x").when((u % 9 == 1) | (u % 2 == 1), "").otherwise(F.concat(F.lit("img-"), turn)),
+        "binding": F.when(u % 8 == 0, "confirmed").when(u % 8 == 2, " Manual_Confirmed").when(u % 8 == 3, "confirmed").otherwise("open"),
+        "options": F.when(u % 10 != 0, F.create_map(*plain, *value("C", u % 13 == 1, " "), *value("E", u % 13 == 2, ""))),
+    }
+    made = t("conversations").select("conv_id", "turn", *(c.alias(name) for name, c in item.items()))
+    return made.select("conv_id", "turn", items.item_issues({name: F.col(name) for name in item}).alias("codes"))
 
 
 _GOOD_OPTIONS = "£A)$1$æB)$2$æC)$3$£D)$4$ææE)$5$£"
@@ -293,21 +318,31 @@ def f22(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", item.alias("c")).select("doc_id", rendered.rendered_issues(F.col("c"), d, d % 2 == 0).alias("codes"))
 
 
+#: Leads of the texts of F23, each with its own fault or none.
+_LEADS = (
+    "[Imagen=1] ", "[[Imagen=1]] [[Imagen=2]] ", "[[Imagen=1]] ", "[[Imagen=1] ", "[CONT.] [[Imagen=img-continuacion]] ", "<3.> [[imagen = IMG-continuacion ]] ",
+    "[CONT.] <4.> [[Imagen=img-continuacion]] ",
+)
+
+
 @query(
     "F23_image_tags",
-    r"""select doc_id, list_filter([case when len(regexp_extract_all(s, '(?:^|[^\[])\[Imagen')) > 0 then 'single_bracket' end,
- case when len(regexp_extract_all(s, '\[\[Imagen')) > 1 then 'multiple' end], lambda x: x is not null) codes
-from (select doc_id, case doc_id % 3 when 0 then '[Imagen=1] ' when 1 then '[[Imagen=1]] [[Imagen=2]] ' else '[[Imagen=1]] ' end || text s from documents)""",
+    rf"""with d as (select doc_id, case when doc_id % 19 = 0 then '' else trim(case doc_id % 7 {' '.join(f"when {i} then '{x}'" for i, x in enumerate(_LEADS))} end || coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) end s from documents),
+n as (select *, list_transform(regexp_extract_all(s, '(?i)\[\[?\s*Imagen\s*=\s*([^\]]+?)\]?\]', 1), lambda x: lower(trim(x))) names from d)
+select doc_id, list_filter([case when s = '' then 'empty_text' end, case when regexp_matches(s, '(?i)(^|[^\[])\[\s*Imagen\s*=\s*[^\]]+\]([^\]]|$)') then 'etiqueta_imagen_con_un_corchete' end,
+  case when len(names) <> len(regexp_extract_all(s, '(?i)\[\[\s*Imagen\s*=\s*[^\]]+\]\]')) then 'etiqueta_imagen_mal_formada' end,
+  case when list_contains(names, 'img-continuacion') and not (regexp_matches(s, '(?i)^\s*\[CONT\.\]') and not regexp_matches(s, '<\s*\d{{1,4}}\s*\.\s*>')) then 'img-continuacion_en_problema_numerado_o_no_cont' end,
+  case when len(names) > 1 then 'multiples_etiquetas_imagen_en_registro' end], lambda x: x is not null) codes from n""",
 )
 def f23(t):  # noqa: ANN001, ANN201
     return image_tags(t("documents"))
 
 
 def image_tags(docs):  # noqa: ANN001, ANN201
-    lead = F.when(F.col("doc_id") % 3 == 0, "[Imagen=1] ").when(F.col("doc_id") % 3 == 1, "[[Imagen=1]] [[Imagen=2]] ").otherwise("[[Imagen=1]] ")
-    s = F.concat(lead, F.col("text"))
-    found = status.issues(("single_bracket", F.rlike(s, F.lit(r"(?<!\[)\[Imagen"))), ("multiple", F.regexp_count(s, F.lit(r"\[\[Imagen")) > 1))
-    return docs.select("doc_id", found.alias("codes"))
+    """Whole texts with tags put ahead of them."""
+    lead = F.get(F.array(*map(F.lit, _LEADS)), (F.col("doc_id") % 7).cast("int"))
+    s = F.when(F.col("doc_id") % 19 == 0, "  ").otherwise(F.concat(lead, F.coalesce("text", F.lit(""))))
+    return docs.select("doc_id", s.alias("s")).select("doc_id", items.image_tag_issues(F.col("s")).alias("codes"))
 
 
 @query(

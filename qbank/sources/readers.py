@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +24,36 @@ def sql_rows(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> Dat
     return spark.sql(sql, **tables)
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """SRC1, SRC2: rows of a database; Spark retries lost tasks."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+#: Parts of messages of connection errors that pass.
+PASSING = (
+    "server closed the connection unexpectedly", "connection unexpectedly", "connection refused", "connection reset by peer", "could not connect to server",
+    "could not receive data from server", "ssl syscall error: eof detected", "terminating connection", "connection timed out", "timeout expired",
+    "network is unreachable",
+)
+Got = TypeVar("Got")
+
+
+def passes(error: BaseException) -> bool:
+    """SRC2: the error is one of a connection that may work the next time."""
+    said = str(error).lower()
+    return any(x in said for x in PASSING)
+
+
+def retried(connect: Callable[[], Got], attempts: int = 3, delay_s: float = 0.25) -> Got:
+    """SRC2: ``connect()``, again after an error that passes; any other error, and the last one, is raised."""
+    for left in reversed(range(max(1, attempts))):
+        try:
+            return connect()
+        except Exception as e:
+            if not left or not passes(e):
+                raise
+            time.sleep(max(0.0, delay_s))
+    raise AssertionError
+
+
+def jdbc(spark: SparkSession, url: str, query: str, attempts: int = 3, **options: str) -> DataFrame:
+    """SRC1, SRC2: rows of a database; the driver's schema probe is retried here, lost tasks by Spark."""
+    return retried(lambda: spark.read.format("jdbc").options(url=url, query=query, **options).load(), attempts)
 
 
 def capabilities(df: DataFrame, optional: dict[str, tuple[str, ...]]) -> dict[str, str | None]:

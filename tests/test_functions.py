@@ -295,3 +295,53 @@ def test_rendered(spark):
     assert check(good + options, 3, True) == ["imagen_tag_faltante"] and check(good + " [[Imagen=img-3]]" + options, 3, False) == ["imagen_tag_prohibido"]
     assert check(good + " [[Imagen=img-4]]" + options, 3, True) == ["imagen_tag_incorrecto"]
     assert check(None) == ["header_item_invalido", "tag_curso_faltante", "tag_tema_faltante", "patron_opciones_invalido"]
+
+
+def test_items(spark):
+    from qbank.functions import items
+
+    def check(**changed):
+        fields = {"schema": items.SCHEMA, "n": "3", "curso": "x", "tema": "y", "statement": "Halle el area", "has_figure": False, "figure_tag": "", "binding": "", "options": dict.fromkeys("ABCDE", "1")} | changed
+        options = fields.pop("options")
+        made = F.lit(None).cast("map<string,string>") if options is None else F.create_map(*(F.lit(x) for kv in options.items() for x in kv))
+        return one(spark, items.item_issues({name: F.lit(v) for name, v in fields.items()} | {"options": made}))
+
+    assert check() == [] and check(has_figure=True, figure_tag="img-3", binding=" Confirmed") == []
+    assert check(schema="", n="0", curso=" ", tema="") == ["schema_invalido", "n_invalido", "curso_faltante", "tema_faltante"]
+    assert check(statement=" ") == ["statement_vacio"] and check(statement="a\nb") == ["statement_multilinea"]
+    assert check(statement="Halle el area A) 1 B) 2 C) 3") == ["statement_contiene_opciones"] and check(statement="Halle A) 1 B) 2 C) 3") == []
+    assert check(figure_tag="img-3") == ["figure_tag_debe_estar_vacio"] and check(binding="confirmed") == ["has_figure_debe_ser_derivado"]
+    assert check(has_figure=True, figure_tag="3") == ["figure_tag_invalido", "image_binding_inconsistente"]
+    assert check(options=None) == ["options_invalido"] and check(options={"A": "1", "B": "1", "C": " ", "D": "1"}) == ["opcion_C_faltante", "opcion_E_faltante"]
+    tags = lambda x: one(spark, items.image_tag_issues(F.lit(x)))
+    assert tags(" ") == ["empty_text"] and tags("x [[Imagen=img-1]]") == [] and tags("[CONT.] [[Imagen=img-continuacion]]") == []
+    assert tags("x [Imagen=img-1]") == ["etiqueta_imagen_con_un_corchete", "etiqueta_imagen_mal_formada"]
+    assert tags("<3.> [[Imagen=img-continuacion]]") == ["img-continuacion_en_problema_numerado_o_no_cont"]
+
+
+def test_providers(spark):
+    from qbank.operators import providers
+
+    two = {"plain": lambda c: c, "upper": F.upper}
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, x string")
+    rows = {(r.id, r.provider, r.reading) for r in providers.readings(df, "x", two).collect()}
+    assert rows == {(1, "plain", "a"), (1, "upper", "A"), (2, "plain", None), (2, "upper", None)}
+    assert providers.requested(" Upper ,", two) == ["upper"] and providers.requested("all", two) == ["plain", "upper"]
+    with pytest.raises(ValueError, match="unknown providers: z"):
+        providers.requested("upper,z", two)
+
+
+def test_retried():
+    calls = []
+
+    def fails(message, times):
+        calls.append(message)
+        if calls.count(message) <= times:
+            raise OSError(message)
+        return len(calls)
+
+    assert readers.retried(lambda: fails("Connection refused", 2), 3, 0) == 3
+    for message, times in (("FATAL: timeout expired", 9), ("syntax error", 1)):
+        with pytest.raises(OSError, match=message):
+            readers.retried(lambda: fails(message, times), 2, 0)  # noqa: B023
+    assert calls.count("FATAL: timeout expired") == 2 and calls.count("syntax error") == 1
