@@ -1,18 +1,88 @@
-"""LaTeX scanners whose state no built-in expression holds; Arrow-batched."""
+"""LaTeX of options as expressions, and scanners whose state no built-in expression holds, Arrow-batched."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qbank.functions.status import issues
+
 #: Characters and the macros they become inside mathematics.
 MACROS = {
     "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "×": r"\times", "÷": r"\div", "±": r"\pm", "∞": r"\infty", "√": r"\sqrt", "π": r"\pi",
     "α": r"\alpha", "β": r"\beta", "θ": r"\theta", "∈": r"\in", "∪": r"\cup", "∩": r"\cap", "→": r"\to", "·": r"\cdot", "°": r"^{\circ}",
 }
+#: The characters that the normaliser of formulas knows, and their macros.
+FORMULA = {
+    "∠": r"\angle", "⊥": r"\perp", "∥": r"\parallel", "×": r"\times", "÷": r"\div", "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "≈": r"\approx", "∞": r"\infty",
+    "±": r"\pm", "∓": r"\mp", "·": r"\cdot", "•": r"\cdot", "√": r"\sqrt{}", "α": r"\alpha", "β": r"\beta", "γ": r"\gamma", "δ": r"\delta", "ε": r"\epsilon",
+    "θ": r"\theta", "λ": r"\lambda", "μ": r"\mu", "π": r"\pi", "ρ": r"\rho", "σ": r"\sigma", "τ": r"\tau", "φ": r"\phi", "ω": r"\omega",
+}
+#: Function names and their macros, Spanish letters and signs, and the accents of LaTeX with the letters that take them.
+FUNCTIONS = {"sen": r"\sin", "tg": r"\tan", "ctg": r"\cot"}
+LETTERS = "áéíóúÁÉÍÓÚñÑüÜ¿¡"
+ACCENTS = {"'": ("\u0301", "AaEeIiOoUu"), "~": ("\u0303", "Nn"), '"': ("\u0308", "Uu")}
+SIGNS = {"textquestiondown": "¿", "textexclamdown": "¡"}
+#: What separates lines and options, and what damage makes of it.
+SEPARATORS = ("\\u00a3", "Â£", "£", "\\u00e6", "Ã¦", "æ")
+DOUBLE_ESCAPED = r"""\\{2,}(?:['~"]\{?[A-Za-z]\}?|textquestiondown\{\}|textexclamdown\{\})"""
+
+
+def _damaged(c: str) -> str:
+    """What the character's UTF-8 looks like when read as Windows-1252, or Latin-1 where that has no character."""
+    raw = c.encode()
+    try:
+        return raw.decode("cp1252")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+DAMAGED = {_damaged(c): c for c in LETTERS}
+
+
+def formula(c: Column) -> Column:
+    """A formula's characters as macros, without separators and dollars, on one line."""
+    c = F.coalesce(c, F.lit(""))
+    for x in SEPARATORS:
+        c = F.replace(c, F.lit(x), F.lit(" "))
+    for x, good in DAMAGED.items():
+        c = F.replace(c, F.lit(x), F.lit(good))
+    for name, sign in SIGNS.items():
+        c = F.regexp_replace(c, rf"\\+{name}\{{\}}", sign)
+    for accent, (mark, letters) in ACCENTS.items():
+        for x in letters:
+            c = F.regexp_replace(c, rf"\\+{accent}\{{?{x}\}}?", unicodedata.normalize("NFC", x + mark))
+    c = F.replace(F.regexp_replace(F.replace(c, F.lit("$"), F.lit(" ")), r"(?<=[0-9A-Za-z])\s+°", "°"), F.lit("°"), F.lit(r"^\circ"))
+    for x, macro in FORMULA.items():
+        c = F.replace(c, F.lit(x), F.lit(macro))
+    c = F.regexp_replace(c, r"(?i)\bm\s*\\angle\s*([A-Z]{3})\b", r"m\\angle $1")
+    c = F.regexp_replace(c, r"(?<![mM])\\angle\s*([A-Z]{3})\b", r"\\angle $1")
+    for name, macro in FUNCTIONS.items():
+        c = F.regexp_replace(c, rf"(?i)\b{name}\b", "\\" + macro)
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def option_text(c: Column) -> Column:
+    """An option as one formula; a blank one becomes three dots."""
+    return F.concat(F.lit("$"), F.coalesce(F.nullif(formula(c), F.lit("")), F.lit("...")), F.lit("$"))
+
+
+def option_warnings(source: Column, done: Column) -> Column:
+    """What had to be repaired in an option, and whether characters are left that LaTeX may not know."""
+    c = F.coalesce(source, F.lit(""))
+    for x in SEPARATORS:
+        c = F.replace(c, F.lit(x), F.lit(" "))
+    return issues(
+        ("accent_escape_canonicalized", F.rlike(c, F.lit(DOUBLE_ESCAPED))), ("accent_mojibake_fixed", F.rlike(c, F.lit("|".join(DAMAGED)))),
+        ("unknown_symbols", F.rlike(done, F.lit(r"[^\x00-\x7F£æ]"))),
+    )
+
+
 ESCAPED = re.compile(r"(?<!\\)[%&#]")
 OPTION = re.compile(r"(?<![A-Za-z0-9])([A-E])\)")
 #: A statement ahead of its options is longer than this, and what stands for a missing option.

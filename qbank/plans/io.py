@@ -124,6 +124,50 @@ def s19(t):  # noqa: ANN001, ANN201
     return t("part").withColumn("s", latex.with_options(text)).select("p_partkey", "s.statement", *(o[x].alias(x.lower()) for x in "ABE"))
 
 
+_OPTIONS = (
+    "", "$ {} $", "∠ABC y m ∠def", "3 ° + x° ≤ {}", "Sen x · TG y", "Ã¡rea £ {} æ 2", r"\'{{a}}rea \~n", r"\\'area {}", "{} 日", " $ ", "ctg(α) ≠ tgx", "¿{}?",
+)
+
+
+def _formula_sql(c: str) -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    for x in latex.SEPARATORS:
+        c = f"replace({c}, {q(x)}, ' ')"
+    for x, good in latex.DAMAGED.items():
+        c = f"replace({c}, {q(x)}, {q(good)})"
+    for x, good in zip("aeiouAEIOU", "áéíóúÁÉÍÓÚ", strict=True):
+        c = rf"regexp_replace({c}, '\\+''\{{?{x}\}}?', '{good}', 'g')"
+    c = rf"regexp_replace(regexp_replace({c}, '\\+~\{{?n\}}?', 'ñ', 'g'), '([0-9A-Za-z])\s+°', '\1°', 'g')"
+    c = rf"replace(replace({c}, '$', ' '), '°', '^\circ')"
+    for x, macro in latex.FORMULA.items():
+        c = f"replace({c}, {q(x)}, {q(macro)})"
+    c = rf"regexp_replace({c}, '(?i)\bm\s*\\angle\s*([A-Z]{{3}})\b', 'm\\angle \1', 'g')"
+    c = rf"regexp_replace({c}, '(^|[^mM])\\angle\s*([A-Z]{{3}})\b', '\1\\angle \2', 'g')"
+    for name, macro in latex.FUNCTIONS.items():
+        c = rf"regexp_replace({c}, '(?i)\b{name}\b', '\{macro}', 'g')"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _option_sql() -> str:
+    cases = " ".join("when {} then '{}'".format(i, x.replace("'", "''").format("' || p_name || '")) for i, x in enumerate(_OPTIONS))
+    return rf"""with o as (select p_partkey, p_partkey % {len(_OPTIONS)} k, case p_partkey % {len(_OPTIONS)} {cases} end c from part),
+f as (select *, '$' || coalesce(nullif({_formula_sql('c')}, ''), '...') || '$' as "option" from o)
+select p_partkey, "option", list_filter([case when k = 7 then 'accent_escape_canonicalized' end, case when k = 5 then 'accent_mojibake_fixed' end,
+  case when regexp_matches("option", '[^\x00-\x7F£æ]') then 'unknown_symbols' end], lambda x: x is not null) warnings from f"""
+
+
+@query("S25_latex_option", _option_sql())
+def s25_option(t):  # noqa: ANN001, ANN201
+    """Options made of names, with each kind of damage, sign and function name."""
+    c = F.col("p_partkey") % len(_OPTIONS)
+    made = F.lit(None).cast("string")
+    for i, x in enumerate(_OPTIONS):
+        head, *tail = (part.replace("{{", "{").replace("}}", "}") for part in x.split("{}"))
+        made = F.when(c == i, F.concat(F.lit(head), *(y for part in tail for y in (F.col("p_name"), F.lit(part))))).otherwise(made)
+    rows = t("part").select("p_partkey", made.alias("c")).select("p_partkey", "c", latex.option_text(F.col("c")).alias("option"))
+    return rows.select("p_partkey", "option", latex.option_warnings(F.col("c"), F.col("option")).alias("warnings"))
+
+
 @query("S25_latex_normalise")
 def s25(t):  # noqa: ANN001, ANN201
     text = F.concat("n_name", F.lit(" 50% es $x ≤ 3$ y × z"))

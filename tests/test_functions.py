@@ -345,3 +345,15 @@ def test_retried():
         with pytest.raises(OSError, match=message):
             readers.retried(lambda: fails(message, times), 2, 0)  # noqa: B023
     assert calls.count("FATAL: timeout expired") == 2 and calls.count("syntax error") == 1
+
+
+def test_latex_option(spark):
+    def option(x):
+        done = latex.option_text(F.lit(x))
+        return one(spark, done), one(spark, latex.option_warnings(F.lit(x), done))
+
+    assert option("$ 3  ≤ x $") == (r"$3 \leq x$", []) and option("  ") == ("$...$", []) and option(None) == ("$...$", [])
+    assert option("∠ABC y m ∠ DEF") == (r"$\angle ABC y m\angle DEF$", []) and option("30 ° + °") == (r"$30^\circ + ^\circ$", [])
+    assert option("Sen x + ctg y - seno") == (r"$\sin x + \cot y - seno$", []) and option("√2 £ 3æ4") == (r"$\sqrt{}2 3 4$", [])
+    assert option("Ã¡rea Ã\u0081") == ("$área Á$", ["accent_mojibake_fixed", "unknown_symbols"])
+    assert option(r"\\'{a}rea \~n") == ("$área ñ$", ["accent_escape_canonicalized", "unknown_symbols"])

@@ -63,9 +63,10 @@ def test_keys_read_whole_texts_of_all_languages(spark, tmp_path):
 
 def test_image_tags_inside_texts(spark, tmp_path):
     head = "x" * 60
-    rows = [(2, head + " [Imagen=2]"), (5, head + " [[Imagen=2]]"), (8, head)]
+    rows = [(2, head + " [Imagen=2]"), (9, head + " [[Imagen=2]]"), (16, head)]  # behind a lead with one good tag
     got = {r.doc_id: r.codes for r in run(spark, tmp_path, "F23_image_tags", documents=(rows, "doc_id long, text string"))}
-    assert got == {2: ["single_bracket"], 5: ["multiple"], 8: []}
+    many = "multiples_etiquetas_imagen_en_registro"
+    assert got == {2: ["etiqueta_imagen_con_un_corchete", "etiqueta_imagen_mal_formada", many], 9: [many], 16: []}
 
 
 def test_item_merge_compares_whole_texts(spark, tmp_path):
