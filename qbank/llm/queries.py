@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from qbank.llm import (
     embedding_dedup,
     html_extract,
+    importance,
     line_dedup,
     ngram_join,
     packing,
     pii,
     quality_rules,
     sentencepiece_nbest,
+    suffix_dedup,
     token_output,
     url_filter,
+    whitening,
 )
 
 
@@ -81,6 +84,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, POLICY).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "_row.doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -92,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_html_extract": op9_html_extract,
     "op10_url_filter": op10_url_filter,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_importance": op13_importance,
 }
 
 _RULES = quality_rules.Rules()
@@ -148,4 +173,33 @@ m as (select *, case when d like '%.example.net' and path like '/en/%' then 'exa
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
   when d like '%.cheap-pills.example.com' or d like '%.spam-farm.example.org' or d like '%.casino-win.example.net' then 'block'
   else 'allow' end verdict from m""",
+    "op11_suffix_dedup": """
+with d as (select row_number() over () r, doc_id, encode(coalesce(text, '')) b from documents),
+w as (select r, i, md5(b[i + 1:i + 400]) m from (select r, b, unnest(range(octet_length(b) - 399)) i from d)),
+h as (select r, i, i > coalesce(lag(i) over (partition by r order by i), -500) + 400 start
+      from (select r, i, count(*) over (partition by m) c from w) where c > 1),
+s as (select r, min(i) f, max(i) + 400 t from (select *, sum(start::int) over (partition by r order by i) g from h) group by r, g),
+c as (select r, f, t from s union all select r, octet_length(b), octet_length(b) from d),
+k as (select c.r, f, t, b[coalesce(lag(t) over (partition by c.r order by f, t), 0) + 1:f] piece from c join d using (r)),
+o as (select r, sum(t - f) gone, count(*) - 1 n, sha256(unhex(string_agg(hex(piece), '' order by f, t))) sha from k group by r)
+select doc_id, octet_length(b)::bigint n_bytes, gone::bigint n_removed, n::bigint n_spans, sha kept_sha256 from d join o using (r)""",
+    "op13_importance": r"""
+with f as (select 0 corpus, row_number() over () r, doc_id, coalesce(text, '') t from documents
+      union all select 1, row_number() over (), null, coalesce(text, '') from benchmark),
+w as (select corpus, r, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) w from f),
+b as (select w, xor(list_reduce([4294967295::ubigint] || list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || hex(encode(w)[i:i]))::ubigint),
+      lambda a, x: list_reduce([xor(a, x), 1, 1, 1, 1, 1, 1, 1, 1], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 10000 b
+      from (select distinct w from w)),
+x as (select corpus, r, b from w join b using (w)),
+n as (select b, count(*) filter (where corpus = 0)::double s, count(*) filter (where corpus = 1)::double t from x group by b),
+a as (select coalesce(sum(s), 0) + 10000 sa, coalesce(sum(t), 0) + 10000 ta from n),
+g as (select b, floor(1000 * ln(((t + 1) * sa) / ((s + 1) * ta)))::bigint g from n, a),
+v as (select r, count(*) n, sum(g)::bigint weight from x join g using (b) where corpus = 0 group by r),
+e as (select doc_id, coalesce(n, 0) n_features, coalesce(weight, 0) weight, ('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint h
+      from f left join v using (r) where corpus = 0),
+c as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint score from e),
+o as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) k from c)
+select doc_id, n_features::bigint n_features, weight::bigint weight, score::bigint score,
+  case when n_features >= 20 and k <= (select count(*) from c where n_features >= 20) * 10 // 100 then k end::bigint as rank from o""",
 }
