@@ -61,7 +61,7 @@ class Repeats:
     #: Bytes of an anchor.
     anchor: int = 128
     #: Anchors with more different segments are parted further, if they also hold a large share.
-    crowd: int = 4096
+    crowd: int = 2048
     #: Starts in a window of the first and second further parting.
     windows: tuple[int, ...] = (16, 1)
     #: Segments in a partition, about.
@@ -360,7 +360,7 @@ def _returned(strings: DataFrame, places: DataFrame, texts: DataFrame, total: in
     """``t1, t2, runs``: the repeated runs of the segments, at all their places."""
     fields = [F.col(f"one.{c}").alias(c) for c in ("start", "size", "offset")]
     wanted = strings.groupBy("one.t1", "one.t2", "one.d").agg(F.collect_list(F.struct("key", "content", "copies", *fields)).alias("wanted"))
-    rows = texts.join(small(wanted, total, 96), ["t1", "t2", "d"]).select("data", F.explode("wanted").alias("w"))
+    rows = texts.join(wanted, ["t1", "t2", "d"]).select("data", F.explode("wanted").alias("w"))
     text = F.substring(F.col("data"), F.col("w.start").cast("int") + 1, F.col("w.size"))
     rows = rows.select("w.key", "w.content", "w.offset", "w.copies", text.alias("text")).repartition(dealt, "key").sortWithinPartitions("key")
     solved = Table(rows.mapInArrow(_repeated(p), "content binary, copies long, runs array<long>"), "repeated")
@@ -387,9 +387,8 @@ def _merged(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """``_row`` (all columns of ``docs``), ``n_bytes``, ``spans`` (the removed runs) and ``kept`` (the bytes that stay)."""
     found = spans(docs, p).df
-    sized = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     row = F.struct(*docs.columns).alias("_row")
-    rows = _hashed(docs, row).join(small(found, sized[0] * 2 + sized[1], 48), ["t1", "t2"], "left")
+    rows = _hashed(docs, row).join(found, ["t1", "t2"], "left")
     gone = F.coalesce("spans", F.array().cast("array<struct<from: long, to: long>>"))
     n = F.length("data").cast("long")
     # What stays: from the end of each run, or the text's start, to the next run, or the text's end.
