@@ -12,20 +12,14 @@ from pyspark.sql import types as T
 
 from qbank.functions.status import issues
 
-#: Characters and the macros they become inside mathematics.
-MACROS = {
-    "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "×": r"\times", "÷": r"\div", "±": r"\pm", "∞": r"\infty", "√": r"\sqrt", "π": r"\pi",
-    "α": r"\alpha", "β": r"\beta", "θ": r"\theta", "∈": r"\in", "∪": r"\cup", "∩": r"\cap", "→": r"\to", "·": r"\cdot", "°": r"^{\circ}",
-}
 #: The characters that the normaliser of formulas knows, and their macros.
 FORMULA = {
     "∠": r"\angle", "⊥": r"\perp", "∥": r"\parallel", "×": r"\times", "÷": r"\div", "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "≈": r"\approx", "∞": r"\infty",
     "±": r"\pm", "∓": r"\mp", "·": r"\cdot", "•": r"\cdot", "√": r"\sqrt{}", "α": r"\alpha", "β": r"\beta", "γ": r"\gamma", "δ": r"\delta", "ε": r"\epsilon",
     "θ": r"\theta", "λ": r"\lambda", "μ": r"\mu", "π": r"\pi", "ρ": r"\rho", "σ": r"\sigma", "τ": r"\tau", "φ": r"\phi", "ω": r"\omega",
 }
-#: Function names and their macros, Spanish letters and signs, and the accents of LaTeX with the letters that take them.
+#: Function names and their macros, and the accents of LaTeX with the letters that take them.
 FUNCTIONS = {"sen": r"\sin", "tg": r"\tan", "ctg": r"\cot"}
-LETTERS = "áéíóúÁÉÍÓÚñÑüÜ¿¡"
 ACCENTS = {"'": ("\u0301", "AaEeIiOoUu"), "~": ("\u0303", "Nn"), '"': ("\u0308", "Uu")}
 SIGNS = {"textquestiondown": "¿", "textexclamdown": "¡"}
 #: What separates lines and options, and what damage makes of it.
@@ -33,16 +27,11 @@ SEPARATORS = ("\\u00a3", "Â£", "£", "\\u00e6", "Ã¦", "æ")
 DOUBLE_ESCAPED = r"""\\{2,}(?:['~"]\{?[A-Za-z]\}?|textquestiondown\{\}|textexclamdown\{\})"""
 
 
-def _damaged(c: str) -> str:
-    """What the character's UTF-8 looks like when read as Windows-1252, or Latin-1 where that has no character."""
-    raw = c.encode()
-    try:
-        return raw.decode("cp1252")
-    except UnicodeDecodeError:
-        return raw.decode("latin-1")
-
-
-DAMAGED = {_damaged(c): c for c in LETTERS}
+#: Spanish letters and signs, as their UTF-8 looks when it was read as Windows-1252 (Latin-1 where that has no character).
+DAMAGED = {
+    "Ã¡": "á", "Ã©": "é", "Ã\xad": "í", "Ã³": "ó", "Ãº": "ú", "Ã\x81": "Á", "Ã‰": "É", "Ã\x8d": "Í", "Ã“": "Ó", "Ãš": "Ú",
+    "Ã±": "ñ", "Ã‘": "Ñ", "Ã¼": "ü", "Ãœ": "Ü", "Â¿": "¿", "Â¡": "¡",
+}
 
 
 def formula(c: Column) -> Column:
@@ -83,44 +72,11 @@ def option_warnings(source: Column, done: Column) -> Column:
     )
 
 
-ESCAPED = re.compile(r"(?<!\\)[%&#]")
 OPTION = re.compile(r"(?<![A-Za-z0-9])([A-E])\)")
 #: A statement ahead of its options is longer than this, and what stands for a missing option.
 SHORTEST, MISSING = 8, ("", "...")
 
 
-def normalise(text: str) -> tuple[str, list[str]]:
-    """Text outside and inside ``$`` apart: specials escaped outside, characters as macros inside; warnings."""
-    warnings = []
-    parts = re.split(r"(?<!\\)\$", text)
-    if len(parts) % 2 == 0:
-        warnings.append("unbalanced_dollar")
-        parts[-2:] = ["\\$".join(parts[-2:])]
-    out = []
-    for k, part in enumerate(parts):
-        if k % 2:
-            for c, macro in MACROS.items():
-                part = part.replace(c, macro + " ")
-            out.append("$" + re.sub(r"\s+", " ", part).strip() + "$")
-        else:
-            part = ESCAPED.sub(lambda m: "\\" + m[0], part)
-            for c, macro in MACROS.items():
-                if c in part:
-                    part = part.replace(c, f"${macro}$")
-            out.append(part)
-    done = "".join(out)
-    if "\ufffd" in done:
-        warnings.append("unknown_symbol")
-    return done, warnings
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType()))]))
-def normalised(text: pd.Series) -> pd.DataFrame:
-    """Normalised LaTeX with its warnings; null stays null."""
-    got = [normalise(x) if x is not None else (None, []) for x in text]
-    return pd.DataFrame({"text": [g[0] for g in got], "warnings": [g[1] for g in got]})
-
-
 def split_options(text: str) -> tuple[str, dict[str, str]]:
     """The statement and its options: each label's first mark behind the marks before it, those not found skipped.
 

@@ -168,12 +168,6 @@ def s25_option(t):  # noqa: ANN001, ANN201
     return rows.select("p_partkey", "option", latex.option_warnings(F.col("c"), F.col("option")).alias("warnings"))
 
 
-@query("S25_latex_normalise")
-def s25(t):  # noqa: ANN001, ANN201
-    text = F.concat("n_name", F.lit(" 50% es $x ≤ 3$ y × z"))
-    return t("nation").withColumn("s", latex.normalised(text)).select("n_nationkey", "s.text", "s.warnings")
-
-
 @query("S35_box_changes")
 def s35(t):  # noqa: ANN001, ANN201
     """Added, removed and moved boxes of each page, by the greedy match."""

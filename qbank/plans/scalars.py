@@ -155,18 +155,6 @@ def s18(t):  # noqa: ANN001, ANN201
     return t("part").select("p_partkey", a.alias("a"), b.alias("b")).select("p_partkey", text.merge_fragments(F.col("a"), F.col("b")).alias("m"))
 
 
-@query("S20_numbered_headers", "select doc_id, len(list_distinct(regexp_extract_all(text, '(?:^|\\n)([A-Z])[a-z]+'))) starts from documents")
-def s20(t):  # noqa: ANN001, ANN201
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("(?:^|\\n)([A-Z])[a-z]+"), 0))
-    return t("documents").select("doc_id", F.size(found).cast("bigint").alias("starts"))
-
-
-@query("S21_image_role", "select page_id, case when length(html) > 20000 then 'full_page' when contains(html, '<h1>') and page_id % 3 = 0 then 'statement' when page_id % 3 = 1 then 'options' else 'figure' end as role from pages")
-def s21(t):  # noqa: ANN001, ANN201
-    role = F.when(F.length("html") > 20000, "full_page").when(F.contains("html", F.lit("<h1>")) & (F.col("page_id") % 3 == 0), "statement").when(F.col("page_id") % 3 == 1, "options").otherwise("figure")
-    return t("pages").select("page_id", role.alias("role"))
-
-
 def _noise_sql() -> str:
     n = lambda c, x: f"(length({c}) - length(replace({c}, '{x}', '')))"
     label = r"'(^|[^A-Za-z0-9])[A-Ea-e]\)\s*', '\1', 'g'"
@@ -351,18 +339,6 @@ def s36(t):  # noqa: ANN001, ANN201
     return t("events").select("event_id", status.normal_status(raw, status.STATUS_ALIASES).alias("status"), status.normal_step(step).alias("step"))
 
 
-@query("S37_solution_groups", "select n_nationkey, case when n_nationkey in (1, 2) then [1, 2] else [1, 2, n_nationkey] end as g from nation")
-def s37(t):  # noqa: ANN001, ANN201
-    return solution_groups(t("nation"))
-
-
-def solution_groups(nation):  # noqa: ANN001, ANN201
-    """Scalars, lists and nested lists as one list in first order, without repeats."""
-    raw = F.concat(F.lit("[1, [2, 1], "), F.col("n_nationkey").cast("string"), F.lit("]"))
-    found = F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit("[0-9]+"), 0), lambda x: x.cast("int")))
-    return nation.select("n_nationkey", found.alias("g"))
-
-
 @query("S38_meta_reference", "select n_nationkey, case n_nationkey % 4 when 0 then 'catalog' when 1 then 'direct' when 2 then 'catalog' else 'direct' end source, case n_nationkey % 4 when 0 then n_nationkey when 2 then n_nationkey end id, case n_nationkey % 4 when 0 then n_name || ': x' when 1 then n_name || ':y' when 2 then '' else n_name end text from nation")
 def s38(t):  # noqa: ANN001, ANN201
     k, n = F.col("n_nationkey").cast("string"), F.col("n_name")
@@ -394,12 +370,6 @@ def s43(t):  # noqa: ANN001, ANN201
     return t("part").select("p_partkey", text.safe_stem(F.col("p_type")).alias("stem"))
 
 
-@query("S44_profile_validation", "select event_id, json_extract_string(props, '$.k') is not null and try_cast(json_extract_string(props, '$.k') as bigint) >= 0 as valid from events")
-def s44(t):  # noqa: ANN001, ANN201
-    p = F.from_json("props", "k bigint")
-    return t("events").select("event_id", F.coalesce(p["k"] >= 0, F.lit(False)).alias("valid"))
-
-
 @query("S45_error_group", "select event_id, event_type || case when user_id % 2 = 0 then '' else ' #' end k from events")
 def s45(t):  # noqa: ANN001, ANN201
     message = F.when(F.col("user_id") % 2 == 0, F.concat("event_type", F.lit(": at "), F.col("user_id").cast("string"))).otherwise(F.concat("event_type", F.lit(" "), F.col("user_id").cast("string")))

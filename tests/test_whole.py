@@ -31,11 +31,6 @@ def test_u20_numbers_every_row(spark):
     assert "SinglePartition" not in QUERIES["U20_rematerialise"](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_s37_removes_repeats(spark):
-    got = {r.n_nationkey: r.g for r in QUERIES["S37_solution_groups"](spark, SF).collect()}
-    assert len(got) == 25 and got[1] == got[2] == [1, 2] and got[0] == [1, 2, 0]
-
-
 def test_s12_judges_rows(spark):
     got = [r.s for r in QUERIES["S12_trigram_similarity"](spark, SF).collect()]
     assert len(got) == table(spark, "part").count() - 1 and len(set(got)) > 2
