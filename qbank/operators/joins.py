@@ -69,21 +69,3 @@ def continuation_groups(df: DataFrame, keys: list[str], order: str, continues: C
     """Rows that continue the one before share its group (gaps and islands)."""
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return df.withColumn("group_no", F.sum(F.when(continues, 0).otherwise(1)).over(w))
-
-
-def fuzzy_best(left: DataFrame, right: DataFrame, key: str, name: str, threshold: float) -> DataFrame:
-    """Each left name's nearest right name by trigrams: equal keys first, then the best above the threshold.
-
-    Candidates are the names that share a trigram: an equi join, not a cross join.
-    """
-    from qbank.functions.similarity import trigram_similarity, trigrams
-
-    a = left.select(F.col(key).alias("_lk"), F.col(name).alias("_ln"), trigrams(F.col(name)).alias("_lt"))
-    b = right.select(F.col(key).alias("_rk"), F.col(name).alias("_rn"), trigrams(F.col(name)).alias("_rt"))
-    pairs = (
-        a.select("_lk", F.explode("_lt").alias("g")).join(b.select("_rk", F.explode("_rt").alias("g")), "g").select("_lk", "_rk").distinct()
-    )
-    scored = pairs.join(a, "_lk").join(b, "_rk").withColumn("score", trigram_similarity(F.col("_lt"), F.col("_rt")))
-    scored = scored.where(F.col("score") >= threshold)
-    best = top_one(scored, ["_lk"], [F.col("score").desc(), F.col("_rn"), F.col("_rk")])
-    return best.select(F.col("_lk").alias("left_key"), F.col("_rk").alias("right_key"), "score")

@@ -1,79 +1,123 @@
-"""Greedy operators that are sequential inside a page: box matching and suppression.
-
-A page holds a bounded number of boxes.  Pages are dealt out by hash and come
-sorted, so each task streams over its pages and holds one at a time.
+"""Greedy matching and suppression of boxes, by a grid over each page and rounds of local maxima.
+
+Boxes that overlap by a share ``least`` of their union are alike in size: neither
+side of one is less than ``least`` of the other's. So each box is filed under
+cells of its own size and of the next few coarser ones (at most four cells a
+size), and only boxes of the same cell meet; a pair is taken from the cell that
+holds its overlap's corner. A greedy choice by falling priority takes what is
+first among all that it excludes; every round takes all such at once, and what
+they exclude goes. The pairs left are written to the shared folder each round,
+so a round's plan doesn't grow, and no page is gathered in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qbank.functions import geometry
+from qbank.tables import Written
+
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def _iou(a: tuple, b: tuple) -> float:
-    w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return w * h / union if union > 0 else 0.0
+def _filed(boxes: DataFrame, page: str, least: float) -> DataFrame:
+    """Boxes with an area, once for each cell: ``page, level, cx, cy`` and ``own``, the level of their size."""
+    deeper = math.ceil(math.log2(1 / least))
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).cast("double")
+    rows = boxes.where("x2 > x1 and y2 > y1").withColumn("own", F.floor(F.log2(side)).cast("int") + 1)
+    rows = rows.withColumn("level", F.explode(F.sequence(F.col("own"), F.col("own") + deeper)))
+    reach = lambda low, high: F.sequence(_cell(F.col(low)), _cell(F.col(high)))
+    return rows.withColumn("cx", F.explode(reach("x1", "x2"))).withColumn("cy", F.explode(reach("y1", "y2")))
+
 
+def _cell(c, level: str = "level"):  # noqa: ANN001, ANN202
+    return F.floor(c / F.pow(F.lit(2.0), F.col(level)))
 
-def by_page(df: DataFrame, page: str, work: Callable[[list[tuple]], list[tuple]], schema: str, columns: list[str]) -> DataFrame:
-    """``work`` on the rows of each page, as tuples in the order of ``df``'s columns."""
-    at = df.columns.index(page)
 
-    def run(got: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        for t in got:
-            out: list[tuple] = []
-            for row in t.itertuples(index=False, name=None):
-                if held and held[-1][at] != row[at]:
-                    out += work(held)
-                    held = []
-                held.append(row)
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-        if held:
-            yield pd.DataFrame(work(held), columns=columns)
+def overlaps(left: DataFrame, right: DataFrame, page: str, least: float, clamp: bool) -> DataFrame:
+    """Pairs of boxes of a page whose intersection over union is ``least`` or more: ``page, a, b, score``.
 
-    return df.repartition(page).sortWithinPartitions(page).mapInPandas(run, schema)
+    ``left`` and ``right`` have the columns page, ``n`` (what ``a`` and ``b`` tell) and the box.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least overlap is a share above 0")
+    a, b = (_filed(x.select(page, "n", *BOX), page, least).alias(k) for x, k in ((left, "a"), (right, "b")))
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (page, "level", "cx", "cy")])
+    corner = [F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in ("x1", "y1")]
+    once = (F.greatest("a.own", "b.own") == F.col("a.level")) & (_cell(corner[0], "a.level") == F.col("a.cx")) & (_cell(corner[1], "a.level") == F.col("a.cy"))
+    score = geometry.iou([F.col(f"a.{c}") for c in BOX], [F.col(f"b.{c}") for c in BOX], clamp)
+    return met.where(once).select(F.col(f"a.{page}").alias(page), F.col("a.n").alias("a"), F.col("b.n").alias("b"), score.alias("score")).where(F.col("score") >= least)
 
 
 def match_boxes(left: DataFrame, right: DataFrame, page: str, least: float = 0.25) -> DataFrame:
     """One-to-one pairs of boxes ``(page, id, x1, y1, x2, y2)``, the best overlap first, later ids on ties."""
-
-    def work(rows: list[tuple]) -> list[tuple]:
-        a, b = [r for r in rows if r[6]], [r for r in rows if not r[6]]
-        pairs = [(s, p[1], q[1]) for p in a for q in b if (s := _iou(p[2:6], q[2:6])) >= least]
-        used_a, used_b, out = set(), set(), []
-        for s, i, j in sorted(pairs, reverse=True):
-            if i not in used_a and j not in used_b:
-                used_a.add(i)
-                used_b.add(j)
-                out.append((rows[0][0], i, j, s))
-        return out
-
-    both = left.select(page, "id", *BOX, F.lit(True).alias("left_side")).unionByName(right.select(page, "id", *BOX, F.lit(False).alias("left_side")))
-    schema = f"page {dict(left.dtypes)[page]}, left_id long, right_id long, score double"
-    return by_page(both, page, work, schema, ["page", "left_id", "right_id", "score"])
+    named = lambda x: x.withColumn("n", F.col("id").cast("long"))
+    rest = Written(overlaps(named(left), named(right), page, least, clamp=False), "pairs")
+    taken: list[DataFrame] = []
+    while not rest.df.isEmpty():
+        own = F.struct("score", "a", "b")
+        best = lambda side: rest.df.groupBy(page, side).agg(F.max(own).alias("best"))  # noqa: B023, E731
+        firsts = best("a").select(page, F.col("best.score").alias("score"), "a", F.col("best.b").alias("b")).join(best("b").select(page, F.col("best.a").alias("a"), "b"), [page, "a", "b"])
+        now = Written(firsts, "matched")
+        taken.append(now.df)
+        gone_a, gone_b = now.df.select(page, "a"), now.df.select(page, "b")
+        after = Written(rest.df.join(gone_a, [page, "a"], "left_anti").join(gone_b, [page, "b"], "left_anti"), "pairs")
+        rest.drop()
+        rest = after
+    out = rest.df
+    for t in taken:
+        out = out.unionByName(t)
+    return out.select(page, F.col("a").alias("left_id"), F.col("b").alias("right_id"), "score")
 
 
 def suppress(boxes: DataFrame, page: str, overlap: float = 0.9) -> DataFrame:
-    """By falling confidence, then y, then x; a box that overlaps a kept one too much goes."""
-    names = boxes.columns
-    conf, box = names.index("conf"), [names.index(c) for c in BOX]
-
-    def work(rows: list[tuple]) -> list[tuple]:
-        kept: list[tuple] = []
-        shapes: list[tuple] = []
-        for row in sorted(rows, key=lambda r: (-r[conf], r[box[1]], r[box[0]])):
-            shape = tuple(row[k] for k in box)
-            if all(_iou(shape, k) < overlap for k in shapes):
-                kept.append(row)
-                shapes.append(shape)
-        return kept
-
-    return by_page(boxes, page, work, boxes.schema, names)
+    """By falling confidence, then y, x and id; a box that overlaps a kept one too much goes."""
+    place = F.struct((-F.col("conf")).alias("k"), "y1", "x1", F.col("id").alias("i"))
+    ranked = boxes.select(page, place.alias("n"), *BOX)
+    rest = Written(overlaps(ranked, ranked, page, overlap, clamp=True).where("a < b").select(page, F.col("a"), F.col("b")), "rivals")
+    gone: list[DataFrame] = []
+    while not rest.df.isEmpty():
+        first = rest.df.select(page, "a").distinct().join(rest.df.select(page, F.col("b").alias("a")), [page, "a"], "left_anti")
+        now = Written(rest.df.join(first, [page, "a"], "left_semi").select(page, "b").distinct(), "gone")
+        gone.append(now.df)
+        lost = now.df.withColumnRenamed("b", "a")
+        after = Written(rest.df.join(lost, [page, "a"], "left_anti").join(now.df, [page, "b"], "left_anti"), "rivals")
+        rest.drop()
+        rest = after
+    if not gone:
+        return boxes
+    all_gone = gone[0]
+    for g in gone[1:]:
+        all_gone = all_gone.unionByName(g)
+    return boxes.withColumn("b", place).join(all_gone, [page, "b"], "left_anti").select(*boxes.columns)
+
+
+def box_changes(old: DataFrame, new: DataFrame, page: str, moved_by: int = 5) -> DataFrame:
+    """What became of a page's boxes: added, removed, moved by more than some pixels, and whether the order changed.
+
+    ``id`` is a box's place in its page. Pages with as many boxes as before and
+    no match have all moved; equal lists in another order, or a match between
+    different places, count as reordered.
+    """
+    pairs = match_boxes(old, new, page)
+    a, b = (x.select(page, F.col("id").cast("long").alias(k), F.struct(*BOX).alias(box)) for x, k, box in ((old, "left_id", "was"), (new, "right_id", "now")))
+    shift = geometry.largest_shift([F.col(f"was.{c}") for c in BOX], [F.col(f"now.{c}") for c in BOX])
+    told = pairs.join(a, [page, "left_id"]).join(b, [page, "right_id"]).groupBy(page).agg(
+        F.count("*").alias("matched"), F.count_if(shift > moved_by).alias("moved"), F.count_if(F.col("left_id") != F.col("right_id")).alias("crossed")
+    )
+    listed = lambda x, name: x.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("id", F.struct(*BOX).alias("box")))).alias(name))
+    both = listed(old, "o").join(listed(new, "n"), page, "full_outer").join(told, page, "left").fillna(0, ["matched", "moved", "crossed"])
+    none = F.array().cast(both.schema["o"].dataType)
+    boxes = lambda c: F.transform(F.coalesce(c, none.cast(both.schema[c].dataType)), lambda x: x["box"])
+    both = both.withColumns({"o": boxes("o"), "n": boxes("n")})
+    differ = (F.size("o") == F.size("n")) & (F.col("o") != F.col("n"))
+    return both.select(
+        page,
+        (F.size("n") - F.col("matched")).alias("added"),
+        (F.size("o") - F.col("matched")).alias("removed"),
+        F.when(differ & (F.col("matched") == 0), F.size("n")).otherwise(F.col("moved")).cast("long").alias("moved"),
+        (differ & ((F.sort_array("o") == F.sort_array("n")) | (F.col("crossed") > 0))).cast("long").alias("reordered"),
+    )

@@ -63,9 +63,37 @@ def sorted_keys(rows: DataFrame, n: int) -> list[tuple]:
     return [tuple(r[0]) for r in rows.select("_key").orderBy(F.xxhash64("_key")).limit(n).orderBy("_key").collect()]
 
 
+def sample_key(seed: int | str, *keys: str) -> list[Column]:
+    """A seeded order that SQL engines share: the md5 of seed and key, then the key itself, for each key in turn."""
+    text = lambda k: F.coalesce(F.col(k).cast("string"), F.lit(""))
+    return [x for k in keys for x in (F.md5(F.concat_ws(":", F.lit(str(seed)), text(k))), text(k))]
+
+
 def sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """N rows in a seeded order, the same for the same seed whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(max(1, n))
+    """N rows in a seeded order, the same for the same seed whatever the partitioning: n rows of each task meet, no more."""
+    return df.orderBy(*sample_key(seed, key)).limit(max(1, n))
+
+
+def grown_sample(old: DataFrame, more: DataFrame, n: int, keys: list[str], seed: int) -> DataFrame:
+    """The sample of ``n`` of all rows, from that of the rows before and the rows that came since.
+
+    Samples of the smallest hashes merge. A full sample's largest hash is a
+    threshold: rows above it are dropped where they are read, unordered, so a
+    later run sorts only what can still come in.
+    """
+    order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(sample_key(seed, *keys))))
+    held = old.agg(F.count("*").alias("n"), F.max(order).alias("last")).first()
+    if held.n >= n:
+        bound = F.struct(*(F.lit(x).alias(f"k{i}") for i, x in enumerate(held["last"])))
+        more = more.where(order < bound)
+    return old.unionByName(more).orderBy(*sample_key(seed, *keys)).limit(max(1, n))
+
+
+def incremental_sample(rows: DataFrame, known: DataFrame, key: str, group: str, usable: Column, limit: int, seed: int) -> DataFrame:
+    """Rows that are usable and not known yet, groups in a seeded order and rows in one within them, up to the cap (0: all)."""
+    left = rows.where(usable).join(known.select(key).distinct(), key, "left_anti")
+    ordered = left.orderBy(*sample_key(seed, group), *sample_key(seed, key))
+    return ordered.limit(limit) if limit > 0 else ordered
 
 
 def nearest(df: DataFrame, vector: str, query: list[float], k: int, tie: str) -> DataFrame:

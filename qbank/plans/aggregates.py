@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qbank.functions import classify, similarity, status, text
+from qbank.operators import reports
 from qbank.plans.sections import classify_sql, sections
 from qbank.plans.filters import verdicts
 from qbank.plans.registry import query
@@ -88,13 +89,26 @@ def a6(t):  # noqa: ANN001, ANN201
     return g.withColumns({"missing": F.greatest(F.col("expected") - F.col("scanned"), F.lit(0)), "ratio": F.round(ratio, 6)})
 
 
+_SOLUTIONS = ('{"1": [["p"]], "2": [], "x": ["q"], "3": {"images": ["r"]}}', None, '{"2": "s", "0": ["n"], "-1": ["m"]}', '{"4": [["a"], []], "5": [[], " "], "6": 7}', "broken")
+_SOLVED_SQL = "(c % 5 = 0 and turn in (1, 3)) or (c % 5 = 2 and turn = 2) or (c % 5 = 3 and turn in (4, 6))"
+
+
 @query(
     "A7_session_stats",
-    "select conv_id, count(*) items, count(*) filter (where contains(text, 'the')) with_key, count(*) - count(*) filter (where contains(text, 'the')) without_key, count(distinct turn) numbers from conversations group by 1",
+    f"""with i as (select conv_id, conv_id c, turn, coalesce(turn % 3 = 0, false) as keyed, coalesce(turn % 4 = 1, false) or coalesce({_SOLVED_SQL}, false) as solved from conversations)
+select conv_id, count(*) items, count(*) filter (where keyed) with_key, count(*) filter (where solved) with_solution, count(distinct turn) filter (where turn > 0) numbers,
+  count(*) filter (where not keyed) without_key, count(*) filter (where not solved) without_solution from i group by 1""",
 )
 def a7(t):  # noqa: ANN001, ANN201
-    key = F.count_if(F.contains("text", F.lit("the")))
-    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("items"), key.alias("with_key"), (F.count("*") - key).alias("without_key"), F.countDistinct("turn").alias("numbers"))
+    """Conversations as sessions: keys by tag, solutions by tag or by the session's map of numbers."""
+    n = F.col("turn")
+    tags = F.concat(F.when(n % 3 == 0, "[[ Clave = A ]] ").otherwise("[[clave=]] "), F.when(n % 4 == 1, "[[solucionario=s]]").otherwise("[[soluciones=s]]"))
+    items = t("conversations").select("conv_id", "turn", F.concat(tags, F.coalesce("text", F.lit(""))).alias("item"))
+    held = F.lit(None).cast("string")
+    for k, x in enumerate(_SOLUTIONS):
+        held = F.when(F.col("conv_id") % len(_SOLUTIONS) == k, F.lit(x)).otherwise(held)
+    solved = reports.numbered_solutions(items.select("conv_id").distinct().select("conv_id", held.alias("held")), "conv_id", "held")
+    return reports.session_stats(items, solved, "conv_id", "turn", "item")
 
 
 @query(
@@ -251,14 +265,17 @@ def a22(t):  # noqa: ANN001, ANN201
 
 @query(
     "A23_error_report",
-    """select regexp_replace(event_type || ' ' || cast(user_id as varchar), '[0-9]+', '#', 'g') k, count(*) n, count(distinct user_id) scopes,
- list_slice(list_sort(list(event_id)), 1, 3) examples from events group by 1""",
+    """with m as (select event_id, user_id, event_type, event_type || case event_id % 3 when 0 then ': at ' || user_id when 1 then ' ' || user_id else ':[k] ' || user_id end message,
+  case event_id % 3 when 0 then event_type when 1 then event_type || ' #' else event_type || ':[k]' end k from events),
+c as (select k, count(*) n, count(distinct event_type) scopes, count(distinct user_id) records from m group by 1),
+f as (select k, message, min(event_id) seen from m group by 1, 2), r as (select *, row_number() over (partition by k order by seen, message) i from f)
+select c.*, list(message order by i) examples from c join r using (k) where i <= 3 group by all""",
 )
 def a23(t):  # noqa: ANN001, ANN201
-    """The first three examples by a bounded aggregate."""
-    k = F.regexp_replace(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")), "[0-9]+", "#")
-    least = F.slice(F.sort_array(F.collect_list("event_id")), 1, 3)
-    return t("events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("scopes"), least.alias("examples"))
+    """Three forms of message for each event; the first three different ones of each key by rank."""
+    k, u = F.col("event_id") % 3, F.col("user_id").cast("string")
+    message = F.concat("event_type", F.when(k == 0, ": at ").when(k == 1, " ").otherwise(":[k] "), u)
+    return reports.error_report(t("events").withColumn("message", message), "user_id", "event_type", "message", "event_id")
 
 
 @query("A24_library_totals", "select o_orderstatus status, count(*) n, round(sum(o_totalprice), 2) total from orders group by 1")

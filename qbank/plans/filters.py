@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qbank.functions import admission, classify, items, rendered, status, text
+from qbank.operators import reports
 from qbank.plans.registry import query
 
 #: labels.quality as a verdict: 1 good, 0 bad, absent unreviewed.
@@ -385,3 +386,23 @@ def f27(t):  # noqa: ANN001, ANN201
     """Sessions with not every row ready."""
     s = t("lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_linestatus") == "F").alias("ready"), F.count("*").alias("n"))
     return s.where("ready < n")
+
+
+_BOOKS_SQL = """from orders o left join (select l_orderkey, count(*) filter (where l_linestatus = 'F') ready, count(*) n from lineitem group by 1) on l_orderkey = o_orderkey"""
+
+
+@query(
+    "F27_session_browser",
+    f"select o_orderkey {_BOOKS_SQL} where o_orderstatus = 'O' and o_orderpriority = '4-NOT SPECIFIED' and coalesce(ready, 0) > 0",
+)
+def f27_browser(t):  # noqa: ANN001, ANN201
+    """Books by four fields, two of them open, in another spelling than theirs, and with some row ready."""
+    wanted = {"o_orderstatus": " o ", "o_orderpriority": "4 not_Specified", "o_custkey": "Todos", "o_totalprice": "TODOS"}
+    return reports.browsed(t("orders"), t("lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", F.col("l_linestatus") == "F", wanted, "listo").select("o_orderkey")
+
+
+@query("F27_session_pending", f"select o_orderkey {_BOOKS_SQL} where o_orderpriority = '1-URGENT' and coalesce(ready, 0) < coalesce(n, 0)")
+def f27_pending(t):  # noqa: ANN001, ANN201
+    """Books of one kind whose rows are not all ready."""
+    lines = t("lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return reports.browsed(t("orders"), lines, "o_orderkey", F.col("l_linestatus") == "F", {"o_orderpriority": "1 URGENT", "o_orderstatus": "todos"}, "pendiente").select("o_orderkey")

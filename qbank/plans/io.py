@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qbank.functions import geometry, latex
-from qbank.operators import matching
+from qbank.functions import latex
 from qbank.plans.registry import query
 from qbank.plans.windows import boxes
 from qbank.sources import readers, writers
@@ -166,18 +165,3 @@ def s25_option(t):  # noqa: ANN001, ANN201
         made = F.when(c == i, F.concat(F.lit(head), *(y for part in tail for y in (F.col("p_name"), F.lit(part))))).otherwise(made)
     rows = t("part").select("p_partkey", made.alias("c")).select("p_partkey", "c", latex.option_text(F.col("c")).alias("option"))
     return rows.select("p_partkey", "option", latex.option_warnings(F.col("c"), F.col("option")).alias("warnings"))
-
-
-@query("S35_box_changes")
-def s35(t):  # noqa: ANN001, ANN201
-    """Added, removed and moved boxes of each page, by the greedy match."""
-    b = boxes(t).drop("conf")
-    new = b.where("id <> 2").withColumns({"x1": F.col("x1") + F.when(F.col("id") == 1, 9).otherwise(0), "x2": F.col("x2") + F.when(F.col("id") == 1, 9).otherwise(0)})
-    m = matching.match_boxes(b, new, "page")
-    pairs = m.join(b.alias("a"), (m["page"] == F.col("a.page")) & (m["left_id"] == F.col("a.id"))).join(new.alias("n"), (m["page"] == F.col("n.page")) & (m["right_id"] == F.col("n.id")))
-    shift = geometry.largest_shift([F.col(f"a.{c}") for c in ("x1", "y1", "x2", "y2")], [F.col(f"n.{c}") for c in ("x1", "y1", "x2", "y2")])
-    moved = pairs.select(m["page"].alias("page"), (shift > 5).cast("int").alias("moved")).groupBy("page").agg(F.sum("moved").alias("moved"), F.count("*").alias("matched"))
-    old_n, new_n = b.groupBy("page").agg(F.count("*").alias("old")), new.groupBy("page").agg(F.count("*").alias("new"))
-    z = lambda c: F.coalesce(c, F.lit(0))
-    out = old_n.join(new_n, "page", "full_outer").join(moved, "page", "left")
-    return out.select("page", (z("new") - z("matched")).alias("added"), (z("old") - z("matched")).alias("removed"), z("moved").alias("moved"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qbank.functions import text
-from qbank.operators import joins, merges, ordering
+from qbank.operators import fuzzy, joins, merges, ordering
 from qbank.operators.windows import keep
 from qbank.plans.registry import query
 
@@ -149,23 +149,73 @@ def j17(t):  # noqa: ANN001, ANN201
 TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9áéíóúüñ]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
+#: A part's name as it is asked for: as it is, with a word doubled, without its last letter, with a letter changed, in capitals, or of another sort.
+_ASKED_SQL = """case p_partkey % 6 when 0 then p_name when 1 then p_name || ' ' || split_part(p_name, ' ', 1) when 2 then left(p_name, length(p_name) - 1)
+  when 3 then replace(p_name, 'a', 'e') when 4 then upper(p_name) else p_name || ' xyz' end"""
+_AREA_SQL = "case when p_partkey % 5 = 0 then '' when p_partkey % 7 = 0 then 'Other#9' else p_brand || case when p_partkey % 3 = 0 then ' x' else '' end end"
+
+
+def _asked(t):  # noqa: ANN001, ANN202
+    k, n = F.col("p_partkey"), F.col("p_name")
+    name = F.when(k % 6 == 0, n).when(k % 6 == 1, F.concat(n, F.lit(" "), F.split_part(n, F.lit(" "), F.lit(1)))).when(k % 6 == 2, F.expr("left(p_name, length(p_name) - 1)"))
+    name = name.when(k % 6 == 3, F.replace(n, F.lit("a"), F.lit("e"))).when(k % 6 == 4, F.upper(n)).otherwise(F.concat(n, F.lit(" xyz")))
+    area = F.when(k % 5 == 0, "").when(k % 7 == 0, "Other#9").otherwise(F.concat("p_brand", F.when(k % 3 == 0, " x").otherwise("")))
+    return t("part").select("p_partkey", name.alias("p_name"), area.alias("p_area"), "p_type")
+
+
+def _resolve_sql(area: bool, within: bool) -> str:
+    """A full comparison of all different names."""
+    w = ", p_type w" if within else ", '' w"
+    b_area = "p_brand" if area else "''"
+    return f"""with a as (select p_partkey k, {_ASKED_SQL} n, {_AREA_SQL if area else "''"} m {w} from part),
+b as (select p_name n, {b_area} m {w}, min(p_partkey) k from part group by all),
+x as (select a.k left_key, b.k right_key from a join b using (n, m, w)),
+an as (select n, w, {TRIGRAMS.format("n")} g from (select distinct n, w from a where k not in (select left_key from x))), bn as (select n, w, {TRIGRAMS.format("n")} g from (select distinct n, w from b)),
+p as (select an.n, bn.n r, an.w, len(list_intersect(an.g, bn.g)) / len(list_distinct(an.g || bn.g)) s from an join bn on an.w = bn.w and len(an.g) > 0 and len(bn.g) > 0),
+t as (select * from (select *, max(s) over (partition by n, w) best from p where s >= 0.8) where s = best),
+ar as (select x, {TRIGRAMS.format("x")} g from (select m x from a union select m from b)),
+c as (select a.k, a.m, b.k right_key, t.s, case when len(list_distinct(ga.g || gb.g)) = 0 then 0.0 else len(list_intersect(ga.g, gb.g)) / len(list_distinct(ga.g || gb.g)) end alike
+  from a join t on a.n = t.n and a.w = t.w join b on b.n = t.r and b.w = t.w join ar ga on ga.x = a.m join ar gb on gb.x = b.m where a.k not in (select left_key from x)),
+d as (select *, row_number() over (partition by k order by alike desc, right_key) i from c)
+select left_key, right_key, 1.0::double score, 'exact' how from x union all select k, right_key, round(s, 9), 'similar' from d where i = 1 and (m = '' or alike >= 0.5)"""
+
+
+@query("J18_fuzzy_match", _resolve_sql(area=True, within=False))
+def j18(t):  # noqa: ANN001, ANN201
+    """Topics with areas: all part names, altered, against all part names."""
+    return fuzzy.resolve(_asked(t), t("part").withColumnRenamed("p_brand", "p_area"), "p_partkey", "p_name", "p_area").withColumn("score", F.round("score", 9))
+
+
+@query("J18_subtopics", _resolve_sql(area=False, within=True))
+def j18_subtopics(t):  # noqa: ANN001, ANN201
+    """Subtopics within their topic (type)."""
+    return fuzzy.resolve(_asked(t), t("part"), "p_partkey", "p_name", within="p_type").withColumn("score", F.round("score", 9))
+
+
 @query(
-    "J18_fuzzy_match",
-    f"""with a as (select n_nationkey k, {TRIGRAMS.format("n_name || ' x'")} g from nation), b as (select n_nationkey k, n_name, {TRIGRAMS.format("n_name")} g from nation),
-p as (select a.k l, b.k r, n_name, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)) s from a, b)
-select left_key, right_key, round(s, 9) score from (select l left_key, r right_key, s, row_number() over (partition by l order by s desc, n_name, r) k from p where s >= 0.5) where k = 1""",
+    "J18_area_search",
+    f"""with a as (select distinct replace(p_type, 'E', 'A') n from part union select distinct p_type || 'S' from part union select 'zzz'), b as (select distinct p_type n from part),
+p as (select a.n, b.n area, case when a.n = b.n then 1.0 else len(list_intersect(ga, gb)) / len(list_distinct(ga || gb)) end::double s
+  from (select n, {TRIGRAMS.format("n")} ga from a) a, (select n, {TRIGRAMS.format("n")} gb from b) b)
+select n as name, area, round(s, 9) score from (select *, row_number() over (partition by n order by n = area desc, s desc, area desc) i from p where s >= 0.8) where i = 1""",
 )
-def j18(t):  # noqa: ANN001, ANN201
-    n = t("nation").select("n_nationkey", "n_name")
-    left = n.select("n_nationkey", F.concat("n_name", F.lit(" x")).alias("n_name"))
-    return joins.fuzzy_best(left, n, "n_nationkey", "n_name", 0.5).withColumn("score", F.round("score", 9))
+def j18_area(t):  # noqa: ANN001, ANN201
+    """Areas asked for in a search against the known ones."""
+    known = t("part").select("p_type")
+    asked = known.select(F.replace("p_type", F.lit("E"), F.lit("A")).alias("p_type")).unionByName(known.select(F.concat("p_type", F.lit("S")).alias("p_type")))
+    asked = asked.unionByName(known.select(F.lit("zzz").alias("p_type")).distinct())
+    return fuzzy.nearest_area(asked, known, "p_type").withColumn("score", F.round("score", 9))
 
 
-@query("J19_incremental_sample")
+@query(
+    "J19_incremental_sample",
+    """select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null) and n_chars > 40
+order by md5('42:' || coalesce(source, '')), coalesce(source, ''), md5('42:' || doc_id), doc_id::varchar limit 200""",
+)
 def j19(t):  # noqa: ANN001, ANN201
-    """A seeded order, known ids left out, then the cap that is the feature."""
-    d = t("documents").join(t("labels").select("doc_id"), "doc_id", "left_anti")
-    return d.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(50)
+    """Documents of sources in a seeded order, those with labels left out, up to the cap that is the feature."""
+    d = t("documents").where("doc_id is not null")
+    return ordering.incremental_sample(d, t("labels"), "doc_id", "source", F.col("n_chars") > 40, 200, 42).select("doc_id")
 
 
 @query("J20_normalisation_base", "select doc_id, coalesce(case when quality = 1 then 'reviewed' end, 'pending') status from documents left join labels using (doc_id) where trim(text) <> '' and n_chars > 20")

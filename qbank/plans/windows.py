@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qbank.functions import geometry
@@ -71,18 +72,77 @@ def boxes(t, where: str = "true"):  # noqa: ANN001, ANN201
     )
 
 
-@query("W8_suppression")
+def placed_boxes(t):  # noqa: ANN001, ANN201
+    """The same with each box's place in its page as its id."""
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    numbered = t("lineitem").withColumn("l_linenumber", F.row_number().over(order))
+    return boxes(lambda _: numbered)
+
+
+_BOXES_SQL = """b as (select l_orderkey page, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) id, cast(l_partkey % 180 as integer) x1, cast(l_suppkey % 80 as integer) y1,
+  cast(x1 + floor(l_quantity)::integer + 10 as integer) x2, cast(y1 + floor(l_quantity)::integer + 10 as integer) y2, l_discount conf from lineitem)"""
+
+
+def _iou_sql(a: str, b: str, least: str) -> str:
+    w = f"greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0)"
+    h = f"greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0)"
+    area = lambda x: f"({x}.x2 - {x}.x1) * ({x}.y2 - {x}.y1)"
+    return f"({w} * {h})::double / greatest({area(a)} + {area(b)} - {w} * {h}, {least})"
+
+
+@query(
+    "W8_suppression",
+    f"""with recursive {_BOXES_SQL},
+o as (select *, row_number() over (partition by page order by conf desc, y1, x1, id) k from b),
+r as (select page, k, [{{'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] kept from o where k = 1
+  union all select o.page, o.k, case when len(list_filter(kept, lambda q: {_iou_sql('q', 'o', '1')} >= 0.2)) = 0 then list_append(kept, {{'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) else kept end
+  from r join o on o.page = r.page and o.k = r.k + 1),
+l as (select page, unnest(arg_max(kept, k)).id id from r group by page)
+select b.* from b join l using (page, id)""",
+)
 def w8(t):  # noqa: ANN001, ANN201
-    return matching.suppress(boxes(t), "page", 0.2)
+    return matching.suppress(placed_boxes(t), "page", 0.2)
+
 
+def _greedy_sql(moved: str) -> str:
+    """Pairs taken one by one, by falling overlap: a recursion over the candidates of a page."""
+    return f"""{_BOXES_SQL}, m as ({moved}),
+c as (select b.page, b.id l, m.id r, {_iou_sql('b', 'm', '0')} score from b join m on b.page = m.page where {_iou_sql('b', 'm', '0')} >= 0.25),
+o as (select *, row_number() over (partition by page order by score desc, l desc, r desc) k from c),
+g as (select page, k, [l] ls, [r] rs, [score] ss from o where k = 1
+  union all select o.page, o.k, case when f then list_append(ls, l) else ls end, case when f then list_append(rs, r) else rs end, case when f then list_append(ss, score) else ss end
+  from (select o.*, ls, rs, ss, not list_contains(ls, o.l) and not list_contains(rs, o.r) f from g join o on o.page = g.page and o.k = g.k + 1) o),
+p as (select page, unnest(arg_max(ls, k)) left_id, unnest(arg_max(rs, k)) right_id, unnest(arg_max(ss, k)) score from g group by page)"""
 
-@query("J14_box_match")
+
+@query("J14_box_match", f"with recursive {_greedy_sql('select page, id, x1 + 3 x1, y1, x2 + 3 x2, y2 from b')} select * from p")
 def j14(t):  # noqa: ANN001, ANN201
-    b = boxes(t).drop("conf")
+    b = placed_boxes(t).drop("conf")
     moved = b.withColumns({"x1": F.col("x1") + 3, "x2": F.col("x2") + 3})
     return matching.match_boxes(b, moved, "page")
 
 
+_CHANGED_SQL = """select page, case when page % 5 = 0 then 8 - id else id end id, x1 + d x1, y1, x2 + d x2, y2 from (select *, case when id = 1 then 9 when page % 7 = 0 then 400 else 0 end d from b) where id <> 2 or page % 3 = 0"""
+
+
+@query(
+    "S35_box_changes",
+    f"""with recursive {_greedy_sql(_CHANGED_SQL)},
+s as (select p.page, count(*) matched, count(*) filter (where greatest(abs(b.x1 - m.x1), abs(b.y1 - m.y1), abs(b.x2 - m.x2), abs(b.y2 - m.y2)) > 5) moved, count(*) filter (where left_id <> right_id) crossed
+  from p join b on b.page = p.page and b.id = left_id join m on m.page = p.page and m.id = right_id group by 1),
+x as (select page, list((x1, y1, x2, y2) order by id) o from b group by 1), y as (select page, list((x1, y1, x2, y2) order by id) n from m group by 1),
+z as (select page, coalesce(len(o), 0) co, coalesce(len(n), 0) cn, coalesce(matched, 0) matched, coalesce(moved, 0) moved, coalesce(crossed, 0) crossed, coalesce(o <> n and len(o) = len(n), false) differ,
+  coalesce(list_sort(o) = list_sort(n), false) same from x full join y using (page) left join s using (page))
+select page, cn - matched added, co - matched removed, case when differ and matched = 0 then cn else moved end moved, (differ and (same or crossed > 0))::bigint reordered from z""",
+)
+def s35(t):  # noqa: ANN001, ANN201
+    """Boxes of each page against their later state: one moved, one gone in most pages, other orders, and pages where all are far off."""
+    b = placed_boxes(t).drop("conf")
+    by = F.when(F.col("id") == 1, 9).when(F.col("page") % 7 == 0, 400).otherwise(0)
+    new = b.where("id <> 2 or page % 3 = 0").withColumns({"x1": F.col("x1") + by, "x2": F.col("x2") + by})
+    return matching.box_changes(b, new.withColumn("id", F.when(F.col("page") % 5 == 0, 8 - F.col("id")).otherwise(F.col("id"))), "page")
+
+
 @query("W9_expected_prefix", "select conv_id, cast(case when min(case when turn <> p + f then p end) is null then count(*) else min(case when turn <> p + f then p end) end as integer) n from (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 p, 0 f from conversations) group by 1")
 def w9(t):  # noqa: ANN001, ANN201
     g = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
@@ -119,7 +179,6 @@ def w13(t):  # noqa: ANN001, ANN201
 
 @query("O1_problem_order", "select doc_id, row_number() over (order by lower(source), lower(lang), n_chars, doc_id) k from documents qualify k <= 100")
 def o1(t):  # noqa: ANN001, ANN201
-    from pyspark.sql import Window as W
 
     top = t("documents").orderBy(F.lower("source"), F.lower("lang"), "n_chars", "doc_id").limit(100)
     return top.select("doc_id", F.row_number().over(W.orderBy(F.lower("source"), F.lower("lang"), "n_chars", "doc_id")).alias("k"))
@@ -133,7 +192,6 @@ def o2(t):  # noqa: ANN001, ANN201
 
 @query("O3_natural_sort", "select source, row_number() over (order by cast(substr(source, 4) as integer)) k from (select distinct source from documents)")
 def o3(t):  # noqa: ANN001, ANN201
-    from pyspark.sql import Window as W
 
     s = t("documents").select("source").distinct()
     return s.select("source", F.row_number().over(W.orderBy(ordering.natural_key(F.col("source")))).alias("k"))
@@ -155,11 +213,19 @@ def o5(t):  # noqa: ANN001, ANN201
     return b.select("page", F.transform("s", lambda x: x["id"]).alias("ids"))
 
 
-@query("O6_seeded_sample")
+@query("O6_seeded_sample", "select doc_id from documents order by md5('7:' || coalesce(doc_id::varchar, '')), coalesce(doc_id::varchar, '') limit 25")
 def o6(t):  # noqa: ANN001, ANN201
     return ordering.sample(t("documents").select("doc_id"), 25, "doc_id", 7)
 
 
+@query("O6_grown_sample", "select event_id from events order by md5('7:' || event_id), event_id::varchar limit 400")
+def o6_grown(t):  # noqa: ANN001, ANN201
+    """A sample of the events before a time, grown by those since: that of all events."""
+    e = t("events").select("event_id", "event_type")
+    old = ordering.sample(e.where("event_type <> 'error'").select("event_id"), 400, "event_id", 7)
+    return ordering.grown_sample(old, e.where("event_type = 'error' or event_type is null").select("event_id"), 400, ["event_id"], 7)
+
+
 @query(
     "O7_vector_topk",
     "select vec_id, round(sqrt(list_sum(list_transform(list_zip(e, range(1, 65)), lambda z: power(z[1] - (z[2] - 32) / 320.0, 2)))), 6) distance from (select vec_id, cast(embedding as double[]) e from embeddings where label < 8) order by 2, 1 limit 10",

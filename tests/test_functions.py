@@ -96,10 +96,24 @@ def test_identity_tiers(spark):
     assert got == {("B", "s9", 3): None, ("B", "", 3): 7, ("", "", 4): 8, ("B", "s2", 4): 8}
 
 
-def test_fuzzy_best(spark):
-    left = spark.createDataFrame([(1, "Geometria plana"), (2, "zzz")], "k long, name string")
-    right = spark.createDataFrame([(5, "geometria plana"), (6, "geometria")], "k long, name string")
-    assert [(r.left_key, r.right_key) for r in joins.fuzzy_best(left, right, "k", "name", 0.5).collect()] == [(1, 5)]
+def test_fuzzy_resolve(spark):
+    left = spark.createDataFrame([(1, "Geometria plana", "x"), (2, "zzz", ""), (3, "geometria", "a"), (4, None, "a"), (5, "geometria plan", ""), (6, "geometria", "b")], "k long, name string, area string")
+    right = spark.createDataFrame([(5, "geometria plana", "y"), (6, "geometria", "a"), (7, "geometria", "a"), (8, "geometria plana", "x y")], "k long, name string, area string")
+    got = {(r.left_key, r.right_key, r.how) for r in fuzzy.resolve(left, right, "k", "name", "area").collect()}
+    assert got == {(1, 8, "similar"), (3, 6, "exact"), (5, 5, "similar")}
+    assert "Cartesian" not in fuzzy.resolve(left, right, "k", "name", "area")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8, 1.0])
+def test_prefixes_lose_no_pair(spark, monkeypatch, least):
+    """A hot trigram is salted, and the pairs are those of a full comparison."""
+    monkeypatch.setattr(fuzzy, "SHARE", 3)
+    r = random.Random(2)
+    names = [" ".join(r.choice(["alfa", "beta", "alfabeto", "gama", "delta"]) + r.choice(["", "s", "x"]) for _ in range(r.randint(1, 4))) for _ in range(60)]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(x.l, x.r) for x in fuzzy.similar_names(df, df, least).collect()}
+    sets = {n: {p[i : i + 3] for w in n.split() for p in [f"  {w} "] for i in range(len(w) + 1)} for n in names}
+    assert got == {(a, b) for a in sets for b in sets if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
 
 
 def test_delete_obsolete_without_kept_is_no_op(spark):
