@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from qbank.functions import latex
 from qbank.plans.registry import query
 from qbank.plans.windows import boxes
-from qbank.sources import readers, writers
+from qbank.sources import datasource, readers, writers
+from qbank.tables import WrittenText
 
 
 @query("SRC1_sql_source", "select lang, count(*) n from documents where n_chars > 100 group by lang")
@@ -23,6 +24,24 @@ def src3(t):  # noqa: ANN001, ANN201
     return d.select("doc_id", readers.optional_column(d, found, "course").alias("course"), readers.optional_column(d, found, "topic").alias("topic"))
 
 
+@query("SRC4_record_files", "select s_suppkey, s_name from supplier where s_suppkey % 7 <> 3")
+def src4(t):  # noqa: ANN001, ANN201
+    """A JSON file for each supplier, some of them broken, through the partitioned file source; unreadable ones are skipped."""
+    s = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 3, "{broken").otherwise(F.to_json(F.struct("s_suppkey", "s_name"))).alias("value"))
+    files = datasource.files(WrittenText(s.repartition(8), "records", by="s_suppkey").path, s.sparkSession, kind="json", suffixes=".txt")
+    rows = files.select(F.from_json("value", "s_suppkey long, s_name string", {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    return rows.where("s_suppkey is not null")
+
+
+@query("SRC5_jsonl", "select doc_id, source, n_chars, md5(text) as text from documents")
+def src5(t):  # noqa: ANN001, ANN201
+    """Whole documents as JSON lines with blank lines between, through the partitioned file source."""
+    d = t("documents").select("doc_id", "source", "n_chars", "text")
+    lines = d.select(F.explode(F.array(F.to_json(F.struct("*")), F.lit(" "))).alias("value"))
+    files = datasource.files(WrittenText(lines.repartition(8), "lines").path, d.sparkSession, kind="jsonl", suffixes=".txt")
+    return files.select(F.from_json("value", d.schema).alias("r")).select("r.doc_id", "r.source", "r.n_chars", F.md5("r.text").alias("text"))
+
+
 @query("SRC6_file_pairs", "select 'd/' || n_name || '.session.json' as session, case when n_nationkey % 2 = 0 then 'd/' || n_name || '.session__images.json' end images from nation")
 def src6(t):  # noqa: ANN001, ANN201
     n = t("nation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qbank.plans.registry import query
-from qbank.streaming import changes
+from qbank.streaming import changes, stateful
 
 
 @query("ST1_captured", "select event_id from (select *, lag(event_type) over w b, row_number() over w k from events window w as (partition by user_id order by event_id)) where (k = 1 or b is distinct from event_type) and value >= 5")
@@ -66,3 +66,42 @@ def st8(t):  # noqa: ANN001, ANN201
     now = F.sha1(F.col("o_orderkey").cast("string"))
     stored = F.when(F.col("o_orderkey") % 3 == 0, F.lit("other")).otherwise(now)
     return changes.invalidated(o, now, stored, ["o_orderstatus"])
+
+
+@query(
+    "ST2_queue_log",
+    """with e as (select user_id k, event_id rev, event_type p, ts, event_type = 'purchase' pub, value < 5 skip from events),
+r as (select *, lag(p) over w pb, lag(rev) over w rb, row_number() over w i from e where not coalesce(pub, false) and not coalesce(skip, false) window w as (partition by k order by ts, rev)),
+c as (select k, greatest(rev, 1) rev, p, ts, i, pb from r where i = 1 or p is distinct from pb),
+d as (select *, coalesce(lag(rev) over (partition by k order by ts, rev), greatest(rev - 1, 1)) base from c),
+m as (select k, rev, ts, true mark, null::varchar p, null::bigint base from e where pub union all select k, rev, ts, false, p, base from d),
+a as (select *, count(*) filter (where mark) over (partition by k order by ts, rev rows between unbounded preceding and current row) era from m),
+g as (select k, era, arg_min(base, (ts, rev)) base, arg_max(rev, (ts, rev)) as "local", arg_max(p, (ts, rev)) payload, min(ts) queued_at, max(ts) changed_at, count(*) pending from a where not mark group by all),
+l as (select *, row_number() over (partition by k order by era desc) i from g), n as (select k, max(era) era_now from a group by 1)
+select k as "key", base, "local", payload, epoch_us(queued_at) queued_at, epoch_us(changed_at) changed_at, case when era = era_now then pending else 0 end pending,
+  case when era = era_now then 'pending' else 'published' end status from l join n using (k) where i = 1""",
+)
+def st2_queue(t):  # noqa: ANN001, ANN201
+    """The change queue at the end of the log: what the stream of the same changes holds."""
+    e = t("events")
+    changes_of = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("revision"), F.col("event_type").alias("payload"), "ts", (F.col("event_type") == "purchase").alias("published"), (F.col("value") < 5).alias("skip"))
+    return stateful.queued_log(changes_of).withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("queued_at", "changed_at")})
+
+
+_LEASE_SECONDS = 7200
+
+
+@query(
+    "ST7_lease_log",
+    f"""with e as (select 'u' || user_id gate, event_type lease, case when value < 20 then 'release' else 'hold' end kind, ts, max(ts) over () now from events),
+r as (select *, lag(kind) over w pk, lag(ts) over w pt, lead(ts) over w nt from e window w as (partition by gate, lease order by ts, kind desc)),
+h as (select *, coalesce(pk = 'hold' and ts - pt <= interval {_LEASE_SECONDS} second, false) held from r)
+select gate, lease, case when kind = 'hold' then case when held then 'renewed' else 'acquired' end else 'released' end as "event", epoch_us(ts) as "at" from h where kind = 'hold' or held
+union all select gate, lease, 'expired', epoch_us(ts + interval {_LEASE_SECONDS} second) from h where kind = 'hold' and coalesce(nt, now) - ts > interval {_LEASE_SECONDS} second""",
+)
+def st7_log(t):  # noqa: ANN001, ANN201
+    """Every lease's history, with those that run out: what the stream's timers tell."""
+    e = t("events")
+    held = e.select(F.concat(F.lit("u"), "user_id").alias("gate"), F.col("event_type").alias("lease"), F.when(F.col("value") < 20, "release").otherwise("hold").alias("kind"), "ts")
+    held = held.join(F.broadcast(e.agg(F.max("ts").alias("now"))), F.lit(True))
+    return stateful.lease_log(held, 1000 * _LEASE_SECONDS, F.col("now")).withColumn("at", F.unix_micros(F.col("at").cast("timestamp")))

@@ -22,15 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[0]
 
 
-class Written:
-    """``df`` as Parquet in the shared folder: lost executors cost a reread. ``drop`` removes the files."""
+class _Folder:
+    """A new folder in the shared one; ``drop`` removes it."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/qbank-{tag}-{uuid.uuid4().hex}"
+
+    def drop(self) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Written(_Folder):
+    """``df`` as Parquet in the shared folder: lost executors cost a reread."""
 
     def __init__(self, df: DataFrame, tag: str) -> None:
-        self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/qbank-{tag}-{uuid.uuid4().hex}"
+        super().__init__(df.sparkSession, tag)
         schema = df.schema
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
-    def drop(self) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+class WrittenText(_Folder):
+    """The column ``value`` as lines of text, in a folder for each value of ``by`` if that is given."""
+
+    def __init__(self, df: DataFrame, tag: str, by: str | None = None) -> None:
+        super().__init__(df.sparkSession, tag)
+        (df.write.partitionBy(by) if by else df.write).text(self.path)
