@@ -1,13 +1,14 @@
 """Column functions and operators on hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qbank.functions import geometry, latex, similarity, status, text
-from qbank.operators import joins, matching, merges, ordering, windows
+from qbank.operators import fuzzy, joins, matching, merges, ordering, windows
 from qbank.sources import readers, writers
 from qbank.streaming import changes
 
