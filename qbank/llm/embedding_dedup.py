@@ -23,6 +23,7 @@ rows without one link with nothing; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 
 from qbank.llm.common import components, partitions, small, table
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Index:
@@ -46,8 +49,12 @@ class Index:
     rounds: int = 10
     #: Recall of pairs at the threshold that the number of asked cells must reach on the sample.
     recall: float = 0.97
-    #: If more cells than this are needed, all are searched.
+    #: If more cells than this are needed, the codebooks are made coarser, until as many reach the recall.
     most_cells: int = 2048
+    #: A length with fewer vectors has a single cell: too few to fit a grid on.
+    least: int = 48
+    #: All vectors of a length are compared, whatever that costs; never chosen by itself.
+    exact: bool = False
     #: Vectors in a group of neighbouring cells, and in a block of a group.
     per_group: int = 512
     members: int = 2000
@@ -61,6 +68,12 @@ class Grid:
     cells: int
     #: The group of each cell.
     groups: np.ndarray | None = None
+    #: The share of the sample's pairs at the threshold that the asked cells hold.
+    recall: float = 1.0
+
+    @property
+    def size(self) -> int:
+        return len(self.first) * len(self.second)
 
     def distances(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = unit.shape[1] // 2
@@ -116,17 +129,26 @@ def units(vectors: list[np.ndarray] | np.ndarray) -> np.ndarray:
 
 def fit(sample: np.ndarray, total: int, p: Index) -> Grid:
     """Codebooks of a grid for ``total`` vectors, and the number of cells to ask."""
-    half = sample.shape[1] // 2
     k = int(min(p.most_codes, max(2, round(math.sqrt(total / p.per_cell))), max(2, len(sample) // 8)))
-    grid = Grid(_codes(sample[:, :half], k, p.rounds), _codes(sample[:, half:], k, p.rounds), 1)
     # Pairs at the very threshold: each of up to 2000 sampled vectors, turned by the greatest allowed angle.
     some = sample[:: max(1, len(sample) // 2000)]
     noise = np.random.default_rng(7).standard_normal(some.shape)
     noise -= (noise * some).sum(1)[:, None] * some
     noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
     turned = p.cosine * some + math.sqrt(1 - p.cosine**2) * noise
-    all_cells = len(grid.first) * len(grid.second)
-    most = min(64, p.most_cells, all_cells)
+    while (grid := _reaching(sample, some, turned, k, p)) is None:
+        k = max(1, k // 2)
+    filed = np.bincount(grid.cell(sample), minlength=grid.size) * (total / len(sample))
+    grid.groups = ((filed.cumsum() - filed) // p.per_group).astype(np.int32)
+    return grid
+
+
+def _reaching(sample: np.ndarray, some: np.ndarray, turned: np.ndarray, k: int, p: Index) -> Grid | None:
+    """A grid of k codes a half with the number of cells that reaches the recall; none if that is more than ``most_cells``."""
+    half = sample.shape[1] // 2
+    grid = Grid(_codes(sample[:, :half], k, p.rounds), _codes(sample[:, half:], k, p.rounds), 1)
+    bound = min(p.most_cells, grid.size)
+    most = min(64, bound)
     while True:
         there = grid.nearest(some, most) == grid.cell(turned)[:, None]
         back = grid.nearest(turned, most) == grid.cell(some)[:, None]
@@ -134,14 +156,11 @@ def fit(sample: np.ndarray, total: int, p: Index) -> Grid:
         needed = np.sort(np.minimum(rank(there), rank(back)))
         at = int(needed[min(len(needed) - 1, math.ceil(p.recall * len(needed)) - 1)])
         if at < most:
-            break
-        if most >= min(p.most_cells, all_cells):
-            return whole(sample.shape[1])
-        most = min(4 * most, p.most_cells, all_cells)
-    grid.cells = at + 1
-    filed = np.bincount(grid.cell(sample), minlength=all_cells) * (total / len(sample))
-    grid.groups = ((filed.cumsum() - filed) // p.per_group).astype(np.int32)
-    return grid
+            grid.cells, grid.recall = at + 1, float((needed <= at).mean())
+            return grid
+        if most >= bound:
+            return None
+        most = min(4 * most, bound)
 
 
 def whole(length: int) -> Grid:
@@ -153,11 +172,12 @@ def grids(rows: DataFrame, p: Index) -> dict[int, tuple[Grid, int]]:
     """The grid of each length, and the number of its first group."""
     out, groups = {}, 0
     for length, total in sorted(map(tuple, rows.groupBy(F.size("v")).count().collect())):
-        if total <= p.members:
+        if p.exact or total < p.least:
             grid = whole(length)
         else:
             taken = rows.where(F.size("v") == length).orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).toArrow()
             grid = fit(units(taken["v"].to_pylist()), total, p)
+        log.info("%d vectors of length %d: %d of %d cells asked, recall %.3f on the sample", total, length, grid.cells, grid.size, grid.recall)
         out[length] = grid, groups
         groups += int(grid.groups.max()) + 1
     return out
@@ -176,7 +196,7 @@ def linked(vectors: DataFrame, p: Index = Index(), id_column: str = "vec_id", co
     single = isinstance(vectors.schema[column].dataType, T.ArrayType) and isinstance(vectors.schema[column].dataType.elementType, T.FloatType)
     number = np.dtype(np.float32 if single else np.float64)
     rows = _valid(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast(f"array<{'float' if single else 'double'}>").alias("v")), "v")
-    rows = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))  # the same one in each pass
+    rows = table(rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")  # the same one in each pass
     of_length = grids(rows, p)
     if not of_length:
         return spark.createDataFrame([], "vec_id long, n_links long, other long")
