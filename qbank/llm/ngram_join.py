@@ -627,13 +627,18 @@ def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
 
 
 def clean(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """One document of each component stays: the one whose id names it. Columns as before.
+    """Exactly one row of each component stays: that with the least doc_id. Columns as before, of any type.
 
-    Of rows that share that id one stays, the one with the least hash; rows without an id all stay.
+    Rows are told apart by numbers of their own (in a table, so that they are
+    fixed), not by their ids: of rows that share the least id of a component one
+    stays, and a row without text or words is a component of its own. Rows
+    without a doc_id are in no group and all stay.
     """
-    named = components_of(docs, p).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    named = table(named, "named").withColumnRenamed("doc_id", "_id")
-    with_id = docs.join(named.where("_rows = 1"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    twice = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(*docs.columns).alias("_hash"))
-    twice = twice.join(named.where("_rows > 1"), "_id", "left_semi").groupBy("_id").agg(F.min_by("_doc", "_hash").alias("_doc"))
-    return with_id.unionByName(twice.select("_doc.*")).unionByName(docs.where("doc_id is null"))
+    row = F.struct(*docs.columns).alias("_doc")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows = table(rows.select("_doc", "_id", "_text", "_row"), "rows")
+    named = rows.where("_id is not null")
+    found = components_of(named.select(F.col("_row").alias("doc_id"), F.col("_text").alias("text")), p).select(F.col("doc_id").alias("_row"), "component_id")
+    least = found.join(named.select("_row", "_id"), "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("least"))
+    stay = least.select(F.col("least._row").alias("_row"))
+    return rows.where("_id is null").select("_doc.*").unionByName(named.join(stay, "_row", "left_semi").select("_doc.*"))
