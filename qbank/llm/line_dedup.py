@@ -10,7 +10,7 @@ everywhere else.
 Defined results: null text has no lines and stays null; lines without a word are
 never counted nor removed; lines compare by their text without surrounding
 white space; a null site is a site of its own; identical rows are one document
-(each keeps what the other keeps); empty tables give empty results; other
+(each keeps what the other keeps), and so are rows without a doc_id that have the same text, which come first; empty tables give empty results; other
 columns pass through.
 """
 
@@ -81,7 +81,9 @@ def dedup(docs: DataFrame, p: Spread = Spread()) -> DataFrame:
     rows = docs.select(
         F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("form"), F.col("text")
     )
-    rows = rows.join(gone, ["doc_id", "form"], "left").withColumn("_lines", F.split("text", "\n", -1))
+    gone = gone.withColumnsRenamed({"doc_id": "_id", "form": "_form"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("form") == F.col("_form"))
+    rows = rows.join(gone, same, "left").withColumn("_lines", F.split("text", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     left = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
     added = {
