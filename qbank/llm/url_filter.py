@@ -8,8 +8,10 @@ tells the exact answer.  Only the filters' bits reach the driver and are
 broadcast; their size follows the number of listed keys (about
 1.44 * log2(universe / listed) bits each) and is checked.
 
-A url's keys are its host and each parent domain, alone and followed by the
-path prefixes whose lengths occur among the rules.
+A url's keys are its host and its parent domains, alone and followed by the
+path prefixes whose lengths occur among the rules.  Only domains of as many
+labels, and keys of as many characters, as some listed key has are spelt out:
+nothing longer can be listed, and the work is linear in a url's length.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, no keys, no rule, and is allowed; repeated urls are judged alike; an
@@ -46,22 +48,22 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains, longest first; of an empty host none."""
-    parts = F.split(host, r"\.", -1)
-    made = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
-    )
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(made)
+def suffixes(host: Column, most: int) -> Column:
+    """The host's last 1 to ``most`` labels, fewest first; of an empty host none.
+
+    No listed key has more labels, so no more of a host is ever spelt out.
+    """
+    made = F.array(*(F.substring_index(host, ".", -k) for k in range(1, most + 1)))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(made))
 
 
-def keys_of(host: Column, path: Column, lengths: Iterable[int]) -> Column:
-    """All keys of a url: domains alone, and with each path prefix of the given lengths."""
+def keys_of(host: Column, path: Column, lengths: Iterable[int], most: int) -> Column:
+    """All keys of a url that may be listed: domains alone, and with each path prefix of the given lengths."""
     wanted = F.array(*(F.lit(n) for n in sorted({0, *lengths})))
     heads = F.transform(
         F.filter(wanted, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n)
     )
-    return F.flatten(F.transform(suffixes(host), lambda s: F.transform(heads, lambda h: F.concat(s, h))))
+    return F.flatten(F.transform(suffixes(host, most), lambda s: F.transform(heads, lambda h: F.concat(s, h))))
 
 
 def hashes(keys: Iterable[str]) -> np.ndarray:
@@ -205,8 +207,13 @@ def judge(pages: DataFrame, policy: Policy, url: str = "url") -> DataFrame:
     host, path = host_and_path(F.col(url))
     # As many lengths as rules' paths have, none beyond the longest path.
     lengths = sorted(r[0] for r in rules.where("instr(key, '/') > 0").select(F.length("key") - F.instr("key", "/") + 1).distinct().collect())
+    # As many labels as the longest listed host has, as many characters as the longest key.
+    every = rules.unionByName(blocked_hosts)
+    labels = F.size(F.split(F.substring_index("key", "/", 1), r"\.", -1))
+    most, longest = every.agg(F.coalesce(F.max(labels), F.lit(1)), F.coalesce(F.max(F.length("key")), F.lit(0))).first()
     parts = pages.select(host.alias("host"), path.alias("path"))
-    universe = Table(parts.select(F.explode(keys_of(F.col("host"), F.col("path"), lengths)).alias("key")).distinct(), "keys")
+    keys = parts.select(F.explode(keys_of(F.col("host"), F.col("path"), lengths, most)).alias("key")).where(F.length("key") <= longest)
+    universe = Table(keys.distinct(), "keys")
     allow, block, hosts = (build_cascade(x, universe.df) for x in (allows, blocks, blocked_hosts))
     universe.drop()
 
@@ -216,11 +223,13 @@ def judge(pages: DataFrame, policy: Policy, url: str = "url") -> DataFrame:
 
         keys, owner = [], []
         for i, (h, p) in enumerate(zip(hosts_in, paths_in, strict=True)):
-            at = 0 if h else -1
-            while at >= 0:
-                name = h[at:]
-                keys += [name, *(name + p[:n] for n in lengths if n <= len(p))]
-                at = h.find(".", at) + 1 or -1
+            at, left = len(h), most if h else 0
+            while left and at >= 0:
+                at, left = h.rfind(".", 0, at), left - 1
+                if len(h) - at - 1 > longest:
+                    break
+                name = h[at + 1 :]
+                keys += [name, *(name + p[:n] for n in lengths if n <= min(len(p), longest - len(name)))]
             owner += [i] * (len(keys) - len(owner))
         rules, verdicts = [None] * len(hosts_in), ["allow"] * len(hosts_in)
         if keys:
