@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import hashlib
 import itertools
 import random
 import re
@@ -91,6 +92,16 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.dedup(odd).count() == odd.count()
 
 
+def test_line_dedup_without_ids(spark):
+    """Rows without a doc_id lose their boilerplate as well; those of the same text are one document."""
+    texts = [(i, f"own {i}.\nwide line") for i in range(20)] + [(None, "a.\nwide line"), (None, "b.\nwide line"), (None, "b.\nwide line")]
+    rows = [(i, t, "en", f"s{k % 11}", None, "", "") for k, (i, t) in enumerate(texts)]
+    got = sorted(((r.doc_id, r.deduped_text, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    first = {t for i, t, n in got if n == 0}
+    assert len(first) == 1  # the line stays once, in a document without an id, which comes first
+    assert all(t.endswith("wide line") == (n == 0) for _, t, n in got) and len(got) == 23
+
+
 # -- 2, 5 ------------------------------------------------------------------------
 
 
@@ -298,7 +309,17 @@ def test_ngram_clean_leaves_one_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _rows string")
     left = ngram_join.clean(docs)
     assert left.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == [(False, 1), (False, 4), (False, 5), (True, None), (True, None)]
+    assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == [(False, 1), (False, 1), (False, 4), (False, 5), (False, 5), (True, None), (True, None)]
+
+
+def test_ngram_clean_leaves_one_row_of_each_component(spark):
+    """A shared id does not bring back a near copy, and columns of any type pass."""
+    x, y = prose(30, 60), prose(31, 60)
+    rows = [(1, x, {"a": 1}), (5, x + " more", {"b": 2}), (5, y, {"c": 3}), (6, y, None), (6, y, None), (None, x, {}), (7, " ", {}), (8, x + " more", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")
+    left = ngram_join.clean(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.tags) for r in left.collect()), key=str) == sorted([(1, x, {"a": 1}), (5, y, {"c": 3}), (None, x, {}), (7, " ", {})], key=str)
 
 
 def test_ngram_links_are_all_there(spark):
@@ -394,8 +415,29 @@ def test_embedding_dedup_of_any_finite_norm(spark):
         assert got[500] == got[501] == (1, 500) and got[502] == (0, 502) and len(got) == len(rows)
 
 
-def test_no_recall_no_grid():
-    """Where the bounded number of cells does not reach the target, all vectors are compared."""
+def test_registered_query_uses_the_grid(spark):
+    """Codebooks and traversal at the given sizes, with the recall of brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    valid = embedding_dedup._valid(rows.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v")), "v")
+    grid, _ = embedding_dedup.grids(valid, embedding_dedup.Index())[64]
+    assert grid.size > 1 and grid.recall >= 0.97
+    got = {r.vec_id: r.n_links for r in queries.QUERIES["op6_embedding_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    kept = valid.collect()
+    u = embedding_dedup.units([r.v for r in kept])
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    found = np.array([got[r.vec_id] for r in kept])
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
+
+
+def test_exact_is_a_choice(spark):
+    df = vectors(spark)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.dedup(df, embedding_dedup.Index(exact=True)).collect()}
+    some = {r.vec_id: r.n_links for r in embedding_dedup.dedup(df, embedding_dedup.Index()).collect()}
+    assert got.keys() == some.keys() and all(some[k] <= got[k] for k in got) and sum(some.values()) >= 0.97 * sum(got.values())
+
+
+def test_coarser_where_cells_do_not_reach():
+    """Where the bounded number of cells does not reach the target, the codebooks are made coarser."""
     g = np.random.default_rng(3)
     x = embedding_dedup.units(g.standard_normal((400, 6)))
     assert len(embedding_dedup.fit(x, 4000, embedding_dedup.Index(per_cell=4)).first) > 1
@@ -552,6 +594,17 @@ def test_url_rules_from_tables(spark):
         url_filter.judge(pages, url_filter.Policy(("a/",), ("a/",)))
 
 
+def test_url_long_hosts(spark):
+    """A megabyte of labels, of one label, and of path: only what a listed key may be is spelt out."""
+    hosts = ["a." * 500_000 + "bad.host", "x" * 1_000_000, "." * 1_000_000, "a.bad.host.", "q.bad.host/" + "y/" * 500_000, "q.sub.bad.host/y/z"]
+    pages = spark.createDataFrame([(i, "http://" + h) for i, h in enumerate(hosts)], "page_id long, url string")
+    policy = url_filter.Policy(block_rules=("sub.bad.host/y/",), block_hosts=("bad.host",))
+    keys = pages.select(F.explode(url_filter.keys_of(*url_filter.host_and_path(F.col("url")), [3], 3)).alias("key"))
+    assert keys.count() <= 2 * 3 * len(hosts)
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, policy).collect()}
+    assert got == {0: (None, "block"), 1: (None, "allow"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "block"), 5: ("sub.bad.host/y/", "block")}
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.where("hash(key) % 5 = 0")
@@ -571,19 +624,55 @@ def test_oracle(spark, name):
     assert rows_of(queries.QUERIES[name](spark, SF)) == rows_of_sql(oracle(SF), queries.ORACLE[name])
 
 
-def test_pipeline(spark, odd):
+def test_pipeline(spark, odd, tmp_path):
+    """Every stage on its own input against SQL, brute force, or its twin."""
     import corpus_pipeline
-
-    docs, before = odd, odd.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, SF)
-        if k < 4:
-            assert docs.columns == before
-            docs = common.table(docs, "test")
-            if k == 2:
-                texts = [(r.doc_id, r.text) for r in docs.collect()]
-                assert {c for _, _, c in brute_components(texts)} == {i for i, _ in texts}
-    ids = {r.doc_id for r in docs.collect()}
-    assert ids and ids <= {r.doc_id for r in odd.collect()}
-    assert isinstance(docs.schema["ids_crc32"].dataType, T.LongType)
+    import duckdb
+    from test_pii import KEY, twin
+
+    spark.conf.set(pii.KEY_SETTING, KEY.key)
+    extra = odd.withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    sources = spark.createDataFrame([(100 + i, prose(40 + i, 70) + f"\nThis line is on every site of them.\n{prose(60 + i, 20)}\nmail me: ann.lee{i}@mail.example.com", "en", f"s{i}", 0, "", "") for i in range(12)], DOCS)
+    docs, before = extra.unionByName(sources.withColumn("tags", F.create_map(F.lit("b"), F.lit(2)))), extra.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        given = common.table(docs, "given")
+        rows = given.collect()
+        docs = stage(spark, given, SF)
+        if k == 4:
+            check_pieces(docs.collect(), [(r.doc_id, r.text) for r in rows])
+            break
+        assert docs.columns == before
+        docs = common.table(docs, "test")
+        out = docs.collect()
+        c = duckdb.connect()
+        where = str(tmp_path / f"{name}.parquet")
+        given.drop("tags").coalesce(1).toPandas().to_parquet(where)
+        c.sql(f"create view given as select row_number() over () row, * from '{where}'")
+        c.sql("create view documents as select row doc_id, text from given" if k == 0 else "create view documents as select distinct doc_id, text, source from given")
+        if k == 0:
+            kept = c.sql(f"select g.doc_id from ({queries.ORACLE['op7_quality_rules']}) o join given g on g.row = o.doc_id where o.kept").fetchall()
+            assert sorted(r.doc_id for r in out) == sorted(x[0] for x in kept) and out
+            lines = {r.doc_id: set(r.text.split("\n")) for r in rows if r.text}
+            assert all(set(r.text.split("\n")) <= lines[r.doc_id] for r in out)
+        elif k == 1:
+            left = c.sql(f"select doc_id, left_md5 from ({queries.ORACLE['op1_line_dedup']})").fetchall()
+            assert {(r.doc_id, hashlib.md5(r.text.encode()).hexdigest()) for r in out} <= set(left)
+            assert sum(r.n_removed for r in line_dedup.dedup(given).collect()) == 11
+            gone = {r.doc_id for r in rows} - {r.doc_id for r in out}
+            assert all(md5 == hashlib.md5(b"").hexdigest() for i, md5 in left if i in gone)
+        elif k == 2:
+            texts = [(r.doc_id, r.text) for r in rows]
+            assert {c for _, _, c in brute_components(texts)} == {r.doc_id for r in out} and len(out) == len({r.doc_id for r in out})
+        else:
+            assert {r.doc_id: r.text for r in out} == {r.doc_id: twin(r.text)[0] for r in rows}
+            assert not any("ann.lee" in r.text for r in out)
     assert norm(1.0) == "1.0"
+
+
+def test_pipeline_without_documents(spark, empty):
+    import corpus_pipeline
+
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.table(stage(spark, docs, SF), "none")
+    assert docs.count() == 0 and "sequence_id" in docs.columns
