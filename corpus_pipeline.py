@@ -5,7 +5,7 @@ columns of ``documents``.
 
 Defined results: documents without text, or with fewer words than the quality
 rules ask for, go in the first stage; texts of any length are worked whole;
-equal rows and equal texts leave one document, the one with the least doc_id;
+equal rows and equal texts leave one document, one with the least doc_id;
 documents without a doc_id are in no near-duplicate group and stay; columns
 beyond those of ``documents`` pass through as they are, whatever their names;
 no documents give no pieces.  Pseudonyms depend on the session's key
