@@ -7,12 +7,15 @@ date in the same notation.  The permutation depends on the key and the value
 alone, so equal values stay linked across documents, whatever their separators,
 and different values stay different.
 
-What is found: e-mail addresses (the local part is permuted), access keys and
-values after ``password=``, ``token =`` and the like, card numbers, IBANs, IPv4
-addresses, US social security numbers, telephone numbers, dates of 1900-2099.
+What is found: e-mail addresses (the local part is permuted, letters of any
+script belong to it), access keys and values after ``password=``, ``"token":``,
+``Bearer`` and the like, card numbers, IBANs, IPv4 and IPv6 addresses, US social
+security numbers, telephone numbers (international, and the national forms of
+the United States, France, Spain and Germany), dates of 1900-2099.
 The pattern that matched decides the kind.  Secrets (keys, tokens, values after
 a keyword) are permuted whatever they look like; any other text that fits a
-pattern and fails its validation is left as it is.
+pattern and fails its validation is left as it is, but for a card number inside
+what looks like an IBAN.
 
 One pass over a text marks every match and its kind, so the cost is linear in
 the text: no pattern looks further than its own run of characters.
@@ -33,6 +36,10 @@ from pyspark.sql import functions as F
 from qbank.llm.common import fence
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+#: Letters of names beyond ASCII: those of Latin-1, Greek and Cyrillic, by case; characters of no alphabet stay.
+NAMES = (DIGITS, LOWER, UPPER, *("".join(c for c in map(chr, span) if c.isalpha() and c.islower() == low and c.isupper() != low) for span in (range(0xC0, 0x100), range(0x391, 0x3CA), range(0x410, 0x450)) for low in (True, False)))
+#: Digits and letters of an IPv6 address, by case.
+GROUPS_OF_HEX = (DIGITS, "abcdef", "ABCDEF")
 
 
 @dataclass(frozen=True)
@@ -47,19 +54,31 @@ class Kind:
 KINDS = (
     Kind(
         "email",
-        r"(?<![A-Za-z0-9._%+\-])[._%+\-]*+[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){0,125}\.[A-Za-z]{2,}",
+        r"(?<![\p{L}0-9._%+\-])[._%+\-]*+[\p{L}0-9][\p{L}0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){0,125}\.[A-Za-z]{2,}",
         "@",
     ),
     Kind("access", r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])", "AKIA|ASIA|AROA|AIDA"),
-    Kind("prefixed", r"(?<![A-Za-z0-9])(?:ghp_|gho_|sk-|sk_live_|xoxb-)[A-Za-z0-9\-]{16,}", "ghp_|gho_|sk-|sk_live_|xoxb-"),
+    Kind(
+        "prefixed",
+        r"(?<![A-Za-z0-9])(?:ghp_|gho_|sk-|sk_live_|xoxb-|xoxp-|glpat-|github_pat_)[A-Za-z0-9_\-]{16,}",
+        "ghp_|gho_|sk-|sk_live_|xoxb-|xoxp-|glpat-|github_pat_",
+    ),
     Kind(
         "secret",
-        r"(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey|api-key)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[A-Za-z0-9+/_.~\-]{6,}",
-        "(?i:password|passwd|pwd|token|secret|api)",
+        r"(?<=(?i:password|passwd|passwort|pwd|token|secret|api[ _\-]{0,1}key)[\"']{0,1}[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})"
+        r"(?:[A-Za-z0-9+/_.~!@#$%^&*?\-]{6,}|(?=[A-Za-z]{0,4}[0-9])[A-Za-z0-9]{4,5}(?![A-Za-z0-9]))"
+        r"|(?<=\b(?i:bearer)[ ]{1,2})[A-Za-z0-9+/_.~=\-]{16,}",
+        "(?i:password|passwd|passwort|pwd|token|secret|api|bearer)",
     ),
     Kind("hex", r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])", "[0-9]|[a-f]{32}"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[0-9]"),
     Kind("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", "[0-9]"),
+    Kind(
+        "ip6",
+        r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+        r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![0-9A-Za-z:])",
+        ":[0-9A-Fa-f]{0,4}:",
+    ),
     Kind("iso_date", r"(?<![0-9\-/.])[0-9]{4}(?<s1>[\-/.])[0-9]{1,2}\k<s1>[0-9]{1,2}(?![0-9]|[\-/.][0-9])", "[0-9]"),
     Kind("day_date", r"(?<![0-9\-/.])[0-9]{1,2}(?<s2>[\-/.])[0-9]{1,2}\k<s2>[0-9]{4}(?![0-9]|[\-/.][0-9])", "[0-9]"),
     Kind(
@@ -71,7 +90,11 @@ KINDS = (
     Kind(
         "phone",
         r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])"
-        r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
+        r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .\-]?[0-9]{1,4}){2,6}(?![0-9])"
+        # National forms: France, Spain, Germany.
+        r"|(?<![0-9A-Za-z+])0[1-9](?:[ .\-]?[0-9]{2}){4}(?![0-9])"
+        r"|(?<![0-9A-Za-z+])[6-9][0-9]{2}(?<s5>[ .\-])[0-9]{3}\k<s5>[0-9]{3}(?![0-9])"
+        r"|(?<![0-9A-Za-z+])0[1-9][0-9]{1,4}[ /\-][0-9]{4,9}(?![0-9])",
         "[0-9]",
     ),
 )
@@ -277,20 +300,37 @@ def _date(m: Column, p: Pseudonyms) -> Column:
     return F.coalesce(once(F.split(m, r"[\-/.]"), parts), m)
 
 
-LEAD = r"^(?:[._%+\-]+(?=.*@)|ghp_|gho_|sk-|sk_live_|xoxb-)"
+#: What stays at the head of an e-mail's local part, and of a prefixed key.
+EMAIL_HEAD, KEY_HEAD = r"^[._%+\-]*", "^(?:ghp_|gho_|sk_live_|sk-|xoxb-|xoxp-|glpat-|github_pat_)"
 
 
 def pseudonym(m: Column, kind: Column, p: Pseudonyms) -> Column:
-    """The pseudonym of a match of the kind of that number, or the match itself if it isn't valid."""
+    """The pseudonym of a match of the kind of that number, or the match itself if it isn't valid.
+
+    What looks like an IBAN and is none is searched once more, for a card number.
+    """
+    numbers = [k for k, of in enumerate(KINDS) if of.name == "iban"]
+    card = [k for k, of in enumerate(KINDS) if of.name == "card"][0]
+    held = F.when(kind.isin(numbers) & _valid_iban(m).isNull(), F.regexp_extract(m, KINDS[card].pattern, 0)).otherwise("")
+
+    def found(inside: Column) -> Column:
+        own = inside == ""
+        seen, of = F.when(own, m).otherwise(inside), F.when(own, kind).otherwise(card)
+        return once(F.struct(seen.alias("m"), of.alias("k")), lambda x: once(_pseudonym(x["m"], x["k"], p), lambda new: F.when(own, new).otherwise(F.replace(m, inside, new))))
+
+    return once(held, found)
+
+
+def _pseudonym(m: Column, kind: Column, p: Pseudonyms) -> Column:
     is_a = lambda *names: kind.isin([k for k, of in enumerate(KINDS) if of.name in names])
     digits = _digits(m)
-    lead = F.length(F.regexp_extract(m, LEAD, 0))
+    lead = F.length(F.when(is_a("email"), F.regexp_extract(m, EMAIL_HEAD, 0)).otherwise(F.regexp_extract(m, KEY_HEAD, 0)))
     in_email = F.substring(m, lead + 1, F.instr(m, "@") - 1 - lead)
     body = (
         F.when(is_a("email"), in_email)
         .when(is_a("access"), F.substring(m, F.lit(5), F.length(m)))
         .when(is_a("prefixed"), F.substring(m, lead + 1, F.length(m)))
-        .when(is_a("secret", "hex"), m)
+        .when(is_a("secret", "hex", "ip6"), m)
         .when(is_a("card"), F.when(_luhn(digits), F.substring(digits, F.lit(1), F.length(digits) - 1)))
         .when(is_a("iban"), once(_valid_iban(m), lambda s: F.substring(s, F.lit(5), F.length(s))))
         .when(is_a("phone") & F.length(digits).between(7, 15), F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))
@@ -300,6 +340,8 @@ def pseudonym(m: Column, kind: Column, p: Pseudonyms) -> Column:
         .when(is_a("access"), F.array(F.lit(DIGITS + UPPER)))
         .when(is_a("card", "phone"), F.array(F.lit(DIGITS)))
         .when(is_a("iban"), F.array(F.lit(DIGITS), F.lit(UPPER)))
+        .when(is_a("email"), F.array(*map(F.lit, NAMES)))
+        .when(is_a("ip6"), F.array(*map(F.lit, GROUPS_OF_HEX)))
         .otherwise(F.array(F.lit(DIGITS), F.lit(LOWER), F.lit(UPPER)))
     )
 
@@ -309,7 +351,7 @@ def pseudonym(m: Column, kind: Column, p: Pseudonyms) -> Column:
             F.when(is_a("email"), F.concat(F.substring(m, F.lit(1), lead), new, F.substring(m, F.instr(m, "@"), F.length(m))))
             .when(is_a("access"), F.concat(F.substring(m, 1, 4), new))
             .when(is_a("prefixed"), F.concat(F.substring(m, F.lit(1), lead), new))
-            .when(is_a("secret", "hex"), new)
+            .when(is_a("secret", "hex", "ip6"), new)
             .when(is_a("card"), _laid(m, F.concat(new, F.get(right, F.lit(0)).cast("string"))))
             .when(is_a("iban"), _new_iban(m, new))
             .when(is_a("phone"), _laid(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - F.length(new)), new)))
