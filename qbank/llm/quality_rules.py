@@ -1,7 +1,8 @@
 r"""Line-first quality rules, with DataFrame functions only.
 
 Every line is judged on its own (end punctuation, navigation, boilerplate,
-symbol noise); lines that fail are removed; a document that loses too much of
+symbol noise) and by its neighbours (runs of short lines without end marks are
+navigation, a heading alone is not); lines that fail are removed; a document that loses too much of
 its text that way, or fails a base measure, is rejected.
 
 Defined results: null text counts as no words and is rejected; an empty text
@@ -38,6 +39,10 @@ class Rules:
     max_symbol_percent: int = 8
     #: A line is navigation with so many bars, or chevrons, at a bar per 8 words or more.
     min_bars: int = 3
+    #: So many lines on end of at most so many words (and characters), none with an end mark, are navigation; blank lines between them don't count.
+    min_run: int = 6
+    run_words: int = 4
+    run_chars: int = 60
     #: A line with more than this share of its words shouted (ending in ``!!``) is boilerplate.
     max_shout_percent: int = 30
     #: Lower-case substrings of boilerplate lines, in English, German, French and Spanish.
@@ -150,10 +155,35 @@ ADDED = (
 )
 
 
+#: Marks that end a line of prose or a part of it.
+END_MARKS = ".!?…:;,。！？"
+
+
+def runs_of_short_lines(lines: Column, rules: Rules) -> Column:
+    """For each line ``1`` if it is one of a run of short lines without end marks, else ``0``: menus, lists of links.
+
+    Each line becomes a letter (n: such a line, b: blank, x: another), so that a run is a run of letters.
+    """
+
+    def letter(line: Column) -> Column:
+        bare = F.btrim(line, F.lit(SPACE))
+        open_ = F.instr(F.lit(END_MARKS), F.right(bare, F.lit(1))) == 0
+        short = (F.length(bare) <= rules.run_chars) & open_ & (F.size(words(bare)) <= rules.run_words)
+        return F.when(bare == "", "b").when(short, "n").otherwise("x")
+
+    parts = F.regexp_extract_all(F.array_join(F.transform(lines, letter), ""), F.lit("[nb]+|x"), 0)
+    short = lambda t: F.length(t) - F.length(F.replace(t, F.lit("n"), F.lit("")))
+    told = F.transform(parts, lambda t: F.repeat(F.when(short(t) >= rules.min_run, "1").otherwise("0"), F.length(t)))
+    return F.when(F.size(lines) >= rules.min_run, F.split(F.array_join(told, ""), ""))
+
+
 def judge(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``df`` with the columns of ``ADDED``, which replace columns of the same names."""
     out = _measures(df.select(F.struct(*df.columns).alias("_row"), F.col("text")), rules)
-    out = out.withColumn("_left", F.filter("_lines", lambda x: ~line_fails(x, rules)))
+    out = out.withColumn("_menu", runs_of_short_lines(F.col("_lines"), rules))
+    out = out.withColumn("_menus", F.coalesce(F.array_contains("_menu", "1"), F.lit(False)))
+    menu = lambda x, i: F.col("_menus") & (F.btrim(x, F.lit(SPACE)) != "") & (F.get("_menu", i) == "1")
+    out = out.withColumn("_left", F.filter("_lines", lambda x, i: ~(menu(x, i) | line_fails(x, rules))))
     out = out.withColumns(
         {
             "cleaned_text": F.when(F.col("text").isNotNull(), F.array_join("_left", "\n")),

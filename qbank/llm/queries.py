@@ -143,13 +143,16 @@ g as (select doc_id, i, ws[i] || chr(0) || ws[i + 1] || chr(0) || ws[i + 2] as g
 r as (select doc_id, count(distinct i + k) n from
         (select doc_id, i from (select *, count(*) over (partition by doc_id, g) c from g) where c > 1), (values (0), (1), (2)) v(k)
       group by doc_id),
-l as (select doc_id, l, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) c,
-        len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) n from (select doc_id, unnest(ls) l from w)),
-f as (select doc_id, c, l, c > 0 and ({_PHRASE}
+l as (select doc_id, l, i, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) c, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) bare,
+        len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) n from (select doc_id, unnest(ls) l, unnest(range(len(ls))) i from w)),
+x as (select *, c > 0 and (n > {_RULES.run_words} or length(bare) > {_RULES.run_chars} or contains('{quality_rules.END_MARKS}', right(bare, 1))) other from l),
+y as (select *, count(*) filter (where other) over (partition by doc_id order by i) part from x),
+m as (select *, not other and c > 0 and count(*) filter (where not other and c > 0) over (partition by doc_id, part) >= {_RULES.min_run} menu from y),
+f as (select doc_id, c, l, c > 0 and (menu or {_PHRASE}
         or len(regexp_extract_all(l, '[#*$%&|<>]')) * 100 > c * {_RULES.max_symbol_percent}
         or (len(regexp_extract_all(l, '[|»›]')) >= {_RULES.min_bars} and len(regexp_extract_all(l, '[|»›]')) * 8 >= n)
         or len(regexp_extract_all(l, '!!(\s|$)')) * 100 > n * {_RULES.max_shout_percent}
-        or (n >= {_RULES.long_line_words} and not regexp_matches(l, '[.!?…:;。！？]'))) bad from l),
+        or (n >= {_RULES.long_line_words} and not regexp_matches(l, '[.!?…:;。！？]'))) bad from m),
 s as (select doc_id, sum(c) chars, coalesce(sum(c) filter (where bad), 0) lost,
         count(*) filter (where c > 0) - count(distinct l) filter (where c > 0) dup from f group by doc_id),
 o as (select doc_id, cast(len(ws) as bigint) n_words, cast(chars as bigint) word_chars,

@@ -476,6 +476,20 @@ def test_quality_measures(spark, odd, empty):
     assert quality_rules.judge(odd).where("kept").count() == kept.count()
 
 
+def test_menus_are_navigation(spark):
+    """Runs of short lines without end marks go, whatever their language; headings and short sentences stay."""
+    body = "\n".join(prose(70 + i, 30) for i in range(3))
+    menus = ("Home / About us / Contact / Products / Login / Menu / News", "Startseite / Impressum / Kontakt / Hilfe / Suche / Karte", "Home / / About / / Contact / Help / Search / Map / Terms")
+    for menu in menus:
+        lines = menu.replace(" / ", "\n")
+        got = quality_rules.judge(documents(spark, [(1, f"{lines}\n{body}"), (2, f"A heading\n{body}\nOther heading\n{body}"), (3, "Yes.\nNo.\nSo it is.\nWell.\nFine.\nGood.\n" + body), (4, lines * 9)]))
+        rows = {r.doc_id: r for r in got.collect()}
+        assert rows[1].cleaned_text.strip("\n") == body and rows[1].kept and rows[1].lost_chars > 0
+        assert rows[2].lost_chars == rows[3].lost_chars == 0 and not rows[4].kept
+    many = quality_rules.judge(documents(spark, [(1, "word\n" * 200_000)])).collect()[0]
+    assert many.lost_chars == many.word_chars
+
+
 # -- 8 ---------------------------------------------------------------------------
 
 
