@@ -6,8 +6,9 @@ role, and the shape of the text below (length, links, sentence ends); each edge
 has a parent-child potential, by kind of child.  Sum-product messages pass
 upward and downward once, and give every node's content marginal exactly.  The
 weights maximise the likelihood of labelled pages (a tree CRF, trained by
-gradient on the same messages); a bounded, generated set of labelled pages comes
-with the module (``labelled.py``), and ``train`` takes any other.
+gradient on the same messages).  A bounded, generated set of labelled pages comes
+with the module (``labelled.py``), and so do the weights that it gives
+(``html_weights.json``); ``train`` takes any other pages.
 
 Text runs whose marginal is at least one half are the page's text: character
 references decoded, white space inside a block one space, blocks in page order.
@@ -23,11 +24,14 @@ page is worked whole where it is read, without a shuffle.
 from __future__ import annotations
 
 import html
+import json
 import math
+import pkgutil
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +61,8 @@ OPEN = re.compile(r"/?[a-zA-Z][^\s/>]*|!--|!\[CDATA\[|[!?]")
 STOP = re.compile(r""">|=\s*+(["'])""")
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+#: Where a name in camel case goes on with another word.
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
 RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9-])", re.I) for tag in RAW}
 #: References to numbers beyond Unicode, or with leading zeros.
@@ -238,7 +244,7 @@ def parse(page: str) -> Node:
             close(last)
         if tag in VOID:
             continue
-        names = tuple(WORD.findall(" ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower())) if attributes else ()
+        names = tuple(WORD.findall(HUMP.sub(" ", " ".join(a or b or c for a, b, c in NAMES.findall(attributes))).lower())) if attributes else ()
         node = Node(tag, names, here)
         if attributes and "data-content=" in attributes:
             node.mark = 'data-content="1"' in attributes
@@ -395,12 +401,24 @@ def extract(page: str | None, model: Model) -> str:
     return "\n".join(n.text for n in nodes if n.tag == "#" and n.belief >= 0)
 
 
-@lru_cache(maxsize=2)
-def default_model(pages: int = 1400, seed: int = 5) -> Model:
+#: The weights that ``trained()`` gives, as a file beside this module; written by ``python -m qbank.llm.html_extract``.
+WEIGHTS = "html_weights.json"
+
+
+def trained(pages: int = 1400, seed: int = 5) -> Model:
     """The model of the generated labelled pages; ``pages`` bounds the sample."""
     from qbank.llm.labelled import labelled_pages
 
-    return train(labelled_pages(pages, seed))
+    model = train(labelled_pages(pages, seed))
+    near = lambda x: round(x, 6)
+    return Model({k: near(v) for k, v in sorted(model.weights.items())}, [[near(x) for x in e] for e in model.edges], near(model.bias))
+
+
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    """The trained model, from its file."""
+    held = json.loads(pkgutil.get_data(__package__, WEIGHTS))
+    return Model(held["weights"], held["edges"], held["bias"])
 
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -419,3 +437,8 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     rows = text_batches(pages).select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    model = trained()
+    Path(__file__).with_name(WEIGHTS).write_text(json.dumps({"bias": model.bias, "edges": model.edges, "weights": model.weights}, indent=0) + "\n")

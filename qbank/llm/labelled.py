@@ -18,6 +18,8 @@ NOTE = ("notice", "cookie", "cookie-banner", "consent", "alert", "gdpr", "popup"
 AD = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "adsbox", "banner-ad", "ad-slot", "promo", "outbrain", "taboola")
 TALK = ("comments", "comment", "comment-list", "reader-comments", "discussion", "replies", "responses", "disqus", "feedback", "thread")
 BODY = ("content", "main", "article", "post", "entry", "entry-content", "post-content", "post-body", "article-body", "story", "text", "body", "page-content", "main-content")
+#: Parts of an article whose names begin like those of other things.
+PARTS = ("work", "results", "methods", "history", "background", "notes", "introduction", "reading", "section", "chapter", "facts", "data")
 WRAP = ("wrapper", "container", "page", "layout", "row", "col", "inner", "site", "grid", "app", "root", "wrap", "column")
 
 
@@ -37,7 +39,7 @@ class Page:
 
     def names(self, of: tuple[str, ...]) -> str:
         r = self.r
-        name = r.choice(of)
+        name = self.spelt(r.choice(of))
         kind = r.random()
         if kind < 0.55:
             return f' class="{name}"'
@@ -45,6 +47,12 @@ class Page:
             return f' id="{name}"'
         return f' class="{name} {r.choice(WRAP)}" id="{r.choice(of)}"'
 
+    def spelt(self, name: str) -> str:
+        """A name with hyphens, sometimes in camel case or with underscores."""
+        first, *rest = name.split("-")
+        kind = self.r.random()
+        return first + "".join(x.capitalize() for x in rest) if kind < 0.15 else "_".join([first, *rest]) if kind < 0.25 else name
+
     def links(self, n: int) -> str:
         items = [f'<a href="/{k}">{self.words(self.r.randint(1, 3))}</a>' for k in range(n)]
         form = self.r.random()
@@ -91,8 +99,17 @@ class Page:
     def block(self) -> str:
         r = self.r
         kind = r.random()
-        if kind < 0.72:
+        if kind < 0.62:
             return f"<p>{self.prose()}</p>" if r.random() < 0.85 else f"<p>{self.prose()}"
+        if kind < 0.66:  # a paragraph that is mostly, or all, a link
+            return r.choice([f'<p><a href="/{self.word()}">{self.prose()}</a></p>', f'<p>{self.words(3)} <a href="/{self.word()}">{self.prose()}</a> {self.words(2)}.</p>'])
+        if kind < 0.69:
+            return "<ol>" + "".join(f"<li>{self.prose()}</li>" for _ in range(r.randint(2, 7))) + "</ol>"
+        if kind < 0.71:
+            name = self.spelt(f"{r.choice(SIDE + TALK + NOTE)}-{r.choice(PARTS)}")
+            return f'<section class="{name}"><h2>{self.words(2)}</h2>' + "".join(f"<p>{self.prose()}</p>" for _ in range(r.randint(1, 3))) + "</section>"
+        if kind < 0.72:
+            return '<table class="infobox">' + "".join(f"<tr><th>{self.words(1)}</th><td>{self.words(r.randint(1, 5))}</td></tr>" for _ in range(r.randint(2, 6))) + "</table>"
         if kind < 0.78:
             return f"<p><b>{self.prose()}<br><p>{self.prose()}</p>"
         if kind < 0.83:
@@ -123,6 +140,11 @@ class Page:
         if r.random() < 0.15:
             inside = f'<div{self.names(WRAP)}>{inside}</div>'
         kind = r.random()
+        if kind < 0.06:  # columns by a table
+            side = f'<td{r.choice(["", self.names(SIDE + MENU)])} data-content="0">{self.links(r.randint(2, 8))}</td>'
+            body = f'<td{r.choice(["", self.names(BODY)])} data-content="1">{inside}</td>'
+            cells = r.choice([side + body, body + side, side + body + side])
+            return f'<table{r.choice(["", " width=100%", self.names(WRAP)])}><tr>{cells}</tr></table>'
         if kind < 0.6:
             name = "" if r.random() < 0.6 else self.names(BODY)
             return f'<article{name} data-content="1">{inside}</article>'

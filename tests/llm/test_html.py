@@ -4,6 +4,7 @@ import html
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -94,3 +95,99 @@ def test_held_out_layouts():
     model = html_extract.default_model()
     pages = [other_page(r) for _ in range(150)]
     assert sum(html_extract.extract(p, model) == want for p, want in pages) >= 140
+
+
+def _talk(r):
+    word = lambda: "".join(r.choice("abcdefghilmnoprstuvz") for _ in range(r.randint(2, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    prose = lambda: " ".join(say(r.randint(5, 14)).capitalize() + r.choice([".", ".", "?"]) for _ in range(r.randint(1, 4)))
+    return word, say, prose
+
+
+def wiki_page(r):
+    """An encyclopaedia's layout: camel-case ids, an infobox, a table of contents, numbered references."""
+    word, say, prose = _talk(r)
+    blocks, inside = [], ""
+    title = say(2).capitalize()
+    for _ in range(r.randint(1, 3)):
+        x = prose()
+        blocks.append(x)
+        inside += f"<p>{x}</p>"
+    rows = [(say(1), say(2)) for _ in range(r.randint(2, 5))]
+    box = '<table class="infobox">' + "".join(f"<tr><th>{a}</th><td>{b}</td></tr>" for a, b in rows) + "</table>"
+    blocks = [y for a, b in rows for y in (a, b)] + blocks
+    for _ in range(r.randint(1, 4)):
+        head, x = say(2).capitalize(), prose()
+        blocks += [head, x]
+        inside += f"<h2>{head}</h2><p>{x}</p>"
+    links = lambda: "".join(f'<li><a href="/{word()}">{say(2)}</a></li>' for _ in range(r.randint(3, 8)))
+    page = (
+        f'<html><head><title>{title}</title></head><body><div id="mw-head"><div id="siteNav" class="vectorMenu"><ul>{links()}</ul></div></div><h1 id="firstHeading">{title}</h1>'
+        f'<div id="bodyContent">{box}{inside}</div><div id="sideBar"><ul>{links()}</ul></div><footer id="siteFooter"><p>{say(5)}</p></footer></body></html>'
+    )
+    return page, "\n".join([title, *blocks])
+
+
+def recipe_page(r):
+    """A recipe: ingredients and numbered steps in the article, comments as a list below."""
+    word, say, prose = _talk(r)
+    title, intro = say(3).capitalize(), prose()
+    things, steps = [say(3) for _ in range(r.randint(3, 7))], [prose() for _ in range(r.randint(3, 6))]
+    talk = "".join(f'<li class="comment"><b>{word()}</b><p>{prose()}</p></li>' for _ in range(r.randint(1, 4)))
+    links = "".join(f'<a href="/{word()}">{say(1)}</a> ' for _ in range(r.randint(4, 8)))
+    page = (
+        f'<html><body><nav class="topNav">{links}</nav><main><h1>{title}</h1><p>{intro}</p><ul>{"".join(f"<li>{x}</li>" for x in things)}</ul>'
+        f'<ol>{"".join(f"<li>{x}</li>" for x in steps)}</ol></main><section class="comments"><h3>{say(1)}</h3><ol class="comment-list">{talk}</ol></section><footer>{say(4)}</footer></body></html>'
+    )
+    return page, "\n".join([title, intro, *things, *steps])
+
+
+def table_page(r):
+    """A page of the nineties: columns by a table, links on one side, prose in the other."""
+    word, say, prose = _talk(r)
+    blocks = [say(4).capitalize()] + [prose() for _ in range(r.randint(2, 6))]
+    links = "<br>".join(f'<a href="{word()}.html">{say(1).capitalize()}</a>' for _ in range(r.randint(3, 9)))
+    inside = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{x}" for x in blocks[1:])
+    page = f'<html><body bgcolor=white><table width="100%"><tr><td width=150>{links}</td><td>{inside}</td></tr></table><div class="footer">{say(5)}</div></body></html>'
+    return page, "\n".join(blocks)
+
+
+def f1(a, b):
+    """Word-level F1."""
+    x, y = Counter(a.split()), Counter(b.split())
+    both = sum((x & y).values())
+    return 1.0 if not x and not y else 2 * both / max(1, sum(x.values()) + sum(y.values()))
+
+
+GENERATORS = (wiki_page, recipe_page, table_page)
+FIVE = {
+    "camel": ('<html><body><div id="mw-head"><ul><li><a href=/a>Home</a></li><li><a href=/b>Talk</a></li></ul></div><div id="bodyContent"><p>Bonn lies on the Rhine. It is old.</p><table class="infobox"><tr><th>Country</th><td>Germany</td></tr></table><p>It was the capital of the west for forty years.</p></div></body></html>',
+        "Bonn lies on the Rhine. It is old.\nCountry\nGermany\nIt was the capital of the west for forty years."),
+    "related work": ('<html><body><main><h1>A paper</h1><p><a href="/x">We build on the method of last year, which is described here.</a></p><section class="related-work"><h2>Related work</h2><p>Others have tried this before. They found less.</p></section></main></body></html>',
+        "A paper\nWe build on the method of last year, which is described here.\nRelated work\nOthers have tried this before. They found less."),
+    "recipe": ("<html><body><nav><a href=/>Home</a> <a href=/r>Recipes</a></nav><article><h1>Soup</h1><p>A soup for cold days.</p><ol><li>Chop the onions.</li><li>Boil the water and add salt.</li><li>Serve it hot.</li></ol></article></body></html>",
+        "Soup\nA soup for cold days.\nChop the onions.\nBoil the water and add salt.\nServe it hot."),
+    "columns": ("<html><body><table><tr><td><a href=/>Home</a> <a href=/n>News</a></td><td><h1>Hello</h1><p>This is the text of the page. It has two sentences.</p><p>And another paragraph with words in it.</p></td></tr></table></body></html>",
+        "Hello\nThis is the text of the page. It has two sentences.\nAnd another paragraph with words in it."),
+    "plain": ("<html><body><div class=entryContent><h2>Note</h2><p>Only one short paragraph here.</p></div><div class=siteFooter>All rights reserved</div></body></html>", "Note\nOnly one short paragraph here."),
+}
+
+
+@pytest.mark.parametrize("layout", GENERATORS)
+def test_held_out_layouts_by_words(layout):
+    r = random.Random(3)
+    model = html_extract.default_model()
+    scores = [f1(html_extract.extract(page, model), want) for page, want in (layout(r) for _ in range(150))]
+    assert sum(scores) / len(scores) >= 0.97
+
+
+@pytest.mark.parametrize("name", FIVE)
+def test_pages_of_other_hands(name):
+    page, want = FIVE[name]
+    assert html_extract.extract(page, html_extract.default_model()) == want
+
+
+def test_weights_are_those_of_the_training_call():
+    held, again = html_extract.default_model(), html_extract.trained()
+    assert held.weights.keys() == again.weights.keys()
+    assert all(abs(held.weights[k] - v) < 1e-3 for k, v in again.weights.items())
