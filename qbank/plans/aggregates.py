@@ -209,22 +209,6 @@ def a18(t):  # noqa: ANN001, ANN201
     )
 
 
-@query(
-    "A19_scan_evaluation",
-    """with g as (select n_nationkey, n_name, n_regionkey from nation), p as (select n_nationkey, upper(n_name) name from nation where n_nationkey % 4 <> 0)
-select count(*) items, round(avg(case when p.name = g.n_name then 1.0 else 0 end), 6) format_pass, round(avg(case when p.name is null then length(g.n_name) else levenshtein(g.n_name, p.name) end), 6) mean_distance, count(*) filter (where p.name is null) missing from g left join p using (n_nationkey)""",
-)
-def a19(t):  # noqa: ANN001, ANN201
-    """A missing item counts its whole length."""
-    n = t("nation")
-    p = n.where("n_nationkey % 4 <> 0").select("n_nationkey", F.upper("n_name").alias("name"))
-    d = F.when(F.col("name").isNull(), F.length("n_name")).otherwise(F.levenshtein("n_name", "name"))
-    return n.join(p, "n_nationkey", "left").agg(
-        F.count("*").alias("items"), F.round(F.avg(F.coalesce((F.col("name") == F.col("n_name")).cast("double"), F.lit(0.0))), 6).alias("format_pass"),
-        F.round(F.avg(d), 6).alias("mean_distance"), F.count_if(F.col("name").isNull()).alias("missing"),
-    )
-
-
 @query("A20_pass_ratio", "select round(coalesce(avg(case when n_chars > 300 then 1.0 else 0 end), 0), 6) ratio from documents where lang = 'de'")
 def a20(t):  # noqa: ANN001, ANN201
     return t("documents").where("lang = 'de'").agg(F.round(F.coalesce(F.avg((F.col("n_chars") > 300).cast("double")), F.lit(0.0)), 6).alias("ratio"))

@@ -50,29 +50,6 @@ def src6(t):  # noqa: ANN001, ANN201
     return readers.paired_files(names)
 
 
-@query("SRC8_problem_splitter", r"select r_regionkey, k as number, '\item[\textbf{' || k || '.}] ' || r_name as block from region, (values (1), (2)) v(k)")
-def src8(t):  # noqa: ANN001, ANN201
-    item = lambda k: F.concat(F.lit(f"\\item[\\textbf{{{k}.}}] "), "r_name", F.lit("\n"))
-    r = t("region").select("r_regionkey", F.concat(F.lit("intro "), item(1), item(2)).alias("text"))
-    return readers.problems(r).select("r_regionkey", "number", "block")
-
-
-@query("SRC10_block_import", "select n_nationkey, n_name name, 'x y' statement from nation")
-def src10(t):  # noqa: ANN001, ANN201
-    text = F.concat(F.lit("--- INICIO UNIDAD ---\nNombre: "), "n_name", F.lit("\nEnunciado: x\n y\nTema: z\n--- FIN UNIDAD ---"))
-    n = t("nation").select("n_nationkey", F.explode(readers.blocks_between(text, "--- INICIO UNIDAD ---", "--- FIN UNIDAD ---")).alias("b"))
-    statement = F.regexp_replace(readers.block_field(F.col("b"), "Enunciado"), r"\s+", " ")
-    return n.select("n_nationkey", readers.block_field(F.col("b"), "Nombre", "Name").alias("name"), statement.alias("statement"))
-
-
-@query("SRC11_audit_import", "select n_nationkey, [n_nationkey, 7] rules, 2 methods from nation")
-def src11(t):  # noqa: ANN001, ANN201
-    key = F.col("n_nationkey").cast("string")
-    text = F.concat(F.lit("::ID:: "), key, F.lit("\nReglas: "), key, F.lit(" y 7\n::METODO::a::FIN_METODO::::METODO::b::FIN_METODO::"))
-    methods = readers.blocks_between(text, "::METODO::", "::FIN_METODO::")
-    return t("nation").select("n_nationkey", readers.numbers_in(F.regexp_extract(text, "(?m)^Reglas: (.*)$", 1)).alias("rules"), F.size(methods).alias("methods"))
-
-
 @query("SRC12_session_items", "select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) place, turn, role from conversations")
 def src12(t):  # noqa: ANN001, ANN201
     s = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("items"))
@@ -88,28 +65,6 @@ def src13(t):  # noqa: ANN001, ANN201
     )
 
 
-@query("SRC14_page_ranges", "select r_regionkey, [1, 2, 3, 7] pages from region")
-def src14(t):  # noqa: ANN001, ANN201
-    return t("region").select("r_regionkey", readers.pages_of(F.lit("3-1, 7,2"), F.lit(9)).alias("pages"))
-
-
-@query("SRC15_json_recovery", "select n_nationkey, case n_nationkey % 4 when 3 then null else n_nationkey end n, case when n_nationkey % 4 = 3 then n_name end loose from nation")
-def src15(t):  # noqa: ANN001, ANN201
-    k = F.col("n_nationkey")
-    body = F.concat(F.lit('{"n": '), k.cast("string"), F.lit("}"))
-    reply = (
-        F.when(k % 4 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(k % 4 == 1, body)
-        .when(k % 4 == 2, F.concat(F.lit("so "), body, F.lit(" ok"))).otherwise(F.concat(F.lit('{"n": "'), "n_name", F.lit('", ')))
-    )
-    loose = F.when(k % 4 == 3, readers.loose_field(reply, "n"))
-    return t("nation").select("n_nationkey", F.try_variant_get(readers.recovered_json(reply), "$.n", "int").alias("n"), loose.alias("loose"))
-
-
-@query("SNK2_csv_view", "select cast(n_nationkey as varchar) n_nationkey, '' missing, n_name from nation")
-def snk2(t):  # noqa: ANN001, ANN201
-    return writers.csv_view(t("nation"), ["n_nationkey", "missing", "n_name"])
-
-
 @query("SNK5_joined_text", "select conv_id, md5(string_agg(text, chr(10) || chr(10) order by turn)) document from conversations group by 1")
 def snk5(t):  # noqa: ANN001, ANN201
     return writers.joined_text(t("conversations"), ["conv_id"], "turn", "text").select("conv_id", F.md5("document").alias("document"))

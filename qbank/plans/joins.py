@@ -365,19 +365,6 @@ def items_merged(c, b):  # noqa: ANN001, ANN201
     return a.join(b, ["conv_id", "n"], "full_outer").select("conv_id", "n", best.alias("text"))
 
 
-@query("U17_map_merge", "select n_nationkey, 'A=' || case when n_nationkey % 2 = 0 then 'b' else n_name end || ';B=b' merged from nation")
-def u17(t):  # noqa: ANN001, ANN201
-    a = F.create_map(F.lit("A"), F.when(F.col("n_nationkey") % 2 == 0, " ").otherwise(F.col("n_name")))
-    m = merges.merge_maps(a, F.create_map(F.lit("A"), F.lit("b"), F.lit("B"), F.lit("b")))
-    return t("nation").select("n_nationkey", F.concat(F.lit("A="), m["A"], F.lit(";B="), m["B"]).alias("merged"))
-
-
-@query("U18_numeric_elements", "select n_nationkey, [n_nationkey, 7] ids from nation")
-def u18(t):  # noqa: ANN001, ANN201
-    raw = F.concat(F.lit('["'), F.col("n_nationkey").cast("string"), F.lit('", "x", "7", "-2", ""]'))
-    return t("nation").select("n_nationkey", merges.numeric_elements(raw).alias("ids"))
-
-
 @query("U19_replace_pages", "select page_id, 'old' v from pages where page_id % 10 <> 0 union all select page_id, 'new' from pages where page_id % 10 = 0")
 def u19(t):  # noqa: ANN001, ANN201
     p = t("pages").select("page_id")
@@ -407,9 +394,3 @@ def rematerialised(rows):  # noqa: ANN001, ANN201
 def u21(t):  # noqa: ANN001, ANN201
     boxes = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("boxes"))
     return boxes.where(F.size("boxes") > 2)
-
-
-@query("S39_canonical_course", "select n_nationkey, case when n_nationkey % 2 = 0 then 'Trigonometría' else n_name end course from nation")
-def s39(t):  # noqa: ANN001, ANN201
-    raw = F.when(F.col("n_nationkey") % 2 == 0, " TRIGONOMETRIA ").otherwise(F.col("n_name"))
-    return t("nation").select("n_nationkey", text.canonical_course(raw).alias("course"))

@@ -36,46 +36,6 @@ def s4(t):  # noqa: ANN001, ANN201
     return t("part").select("p_partkey", text.slug(F.col("p_type")).alias("slug"))
 
 
-def tagged(c):  # noqa: ANN001, ANN201
-    return F.concat(F.lit("[[curso=Algebra]] "), c, F.lit(" [[curso=]] [[tema="), c, F.lit("]]"))
-
-
-@query("S5_tags", "select n_nationkey, 'Algebra' first_course, 'Algebra' last_course, n_name topic from nation")
-def s5(t):  # noqa: ANN001, ANN201
-    x = tagged(F.col("n_name"))
-    return t("nation").select("n_nationkey", text.first_tag(x, "curso").alias("first_course"), text.last_tag(x, "curso").alias("last_course"), text.last_tag(x, "tema").alias("topic"))
-
-
-@query("S6_tag_edit", r"select n_nationkey, n_name stripped, '\item[\textbf{' || n_nationkey || '.}][[x=1]] ' || n_name inserted from nation")
-def s6(t):  # noqa: ANN001, ANN201
-    item = F.concat(F.lit("\\item[\\textbf{"), F.col("n_nationkey").cast("string"), F.lit(".}] "), F.col("n_name"))
-    return t("nation").select("n_nationkey", text.strip_tags(tagged(F.col("n_name"))).alias("stripped"), text.insert_after_header(item, F.lit("[[x=1]]")).alias("inserted"))
-
-
-@query("S7_exam_metadata", "select n_nationkey, 2000 + n_nationkey as year, 'II' process, 'A' area from nation")
-def s7(t):  # noqa: ANN001, ANN201
-    x = F.concat(F.lit("Examen "), (2000 + F.col("n_nationkey")).cast("string"), F.lit(" Proceso: ii, Área A"))
-    return t("nation").select("n_nationkey", text.exam_year(x).alias("year"), text.exam_process(x).alias("process"), text.exam_area(x).alias("area"))
-
-
-@query("S8_item_number", "select n_nationkey, case when n_nationkey % 2 = 0 then n_nationkey end n from nation")
-def s8(t):  # noqa: ANN001, ANN201
-    x = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("\\item[\\textbf{"), F.col("n_nationkey").cast("string"), F.lit(".}] x"))).otherwise(F.lit("plain 7."))
-    return t("nation").select("n_nationkey", text.item_number(x).alias("n"))
-
-
-@query("S9_answers", "select r_regionkey, upper(regexp_extract(r_name, '(?i)[a-e]')) any_answer, 'B' word_answer, case when left(r_name, 1) in ('A', 'B', 'C', 'D', 'E') then left(r_name, 1) end first_answer from region")
-def s9(t):  # noqa: ANN001, ANN201
-    word = text.answer_word(F.concat(F.lit("clave: b "), F.col("r_name")))
-    return t("region").select("r_regionkey", text.answer_any(F.col("r_name")).alias("any_answer"), word.alias("word_answer"), text.answer_first(F.col("r_name")).alias("first_answer"))
-
-
-@query("S10_marker_parts", "select n_nationkey, 'img' base, n_nationkey num, case when n_nationkey % 2 = 0 then 'B' end opt from nation")
-def s10(t):  # noqa: ANN001, ANN201
-    m = F.concat(F.lit("img-"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "-b").otherwise(""))
-    return t("nation").withColumn("m", text.marker_parts(m)).select("n_nationkey", "m.base", "m.num", "m.opt")
-
-
 @query("S11_single_line", "select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) line from documents")
 def s11(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", F.md5(text.single_line(F.col("text"))).alias("line"))
@@ -99,11 +59,6 @@ def s12(t):  # noqa: ANN001, ANN201
     return p.join(other, "p_partkey").select("p_partkey", F.round(s, 6).alias("s"))
 
 
-@query("S13_matching_ratio")
-def s13(t):  # noqa: ANN001, ANN201
-    return t("nation").select("n_nationkey", F.round(similarity.matching_ratio(F.lower("n_name"), F.lit("argentina")), 6).alias("ratio"))
-
-
 @query("S14_edit_distance", "select p_partkey, levenshtein(p_name, p_type) d from part")
 def s14(t):  # noqa: ANN001, ANN201
     return t("part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("d"))
@@ -114,19 +69,6 @@ def s15(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", F.md5(text.metric_text(F.col("text"))).alias("m"))
 
 
-@query("S16_prefix", "select n_nationkey, case when n_nationkey % 3 = 0 then '[CONT.]' when n_nationkey % 3 = 1 then '<' || n_nationkey || '>' else '' end p from nation")
-def s16(t):  # noqa: ANN001, ANN201
-    k = F.col("n_nationkey")
-    x = F.when(k % 3 == 0, "[CONT.] x").when(k % 3 == 1, F.concat(F.lit("<0"), k.cast("string"), F.lit(".> x"))).otherwise("x")
-    return t("nation").select("n_nationkey", text.ocr_prefix(x).alias("p"))
-
-
-@query("S17_label_recall", "select n_nationkey, round(case when n_nationkey % 2 = 0 then 2.0 / 5 else 1 end, 6) recall from nation")
-def s17(t):  # noqa: ANN001, ANN201
-    target = F.when(F.col("n_nationkey") % 2 == 0, "A) 1 B) 2 C) 3 D) 4 E) 5").otherwise("none")
-    return t("nation").select("n_nationkey", F.round(text.label_recall(target, F.lit("A) 1 C) 3")), 6).alias("recall"))
-
-
 _FRAGMENT = """select *, {key_a} ka, {key_b} kb from (select p_partkey, case when p_partkey % 7 = 5 then 'área de f(x) y g (y) ' || p_name else p_name end a,
   case p_partkey % 7 when 0 then '  ' when 1 then p_name || ' Y más palabras' when 2 then array_to_string(string_split(p_name, ' ')[1:2], ' ') when 3 then p_name || '.'
   when 4 then p_type when 5 then 'otra area F (X) ' || p_name || ' junto con ' || lower(p_type) else reverse(p_name) end b from part)""".format(
@@ -265,12 +207,6 @@ def s24(t):  # noqa: ANN001, ANN201
     )
 
 
-@query("S26_render_item", r"select n_nationkey, '\item[\textbf{' || n_nationkey || '.}] ' || n_name || '£A)1æB)2æC)£D)ææE)£' rendered from nation")
-def s26(t):  # noqa: ANN001, ANN201
-    options = F.create_map(F.lit("A"), F.lit("1"), F.lit("B"), F.lit("2"), F.lit("C"), F.lit(""), F.lit("D"), F.lit(""), F.lit("E"), F.lit(""))
-    return t("nation").select("n_nationkey", text.render_item(F.col("n_nationkey"), F.col("n_name"), options).alias("rendered"))
-
-
 @query("S27_small_number", "select p_partkey, case when p_size % 10 between 3 and 5 then p_size % 10 when p_size between 3 and 5 then p_size else p_size + 100 end n from part")
 def s27(t):  # noqa: ANN001, ANN201
     return t("part").select("p_partkey", text.small_number(F.col("p_size") + 100, F.lit(3)).alias("n"))
@@ -339,13 +275,6 @@ def s36(t):  # noqa: ANN001, ANN201
     return t("events").select("event_id", status.normal_status(raw, status.STATUS_ALIASES).alias("status"), status.normal_step(step).alias("step"))
 
 
-@query("S38_meta_reference", "select n_nationkey, case n_nationkey % 4 when 0 then 'catalog' when 1 then 'direct' when 2 then 'catalog' else 'direct' end source, case n_nationkey % 4 when 0 then n_nationkey when 2 then n_nationkey end id, case n_nationkey % 4 when 0 then n_name || ': x' when 1 then n_name || ':y' when 2 then '' else n_name end text from nation")
-def s38(t):  # noqa: ANN001, ANN201
-    k, n = F.col("n_nationkey").cast("string"), F.col("n_name")
-    raw = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("catalog:topic:"), k, F.lit(":"), n, F.lit(": x"))).when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit("direct:topic:"), n, F.lit(":y"))).when(F.col("n_nationkey") % 4 == 2, k).otherwise(n)
-    return t("nation").withColumn("m", text.meta_reference(raw)).select("n_nationkey", "m.source", "m.id", "m.text")
-
-
 @query("S40_row_comparison", "select a.c_custkey, a.c_name is distinct from b.c_name or a.c_mktsegment is distinct from b.c_mktsegment as differs from customer a left join customer b on b.c_custkey = a.c_custkey + 1")
 def s40(t):  # noqa: ANN001, ANN201
     c = t("customer").select("c_custkey", "c_name", "c_mktsegment")

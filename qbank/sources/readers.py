@@ -183,4 +183,4 @@ def recovered_json(reply: Column) -> Column:
 
 def loose_field(reply: Column, name: str) -> Column:
     """SRC15: a string field of a reply that is no JSON."""
-    return F.nullif(F.regexp_extract(reply, rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
+    return F.nullif(F.regexp_extract(reply, rf'"{name}"\s*:\s*"((?:[^"\\]++|\\.)*+)"', 1), F.lit(""))
