@@ -108,7 +108,9 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int
     ``total`` is their sum.  Keys above a quarter of a partition's share are at
     most four for each partition: those are broadcast, and their rows stay where
     they are.  The others are joined by a shuffle, and so is everything if there
-    are no more than ``few`` rows, which any one task can take.
+    are no more than ``few`` rows: 4,096 rows of any kind, or ``NARROW`` (262,144,
+    some 12 MB) rows of two or three numbers, which any one task can take.  Both ways
+    give the same rows.
     """
     if total <= few:
         return rows.join(keyed, key)

@@ -630,6 +630,39 @@ def test_cascade_is_exact(spark):
     assert not url_filter.build_cascade(listed.limit(0), universe).contains(url_filter.hashes(keys)).any()
 
 
+# -- shared helpers ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_join_hot_gives_the_same_rows_either_way(spark, few):
+    """A key with two thirds of all rows, a null key, keys without rows."""
+    rows = spark.range(900).select(F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 9 == 0, None).otherwise(F.col("id")).cast("long").alias("k"), "id")
+    keyed = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).unionByName(spark.createDataFrame([(5000, 0)], "k long, n long"))
+    got = common.join_hot(rows, keyed, "k", "n", 800, few)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(keyed, "k").collect()))
+    assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) or few
+
+
+@pytest.mark.parametrize("narrow", [0, 1 << 18])
+def test_components_either_way(spark, monkeypatch, narrow):
+    """Hubs, chains and pairs; the plan for hot nodes and the plain one."""
+    monkeypatch.setattr(common, "NARROW", narrow)
+    r = random.Random(8)
+    edges = [(0, i) for i in range(1, 120)] + [(200 + i, 201 + i) for i in range(40)] + [(r.randint(300, 340), r.randint(300, 340)) for _ in range(25)] + [(500, 500)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {x.node: x.component for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
 # -- queries and the pipeline -------------------------------------------------------
 
 
