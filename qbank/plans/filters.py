@@ -381,6 +381,18 @@ def f26(t):  # noqa: ANN001, ANN201
     return t("part").where(classify.fuzzy_search(F.col("p_name"), F.lit("Éd  A"))).select("p_partkey")
 
 
+@query(
+    "F26_similar_search",
+    """select p_partkey from (select p_partkey, p_partkey % 4 k, lower(p_name) n from part)
+where case k when 0 then contains(n, 'widget') when 1 then contains(n, 'gizmo') and contains(n, 'small') when 2 then false else contains(n, 'ring') end""",
+)
+def f26_similar(t):  # noqa: ANN001, ANN201
+    """Misspelt words that only similarity finds (ratio 0.83, 0.91), one that is too far off (0.67), and a plain one."""
+    k = F.col("p_partkey") % 4
+    asked = F.when(k == 0, "wodget").when(k == 1, "Gizzmo SMALL").when(k == 2, "wodgat").otherwise("ring")
+    return t("part").where(classify.fuzzy_search(F.col("p_name"), asked)).select("p_partkey")
+
+
 @query("F27_readiness", "select l_orderkey, count(*) filter (where l_linestatus = 'F') ready, count(*) n from lineitem group by 1 having count(*) filter (where l_linestatus = 'F') < count(*)")
 def f27(t):  # noqa: ANN001, ANN201
     """Sessions with not every row ready."""
