@@ -42,12 +42,16 @@ def src5(t):  # noqa: ANN001, ANN201
     return files.select(F.from_json("value", d.schema).alias("r")).select("r.doc_id", "r.source", "r.n_chars", F.md5("r.text").alias("text"))
 
 
-@query("SRC6_file_pairs", "select 'd/' || n_name || '.session.json' as session, case when n_nationkey % 2 = 0 then 'd/' || n_name || '.session__images.json' end images from nation")
+@query(
+    "SRC6_file_pairs",
+    """select distinct 'd/' || doc_id || '.session.json' as session, case when doc_id % 2 = 0 then 'd/' || doc_id || '.session__images.json' end images from documents where doc_id is not null and doc_id % 5 > 0""",
+)
 def src6(t):  # noqa: ANN001, ANN201
-    n = t("nation")
-    names = n.select(F.concat(F.lit("d\\"), "n_name", F.lit(".session.json")).alias("path"))
-    names = names.unionByName(n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("d//"), "n_name", F.lit(".session__images.json")).alias("path")))
-    return readers.paired_files(names)
+    """A session for four documents of five, images for every other one, each listed in two spellings of its path."""
+    d = t("documents").where("doc_id is not null").select("doc_id", F.explode(F.array(F.lit("d\\"), F.lit("d//"), F.lit("d/"))).alias("at"))
+    sessions = d.where("doc_id % 5 > 0").select(F.concat("at", F.col("doc_id").cast("string"), F.lit(".session.json")).alias("path"))
+    images = d.where("doc_id % 2 = 0").select(F.concat("at", F.col("doc_id").cast("string"), F.lit(".session__images.json")).alias("path"))
+    return readers.paired_files(sessions.unionByName(images))
 
 
 @query("SRC12_session_items", "select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) place, turn, role from conversations")
