@@ -45,7 +45,7 @@ _STATEMENTS = (
     (" [[ocr#dudoso]] ~ ", r" [[ocr#dudoso]] \textasciitilde{} ", "", ()),
     (r" \left( a \right) ", r" $\left( a \right)$ ", "", ()),
     (" x^2 ", " $x^2$ ", "", ("bare_exponent_wrapped",)),
-    (" £££ renglón ", r"£rengl\'on ", "", ()),
+    (" y £££ renglón ", r" y£rengl\'on ", "", ()),
     (" $$θ + α = π$$ ", r" $\theta + \alpha = \pi$ ", "", ()),
     (r" \frac{a}{b ", r" \frac\{a\}\{b ", "", ()),
     ("\n$x$\n", " $x$ ", "", ()),
