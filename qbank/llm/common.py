@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +94,16 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return Table(df, tag).df
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables made inside are removed at the end, but for those that the given function has been told to keep."""
+    before, kept = set(_paths), set()
+    yield lambda *tables: kept.update(t.path for t in tables)
+    for path in _paths - before - kept:
+        _delete(spark, path)
+        _paths.discard(path)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its checked size allows one, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

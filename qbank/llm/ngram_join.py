@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qbank.llm.common import NARROW, components, join_hot, mix, partitions, small, table, text_batches
+from qbank.llm.common import NARROW, Table, components, join_hot, mix, partitions, scratch, small, table, text_batches
 
 SLOTS, LEVELS = 256, 8
 
@@ -636,9 +636,12 @@ def clean(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """
     row = F.struct(*docs.columns).alias("_doc")
     rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    rows = table(rows.select("_doc", "_id", "_text", "_row"), "rows")
-    named = rows.where("_id is not null")
-    found = components_of(named.select(F.col("_row").alias("doc_id"), F.col("_text").alias("text")), p).select(F.col("doc_id").alias("_row"), "component_id")
-    least = found.join(named.select("_row", "_id"), "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("least"))
-    stay = least.select(F.col("least._row").alias("_row"))
-    return rows.where("_id is null").select("_doc.*").unionByName(named.join(stay, "_row", "left_semi").select("_doc.*"))
+    with scratch(docs.sparkSession) as keep:
+        kept = Table(rows, "rows")
+        named = kept.df.where("_id is not null")
+        found = components_of(named.select(F.col("_row").alias("doc_id"), F.col("_text").alias("text")), p).select(F.col("doc_id").alias("_row"), "component_id")
+        least = found.join(named.select("_row", "_id"), "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("least"))
+        stay = Table(least.select(F.col("least._row").alias("_row")), "stay")
+        keep(kept, stay)
+    left = named.join(small(stay.df, stay.df.count(), 48), "_row", "left_semi")
+    return kept.df.where("_id is null").select("_doc.*").unionByName(left.select("_doc.*"))
