@@ -1,7 +1,7 @@
 """Join shapes: top-1 lookups, tiered identities, semi and anti joins, fuzzy matches.
 
-Catalog sides are hinted for broadcast only where the caller says how many rows
-they hold at most; otherwise Catalyst and AQE choose.
+Catalog sides are hinted for broadcast only where a bounded count shows that they
+are small; otherwise Catalyst and AQE choose.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Catalogs up to this many rows are broadcast.
-CATALOG_ROWS = 100_000
+CATALOG_ROWS = 50_000
 
 
-def catalog(df: DataFrame, rows_at_most: int | None = None) -> DataFrame:
-    return F.broadcast(df) if rows_at_most is not None and rows_at_most <= CATALOG_ROWS else df
+def catalog(df: DataFrame, rows_at_most: int = CATALOG_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more rows; the count ends one row beyond that."""
+    return F.broadcast(df) if df.limit(rows_at_most + 1).count() <= rows_at_most else df
 
 
 def top_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qbank.functions import admission, classify, items, rendered, status, text
-from qbank.operators import reports
+from qbank.operators import joins, reports
 from qbank.plans.registry import query
 
 #: labels.quality as a verdict: 1 good, 0 bad, absent unreviewed.
@@ -82,7 +82,7 @@ def f5(t):  # noqa: ANN001, ANN201
 @query("F6_fallback_projection", "select c_custkey, coalesce(nullif(trim(case when c_custkey % 3 = 0 then ' ' else c_mktsegment end), ''), n_name, '') shown from customer left join nation on c_nationkey = n_nationkey")
 def f6(t):  # noqa: ANN001, ANN201
     own = F.when(F.col("c_custkey") % 3 == 0, F.lit(" ")).otherwise(F.col("c_mktsegment"))
-    out = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    out = t("customer").join(joins.catalog(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return out.select("c_custkey", F.coalesce(F.nullif(F.trim(own), F.lit("")), "n_name", F.lit("")).alias("shown"))
 
 

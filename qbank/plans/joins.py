@@ -12,7 +12,7 @@ from qbank.plans.registry import query
 
 @query("J1_catalogs", "select c_custkey, n_name, r_name from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
 def j1(t):  # noqa: ANN001, ANN201
-    n, r = joins.catalog(t("nation"), 25), joins.catalog(t("region"), 5)
+    n, r = joins.catalog(t("nation")), joins.catalog(t("region"))
     out = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return out.select("c_custkey", "n_name", "r_name")
 
@@ -51,7 +51,7 @@ def j5(t):  # noqa: ANN001, ANN201
 @query("J6_computed_key", "select r_name, count(*) nations, count(s_suppkey) suppliers from region join nation on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey group by lower(coalesce(r_name, '')), r_name")
 def j6(t):  # noqa: ANN001, ANN201
     n = t("nation").withColumn("k", F.coalesce(F.col("n_regionkey"), F.lit(-1)))
-    out = F.broadcast(t("region")).join(n, F.col("r_regionkey") == F.col("k")).join(t("supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    out = joins.catalog(t("region")).join(n, F.col("r_regionkey") == F.col("k")).join(t("supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return out.groupBy("r_name").agg(F.count("*").alias("nations"), F.count("s_suppkey").alias("suppliers"))
 
 

@@ -97,6 +97,12 @@ def test_identity_tiers(spark):
     assert got == {("B", "s9", 3): None, ("B", "", 3): 7, ("", "", 4): 8, ("B", "s2", 4): 8}
 
 
+def test_catalogs_are_counted(spark):
+    rows, few = spark.range(500).withColumnRenamed("id", "k"), spark.range(20).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    plan = lambda most: rows.join(joins.catalog(few, most), "k")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(20) and "broadcast" not in plan(19)
+
+
 def test_fuzzy_resolve(spark):
     left = spark.createDataFrame([(1, "Geometria plana", "x"), (2, "zzz", ""), (3, "geometria", "a"), (4, None, "a"), (5, "geometria plan", ""), (6, "geometria", "b")], "k long, name string, area string")
     right = spark.createDataFrame([(5, "geometria plana", "y"), (6, "geometria", "a"), (7, "geometria", "a"), (8, "geometria plana", "x y")], "k long, name string, area string")
