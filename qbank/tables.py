@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_folders: list[_Folder] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """What is left is removed when the driver's process ends, as far as its session still answers."""
+    for folder in [*_folders]:
+        with contextlib.suppress(Exception):
+            folder.drop()
+    for path in _made:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +41,13 @@ class _Folder:
 
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark, self.path = spark, f"{shared_dir(spark)}/qbank-{tag}-{uuid.uuid4().hex}"
+        _folders.append(self)
 
     def drop(self) -> None:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        with contextlib.suppress(ValueError):
+            _folders.remove(self)
 
 
 class Written(_Folder):
