@@ -40,6 +40,12 @@ def test_statement(text, want, warnings):
     assert (got.text, sorted(got.warnings)) == (want, warnings)
 
 
+def test_angle_with_vertices_is_no_word():
+    got = statements.statement(r"Halle el ∠ABC = 30° y un ∠ que mide, el \angle Formado")
+    assert got.text == r"Halle el $\angle ABC = 30^\circ$ y un \'angulo que mide, el \'angulo Formado" and got.warnings == {"angle_word_restored"}
+    assert statements.statement("el ∠ABC").warnings == set()
+
+
 def test_item_keeps_tags_and_separators():
     raw = r"\item[\textbf{3.}] [[curso=SIN_CURSO]] Si $\overline{OB}$ y $\angle AOC$ [[Imagen=img-3]]£A)$15°$æB)$27°$£"
     assert statements.item(raw).text == raw.replace("°", r"^\circ")
