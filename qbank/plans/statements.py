@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qbank.functions import headers, statements, variants
 from qbank.plans.registry import query
+from qbank.tables import short_batches, spread
 
 
 def quoted(x: str) -> str:
@@ -80,7 +81,9 @@ select doc_id, md5(s) s, replace(c, '¶', chr(10)) <> s changed, {chosen_sql('k'
 def _latex(t, cases, normal):  # noqa: ANN001, ANN202
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _WORDS, " "))
     made = F.concat(F.lit(_AROUND[0]), words, chosen(F.col("doc_id") % len(cases), [c[0] for c in cases]), F.lit(_AROUND[1]))
-    done = t("documents").where("doc_id is not null").select("doc_id", normal(made).alias("s"))
+    d = t("documents").where("doc_id is not null").select("doc_id", "text")
+    short_batches(d.sparkSession)
+    done = spread(d, "doc_id").select("doc_id", normal(made).alias("s"))
     return done.select("doc_id", F.md5("s.text").alias("s"), F.col("s.changed").alias("changed"), F.col("s.unknown").alias("unknown"), F.col("s.warnings").alias("warnings"))
 
 
@@ -99,7 +102,9 @@ def s25_items(t):  # noqa: ANN001, ANN201
 @query("S25_latex_normalise")
 def s25(t):  # noqa: ANN001, ANN201
     """Whole documents as they are, as statements; the rules' pattern language has no look-around in SQL."""
-    done = t("documents").select("doc_id", statements.statements(F.col("text")).alias("s"))
+    d = t("documents").select("doc_id", "text")
+    short_batches(d.sparkSession)
+    done = spread(d, "doc_id", "text").select("doc_id", statements.statements(F.col("text")).alias("s"))
     return done.select("doc_id", F.md5("s.text").alias("s"), "s.unknown", "s.warnings", "s.changed")
 
 

@@ -36,6 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[0]
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt out by keys over all cores: a file of few row groups is read by few tasks, whatever the work on a row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's 10,000: whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")
+
+
 class _Folder:
     """A new folder in the shared one; ``drop`` removes it."""
 
