@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qbank.functions.variants import let
+
 #: The accented Latin letters that keys fold, and what they become.
 ACCENTED = "áéíóúüñàèìòùâêîôûäëïöçãõÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÄËÏÖÇÃÕ"
 FOLDED = "aeiouunaeiouaeiouaeiocaoAEIOUUNAEIOUAEIOUAEIOCAO"
@@ -144,8 +146,10 @@ def option_labels(c: Column) -> Column:
 
 def label_recall(target: Column, got: Column) -> Column:
     """The share of the target's labels that are found; 1 where it has none."""
-    want = option_labels(target)
-    return F.when(F.size(want) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(want, option_labels(got))) / F.size(want))
+    return let(
+        option_labels(target),
+        lambda want: F.when(F.size(want) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(want, option_labels(got))) / F.size(want)),
+    )
 
 
 #: What counts as a token or an anchor of a statement, the letters that are tokens alone, and the shares that make two statements one.

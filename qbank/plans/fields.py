@@ -14,6 +14,7 @@ from qbank.operators import merges
 from qbank.plans.registry import query
 from qbank.plans.statements import chosen, chosen_sql, quoted
 from qbank.sources import readers, writers
+from qbank.tables import spread
 
 _WORDS_SQL = "w as (select doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g')) w from documents where doc_id is not null)"
 
@@ -21,7 +22,7 @@ _WORDS_SQL = "w as (select doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-
 def _documents(t, forms: tuple[str, ...]) -> DataFrame:  # noqa: ANN001
     """``doc_id, w, x``: a document's words, and its form with the words in it."""
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]+", " "))
-    rows = t("documents").where("doc_id is not null").select("doc_id", words.alias("w"))
+    rows = spread(t("documents").where("doc_id is not null").select("doc_id", "text"), "doc_id").select("doc_id", words.alias("w"))
     return rows.withColumn("x", F.replace(F.replace(chosen(F.col("doc_id") % len(forms), forms), F.lit("~"), F.col("w")), F.lit("#"), F.col("doc_id").cast("string")))
 
 
