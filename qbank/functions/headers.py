@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qbank.functions.variants import let
+
 #: Digits in circles, plain from 1 to 20 and filled from 1 to 10: Unicode has them in order.
 CIRCLED = "".join(chr(0x2460 + i) for i in range(20)) + "".join(chr(0x2776 + i) for i in range(10))
 ONES, TENS, TWENTY, FILLED_TEN = CIRCLED[:9] + CIRCLED[20:29], CIRCLED[9:19], CIRCLED[19], CIRCLED[29]
@@ -14,6 +16,8 @@ ONES, TENS, TWENTY, FILLED_TEN = CIRCLED[:9] + CIRCLED[20:29], CIRCLED[9:19], CI
 _U = "(?dU)"
 LINE_HEADER = _U + r"(?m)^\s*(\d{1,4})\s*[.)](?=\s)"
 WORD_HEADER = _U + r"(?<!\S)(\d{1,4})\s*[\].:)](?=\s*(?![A-Ea-e]\s*[)\].:])[A-Za-zÀ-ÿ¿¡])"
+#: Fixed pattern: letters and blanks, two letters at least.
+PROSE = "[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ ]*[A-Za-zÀ-ÿ]"
 #: Fixed patterns of numbers in other dress: in angle brackets anywhere, in brackets, as ``n. 8``, or alone on their line.
 DRESSED = (
     (_U + r"(?<!\S)<\s*(\d{1,4})\s*(?:\.\s*)?>", "$1. "),
@@ -39,10 +43,14 @@ def plain_numbers(c: Column) -> Column:
     return c
 
 
+def shortened(c: Column) -> Column:
+    """Prose as two letters: headers look at the first letter behind them, and whether it stands alone."""
+    return F.regexp_replace(c, PROSE, "zz")
+
+
 def header_numbers(c: Column) -> Column:
     """The different numbers of headers, those at line starts first, then those before words, each in the text's order."""
-    text = plain_numbers(c)
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in (LINE_HEADER, WORD_HEADER)))
+    found = let(plain_numbers(shortened(c)), lambda text: F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in (LINE_HEADER, WORD_HEADER))))
     return F.array_distinct(F.filter(F.transform(found, lambda x: x.cast("int")), lambda x: x > 0))
 
 

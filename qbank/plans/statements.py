@@ -126,7 +126,7 @@ numbers as (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i)
 
 
 def _paged(t) -> tuple:  # noqa: ANN001
-    d = t("documents").where("doc_id is not null")
+    d = spread(t("documents").where("doc_id is not null").select("doc_id", "text"), "doc_id")
     return d, headers.header_numbers(F.concat(chosen(F.col("doc_id") % len(_PAGES), _PAGES), F.lit("\n"), F.coalesce("text", F.lit(""))))
 
 

@@ -1,12 +1,14 @@
 """Statements, rendered items, headers, roles, solution groups and profiles, case by case."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from qbank.functions import headers, latex, statements, variants
 from qbank.plans.statements import _PROFILE
+from qbank.queries import QUERIES
 
 
 @pytest.mark.parametrize(
@@ -91,6 +93,24 @@ def test_headers(spark):
     assert {r.i: r.n for r in rows} == dict(enumerate(texts.values()))
 
 
+def test_headers_of_shortened_prose(spark):
+    r = random.Random(3)
+    bits = ["12", "7", ".", ")", "]", ":", "(", "[", "<", ">", " ", "  ", "\n", "n", "N.", "ab", "A", "e", "E)", "foo bar", "ñ", "é de", "¿", "③", "⑳", "x", "\u00a0", "×"]
+    rows = spark.createDataFrame([(i, "".join(r.choice(bits) for _ in range(r.randint(1, 16)))) for i in range(4000)], "i int, x string")
+    whole = F.concat(*(F.regexp_extract_all(headers.plain_numbers(F.col("x")), F.lit(p), 1) for p in (headers.LINE_HEADER, headers.WORD_HEADER)))
+    whole = F.array_distinct(F.filter(F.transform(whole, lambda x: x.cast("int")), lambda x: x > 0))
+    got = rows.select("x", headers.header_numbers(F.col("x")).alias("n"), whole.alias("w")).collect()
+    assert [r.x for r in got if r.n != r.w] == [] and sum(len(r.n) for r in got) > 200
+    long = spark.createDataFrame([("palabra larga de texto " * 50_000 + "\n5. fin",)], "x string").select(F.length(headers.shortened(F.col("x"))).alias("l"), headers.header_numbers(F.col("x")).alias("n")).first()
+    assert long.l < 20 and long.n == [5]
+
+
+@pytest.mark.parametrize("name", ["S17_label_recall", "S20_numbered_headers", "S21_image_role", "S25_items", "S25_latex_normalise", "S25_statements", "S44_profile_validation"])
+def test_rows_are_dealt_out(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan
+
+
 def test_solution_groups(spark):
     cases = {
         None: [], "null": [], '"a"': [["a"]], "0": [], "7": [["7"]], '["a", "a", " b "]': [["a", "b"]], '[["a"], [], ["b", "a"]]': [["a"], ["b", "a"]],
