@@ -237,5 +237,5 @@ def s44(t):  # noqa: ANN001, ANN201
     k = F.col("p_partkey") % len(_CHANGES)
     made = chosen(k, [_PROFILE.replace(c[0], c[1], 1) if c[0] else _PROFILE for c in _CHANGES])
     text = F.replace(made, F.lit("#"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
-    done = t("part").select("p_partkey", variants.profile_faults(text).alias("faults"))
+    done = spread(t("part").select("p_partkey"), "p_partkey").select("p_partkey", variants.profile_faults(text).alias("faults"))
     return done.select("p_partkey", "faults", (F.size("faults") == 0).alias("valid"))
