@@ -7,7 +7,9 @@ size), and only boxes of the same cell meet; a pair is taken from the cell that
 holds its overlap's corner. A greedy choice by falling priority takes what is
 first among all that it excludes; every round takes all such at once, and what
 they exclude goes. The pairs left are written to the shared folder each round,
-so a round's plan doesn't grow, and no page is gathered in one task.
+so a round's plan doesn't grow, and no page is gathered in one task. That is the way of crowded pages; on one
+with up to ``CROWD`` boxes all meet, and its pairs are one short list, gone
+through in order, so that a table of such pages is dealt out once, by page.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from qbank.functions import geometry
 from qbank.tables import Written
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Pages with more boxes than this, those of both sides together, go through the grid.
+CROWD = 64
+#: The least overlap of a matched pair.
+LEAST = 0.25
 
 
 def _filed(boxes: DataFrame, page: str, least: float) -> DataFrame:
@@ -38,7 +44,7 @@ def _cell(c, level: str = "level"):  # noqa: ANN001, ANN202
 
 
 def overlaps(left: DataFrame, right: DataFrame, page: str, least: float, clamp: bool) -> DataFrame:
-    """Pairs of boxes of a page whose intersection over union is ``least`` or more: ``page, a, b, score``.
+    """Pairs of boxes of a page whose intersection over union is ``least`` or more: ``page, a, b, score, shift``.
 
     ``left`` and ``right`` have the columns page, ``n`` (what ``a`` and ``b`` tell) and the box.
     """
@@ -48,19 +54,60 @@ def overlaps(left: DataFrame, right: DataFrame, page: str, least: float, clamp:
     met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (page, "level", "cx", "cy")])
     corner = [F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in ("x1", "y1")]
     once = (F.greatest("a.own", "b.own") == F.col("a.level")) & (_cell(corner[0], "a.level") == F.col("a.cx")) & (_cell(corner[1], "a.level") == F.col("a.cy"))
-    score = geometry.iou([F.col(f"a.{c}") for c in BOX], [F.col(f"b.{c}") for c in BOX], clamp)
-    return met.where(once).select(F.col(f"a.{page}").alias(page), F.col("a.n").alias("a"), F.col("b.n").alias("b"), score.alias("score")).where(F.col("score") >= least)
+    return _scored(met.where(once), page, least, clamp)
 
 
-def match_boxes(left: DataFrame, right: DataFrame, page: str, least: float = 0.25) -> DataFrame:
+def _scored(met: DataFrame, page: str, least: float, clamp: bool) -> DataFrame:
+    box_a, box_b = ([F.col(f"{k}.{c}") for c in BOX] for k in "ab")
+    told = F.col(f"a.{page}").alias(page), F.col("a.n").alias("a"), F.col("b.n").alias("b")
+    score, shift = geometry.iou(box_a, box_b, clamp), geometry.largest_shift(box_a, box_b)
+    return met.select(*told, score.alias("score"), shift.alias("shift")).where(F.col("score") >= least)
+
+
+def _met(left: DataFrame, right: DataFrame, page: str, least: float, clamp: bool) -> DataFrame:
+    """The same as ``overlaps``, with all boxes of a page met."""
+    if not 0 < least <= 1:
+        raise ValueError("the least overlap is a share above 0")
+    a, b = (x.select(page, "n", *BOX).where("x2 > x1 and y2 > y1").alias(k) for x, k in ((left, "a"), (right, "b")))
+    return _scored(a.join(b, F.col(f"a.{page}") == F.col(f"b.{page}")), page, least, clamp)
+
+
+def _parted(page: str, *sides: DataFrame) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The sides' boxes of small pages, and those of crowded ones if there are any."""
+    pages = sides[0].select(page)
+    for x in sides[1:]:
+        pages = pages.unionByName(x.select(page))
+    crowded = Written(pages.groupBy(page).count().where(F.col("count") > CROWD).select(page), "crowded")
+    if crowded.df.isEmpty():
+        crowded.drop()
+        return list(sides), None
+    return [x.join(crowded.df, page, "left_anti") for x in sides], [x.join(crowded.df, page, "left_semi") for x in sides]
+
+
+def match_boxes(left: DataFrame, right: DataFrame, page: str, least: float = LEAST) -> DataFrame:
     """One-to-one pairs of boxes ``(page, id, x1, y1, x2, y2)``, the best overlap first, later ids on ties."""
+    return _matched(left, right, page, least).drop("shift")
+
+
+def _matched(left: DataFrame, right: DataFrame, page: str, least: float) -> DataFrame:
+    """The pairs with the largest shift of a coordinate."""
     named = lambda x: x.withColumn("n", F.col("id").cast("long"))
-    rest = Written(overlaps(named(left), named(right), page, least, clamp=False), "pairs")
+    small, crowded = _parted(page, named(left), named(right))
+    pairs = _met(*small, page, least, clamp=False).groupBy(page).agg(F.sort_array(F.collect_list(F.struct("score", "a", "b", "shift")), asc=False).alias("pairs"))
+    free = lambda taken, p: ~F.exists(taken, lambda x: (x["a"] == p["a"]) | (x["b"] == p["b"]))
+    none = F.filter("pairs", lambda p: F.lit(False))
+    best = F.aggregate("pairs", none, lambda taken, p: F.when(free(taken, p), F.array_append(taken, p)).otherwise(taken))
+    out = pairs.select(page, F.inline(best)).select(page, F.col("a").alias("left_id"), F.col("b").alias("right_id"), "score", "shift")
+    return out.unionByName(_crowded_matches(*crowded, page, least)) if crowded else out
+
+
+def _crowded_matches(left: DataFrame, right: DataFrame, page: str, least: float) -> DataFrame:
+    rest = Written(overlaps(left, right, page, least, clamp=False), "pairs")
     taken: list[DataFrame] = []
     while not rest.df.isEmpty():
-        own = F.struct("score", "a", "b")
+        own = F.struct("score", "a", "b", "shift")
         best = lambda side: rest.df.groupBy(page, side).agg(F.max(own).alias("best"))  # noqa: B023, E731
-        firsts = best("a").select(page, F.col("best.score").alias("score"), "a", F.col("best.b").alias("b")).join(best("b").select(page, F.col("best.a").alias("a"), "b"), [page, "a", "b"])
+        firsts = best("a").select(page, F.col("best.score").alias("score"), F.col("best.shift").alias("shift"), "a", F.col("best.b").alias("b")).join(best("b").select(page, F.col("best.a").alias("a"), "b"), [page, "a", "b"])
         now = Written(firsts, "matched")
         taken.append(now.df)
         gone_a, gone_b = now.df.select(page, "a"), now.df.select(page, "b")
@@ -70,14 +117,24 @@ def match_boxes(left: DataFrame, right: DataFrame, page: str, least: float = 0.2
     out = rest.df
     for t in taken:
         out = out.unionByName(t)
-    return out.select(page, F.col("a").alias("left_id"), F.col("b").alias("right_id"), "score")
+    return out.select(page, F.col("a").alias("left_id"), F.col("b").alias("right_id"), "score", "shift")
 
 
 def suppress(boxes: DataFrame, page: str, overlap: float = 0.9) -> DataFrame:
     """By falling confidence, then y, x and id; a box that overlaps a kept one too much goes."""
     place = F.struct((-F.col("conf")).alias("k"), "y1", "x1", F.col("id").alias("i"))
-    ranked = boxes.select(page, place.alias("n"), *BOX)
-    rest = Written(overlaps(ranked, ranked, page, overlap, clamp=True).where("a < b").select(page, F.col("a"), F.col("b")), "rivals")
+    [small], crowded = _parted(page, boxes.withColumn("n", place))
+    rivals = _met(small, small, page, overlap, clamp=True).where("a < b").groupBy(page).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("rivals"))
+    none = F.transform(F.filter("rivals", lambda p: F.lit(False)), lambda p: p["b"])
+    lost = F.aggregate("rivals", none, lambda lost, p: F.when(F.array_contains(lost, p["a"]), lost).otherwise(F.array_append(lost, p["b"])))  # what is first is settled before it is met
+    kept = small.join(rivals.select(F.col(page), lost.alias("lost")), page, "left").where(~F.coalesce(F.array_contains("lost", F.col("n")), F.lit(False)))
+    out = kept.select(*boxes.columns)
+    return out.unionByName(_crowded_suppress(*crowded, page, overlap).select(*boxes.columns)) if crowded else out
+
+
+def _crowded_suppress(boxes: DataFrame, page: str, overlap: float) -> DataFrame:
+    """``n`` is a box's place in the order."""
+    rest = Written(overlaps(boxes, boxes, page, overlap, clamp=True).where("a < b").select(page, F.col("a"), F.col("b")), "rivals")
     gone: list[DataFrame] = []
     while not rest.df.isEmpty():
         first = rest.df.select(page, "a").distinct().join(rest.df.select(page, F.col("b").alias("a")), [page, "a"], "left_anti")
@@ -92,7 +149,7 @@ def suppress(boxes: DataFrame, page: str, overlap: float = 0.9) -> DataFrame:
     all_gone = gone[0]
     for g in gone[1:]:
         all_gone = all_gone.unionByName(g)
-    return boxes.withColumn("b", place).join(all_gone, [page, "b"], "left_anti").select(*boxes.columns)
+    return boxes.withColumnRenamed("n", "b").join(all_gone, [page, "b"], "left_anti")
 
 
 def box_changes(old: DataFrame, new: DataFrame, page: str, moved_by: int = 5) -> DataFrame:
@@ -102,11 +159,8 @@ def box_changes(old: DataFrame, new: DataFrame, page: str, moved_by: int = 5) ->
     no match have all moved; equal lists in another order, or a match between
     different places, count as reordered.
     """
-    pairs = match_boxes(old, new, page)
-    a, b = (x.select(page, F.col("id").cast("long").alias(k), F.struct(*BOX).alias(box)) for x, k, box in ((old, "left_id", "was"), (new, "right_id", "now")))
-    shift = geometry.largest_shift([F.col(f"was.{c}") for c in BOX], [F.col(f"now.{c}") for c in BOX])
-    told = pairs.join(a, [page, "left_id"]).join(b, [page, "right_id"]).groupBy(page).agg(
-        F.count("*").alias("matched"), F.count_if(shift > moved_by).alias("moved"), F.count_if(F.col("left_id") != F.col("right_id")).alias("crossed")
+    told = _matched(old, new, page, LEAST).groupBy(page).agg(
+        F.count("*").alias("matched"), F.count_if(F.col("shift") > moved_by).alias("moved"), F.count_if(F.col("left_id") != F.col("right_id")).alias("crossed")
     )
     listed = lambda x, name: x.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("id", F.struct(*BOX).alias("box")))).alias(name))
     both = listed(old, "o").join(listed(new, "n"), page, "full_outer").join(told, page, "left").fillna(0, ["matched", "moved", "crossed"])

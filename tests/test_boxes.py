@@ -25,6 +25,19 @@ def some_boxes(seed, n, reach):
     return out
 
 
+@pytest.mark.parametrize("crowd", [0, 30])
+def test_crowded_and_small_pages(spark, monkeypatch, crowd):
+    monkeypatch.setattr(matching, "CROWD", crowd)
+    test_greedy_choice(spark, 0.25)
+
+
+def test_small_pages_go_by_page_alone(spark):
+    """One exchange by page, no cells."""
+    boxes = spark.createDataFrame(some_boxes(1, 60, 90), BOXES)
+    for made in (matching.match_boxes(boxes, boxes, "page"), matching.suppress(boxes, "page")):
+        assert "cx" not in made._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("least", [0.1, 0.25, 0.9, 1.0])
 def test_greedy_choice(spark, least):
     left, right = some_boxes(1, 60, 90), some_boxes(2, 60, 90)
