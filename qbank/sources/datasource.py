@@ -13,14 +13,17 @@
 
 A read that meets an error that passes (``readers.passes``) is tried again: of a
 file that file, of a database that page. What was handed on before stays, so no row
-is lost or repeated.
+is lost or repeated. Files of lines are read piece by piece, a batch of lines at a time.
 """
 
 from __future__ import annotations
 
 import importlib
+from codecs import getincrementaldecoder
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heapreplace
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -34,6 +37,8 @@ from qbank.sources.readers import retried
 ROWS = "path string, name string, line int, value string"
 #: Rows of an Arrow batch.
 BATCH = 1000
+#: Bytes of a file that are read at once, and of files that one task reads where there are more of them.
+PIECE, MOST_BYTES = 1 << 20, 64 << 20
 #: Suffixes of each kind; fixed values are those of images.
 SUFFIXES = {"json": (".json",), "jsonl": (".jsonl", ".json"), "text": (".tex",), "names": (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")}
 
@@ -47,6 +52,7 @@ def register(spark: SparkSession) -> None:
 def files(path: str, spark: SparkSession, **options: str) -> DataFrame:
     """``path, name, line, value`` of the files below a folder."""
     register(spark)
+    options.setdefault("partitions", str(max(8, 2 * spark.sparkContext.defaultParallelism)))
     return spark.read.format("qbank_files").options(path=path, **options).load()
 
 
@@ -72,6 +78,36 @@ def decode(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
+def encoding_of(pieces: Iterable[bytes]) -> str:
+    """The encoding that ``decode`` takes for a file, told from its pieces."""
+    tried = {name: getincrementaldecoder(name)() for name in ("utf-8", "cp1252")}
+    for piece, last in _with_end(pieces):
+        for name in [*tried]:
+            try:
+                tried[name].decode(piece, last)
+            except UnicodeDecodeError:
+                del tried[name]
+    return next(iter(tried), "latin-1")
+
+
+def _with_end(pieces: Iterable[bytes]) -> Iterator[tuple[bytes, bool]]:
+    for piece in pieces:
+        yield piece, False
+    yield b"", True
+
+
+def lines_of(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The parts between line ends, the last one too; no byte of a line end is part of a character."""
+    rest: list[bytes] = []
+    for piece in pieces:
+        first, *others = piece.split(b"\n")
+        rest.append(first)
+        for x in others:
+            yield b"".join(rest)
+            rest = [x]
+    yield b"".join(rest)
+
+
 @dataclass
 class Lot(ds.InputPartition):
     """Files that one task reads."""
@@ -115,37 +151,63 @@ class FileReader(ds.DataSourceReader):
             if f.is_file and f.base_name.lower().endswith(self.suffixes) and not f.base_name.startswith(("_", "."))
             and all((f.path, f.base_name)[k] in values for k, values in self.tests)
         ]
-        lots = [Lot() for _ in range(min(len(files), int(self.options.get("partitions", 8))))]
+        wanted = max(int(self.options.get("partitions", 8)), sum(f.size for f in files) // MOST_BYTES)
+        lots = [Lot() for _ in range(min(len(files), wanted))]
+        least = [(0, k) for k in range(len(lots))]
+        heapify(least)
         for f in sorted(files, key=lambda f: (-f.size, f.path)):  # the largest first, each to the lot with the least
-            least = min(lots, key=lambda x: x.size)
-            least.paths.append(f.path)
-            least.size += f.size + 1
+            lot = lots[least[0][1]]
+            lot.paths.append(f.path)
+            lot.size += f.size + 1
+            heapreplace(least, (lot.size, least[0][1]))
         return lots or [Lot()]
 
     def read(self, partition: ds.InputPartition) -> Iterator[pa.RecordBatch]:
         store, _ = self._store()
         rows: list[tuple] = []
         for path in partition.paths:
-            rows += _retrying(self.options, lambda p=path: list(self._rows(store, p)))
-            while len(rows) >= BATCH:
-                yield self._batch(rows[:BATCH])
-                rows = rows[BATCH:]
+            for some in self._pieces(store, path):
+                rows += some
+                while len(rows) >= BATCH:
+                    yield self._batch(rows[:BATCH])
+                    rows = rows[BATCH:]
         if rows:
             yield self._batch(rows)
 
+    def _pieces(self, store: pa.fs.FileSystem, path: str) -> Iterator[list[tuple]]:
+        """A file's rows, a batch at a time; after an error that passes it is opened again, and what was handed on is skipped."""
+        done, going = 0, None
+
+        def more() -> list[tuple]:
+            nonlocal going
+            try:
+                going = going or islice(self._rows(store, path), done, None)
+                return list(islice(going, BATCH))
+            except Exception:
+                going = None
+                raise
+
+        while some := _retrying(self.options, more):
+            done += len(some)
+            yield some
+
     def _rows(self, store: pa.fs.FileSystem, path: str) -> Iterator[tuple]:
         name = path.rsplit("/", 1)[-1]
         if self.kind == "names":
             yield path, name, 0, None
             return
-        with store.open_input_stream(path) as f:
-            text = decode(f.read())
         if self.kind != "jsonl":
+            with store.open_input_stream(path) as f:
+                text = decode(f.read())
             yield path, name, 0, text
             return
-        for k, line in enumerate(text.split("\n")):
-            if line.strip():
-                yield path, name, k, line.rstrip("\r")
+        with store.open_input_stream(path) as f:
+            encoding = encoding_of(iter(lambda: f.read(PIECE), b""))
+        with store.open_input_stream(path) as f:
+            for k, raw in enumerate(lines_of(iter(lambda: f.read(PIECE), b""))):
+                line = raw.decode(encoding)
+                if line.strip():
+                    yield path, name, k, line.rstrip("\r")
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
