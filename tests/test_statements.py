@@ -111,6 +111,13 @@ def test_rows_are_dealt_out(spark, name):
     assert "RepartitionByExpression" in plan
 
 
+def test_whole_texts_go_in_short_batches(spark):
+    for name in ("S25_items", "S25_latex_normalise"):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
 def test_solution_groups(spark):
     cases = {
         None: [], "null": [], '"a"': [["a"]], "0": [], "7": [["7"]], '["a", "a", " b "]': [["a", "b"]], '[["a"], [], ["b", "a"]]': [["a"], ["b", "a"]],
