@@ -27,7 +27,7 @@ A shingle that the sketch says to be frequent is dealt out over salts; large
 units and classes with many partners are joined and sent in bounded parts.
 
 Token bitmaps are thermometers: 256 slots of 8 bits; the k-th token of a set in
-a slot sets the slot's k-th bit, so the overlap of two sets is at most the
+a slot sets the slot's k-th bit (they are sent as levels), so the overlap of two sets is at most the
 common bits plus the lesser overflow, and OR-ing bitmaps keeps that a bound for
 all below.
 
@@ -45,6 +45,7 @@ Shingles and sets are compared by 64-bit hashes.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,6 +75,9 @@ class Join:
     #: Classes of a shingle that one task may have in any case.
     unsalted: int = 256
     batch_bytes: int = 4 << 20
+    #: Prefix shingles of a task that are sorted and packed together, and the packs' buckets for each partition.
+    packed: int = 1 << 20
+    buckets: int = 8
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -98,10 +102,41 @@ def least_overlap(x: np.ndarray | int, y: np.ndarray | int, percent: int):  # no
 
 
 def signature(tokens: np.ndarray) -> tuple[bytes, int]:
-    """The thermometer bitmap of a set, and the tokens beyond its levels."""
+    """The levels of a set's slots, two in a byte, and the tokens beyond them."""
     load = np.bincount((tokens & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
     level = np.minimum(load, LEVELS)
-    return ((1 << level) - 1).astype(np.uint8).tobytes(), int((load - level).sum())
+    return (level[::2] | level[1::2] << 4).astype(np.uint8).tobytes(), int((load - level).sum())
+
+
+#: The thermometers of two slots, by the byte of their levels.
+_THERMOMETERS = np.array([[(1 << min(x, LEVELS)) - 1 for x in (b & 15, b >> 4)] for b in range(256)], np.uint8)
+
+
+def bitmaps(signatures: list[bytes]) -> np.ndarray:
+    """The thermometer bitmaps of some signatures, a row of words for each."""
+    return _THERMOMETERS[np.frombuffer(b"".join(signatures), np.uint8)].reshape(len(signatures), -1).view(np.uint64)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys: the first one, and the steps to the others in as few bytes each as the largest needs."""
+    steps = np.diff(keys)
+    wide = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    return keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def unpacked(raw: bytes, many: int) -> np.ndarray:
+    steps = np.zeros((many, 8), np.uint8)
+    steps[0] = np.frombuffer(raw[:8], np.uint8)
+    steps[1:, : (len(raw) - 8) // max(1, many - 1)] = np.frombuffer(raw[8:], np.uint8).reshape(many - 1, -1) if many > 1 else 0
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype(np.uint16 if x.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _widened(raw: bytes, many: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * many else np.uint32).astype(np.int32)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -150,12 +185,12 @@ def _sets(docs: DataFrame, p: Join) -> DataFrame:
             count += np.bincount(np.concatenate(pending).astype(np.int64), minlength=cells).astype(np.int32)
         if not seen:
             return
-        small_counts = np.minimum(count, 65535).astype("<u2")
+        small_counts = np.minimum(count, 65535).astype("<u2").view(np.uint8).reshape(-1, 2)
         for k in range(0, cells, step):
             one = pa.nulls(1)
             yield pa.RecordBatch.from_arrays(
                 [one.cast(pa.int64()), one.cast(pa.int64()), one.cast(pa.int64()), one.cast(pa.binary()), one.cast(pa.int32()),
-                 pa.array([k // step], pa.int32()), pa.array([small_counts[k : k + step].tobytes()], pa.binary())],
+                 pa.array([k // step], pa.int32()), pa.array([zlib.compress(small_counts[k : k + step].T.tobytes(), 1)], pa.binary())],
                 names=["doc_id", "n", "cls", "sig", "over", "block", "counts"],
             )
 
@@ -170,7 +205,8 @@ def _frequencies(rows: DataFrame, p: Join) -> np.ndarray:
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(0)
         for b in t["counts"]:
-            x = np.frombuffer(b.as_py(), "<u2").astype(np.float64)
+            low, high = np.frombuffer(zlib.decompress(b.as_py()), np.uint8).reshape(2, -1).astype(np.float64)
+            x = low + 256 * high
             total = x if not len(total) else total + x
         rank = np.round(2 * np.log2(1 + total)).astype(np.uint8)
         return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "rank": pa.array([rank.tobytes()], pa.binary())})
@@ -190,16 +226,51 @@ def _salts(rank: np.ndarray, parts: int, unsalted: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, rank, p: Join) -> DataFrame:  # noqa: ANN001
-    """``token, salt, cls, n, pos``: the prefix shingles of each class, in the global order; salt -1 where one task has all of a shingle."""
+    """The prefix shingles of each class, in the global order, packed by buckets: ``bucket, keys, tokens, cls, n, pos``.
+
+    A row holds shingles of many classes, sorted by key: the shingle itself, or, where
+    it is dealt out, a hash of it and its salt, with the shingles in ``tokens``.
+    """
     size, percent, cells = p.words, p.percent, p.cells
     parts_of_all, unsalted = partitions(docs.sparkSession), p.unsalted
+    buckets, most = p.buckets * parts_of_all, p.packed
+
+    def packs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        long = [len(x[0]) for x in parts]
+        token, salts = np.concatenate([x[0] for x in parts]), np.concatenate([x[3] for x in parts])
+        cls = np.repeat(np.array([x[1] for x in parts], np.int64), long)
+        n = np.repeat(np.array([x[2] for x in parts], np.int64), long)
+        pos = np.concatenate([np.arange(k) for k in long])
+        dealt = salts > 1
+        salt = np.mod(cls, salts).astype(np.uint64)
+        for chosen in (np.flatnonzero(~dealt), np.flatnonzero(dealt)):
+            if not len(chosen):
+                continue
+            salted = bool(dealt[chosen[0]])
+            key = mix(token[chosen] ^ mix(salt[chosen] + np.uint64(1))) if salted else token[chosen]
+            order = np.argsort(key)
+            key, chosen = key[order], chosen[order]
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
+            rows: list[tuple] = []
+            held = 0
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                of = chosen[i:j]
+                rows.append((int(bucket[i]), packed(key[i:j]), token[of].tobytes() if salted else None, cls[of].tobytes(), _narrow(n[of]), _narrow(pos[of])))
+                held += j - i
+                if held > 1 << 17 or j == len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=names)
+                    rows, held = [], 0
+
+    names = ["bucket", "keys", "tokens", "cls", "n", "pos"]
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, seen = rank.value, set()
         salts_of = _salts(by, parts_of_all, unsalted)
+        parts: list[tuple] = []
+        held = 0
         for whole in got:
             for at in range(0, whole.num_rows, 256):
-                parts: list[tuple] = []
                 for text in whole.column(1).slice(at, 256).to_pylist():
                     t = shingles(text, size)
                     d = _digest(t)
@@ -208,29 +279,21 @@ def _prefixes(docs: DataFrame, rank, p: Join) -> DataFrame:  # noqa: ANN001
                         long = len(t) - (-(-len(t) * percent // 100)) + 1
                         rare = by[((t >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64)]
                         order = np.lexsort((t, rare))[:long]
-                        parts.append((t[order], d, len(t), long, salts_of[rare[order]]))
-                if parts:
-                    long = [x[3] for x in parts]
-                    cls = np.repeat(np.array([x[1] for x in parts], np.int64), long)
-                    salts = np.concatenate([x[4] for x in parts])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)),
-                            pa.array(np.where(salts > 1, np.mod(cls, salts), -1).astype(np.int32)),
-                            pa.array(cls),
-                            pa.array(np.repeat(np.array([x[2] for x in parts], np.int32), long)),
-                            pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in long])),
-                        ],
-                        names=["token", "salt", "cls", "n", "pos"],
-                    )
-
-    return _texts(docs).mapInArrow(run, "token long, salt int, cls long, n int, pos int")
+                        parts.append((t[order], d, len(t), salts_of[rare[order]]))
+                        held += long
+                        if held >= most:
+                            yield from packs(parts)
+                            parts, held = [], 0
+        if parts:
+            yield from packs(parts)
+
+    return _texts(docs).mapInArrow(run, "bucket int, keys binary, tokens binary, cls binary, n binary, pos binary")
 
 
 def _units(prefixes: DataFrame, p: Join) -> DataFrame:
     """``unit, cls, n, pos``: classes that share a prefix shingle; units of the same members are one.
 
-    Rows come sorted by shingle and class; a shingle of one class alone, or of
+    A task works one bucket after the other; a shingle of one class alone, or of
     two that cannot link by size and place, is dropped.  Salted shingles are
     named by an aggregation over their salts.
     """
@@ -238,48 +301,53 @@ def _units(prefixes: DataFrame, p: Join) -> DataFrame:
     names = ["unit", "token", "cls", "n", "pos"]
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # the last shingle may go on in the next batch
+        held: tuple[list[tuple], list[tuple]] = ([], [])  # of a bucket: single shingles, salted ones
+        now = None
         for b in got:
-            now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            if not b.num_rows:
+            for bucket, keys, tokens, cls, n, pos in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if bucket != now:
+                    yield from grouped(held)
+                    held, now = ([], []), bucket
+                many = len(cls) // 8
+                key = unpacked(keys, many)
+                token = key if tokens is None else np.frombuffer(tokens, np.uint64)
+                held[tokens is not None].append((key, token, np.frombuffer(cls, np.int64), _widened(n, many), _widened(pos, many)))
+        yield from grouped(held)
+
+    def grouped(held: tuple[list[tuple], list[tuple]]) -> Iterator[pa.RecordBatch]:
+        for salted, packs in enumerate(held):
+            if not packs:
                 continue
-            differs = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            last = int(differs[-1]) + 1 if len(differs) else 0
-            if last or (held and (held[-1][0][-1] != now[0][-1] or held[-1][1][-1] != now[1][-1])):
-                done = [*held, tuple(x[:last] for x in now)]
-                yield from grouped(tuple(np.concatenate(x) for x in zip(*done, strict=True)))
-                held = []
-            held.append(tuple(x[last:].copy() for x in now))
-        if held:
-            yield from grouped(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    def grouped(now: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        token, salt, cls, n, pos = now
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (cls[1:] != cls[:-1])  # a class from several tasks
-        token, salt, cls, n, pos = (x[fresh] for x in (token, salt, cls, n, pos))
-        starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
-        sizes = np.diff(np.r_[starts, len(token)])
-        salted = salt[starts] >= 0
-        good = (sizes > 1) | salted
-        pair = (sizes == 2) & ~salted
-        two = starts[pair]
-        most = np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1])
-        good[pair] = most >= least_overlap(n[two].astype(np.int64), n[two + 1].astype(np.int64), percent)
-        if not good.any():
-            return
-        name = np.add.reduceat(mix(cls.view(np.uint64)), starts) ^ sizes.astype(np.uint64)
-        keep, alone = np.repeat(good, sizes), np.repeat(salted, sizes)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(name, sizes)[keep].view(np.int64), mask=alone[keep]), pa.array(token[keep], mask=~alone[keep]),
-                pa.array(cls[keep]), pa.array(n[keep]), pa.array(pos[keep]),
-            ],
-            names=names,
-        )
+            key, token, cls, n, pos = (np.concatenate(x) for x in zip(*packs, strict=True))
+            order = np.lexsort((cls, key))
+            key, cls = key[order], cls[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])  # a class from several tasks
+            key, cls, order = key[fresh], cls[fresh], order[fresh]
+            token, n, pos = token[order], n[order], pos[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            good = (sizes > 1) | bool(salted)
+            pair = (sizes == 2) & (not salted)
+            two = starts[pair]
+            most = np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1])
+            good[pair] = most >= least_overlap(n[two].astype(np.int64), n[two + 1].astype(np.int64), percent)
+            if not good.any():
+                continue
+            name = np.add.reduceat(mix(cls.view(np.uint64)), starts) ^ sizes.astype(np.uint64)
+            keep = np.repeat(good, sizes)
+            many = int(keep.sum())
+            none = pa.nulls(many, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    none if salted else pa.array(np.repeat(name, sizes)[keep].view(np.int64)), pa.array(token[keep].view(np.int64)) if salted else none,
+                    pa.array(cls[keep]), pa.array(n[keep]), pa.array(pos[keep]),
+                ],
+                names=names,
+            )
 
     spark = prefixes.sparkSession
-    rows = prefixes.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "cls")
+    rows = prefixes.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     rows = table(rows.mapInArrow(run, "unit long, token long, cls long, n int, pos int"), "shared")
     salted = rows.where("token is not null").select("token", "cls", "n", "pos")
     named = table(
@@ -319,7 +387,7 @@ class Sets:
 
     def __init__(self, t: pa.Table) -> None:
         cls, n, pos, over, label, side = (t[c].to_numpy(zero_copy_only=False) for c in ("cls", "n", "pos", "over", "label", "side"))
-        bits = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(cls), -1)
+        bits = bitmaps(t["sig"].to_pylist())
         order = np.lexsort((cls, n, label))
         self.cls, self.n, self.pos, self.over = cls[order], n[order].astype(np.int64), pos[order].astype(np.int64), over[order].astype(np.int64)
         self.label, self.side, self.bits = label[order], side[order], bits[order]

@@ -343,6 +343,27 @@ def test_ngram_links_are_all_there(spark):
     assert len(want) > len(heads) and len(got) == len(set(got)) and set(got) == want
 
 
+def test_ngram_prefixes_are_packed(spark):
+    """What is shuffled a prefix shingle and a document stays bounded, and packing loses nothing."""
+    r = np.random.default_rng(3)
+    for many, top in ((1, 64), (2, 64), (300, 64), (5000, 20), (70_000, 64)):
+        keys = np.sort(r.integers(0, 1 << top, many, dtype=np.uint64))
+        assert (ngram_join.unpacked(ngram_join.packed(keys), many) == keys).all()
+    assert (ngram_join.unpacked(ngram_join.packed(np.array([7, 7, 7], np.uint64)), 3) == 7).all()
+    tokens = r.integers(0, 1 << 63, 900, dtype=np.uint64)
+    load = np.bincount((tokens % np.uint64(ngram_join.SLOTS)).astype(int), minlength=ngram_join.SLOTS)
+    bits = ngram_join.bitmaps([ngram_join.signature(tokens)[0]])
+    assert (np.bitwise_count(bits.view(np.uint8)[0]) == np.minimum(load, ngram_join.LEVELS)).all()
+    docs, p = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), ngram_join.Join()
+    sets = ngram_join._sets(docs, p)
+    sent = sets.agg(F.max(F.length("sig")).alias("sig"), F.sum(F.length("counts")).alias("sketch"), F.count("block").alias("rows")).first()
+    assert sent.sig <= ngram_join.SLOTS // 2 and sent.sketch < p.cells // 4 * (sent.rows * (1 << 16) // p.cells)
+    rank = spark.sparkContext.broadcast(np.zeros(p.cells, np.uint8))
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("keys", "tokens", "cls", "n", "pos")), F.lit(40))
+    got = ngram_join._prefixes(docs, rank, p).agg(F.sum(size).alias("bytes"), F.sum(F.length("cls") / 8).alias("shingles")).first()
+    assert got.shingles > 50_000 and got.bytes < 22 * got.shingles
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 9), (3, 8), (20, 21), (8, 5)], "a long, b long")
     assert sorted(map(tuple, common.components(edges).collect())) == [(3, 3), (4, 3), (5, 3), (8, 3), (20, 20), (21, 20)]
