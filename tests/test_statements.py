@@ -2,7 +2,9 @@
 
 import json
 import random
+import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,22 @@ def test_whole_texts_go_in_short_batches(spark):
         assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
 
 
+def test_few_texts_of_a_batch_are_objects_at_once():
+    made, most = [], 0
+
+    def one(text):
+        nonlocal most
+        out = statements.Found(text or "")
+        made.append(weakref.ref(out))
+        most = max(most, sum(r() is not None for r in made))
+        return out
+
+    got = statements._column(one).func(pa.array(["a", None] * 400))
+    assert got.to_pylist()[:2] == [{"text": x, "unknown": [], "warnings": [], "changed": False} for x in ("a", "")]
+    assert len(got) == 800 and most <= 2 * statements.AT_ONCE
+    assert len(statements._column(one).func(pa.array([], pa.string()))) == 0
+
+
 def test_solution_groups(spark):
     cases = {
         None: [], "null": [], '"a"': [["a"]], "0": [], "7": [["7"]], '["a", "a", " b "]': [["a", "b"]], '[["a"], [], ["b", "a"]]': [["a"], ["b", "a"]],
