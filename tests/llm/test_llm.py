@@ -249,6 +249,30 @@ def test_sentencepiece_digest(spark, odd):
     assert got == want and all(s == sorted(s, reverse=True) for _, _, s in got) and any(len(c) == 4 for _, c, _ in got)
 
 
+def test_sentencepiece_together(monkeypatch):
+    """New words of many texts take one forward pass, with the ids and gaps that each has alone, whatever the scores."""
+    r = random.Random(5)
+    signs = "etaoinsr" * 4 + "TE.,\n\t-1 é中🙂ß\x00\u0301"
+    words = {" " + "".join(r.choice(signs.replace(" ", "")) for _ in range(r.randint(0, 20))) for _ in range(4000)}
+    words -= {" "}  # it would join the next word
+    words |= {" a", " 🙂", " " + "ab\n" * 40, " " + "e" * 300, *(" " + c for c in signs if c != " ")}
+    m = sentencepiece_nbest.Model("piece_bpe_32k.model")
+    odd = sentencepiece_nbest.Model("piece_bpe_32k.model")
+    odd.pieces = {p: (i, r.choice([-1.0, -2.0, -r.random() * 5])) for p, (i, _) in odd.pieces.items() if len(p) < 5}
+    odd.finish()
+    for one in (m, odd):
+        want = {w: one._word(w) for w in words}
+        calls = []
+        monkeypatch.setattr(one, "forward", lambda s, f=one.forward, calls=calls: calls.append(s) or f(s))
+        for size in (sentencepiece_nbest.TOGETHER, 100):
+            monkeypatch.setattr(sentencepiece_nbest, "TOGETHER", size)
+            one.cache, one.old = {}, {}
+            texts = ["".join(some)[1:] for some in np.array_split(np.array(sorted(words), object), 50)]
+            got = {w: x for ws, found in one.looked_up(texts) for w, x in zip(ws, found, strict=True)}
+            assert got == want and len(words) > 3000
+        assert len(calls) < 200
+
+
 def brute_components(texts):
     sets = []
     for _, t in texts:
